@@ -25,34 +25,66 @@ HASH_BUCKET_BITS = 12
 
 
 def prefix_sums(df: DataFrame, order_col: str, cols: list[str], nbuckets: int = NBUCKETS,
-                suffix: str = "_cum") -> DataFrame:
+                suffix: str = "_cum", by: list[str] | None = None) -> DataFrame:
     """Inclusive running sums of ``cols`` in ascending ``order_col`` order.
 
     ``df`` should hold one row per distinct ``order_col`` value (group
-    first), so ties are summed together as an ECDF needs.
+    first), so ties are summed together as an ECDF needs.  ``by`` restarts
+    the sums per group (e.g. per column of an unpivoted table).
     """
+    by = list(by or [])
     v = F.col(order_col).cast("double")
-    bounds = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    # one row: a bounded broadcast
-    d = df.crossJoin(F.broadcast(bounds))
+    bounds = df.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    # one row per group of ``by`` (a handful of columns): a bounded broadcast
+    d = df.join(F.broadcast(bounds), by) if by else df.crossJoin(F.broadcast(bounds))
     span = F.col("_hi") - F.col("_lo")
     b = F.when(span > 0, F.least(F.floor((v - F.col("_lo")) / span * nbuckets),
                                  F.lit(nbuckets - 1))).otherwise(F.lit(0)).cast("int")
     d = d.withColumn("_b", b).drop("_lo", "_hi")
-    w_in = Window.partitionBy("_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    w_in = Window.partitionBy(*by, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     for c in cols:
         d = d.withColumn(f"{c}_in", F.sum(c).over(w_in))
-    tot = d.groupBy("_b").agg(*[F.sum(c).alias(f"{c}_bt") for c in cols])
-    # at most nbuckets rows: the single-partition window is bounded
-    w_off = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_b", *[F.coalesce(F.sum(f"{c}_bt").over(w_off), F.lit(0)).alias(f"{c}_off")
-                             for c in cols])
-    d = d.join(F.broadcast(off), "_b")
+    tot = d.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"{c}_bt") for c in cols])
+    # at most nbuckets rows per group: the window over bucket totals is bounded
+    w_off = (Window.partitionBy(*by) if by else Window).orderBy("_b") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*by, "_b", *[F.coalesce(F.sum(f"{c}_bt").over(w_off), F.lit(0)).alias(f"{c}_off")
+                                  for c in cols])
+    d = d.join(F.broadcast(off), by + ["_b"])
     for c in cols:
         d = d.withColumn(f"{c}{suffix}", F.col(f"{c}_in") + F.col(f"{c}_off")).drop(f"{c}_in", f"{c}_off")
     return d.drop("_b")
 
 
+def exact_quantiles(long: DataFrame, key: str, value: str, qs: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas / numpy default).
+
+    ``long`` is an unpivoted table (key, value).  Values are counted per
+    distinct (key, value), ranked with ``prefix_sums`` and the two order
+    statistics around position (n - 1) * q are picked by a band join
+    against the small target table.  No group is ever held in memory,
+    unlike ``percentile``.  Returns (key, q, quantile, n).
+    """
+    g = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))) \
+        .groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    g = prefix_sums(g, "_v", ["_c"], by=[key])
+    n = g.groupBy(key).agg(F.sum("_c").alias("n"))
+    tgt = n.select(key, "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")) \
+        .withColumn("_pos", (F.col("n") - 1) * F.col("q")) \
+        .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
+    # targets: (#keys x #qs) rows, a bounded broadcast; each value row probes its key
+    picks = []
+    for side in ("_lo", "_hi"):
+        t = tgt.select(key, "q", F.col(side).alias("_r"))
+        j = g.join(F.broadcast(t), key).where((F.col("_c_cum") - F.col("_c") <= F.col("_r"))
+                                             & (F.col("_r") < F.col("_c_cum")))
+        picks.append(j.select(key, "q", F.col("_v").alias(f"v{side}")))
+    out = tgt.join(picks[0], [key, "q"], "left").join(picks[1], [key, "q"], "left")
+    qv = F.col("v_lo") + (F.col("_pos") - F.col("_lo")) * (F.col("v_hi") - F.col("v_lo"))
+    return out.select(key, "q", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(qv)
+                      .alias("quantile"), "n")
+
+
 def rank_in_class(df: DataFrame, class_col: str | None, id_col: str, seed: int | str = 42,
                   rank_col: str = "rank", size_col: str | None = None) -> DataFrame:
     """1-based rank per class by md5('<seed>|<id>') then id.

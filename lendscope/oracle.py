@@ -207,3 +207,239 @@ select date, n::bigint as total_predictions,
  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) as f1_score,
  round(approved / n, 6) as approval_rate, round(conf, 6) as avg_confidence
 from g"""
+
+
+# ---------------------------------------------------------------- profiling and features
+
+# Column layout of the loan fixture (same order as ``sources.tables.loans``).
+LOAN_NUMERIC = ["ID", "Client_Income", "Credit_Amount", "Loan_Annuity", "Age_Days", "Employed_Days", "Car_Owned",
+                "Bike_Owned", "House_Own", "Mobile_Tag", "Homephone_Tag", "Workphone_Working", "Score_Source_1",
+                "Score_Source_2", "Score_Source_3", "Application_Process_Day", "Active_Loan", "Child_Count"]
+LOAN_TEXT = ["Client_Income_Type", "Client_Education"]
+LOAN_COLUMNS = LOAN_NUMERIC + LOAN_TEXT + ["Default"]
+FEATURE_NUMERIC = ["Age_Years", "Employment_Years", "Income_Credit_Ratio", "Credit_Income_Percentage",
+                   "Annuity_Income_Ratio", "Asset_Score", "Contact_Completeness", "Average_External_Score",
+                   "Max_External_Score", "Min_External_Score", "Is_Weekend", "Financial_Stress_Score"]
+FEATURE_ORDER = ["Age_Years", "Age_Group", "Employment_Years", "Employment_Stability", "Income_Credit_Ratio",
+                 "Credit_Income_Percentage", "Annuity_Income_Ratio", "Asset_Score", "Contact_Completeness",
+                 "Average_External_Score", "Max_External_Score", "Min_External_Score", "Is_Weekend",
+                 "Financial_Stress_Score"]
+FEAT_COLUMNS = LOAN_COLUMNS + FEATURE_ORDER
+FEAT_TEXT = LOAN_TEXT + ["Age_Group", "Employment_Stability"]
+FEAT_NUMERIC = [c for c in FEAT_COLUMNS if c not in FEAT_TEXT]
+NUMERIC_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def q(c: str) -> str:
+    return f'"{c}"'
+
+
+TYPED = f"""
+typed as (select * replace (case when regexp_full_match(Client_Income, '{NUMERIC_RE}')
+   then try_cast(trim(Client_Income) as double) end as Client_Income) from loans)"""
+
+_AGE = "abs(coalesce(Age_Days, 0)) / 365.25"
+_EMP = "abs(coalesce(Employed_Days, 0)) / 365.25"
+_PCT = "Credit_Amount / nullif(Client_Income + 1, 0) * 100"
+FEAT = f"""
+feat as (select *,
+ {_AGE} as Age_Years,
+ case when {_AGE} >= 0 and {_AGE} <= 25 then 'Young' when {_AGE} <= 35 then 'Adult' when {_AGE} <= 45 then 'Middle'
+      when {_AGE} <= 55 then 'Senior' when {_AGE} <= 100 then 'Elder' end as Age_Group,
+ {_EMP} as Employment_Years,
+ case when {_EMP} >= 0 and {_EMP} <= 1 then 'New' when {_EMP} <= 5 then 'Stable' when {_EMP} <= 10 then 'Experienced'
+      when {_EMP} <= 50 then 'Veteran' end as Employment_Stability,
+ Client_Income / nullif(Credit_Amount + 1, 0) as Income_Credit_Ratio,
+ {_PCT} as Credit_Income_Percentage,
+ Loan_Annuity / nullif(Client_Income + 1, 0) as Annuity_Income_Ratio,
+ coalesce(Car_Owned, 0) + coalesce(Bike_Owned, 0) + coalesce(House_Own, 0) as Asset_Score,
+ coalesce(Mobile_Tag, 0) + coalesce(Homephone_Tag, 0) + coalesce(Workphone_Working, 0) as Contact_Completeness,
+ (coalesce(Score_Source_1, 0) + coalesce(Score_Source_2, 0) + coalesce(Score_Source_3, 0))
+   / nullif((Score_Source_1 is not null)::int + (Score_Source_2 is not null)::int + (Score_Source_3 is not null)::int, 0)
+   as Average_External_Score,
+ greatest(Score_Source_1, Score_Source_2, Score_Source_3) as Max_External_Score,
+ least(Score_Source_1, Score_Source_2, Score_Source_3) as Min_External_Score,
+ coalesce(Application_Process_Day in (0, 6), false)::int as Is_Weekend,
+ (coalesce({_PCT} > 50, false)::int + coalesce(Active_Loan, 0) + coalesce(Child_Count > 2, false)::int)::double
+   as Financial_Stress_Score
+ from typed)"""
+
+
+def with_feat() -> str:
+    return with_(LOANS, TYPED, FEAT)
+
+
+def r6(c: str) -> str:
+    return f"round({c}, 6)"
+
+
+SQL["loans_typed"] = with_(LOANS, TYPED) + "select * replace (" + ", ".join(
+    f"round({q(c)}, 6) as {q(c)}" for c in ["Client_Income", "Credit_Amount", "Loan_Annuity", "Age_Days",
+                                            "Employed_Days", "Car_Owned", "Score_Source_1", "Score_Source_2",
+                                            "Score_Source_3"]) + ") from typed"
+
+_FEAT_DOUBLE = ["Age_Years", "Employment_Years", "Income_Credit_Ratio", "Credit_Income_Percentage",
+                "Annuity_Income_Ratio", "Asset_Score", "Average_External_Score", "Max_External_Score",
+                "Min_External_Score", "Financial_Stress_Score"]
+SQL["loan_features"] = with_feat() + "select ID, " + ", ".join(
+    f"round({c}, 6) as {c}" if c in _FEAT_DOUBLE else c for c in FEATURE_ORDER) + " from feat"
+
+SQL["profile_shape"] = with_(LOANS, TYPED) + f"""
+select count(*)::bigint as n_rows, {len(LOAN_COLUMNS)} as n_columns, {len(LOAN_NUMERIC) + 1} as n_numeric,
+ {len(LOAN_TEXT)} as n_text from typed"""
+
+SQL["missing_top10"] = with_(LOANS, TYPED) + ", m as (" + " union all ".join(
+    f"select '{c}' as \"column\", count(*) - count({q(c)}) as missing_count, count(*) as n from typed"
+    for c in LOAN_COLUMNS) + """)
+select "column", missing_count::bigint as missing_count, round(missing_count / n * 100, 6) as missing_percentage,
+ row_number() over (order by missing_count desc, "column") as rank
+from m where missing_count > 0 qualify rank <= 10"""
+
+SQL["target_balance"] = with_(LOANS, TYPED) + """,
+a as (select count(*) n, count(*) filter (where "Default" = 0) n0, count(*) filter (where "Default" = 1) n1 from typed)
+select n0::bigint as n_no_default, n1::bigint as n_default, round(n0 / n * 100, 6) as pct_no_default,
+ round(n1 / n * 100, 6) as pct_default, round(n0 / nullif(n1, 0), 6) as imbalance_ratio,
+ coalesce(n0 / nullif(n1, 0) > 3, false) as needs_balancing, coalesce(n0 / nullif(n1, 0) > 20, false) as severe_imbalance
+from a"""
+
+SQL["target_counts"] = with_(LOANS) + """
+select "Default", count(*)::bigint as n from loans where "Default" is not null group by 1"""
+
+SQL["duplicate_rows"] = with_(LOANS, TYPED) + """
+select coalesce(sum(n - 1), 0)::bigint as duplicate_rows from (select count(*) n from typed group by all_cols)
+""".replace("group by all_cols", "group by " + ", ".join(q(c) for c in LOAN_COLUMNS))
+
+_OUT_COLS = [c for c in LOAN_NUMERIC if c != "ID"] + ["Default"]
+SQL["iqr_outliers_top10"] = with_(LOANS, TYPED) + ", s as (" + " union all ".join(
+    f"select '{c}' as \"column\", quantile_cont({q(c)}, 0.25) q1, quantile_cont({q(c)}, 0.75) q3, "
+    f"count({q(c)}) nv, count(*) n, "
+    f"count(*) filter (where {q(c)} < q1_ - 1.5 * (q3_ - q1_) or {q(c)} > q3_ + 1.5 * (q3_ - q1_)) o "
+    f"from typed, (select quantile_cont({q(c)}, 0.25) q1_, quantile_cont({q(c)}, 0.75) q3_ from typed) b"
+    for c in _OUT_COLS) + """)
+select "column", round(q1, 6) as q1, round(q3, 6) as q3, o::bigint as outliers, round(o / n * 100, 6) as percentage,
+ row_number() over (order by o desc, "column") as rank
+from s where nv >= n * 0.1 and q3 - q1 > 0 and o > 0 qualify rank <= 10"""
+
+SQL["consistency_checks"] = with_(LOANS, TYPED) + """
+select count(*) filter (where abs(coalesce(Age_Days, 0)) / 365.25 < 18 or abs(coalesce(Age_Days, 0)) / 365.25 > 100)::bigint
+   as unrealistic_age,
+ count(*) filter (where Age_Days is null)::bigint as missing_age,
+ count(*) filter (where Client_Income <= 0)::bigint as non_positive_income,
+ count(*) filter (where Client_Income is null)::bigint as missing_income
+from typed"""
+
+_CORR_COLS = [c for c in FEAT_NUMERIC if c not in ("ID", "Default")]
+SQL["target_corr_top10"] = with_feat() + ", c as (" + " union all ".join(
+    f"select '{c}' as \"column\", abs(covar_pop({q(c)}, \"Default\") / "
+    f"(stddev_pop({q(c)}) * stddev_pop(\"Default\"::double))) as r from feat "
+    f"where {q(c)} is not null and \"Default\" is not null" for c in _CORR_COLS) + """)
+select "column", round(r, 6) as abs_corr, row_number() over (order by r desc, "column") as rank
+from c where r is not null and not isnan(r) qualify rank <= 10"""
+
+SQL["asset_default_crosstab"] = with_feat() + """
+select Asset_Score, round(count(*) filter (where "Default" = 0) / count(*) * 100, 6) as pct_0,
+ round(count(*) filter (where "Default" = 1) / count(*) * 100, 6) as pct_1
+from feat where Asset_Score is not null and "Default" is not null group by 1"""
+
+
+def _hist(col: str, bins: int, positive: bool) -> str:
+    cond = f"{col} is not null and not isnan({col})" + (f" and {col} > 0" if positive else "")
+    return with_feat() + f""",
+d as (select {col}::double v from feat where {cond}),
+r as (select min(v) lo, max(v) hi from d),
+c as (select case when hi > lo then least(floor((v - lo) / (hi - lo) * {bins}), {bins - 1}) else 0 end::int b,
+   count(*) n from d, r group by 1)
+select bin::int as bin, round(lo + bin * (hi - lo) / {bins}, 6) as bin_start,
+ round(case when bin = {bins - 1} then hi else lo + (bin + 1) * (hi - lo) / {bins} end, 6) as bin_end,
+ coalesce(n, 0)::bigint as n
+from r, range(0, {bins}) t(bin) left join c on c.b = t.bin"""
+
+
+SQL["hist_age_years"] = _hist("Age_Years", 30, False)
+SQL["hist_income_positive"] = _hist("Client_Income", 50, True)
+
+
+# ---------------------------------------------------------------- preparation
+
+def _mode_cte(c: str) -> str:
+    return (f"mode_{c} as (select coalesce((select v from (select {q(c)} v, count(*) n from feat "
+            f"where {q(c)} is not null group by 1 order by n desc, v limit 1)), 'Unknown') as v)")
+
+
+def with_ml() -> str:
+    """feat -> filled (median / mode) -> ml (codes), ID and Default kept."""
+    med = "med as (select " + ", ".join(f"median({q(c)}::double) as {q(c)}" for c in FEAT_NUMERIC) + " from feat)"
+    modes = [_mode_cte(c) for c in FEAT_TEXT]
+    fill_cols = []
+    for c in FEAT_COLUMNS:
+        if c in FEAT_TEXT:
+            fill_cols.append(f"coalesce(f.{q(c)}, (select v from mode_{c})) as {q(c)}")
+        elif c in ("ID", "Default"):
+            fill_cols.append(f"coalesce(f.{q(c)}, med.{q(c)}::bigint) as {q(c)}")
+        else:
+            fill_cols.append(f"coalesce(f.{q(c)}::double, med.{q(c)}) as {q(c)}")
+    filled = "filled as (select " + ", ".join(fill_cols) + " from feat f, med)"
+    codes = [f"code_{c} as (select v, (dense_rank() over (order by v) - 1)::int as code "
+             f"from (select distinct {q(c)} v from filled))" for c in FEAT_TEXT]
+    sel = []
+    joins = []
+    for c in FEAT_COLUMNS:
+        if c in FEAT_TEXT:
+            sel.append(f"code_{c}.code as {q(c)}")
+            joins.append(f"left join code_{c} on code_{c}.v = filled.{q(c)}")
+        else:
+            sel.append(f"filled.{q(c)}")
+    ml = "ml as (select " + ", ".join(sel) + " from filled " + " ".join(joins) + ")"
+    return with_feat() + ", " + ", ".join([med, *modes, filled, *codes, ml]) + "\n"
+
+
+_ML_FEATURES = [c for c in FEAT_COLUMNS if c not in ("ID", "Default")]
+SQL["ml_table"] = with_ml() + "select " + ", ".join(
+    q(c) if c in FEAT_TEXT else f"round({q(c)}, 6) as {q(c)}" for c in _ML_FEATURES) + ', "Default" from ml'
+
+SQL["median_fill_values"] = with_feat() + "select * from (" + " union all ".join(
+    f"select '{c}' as \"column\", round(median({q(c)}::double), 6) as fill from feat" for c in FEAT_NUMERIC) + ")"
+
+SQL["mode_fill_values"] = with_feat() + ", " + ", ".join(_mode_cte(c) for c in FEAT_TEXT) + "\n" + \
+    " union all ".join(f"select '{c}' as \"column\", v as fill from mode_{c}" for c in FEAT_TEXT)
+
+SQL["label_codes"] = with_ml() + " union all ".join(
+    f"select '{c}' as \"column\", v as value, code from code_{c}" for c in FEAT_TEXT)
+
+_HASH = "('0x' || substr(md5(concat('42|', ID::varchar)), 1, 8))::bigint"
+SQL["stratified_split"] = with_(LOANS) + f"""
+select ID, "Default",
+ row_number() over (partition by "Default" order by {_HASH}, ID)
+   <= round(count(*) over (partition by "Default") * 0.2) as is_test
+from loans"""
+
+
+def with_train() -> str:
+    return with_ml() + f""", split as (select *,
+ row_number() over (partition by "Default" order by {_HASH}, ID)
+   <= round(count(*) over (partition by "Default") * 0.2) as is_test from ml),
+train as (select * from split where not is_test),
+long as (unpivot (select * exclude (ID, is_test) replace ({", ".join(f"{q(c)}::double as {q(c)}" for c in _ML_FEATURES)})
+   from train) on {", ".join(q(c) for c in _ML_FEATURES)} into name "column" value value)
+"""
+
+
+SQL["scaler_stats"] = with_train() + """
+select "column", round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from long group by 1"""
+
+SQL["anova_f_top20"] = with_train() + """,
+g as (select "column", "Default", count(value) n, sum(value) s, sum(value * value) ss from long group by 1, 2),
+a as (select "column", sum(n) N, sum(s) S, count(*) k, sum(s * s / n) br, sum(ss) SS from g group by 1),
+f as (select "column", ((br - S * S / N) / (k - 1)) / (case when SS - br > 0 then SS - br end / (N - k)) as f from a)
+select "column", round(f, 6) as f_score, row_number() over (order by f desc nulls last, "column") as rank,
+ f is not null and row_number() over (order by f desc nulls last, "column") <= 20 as selected
+from f"""
+
+SQL["undersample_train"] = with_train() + f""",
+r as (select ID, "Default", row_number() over (partition by "Default" order by {_HASH}, ID) rk,
+   (select count(*) from train where "Default" = 1) n1 from train)
+select ID, "Default" from r where "Default" = 1 or rk <= floor(n1 / 0.3)"""
+
+SQL["class_weights"] = with_train() + """
+select "Default", count(*)::bigint as n_c, round((select count(*) from train) / (2.0 * count(*)), 6) as weight
+from train group by 1"""

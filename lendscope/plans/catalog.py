@@ -88,3 +88,148 @@ def daily_series_30d(spark: SparkSession, sf: str) -> DataFrame:
 @query("daily_snapshot")
 def daily_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return finish(monitor.daily_snapshot(T.prediction_log(spark, sf)))
+
+
+# ---------------------------------------------------------------- profiling and features
+
+from ..functions import features as FE  # noqa: E402
+from ..operators import prep, profile  # noqa: E402
+
+
+def typed_loans(spark: SparkSession, sf: str) -> DataFrame:
+    return FE.repair_types(T.loans(spark, sf))[0]
+
+
+def featured_loans(spark: SparkSession, sf: str) -> DataFrame:
+    return FE.add_features(typed_loans(spark, sf))
+
+
+@query("loans_typed")
+def loans_typed(spark, sf):
+    return finish(typed_loans(spark, sf))
+
+
+@query("loan_features")
+def loan_features(spark, sf):
+    return finish(featured_loans(spark, sf).select("ID", *FE.FEATURE_NAMES))
+
+
+@query("profile_shape")
+def profile_shape(spark, sf):
+    return profile.shape(typed_loans(spark, sf))
+
+
+@query("missing_top10")
+def missing_top10(spark, sf):
+    return finish(profile.missing_profile(typed_loans(spark, sf), 10))
+
+
+@query("target_balance")
+def target_balance(spark, sf):
+    return finish(profile.target_balance(typed_loans(spark, sf)))
+
+
+@query("target_counts")
+def target_counts(spark, sf):
+    return profile.value_counts(typed_loans(spark, sf), "Default")
+
+
+@query("duplicate_rows")
+def duplicate_rows(spark, sf):
+    return profile.duplicate_rows(typed_loans(spark, sf))
+
+
+@query("iqr_outliers_top10")
+def iqr_outliers_top10(spark, sf):
+    return finish(profile.iqr_outliers(typed_loans(spark, sf), top=10))
+
+
+@query("consistency_checks")
+def consistency_checks(spark, sf):
+    return profile.consistency(typed_loans(spark, sf))
+
+
+@query("target_corr_top10")
+def target_corr_top10(spark, sf):
+    return finish(profile.target_correlation(featured_loans(spark, sf), top=10))
+
+
+@query("asset_default_crosstab")
+def asset_default_crosstab(spark, sf):
+    return finish(profile.crosstab_share(featured_loans(spark, sf)))
+
+
+@query("hist_age_years")
+def hist_age_years(spark, sf):
+    return finish(profile.histogram(featured_loans(spark, sf), "Age_Years", 30))
+
+
+@query("hist_income_positive")
+def hist_income_positive(spark, sf):
+    return finish(profile.histogram(featured_loans(spark, sf), "Client_Income", 50, positive_only=True))
+
+
+# ---------------------------------------------------------------- preparation
+
+def ml_with_id(spark, sf):
+    return prep.ml_table(featured_loans(spark, sf), keep_id=True)
+
+
+def split_ml(spark, sf):
+    return prep.stratified_split(ml_with_id(spark, sf))
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("ID", "Default", "is_test")]
+
+
+@query("ml_table")
+def ml_table(spark, sf):
+    return finish(prep.ml_table(featured_loans(spark, sf)))
+
+
+@query("median_fill_values")
+def median_fill_values(spark, sf):
+    f = featured_loans(spark, sf)
+    return finish(prep.median_fill_values(f, profile.numeric_columns(f, exclude=())))
+
+
+@query("mode_fill_values")
+def mode_fill_values(spark, sf):
+    f = featured_loans(spark, sf)
+    return prep.mode_fill_values(f, profile.text_columns(f))
+
+
+@query("label_codes")
+def label_codes(spark, sf):
+    filled, kinds = prep.fill_missing(featured_loans(spark, sf))
+    return prep.label_codes(filled, kinds["categorical"])
+
+
+@query("stratified_split")
+def stratified_split(spark, sf):
+    return prep.stratified_split(T.loans(spark, sf).select("ID", "Default"))
+
+
+@query("scaler_stats")
+def scaler_stats(spark, sf):
+    s = split_ml(spark, sf)
+    return finish(prep.scaler_stats(s.where(~F.col("is_test")), feature_columns(s)))
+
+
+@query("anova_f_top20")
+def anova_f_top20(spark, sf):
+    s = split_ml(spark, sf)
+    return finish(prep.anova_f(s.where(~F.col("is_test")), feature_columns(s), k=20))
+
+
+@query("undersample_train")
+def undersample_train(spark, sf):
+    s = split_ml(spark, sf).where(~F.col("is_test"))
+    return prep.undersample(s.select("ID", "Default"))
+
+
+@query("class_weights")
+def class_weights(spark, sf):
+    s = split_ml(spark, sf).where(~F.col("is_test"))
+    return finish(prep.class_weights(s))
