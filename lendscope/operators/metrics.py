@@ -107,11 +107,10 @@ def ks_two_sample(df: DataFrame, value: str, flag: str) -> DataFrame:
 def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     """ML-12: 2 x 2 counts as rows (actual, predicted, n), zeros filled."""
     c = df.agg(*confusion_aggs(y, pred))
-    return c.select(F.inline(F.array(
-        F.struct(F.lit(0).alias("actual"), F.lit(0).alias("predicted"), F.col("tn").alias("n")),
-        F.struct(F.lit(0), F.lit(1), F.col("fp")),
-        F.struct(F.lit(1), F.lit(0), F.col("fn")),
-        F.struct(F.lit(1), F.lit(1), F.col("tp")))))
+    def cell(a, p, n):
+        return F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.col(n).alias("n"))
+
+    return c.select(F.inline(F.array(cell(0, 0, "tn"), cell(0, 1, "fp"), cell(1, 0, "fn"), cell(1, 1, "tp"))))
 
 
 def classification_report(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -183,3 +182,38 @@ def threshold_sweep(df: DataFrame, y: str = "y", score: str = "score",
                  (F.col("P") - F.col("tp")).cast("bigint").alias("fn"),
                  (F.col("N") - F.col("fp")).cast("bigint").alias("tn"))
     return c.select("*", *rates())
+
+
+# Business score weights and the optimiser's precision goals.
+BUSINESS_W_PRECISION, BUSINESS_W_F1 = 0.7, 0.3
+TARGET_PRECISION = 0.25
+BALANCED_MIN_PRECISION = 0.20
+
+
+def business_score(precision="precision", f1="f1_score") -> Column:
+    """ML-19: 0.7 precision + 0.3 F1."""
+    return BUSINESS_W_PRECISION * F.col(precision) + BUSINESS_W_F1 * F.col(f1)
+
+
+def choose_thresholds(sweep: DataFrame, target_precision: float = TARGET_PRECISION,
+                      balanced_min: float = BALANCED_MIN_PRECISION) -> DataFrame:
+    """ML-15 / ML-16: pick a threshold per strategy from a sweep (<= 16 rows).
+
+    precision_first: among precision >= target the best F1, else the best
+    precision.  balanced: among precision >= balanced_min the best F1, else
+    the best F1.  Ties keep the lowest threshold.
+    """
+    from pyspark.sql import Window
+    p, f1 = F.col("precision"), F.col("f1_score")
+    meets = p >= target_precision
+    pf = sweep.select("*", F.lit("precision_first").alias("strategy"), meets.cast("int").alias("_m"),
+                      F.when(meets, f1).otherwise(p).alias("_s"))
+    bmeets = p >= balanced_min
+    bal = sweep.select("*", F.lit("balanced").alias("strategy"), bmeets.cast("int").alias("_m"),
+                       f1.alias("_s"))
+    u = pf.unionByName(bal)
+    # a sweep has one row per threshold: the window per strategy is tiny
+    w = Window.partitionBy("strategy").orderBy(F.col("_m").desc(), F.col("_s").desc(), F.col("threshold"))
+    best = u.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
+    return best.select("strategy", "threshold", "precision", "recall", "f1_score",
+                       (F.col("_m") == 1).alias("meets_target"))

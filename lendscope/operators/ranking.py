@@ -72,14 +72,15 @@ def exact_quantiles(long: DataFrame, key: str, value: str, qs: list[float]) -> D
     tgt = n.select(key, "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")) \
         .withColumn("_pos", (F.col("n") - 1) * F.col("q")) \
         .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-    # targets: (#keys x #qs) rows, a bounded broadcast; each value row probes its key
-    picks = []
-    for side in ("_lo", "_hi"):
-        t = tgt.select(key, "q", F.col(side).alias("_r"))
-        j = g.join(F.broadcast(t), key).where((F.col("_c_cum") - F.col("_c") <= F.col("_r"))
-                                             & (F.col("_r") < F.col("_c_cum")))
-        picks.append(j.select(key, "q", F.col("_v").alias(f"v{side}")))
-    out = tgt.join(picks[0], [key, "q"], "left").join(picks[1], [key, "q"], "left")
+    # targets: (#keys x #qs x 2) rows, a bounded broadcast; each value row probes its key
+    t = tgt.select(key, "q", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("_lo").alias("_r")),
+        F.struct(F.lit(1).alias("side"), F.col("_hi").alias("_r")))).alias("_t")).select(key, "q", "_t.*")
+    picks = g.join(F.broadcast(t), key) \
+        .where((F.col("_c_cum") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_c_cum"))) \
+        .groupBy(key, "q").agg(F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("v_lo"),
+                               F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("v_hi"))
+    out = tgt.join(picks, [key, "q"], "left")
     qv = F.col("v_lo") + (F.col("_pos") - F.col("_lo")) * (F.col("v_hi") - F.col("v_lo"))
     return out.select(key, "q", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(qv)
                       .alias("quantile"), "n")

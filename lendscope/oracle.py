@@ -443,3 +443,65 @@ select ID, "Default" from r where "Default" = 1 or rk <= floor(n1 / 0.3)"""
 SQL["class_weights"] = with_train() + """
 select "Default", count(*)::bigint as n_c, round((select count(*) from train) / (2.0 * count(*)), 6) as weight
 from train group by 1"""
+
+
+# ---------------------------------------------------------------- evaluation on the labelled log
+
+_CONF = """c as (select count(*) filter (where actual_outcome = 1 and prediction = 1) tp,
+   count(*) filter (where actual_outcome = 0 and prediction = 1) fp,
+   count(*) filter (where actual_outcome = 1 and prediction = 0) fn,
+   count(*) filter (where actual_outcome = 0 and prediction = 0) tn from lab where actual_outcome is not null)"""
+
+SQL["classification_metrics"] = with_log() + ", " + _CONF + """
+select tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, tn::bigint as tn,
+ round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0), 6) as accuracy,
+ round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) as "precision",
+ round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) as recall,
+ round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) as f1_score from c"""
+
+SQL["confusion_matrix"] = with_log() + ", " + _CONF + """
+select 0 as actual, 0 as predicted, tn::bigint as n from c union all select 0, 1, fp from c
+union all select 1, 0, fn from c union all select 1, 1, tp from c"""
+
+SQL["classification_report"] = with_log() + ", " + _CONF + """,
+per as (select '0' as label, coalesce(tn / nullif(tn + fn, 0), 0.0) p, coalesce(tn / nullif(tn + fp, 0), 0.0) r,
+   coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0.0) f, (tn + fp)::double s from c
+ union all
+ select '1', coalesce(tp / nullif(tp + fp, 0), 0.0), coalesce(tp / nullif(tp + fn, 0), 0.0),
+   coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), (tp + fn)::double from c)
+select label, round(p, 6) as "precision", round(r, 6) as recall, round(f, 6) as f1_score, round(s, 6) as support from per
+union all
+select 'accuracy', null, null, round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0), 6),
+  (tp + fp + fn + tn)::double from c
+union all
+select 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), sum(s) from per
+union all
+select 'weighted avg', round(coalesce(sum(p * s) / nullif(sum(s), 0), 0.0), 6),
+  round(coalesce(sum(r * s) / nullif(sum(s), 0), 0.0), 6), round(coalesce(sum(f * s) / nullif(sum(s), 0), 0.0), 6),
+  sum(s) from per"""
+
+_SWEEP = with_log() + """,
+t as (select 0.1::double + i * 0.05::double as threshold from range(0, 16) r(i)),
+sw as (select threshold,
+   count(*) filter (where actual_outcome = 1 and probability >= threshold) tp,
+   count(*) filter (where actual_outcome = 0 and probability >= threshold) fp,
+   count(*) filter (where actual_outcome = 1 and probability < threshold) fn,
+   count(*) filter (where actual_outcome = 0 and probability < threshold) tn
+   from t, lab where actual_outcome is not null group by threshold),
+m as (select *, coalesce(tp / nullif(tp + fp, 0), 0.0) p, coalesce(tp / nullif(tp + fn, 0), 0.0) r,
+   coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) f1,
+   coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0) acc from sw)
+"""
+
+SQL["threshold_sweep"] = _SWEEP + """
+select round(threshold, 6) as threshold, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, tn::bigint as tn,
+ round(acc, 6) as accuracy, round(p, 6) as "precision", round(r, 6) as recall, round(f1, 6) as f1_score,
+ round(0.7 * p + 0.3 * f1, 6) as business_score from m"""
+
+SQL["threshold_choice"] = _SWEEP + """,
+u as (select 'precision_first' as strategy, *, (p >= 0.25)::int mt, case when p >= 0.25 then f1 else p end sc from m
+      union all
+      select 'balanced', *, (p >= 0.20)::int, f1 from m)
+select strategy, round(threshold, 6) as threshold, round(p, 6) as "precision", round(r, 6) as recall,
+ round(f1, 6) as f1_score, mt = 1 as meets_target
+from u qualify row_number() over (partition by strategy order by mt desc, sc desc, threshold) = 1"""

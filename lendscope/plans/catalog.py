@@ -225,11 +225,44 @@ def anova_f_top20(spark, sf):
 
 @query("undersample_train")
 def undersample_train(spark, sf):
-    s = split_ml(spark, sf).where(~F.col("is_test"))
+    s = prep.stratified_split(T.loans(spark, sf).select("ID", "Default")).where(~F.col("is_test"))
     return prep.undersample(s.select("ID", "Default"))
 
 
 @query("class_weights")
 def class_weights(spark, sf):
-    s = split_ml(spark, sf).where(~F.col("is_test"))
+    s = prep.stratified_split(T.loans(spark, sf).select("ID", "Default")).where(~F.col("is_test"))
     return finish(prep.class_weights(s))
+
+
+# ---------------------------------------------------------------- evaluation on the labelled log
+
+def labelled(spark, sf):
+    return T.prediction_log(spark, sf).where(F.col("actual_outcome").isNotNull())
+
+
+@query("classification_metrics")
+def classification_metrics(spark, sf):
+    return finish(metrics.classification_metrics(labelled(spark, sf), "actual_outcome", "prediction"))
+
+
+@query("confusion_matrix")
+def confusion_matrix(spark, sf):
+    return metrics.confusion_matrix(labelled(spark, sf), "actual_outcome", "prediction")
+
+
+@query("classification_report")
+def classification_report(spark, sf):
+    return finish(metrics.classification_report(labelled(spark, sf), "actual_outcome", "prediction"))
+
+
+@query("threshold_sweep")
+def threshold_sweep(spark, sf):
+    s = metrics.threshold_sweep(labelled(spark, sf), "actual_outcome", "probability")
+    return finish(s.withColumn("business_score", metrics.business_score()))
+
+
+@query("threshold_choice")
+def threshold_choice(spark, sf):
+    s = metrics.threshold_sweep(labelled(spark, sf), "actual_outcome", "probability")
+    return finish(metrics.choose_thresholds(s))
