@@ -505,3 +505,91 @@ u as (select 'precision_first' as strategy, *, (p >= 0.25)::int mt, case when p
 select strategy, round(threshold, 6) as threshold, round(p, 6) as "precision", round(r, 6) as recall,
  round(f1, 6) as f1_score, mt = 1 as meets_target
 from u qualify row_number() over (partition by strategy order by mt desc, sc desc, threshold) = 1"""
+
+
+# ---------------------------------------------------------------- drift, alerts, health
+
+def _ks(col: str, name: str) -> str:
+    return f"""ks_{name} as (select max(abs(f1 - f0)) d, any_value(n1) n1, any_value(n0) n0 from (
+   select sum(r) over (order by v) / n1 f1, sum(1 - r) over (order by v) / n0 f0, n1, n0
+   from (select {col} v, r from u where {col} is not null) x,
+        (select sum(r)::double n1, sum(1 - r)::double n0 from u where {col} is not null) t))"""
+
+
+def _kpv(src: str) -> str:
+    lam = f"(sqrt({src}.n1 * {src}.n0 / ({src}.n1 + {src}.n0)) * {src}.d)"
+    series = (f"list_sum(list_transform(range(1, 101), lambda k: 2.0 * (case when k % 2 = 1 then 1.0 else -1.0 end)"
+              f" * exp(-2.0 * k * k * {lam} * {lam})))")
+    return f"(case when {lam} < 0.2 then 1.0 else least(greatest({series}, 0.0), 1.0) end)"
+
+
+DRIFT = f"""u as (select probability, processing_time_ms,
+   ("timestamp" >= {AS_OF} - interval 7 day)::int r from lab where "timestamp" >= {AS_OF} - interval 30 day),
+cnt as (select count(*) filter (where r = 1) rs, count(*) filter (where r = 0) bs,
+   count(*) filter (where r = 1 and processing_time_ms is not null) rl from u),
+{_ks('probability', 'p')},
+{_ks('processing_time_ms', 'l')},
+dr as (select 'probability_drift' as metric, ks_p.d, {_kpv('ks_p')} as pv, rs, bs from cnt, ks_p where rs >= 10 and bs >= 10
+   union all
+   select 'processing_time_drift', ks_l.d, {_kpv('ks_l')}, rs, bs from cnt, ks_l where rs >= 10 and bs >= 10 and rl > 5),
+drift as (select metric, d, pv, pv < 0.05 as detected,
+   case when pv < 0.01 then 'HIGH' when pv < 0.05 then 'MEDIUM' else 'LOW' end as severity, rs, bs from dr)"""
+
+SQL["drift_7d_vs_30d"] = with_log() + ", " + DRIFT + """
+select metric, round(d, 6) as ks_statistic, round(pv, 6) as p_value, detected as drift_detected, severity,
+ rs::bigint as recent_samples, bs::bigint as baseline_samples from drift"""
+
+MON = DRIFT + f""",
+w7 as (select * from lab where "timestamp" >= {AS_OF} - interval 7 day),
+k7 as (select count(*) n, avg(processing_time_ms) lat, count(*) filter (where actual_outcome is not null) labeled,
+   count(*) filter (where actual_outcome = 1 and prediction = 1) tp,
+   count(*) filter (where actual_outcome = 0 and prediction = 1) fp,
+   count(*) filter (where actual_outcome = 1 and prediction = 0) fn from w7),
+k7m as (select *, case when labeled > 0 then coalesce(tp / nullif(tp + fp, 0), 0.0) end prec,
+   case when labeled > 0 then coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) end f1,
+   n / 7.0 cur, (select count(*) from lab where "timestamp" >= {AS_OF} - interval 30 day) / 30.0 hist from k7),
+al as (
+ select 'PERFORMANCE_DEGRADATION' as type, 'HIGH' as severity,
+   'Precision dropped to ' || printf('%.1f%%', prec * 100) || ' (below 35.0%)' as message, prec as value,
+   0.35 as threshold from k7m where prec < 0.35
+ union all
+ select 'F1_SCORE_LOW', 'MEDIUM', 'F1-score dropped to ' || printf('%.1f%%', f1 * 100) || ' (below 20.0%)', f1, 0.20
+   from k7m where f1 < 0.20
+ union all
+ select 'SLOW_RESPONSE_TIME', 'MEDIUM', 'Average response time: ' || printf('%.1f', lat) || 'ms (above 500ms)', lat,
+   500.0 from k7m where lat > 500
+ union all
+ select 'VOLUME_ANOMALY', 'MEDIUM', 'Prediction volume changed by ' || printf('%.1f%%', abs(cur - hist) / hist * 100)
+   || ' (current: ' || printf('%.1f', cur) || '/day, historical: ' || printf('%.1f', hist) || '/day)',
+   abs(cur - hist) / hist, 0.30 from k7m where hist <> 0 and abs(cur - hist) / hist > 0.30
+ union all
+ select 'DATA_DRIFT', severity, 'Data drift detected in ' || replace(metric, '_', ' ') || ' (p-value: '
+   || printf('%.4f', pv) || ')', null, null from drift where detected)"""
+
+SQL["alerts_7d"] = with_log() + ", " + MON + """
+select type, severity, message, round(value, 6) as value, round(threshold, 6) as threshold from al"""
+
+SQL["health_check"] = with_log() + ", " + MON + f""",
+rr as (select count(*) filter (where decision = 'REVIEW') / count(*) mrr from lab
+   where "timestamp" >= {AS_OF} - interval 30 day),
+h as (select (select n from k7m) n, (select count(*) from al) na, (select count(*) from drift where detected) nd,
+   (select mrr from rr) mrr)
+select case when n = 0 then 'ERROR' when na > 0 or nd > 0 then 'WARNING' else 'HEALTHY' end as overall_status,
+ na::bigint as active_alerts, nd::bigint as drifted_metrics,
+ case when na = 0 and not coalesce(mrr > 0.3, false) then 'System operating normally - continue monitoring'
+      else concat_ws('; ', case when na > 0 then 'Review and address active alerts' end,
+                     case when mrr > 0.3 then 'High manual review rate - consider threshold optimization' end) end
+   as recommendations
+from h"""
+
+SQL["model_status"] = with_log() + ", " + MON + """,
+s as (select 100 - case when prec < 0.35 then 30 else 0 end - case when f1 < 0.20 then 20 else 0 end
+   - case when lat > 200 then 10 else 0 end - 15 * (select count(*) from drift where detected) as score,
+   concat_ws('; ', case when prec < 0.35 then 'Precision below target (35%)' end,
+     case when f1 < 0.20 then 'F1-score below minimum (20%)' end,
+     case when lat > 200 then 'Slow response times' end,
+     (select string_agg('Data drift detected in ' || metric, '; ' order by metric) from drift where detected)) as warnings,
+   n, (select count(*) from drift where detected) > 0 as dd from k7m)
+select case when score >= 90 then 'EXCELLENT' when score >= 75 then 'GOOD' when score >= 60 then 'WARNING'
+   else 'CRITICAL' end as model_status, score::int as health_score, warnings,
+ n::bigint as predictions_last_7_days, round(n / 7.0, 6) as avg_daily_volume, dd as data_drift_detected from s"""

@@ -266,3 +266,40 @@ def threshold_sweep(spark, sf):
 def threshold_choice(spark, sf):
     s = metrics.threshold_sweep(labelled(spark, sf), "actual_outcome", "probability")
     return finish(metrics.choose_thresholds(s))
+
+
+# ---------------------------------------------------------------- drift, alerts, health
+
+from ..operators import alerts as AL  # noqa: E402
+
+
+def monitoring_frames(spark, sf):
+    log = T.prediction_log(spark, sf)
+    k7 = monitor.performance_metrics(log, 7)
+    drift = AL.detect_drift(log)
+    al = AL.generate_alerts(k7, AL.history_total(log)).unionByName(AL.drift_alerts(drift))
+    roi = monitor.roi_metrics(log, 30)
+    return log, k7, drift, al, roi
+
+
+@query("drift_7d_vs_30d")
+def drift_7d_vs_30d(spark, sf):
+    return finish(AL.detect_drift(T.prediction_log(spark, sf)))
+
+
+@query("alerts_7d")
+def alerts_7d(spark, sf):
+    _, _, _, al, _ = monitoring_frames(spark, sf)
+    return finish(al)
+
+
+@query("health_check")
+def health_check(spark, sf):
+    _, k7, drift, al, roi = monitoring_frames(spark, sf)
+    return AL.health_status(k7, al, drift, roi)
+
+
+@query("model_status")
+def model_status(spark, sf):
+    log = T.prediction_log(spark, sf)
+    return finish(AL.model_status(monitor.performance_metrics(log, 7), AL.detect_drift(log)))
