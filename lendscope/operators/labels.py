@@ -1,76 +1,24 @@
-"""Attach late outcomes to logged predictions (forward as-of join).
+"""Attach late outcomes to logged predictions.
 
 The service's feedback call sets the outcome on every still-unlabelled
-prediction of the customer.  Replayed over time this is: each prediction
-takes the earliest feedback of its customer at or after its own time
-(ties by feedback id); the first label wins.
-
-Plan: predictions and feedback are cut into time buckets (day by default)
-per customer.  Inside a (customer, bucket) a forward-looking window finds
-the in-bucket match; a small per-customer table of bucket minima supplies
-the earliest feedback of a later bucket for the rest.  A customer holding
-a third of the log is spread over all its buckets instead of one task.
+prediction of the customer.  Replayed over time this is a forward as-of
+join: each prediction takes the earliest feedback of its customer at or
+after its own time (ties by feedback id); the first label wins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _bucket(ts, grain: str):
-    day = F.unix_date(F.to_date(ts))
-    if grain == "day":
-        return day.cast("bigint")
-    if grain == "hour":
-        return day.cast("bigint") * 24 + F.hour(ts)
-    raise ValueError(f"unknown grain {grain!r}")
-
-
-def _match_feedback(log: DataFrame, fb: DataFrame, grain: str) -> DataFrame:
-    """Log rows (all columns) plus struct ``_m`` (feedback_ts, feedback_id, actual_outcome)."""
-    payload = F.struct(*[F.col(c) for c in log.columns])
-    fstruct = F.struct(F.col("feedback_ts"), F.col("feedback_id"), F.col("actual_outcome"))
-    p = log.select(F.col("customer_id").alias("_c"), _bucket(F.col("timestamp"), grain).alias("_b"),
-                   F.col("timestamp").alias("_t"), F.lit(0).alias("_k"), F.col("id").alias("_id"),
-                   payload.alias("_row"), F.lit(None).cast(fstruct_type(fb)).alias("_f"))
-    f = fb.select(F.col("customer_id").alias("_c"), _bucket(F.col("feedback_ts"), grain).alias("_b"),
-                  F.col("feedback_ts").alias("_t"), F.lit(1).alias("_k"), F.col("feedback_id").alias("_id"),
-                  F.lit(None).cast(payload_type(log)).alias("_row"), fstruct.alias("_f"))
-    w = (Window.partitionBy("_c", "_b").orderBy("_t", "_k", "_id")
-         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    inb = (p.unionByName(f)
-           .withColumn("_m", F.first("_f", ignorenulls=True).over(w))
-           .where(F.col("_k") == 0)
-           .select("_c", "_b", "_row", "_m"))
-
-    # Earliest feedback of every later bucket: keys are (customer, bucket),
-    # so this table grows with the time span, not with the row count.
-    fmin = fb.groupBy(F.col("customer_id").alias("_c"), _bucket(F.col("feedback_ts"), grain).alias("_b")) \
-        .agg(F.min(fstruct).alias("_fm")).withColumn("_k", F.lit(0))
-    pkeys = log.select(F.col("customer_id").alias("_c"), _bucket(F.col("timestamp"), grain).alias("_b")) \
-        .distinct().select("_c", "_b", F.lit(None).cast(fstruct_type(fb)).alias("_fm"), F.lit(1).alias("_k"))
-    wn = (Window.partitionBy("_c").orderBy("_b", "_k")
-          .rowsBetween(1, Window.unboundedFollowing))
-    nxt = (fmin.unionByName(pkeys)
-           .withColumn("_nx", F.first("_fm", ignorenulls=True).over(wn))
-           .where(F.col("_k") == 1).select("_c", "_b", "_nx"))
-    return inb.join(nxt, ["_c", "_b"], "left") \
-        .select("_row", F.coalesce("_m", "_nx").alias("_m"))
-
-
-def fstruct_type(fb: DataFrame):
-    return fb.select(F.struct("feedback_ts", "feedback_id", "actual_outcome")).schema[0].dataType
-
-
-def payload_type(log: DataFrame):
-    return log.select(F.struct(*log.columns)).schema[0].dataType
+from .asof import forward_asof
 
 
 def attach_outcomes(log: DataFrame, fb: DataFrame, grain: str = "day") -> DataFrame:
     """JOIN-1: log + actual_outcome, feedback_date, feedback_id (nulls when unlabelled)."""
-    m = _match_feedback(log, fb, grain)
-    return m.select("_row.*",
+    m = forward_asof(log, fb.select("customer_id", "feedback_ts", "feedback_id", "actual_outcome"),
+                     "customer_id", F.col("timestamp"), "feedback_ts", ["feedback_id"], grain)
+    return m.select(*log.columns,
                     F.col("_m.actual_outcome").alias("actual_outcome"),
                     F.col("_m.feedback_ts").alias("feedback_date"),
                     F.col("_m.feedback_id").alias("feedback_id"))

@@ -593,3 +593,14 @@ s as (select 100 - case when prec < 0.35 then 30 else 0 end - case when f1 < 0.2
 select case when score >= 90 then 'EXCELLENT' when score >= 75 then 'GOOD' when score >= 60 then 'WARNING'
    else 'CRITICAL' end as model_status, score::int as health_score, warnings,
  n::bigint as predictions_last_7_days, round(n / 7.0, 6) as avg_daily_volume, dd as data_drift_detected from s"""
+
+SQL["alert_cooldown"] = """
+with recursive a as (select event_id, concat('T', (user_id % 3)::varchar) ty, ts,
+   row_number() over (partition by user_id % 3 order by ts, event_id) rn from events where event_type = 'error'),
+r as (select event_id, ty, ts, rn, ts as last, true as sent from a where rn = 1
+   union all
+   select a.event_id, a.ty, a.ts, a.rn,
+     case when a.ts - r.last >= interval 60 minute then a.ts else r.last end,
+     a.ts - r.last >= interval 60 minute
+   from r join a on a.ty = r.ty and a.rn = r.rn + 1)
+select event_id as alert_id, ty as type, sent from r"""

@@ -303,3 +303,9 @@ def health_check(spark, sf):
 def model_status(spark, sf):
     log = T.prediction_log(spark, sf)
     return finish(AL.model_status(monitor.performance_metrics(log, 7), AL.detect_drift(log)))
+
+
+@query("alert_cooldown")
+def alert_cooldown(spark, sf):
+    from ..operators.cooldown import cooldown
+    return cooldown(T.alert_events(spark, sf)).select("alert_id", "type", "sent")
