@@ -604,3 +604,74 @@ r as (select event_id, ty, ts, rn, ts as last, true as sent from a where rn = 1
      a.ts - r.last >= interval 60 minute
    from r join a on a.ty = r.ty and a.rn = r.rn + 1)
 select event_id as alert_id, ty as type, sent from r"""
+
+
+# ---------------------------------------------------------------- reports
+
+def roi(days: int) -> str:
+    return (SQL["roi_30d"].replace("interval 30 day", f"interval {days} day")
+            .replace("select 30 as period_days", f"select {days} as period_days")
+            .replace("n / 30.0", f"n / {days}.0"))
+
+
+def _long(src: str, items, names=("section", "metric", "value")) -> str:
+    return " union all ".join(
+        f"select '{a}' as {names[0]}, '{b}' as {names[1]}, ({e})::double as {names[2]} from {src}" for a, b, e in items)
+
+
+_EXEC = [("kpi", "total_predictions", "total_predictions"), ("kpi", "automation_rate", "automation_rate"),
+         ("kpi", "manual_review_rate", "manual_review_rate"),
+         ("kpi", "avg_processing_time_ms", "avg_processing_time_ms"),
+         ("financial", "defaults_prevented", "defaults_prevented"),
+         ("financial", "default_cost_prevented", "default_cost_prevented"),
+         ("financial", "net_savings", "net_savings"),
+         ("baseline", "current_precision", "current_precision"),
+         ("baseline", "baseline_precision", "case when labeled_sample_size > 0 then 0.161 end"),
+         ("baseline", "precision_improvement", "precision_improvement"),
+         ("operations", "daily_prediction_volume", "daily_prediction_volume"),
+         ("operations", "total_operational_cost", "total_operational_cost"),
+         ("operations", "cost_per_prediction", "total_operational_cost / nullif(total_predictions, 0)")]
+
+
+def _exec(days: int) -> str:
+    return (f"select section, metric, round(value, 6) as value from ({_long(f'({roi(days)}) roi', _EXEC)}) "
+            f"where value is not null or section = 'kpi'")
+
+
+SQL["executive_summary_30d"] = _exec(30)
+
+_DAILY = [("volume", "total_predictions", "total_predictions"), ("volume", "approval_rate", "approval_rate"),
+          ("volume", "rejection_rate", "rejection_rate"), ("volume", "review_rate", "review_rate"),
+          ("risk", "avg_probability", "avg_probability"), ("model", "precision", '"precision"'),
+          ("model", "recall", "recall"), ("model", "f1_score", "f1_score"),
+          ("model", "labeled_samples", "case when labeled_samples > 0 then labeled_samples end"),
+          ("system", "avg_processing_time_ms", "avg_processing_time_ms"),
+          ("trends", "drifted_metrics", "drifted_metrics")]
+
+SQL["daily_report"] = _exec(1) + " union all " + \
+    f"select section, metric, round(value, 6) from ({_long(f'({kpis(1)}) k, (select count(*) filter (where drift_detected) drifted_metrics from (' + SQL['drift_7d_vs_30d'] + ')) dd', _DAILY)}) " \
+    "where value is not null or section in ('volume', 'trends')"
+
+_DASH = [("decision", "APPROVE", "approval_rate"), ("decision", "REJECT", "rejection_rate"),
+         ("decision", "REVIEW", "review_rate"), ("risk", "low_risk", "low_risk"),
+         ("risk", "medium_risk", "medium_risk"), ("risk", "high_risk", "high_risk"),
+         ("confidence", "HIGH", "conf_high"), ("confidence", "MEDIUM", "conf_medium"),
+         ("confidence", "LOW", "conf_low"), ("volume", "daily_average", "total_predictions / 7.0"),
+         ("quality", "precision", '"precision"'), ("quality", "recall", "recall"), ("quality", "f1_score", "f1_score")]
+
+SQL["dashboard_7d"] = (f"select panel, label, round(value, 6) as value from "
+                       f"({_long(f'({kpis(7)}) k', _DASH, ('panel', 'label', 'value'))}) "
+                       "where value is not null and (panel <> 'confidence' or value > 0)")
+
+SQL["monitoring_summary"] = f"""
+select h.overall_status, h.active_alerts, h.recommendations,
+ k.total_predictions as predictions_7d, k.approval_rate as approval_rate_7d, k.avg_probability as avg_probability_7d,
+ k.avg_processing_time_ms as avg_processing_time_ms_7d, k."precision", k.recall, k.f1_score, k.roc_auc,
+ k.labeled_samples, r.total_predictions as predictions_30d, r.automation_rate as automation_rate_30d,
+ r.net_savings as net_savings_30d
+from ({SQL['health_check']}) h, ({kpis(7)}) k, ({roi(30)}) r"""
+
+SQL["alert_history"] = SQL["alert_cooldown"].replace(
+    "select event_id as alert_id, ty as type, sent from r",
+    """select event_id as alert_id, ty as type, ts as "timestamp", (select count(*) from r where sent) as total_alerts
+from r where sent order by ts desc, event_id desc limit 20""")

@@ -309,3 +309,38 @@ def model_status(spark, sf):
 def alert_cooldown(spark, sf):
     from ..operators.cooldown import cooldown
     return cooldown(T.alert_events(spark, sf)).select("alert_id", "type", "sent")
+
+
+# ---------------------------------------------------------------- reports
+
+from ..operators import report as RP  # noqa: E402
+
+
+@query("executive_summary_30d")
+def executive_summary_30d(spark, sf):
+    return finish(RP.executive_summary(monitor.roi_metrics(T.prediction_log(spark, sf), 30)))
+
+
+@query("daily_report")
+def daily_report(spark, sf):
+    log = T.prediction_log(spark, sf)
+    return finish(RP.daily_report(monitor.performance_metrics(log, 1), monitor.roi_metrics(log, 1),
+                                  AL.detect_drift(log)))
+
+
+@query("dashboard_7d")
+def dashboard_7d(spark, sf):
+    return finish(RP.dashboard_data(monitor.performance_metrics(T.prediction_log(spark, sf), 7), 7))
+
+
+@query("monitoring_summary")
+def monitoring_summary(spark, sf):
+    _, k7, drift, al, roi = monitoring_frames(spark, sf)
+    return finish(RP.monitoring_summary(AL.health_status(k7, al, drift, roi), k7, roi))
+
+
+@query("alert_history")
+def alert_history(spark, sf):
+    from ..operators.cooldown import cooldown
+    sent = cooldown(T.alert_events(spark, sf)).where(F.col("sent")).drop("sent")
+    return RP.alert_history(sent)
