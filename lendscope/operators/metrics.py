@@ -146,13 +146,15 @@ def classification_report(df: DataFrame, y: str = "y", pred: str = "pred") -> Da
     return per.unionByName(acc).unionByName(macro).unionByName(weighted)
 
 
-# Threshold sweep of the optimiser, 0.10 to 0.85 by 0.05,
-# computed as 0.1 + i * 0.05 (so step 11 is 0.6500000000000001).
+# Threshold sweep of the optimiser, 0.10 to 0.85 by 0.05.
+# Steps are start + i * ((start + step) - start), the float grid of an
+# arange, so step 11 is 0.6500000000000001.
 SWEEP_START, SWEEP_STEP, SWEEP_N = 0.1, 0.05, 16
 
 
 def sweep_thresholds() -> list[float]:
-    return [SWEEP_START + i * SWEEP_STEP for i in range(SWEEP_N)]
+    delta = (SWEEP_START + SWEEP_STEP) - SWEEP_START
+    return [SWEEP_START + i * delta for i in range(SWEEP_N)]
 
 
 def threshold_sweep(df: DataFrame, y: str = "y", score: str = "score",

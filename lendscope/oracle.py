@@ -481,7 +481,7 @@ select 'weighted avg', round(coalesce(sum(p * s) / nullif(sum(s), 0), 0.0), 6),
   sum(s) from per"""
 
 _SWEEP = with_log() + """,
-t as (select 0.1::double + i * 0.05::double as threshold from range(0, 16) r(i)),
+t as (select 0.1::double + i * ((0.1::double + 0.05::double) - 0.1::double) as threshold from range(0, 16) r(i)),
 sw as (select threshold,
    count(*) filter (where actual_outcome = 1 and probability >= threshold) tp,
    count(*) filter (where actual_outcome = 0 and probability >= threshold) fp,
