@@ -675,3 +675,69 @@ SQL["alert_history"] = SQL["alert_cooldown"].replace(
     "select event_id as alert_id, ty as type, sent from r",
     """select event_id as alert_id, ty as type, ts as "timestamp", (select count(*) from r where sent) as total_alerts
 from r where sent order by ts desc, event_id desc limit 20""")
+
+
+# ---------------------------------------------------------------- validation and scoring
+
+APP_RULES = [("Credit_Amount", 0, 1000000, False), ("Client_Income_Type", 0, 10, True),
+             ("Client_Education", 0, 10, True), ("Client_Gender", 0, 2, True), ("Age_Days", 0, 50000, True),
+             ("Employed_Days", 0, 20000, True), ("Registration_Days", 0, 10000, True),
+             ("ID_Days", 0, 10000, True), ("Cleint_City_Rating", 1, 5, True),
+             ("Client_Permanent_Match_Tag", 0, 1, True), ("Type_Organization", 0, 20, True),
+             ("Score_Source_1", 0, 1, False), ("Score_Source_2", 0, 1, False), ("Score_Source_3", 0, 1, False),
+             ("Phone_Change", 0, 10, True), ("Age_Years", 18, 100, True), ("Employment_Years", 0, 50, True),
+             ("Average_External_Score", 0, 1, False), ("Max_External_Score", 0, 1, False),
+             ("Min_External_Score", 0, 1, False)]
+APP_FIELDS = [r[0] for r in APP_RULES]
+
+APPS = """
+apps as (select f.ID, o.o_orderdate as received_at,
+  coalesce(nullif(case when f.ID % 10 = 0 then null when f.ID % 10 = 1 then '' else 'cust_' || f.ID::varchar end, ''),
+           'customer_' || strftime(o.o_orderdate, '%Y%m%d_%H%M%S_%f')[1:17]) as customer_id,
+  Credit_Amount, (f.ID % 12)::int Client_Income_Type, (f.ID % 11)::int Client_Education, (f.ID % 3)::int Client_Gender,
+  trunc(abs(Age_Days))::int Age_Days, trunc(Employed_Days)::int Employed_Days, ((f.ID * 7) % 10500)::int Registration_Days,
+  ((f.ID * 3) % 10000)::int ID_Days, (f.ID % 6)::int Cleint_City_Rating, (f.ID % 2)::int Client_Permanent_Match_Tag,
+  (f.ID % 21)::int Type_Organization, Score_Source_1, Score_Source_2, Score_Source_3, (f.ID % 11)::int Phone_Change,
+  trunc(Age_Years)::int Age_Years, trunc(Employment_Years)::int Employment_Years,
+  Average_External_Score, Max_External_Score, Min_External_Score
+ from feat f join orders o on o.o_orderkey = f.ID)"""
+
+
+def _rule_sql(f: str, lo, hi, integral: bool) -> str:
+    x = f"{q(f)}::double"
+    parts = [f"when {q(f)} is null or isnan({x}) then '{f}: required'",
+             f"when {x} < {lo} or {x} > {hi} then '{f}: outside [{lo}, {hi}]'"]
+    if integral:
+        parts.append(f"when {x} <> floor({x}) then '{f}: not an integer'")
+    return "case " + " ".join(parts) + " end"
+
+
+VAPPS = APPS + ",\nvapps as (select *, list_filter([" + ", ".join(_rule_sql(*r) for r in APP_RULES) + \
+    "], lambda e: e is not null) as errs from apps)"
+
+SQL["application_validation"] = with_feat() + ", " + VAPPS + """
+select ID, customer_id, len(errs) = 0 as is_valid, len(errs) as n_errors, array_to_string(errs, '; ') as errors
+from vapps"""
+
+_ML_ORDER = [c for c in FEAT_COLUMNS if c not in ("ID", "Default")]
+SQL["aligned_applications"] = with_feat() + ", " + VAPPS + "\nselect ID, " + ", ".join(
+    f"round(coalesce({q(c)}::double, 0.0), 6) as {q(c)}" if c in APP_FIELDS else f"0.0 as {q(c)}"
+    for c in _ML_ORDER) + " from vapps where len(errs) = 0"
+
+SQL["score_decisions"] = with_(RAW_PREDICTIONS) + """
+select id, round(probability, 6) as probability,
+ (probability >= 0.6500000000000001)::int as prediction,
+ case when probability <= 0.15 then 'APPROVE' when probability <= 0.25 then 'APPROVE'
+      when probability <= 0.40 then 'REVIEW' else 'REJECT' end as decision,
+ case when probability <= 0.15 then 'HIGH' when probability <= 0.25 then 'MEDIUM'
+      when probability <= 0.40 then 'MEDIUM' else 'HIGH' end as confidence_level,
+ customer_id is not null and probability between 0 and 1 as is_valid
+from raw_predictions"""
+
+SQL["feedback_validation"] = with_(FEEDBACK) + """
+select feedback_id, customer_id is not null and actual_outcome in (0, 1) as is_valid,
+ (customer_id is null)::int + (actual_outcome is null or actual_outcome not in (0, 1))::int as n_errors from feedback"""
+
+SQL["features_json_roundtrip"] = with_feat() + ", " + VAPPS + "\nselect ID, " + ", ".join(
+    f"round({q(c)}, 6) as {q(c)}" if not r[3] else q(c) for c, r in zip(APP_FIELDS, APP_RULES)) + \
+    " from vapps where len(errs) = 0"

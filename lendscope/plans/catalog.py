@@ -344,3 +344,55 @@ def alert_history(spark, sf):
     from ..operators.cooldown import cooldown
     sent = cooldown(T.alert_events(spark, sf)).where(F.col("sent")).drop("sent")
     return RP.alert_history(sent)
+
+
+# ---------------------------------------------------------------- validation and scoring
+
+from ..operators import scoring as SC  # noqa: E402
+from ..operators import validate as V  # noqa: E402
+
+# Fixed value: the tuned decision threshold of the optimised model.
+TUNED_THRESHOLD = 0.6500000000000001
+
+
+def validated_applications(spark, sf):
+    a = T.applications(spark, sf)
+    a = a.withColumn("customer_id", V.default_customer_id(F.col("customer_id"), F.col("received_at")))
+    return V.validate(a, V.APPLICATION_RULES)
+
+
+@query("application_validation")
+def application_validation(spark, sf):
+    v = validated_applications(spark, sf)
+    return v.select("ID", "customer_id", "is_valid", F.size("errors").alias("n_errors"),
+                    F.array_join("errors", "; ").alias("errors"))
+
+
+@query("aligned_applications")
+def aligned_applications(spark, sf):
+    feats = [c for c in featured_loans(spark, sf).columns if c not in ("ID", "Default")]
+    ok = validated_applications(spark, sf).where("is_valid")
+    return finish(SC.align_features(ok.select("ID", *V.SELECTED_FEATURES), feats, keep=["ID"]))
+
+
+@query("score_decisions")
+def score_decisions(spark, sf):
+    p = T.raw_predictions(spark, sf).select("id", "customer_id", "probability")
+    d = SC.apply_decisions(p, TUNED_THRESHOLD)
+    v = V.validate(d, V.PREDICTION_RULES)
+    return finish(v.select("id", "probability", "prediction", "decision", "confidence_level", "is_valid"))
+
+
+@query("feedback_validation")
+def feedback_validation(spark, sf):
+    v = V.validate(T.feedback(spark, sf), V.FEEDBACK_RULES)
+    return v.select("feedback_id", "is_valid", F.size("errors").alias("n_errors"))
+
+
+@query("features_json_roundtrip")
+def features_json_roundtrip(spark, sf):
+    from ..sources.files import decode_features, encode_features
+    ok = validated_applications(spark, sf).where("is_valid")
+    enc = encode_features(ok, V.SELECTED_FEATURES)
+    schema = ok.select(*V.SELECTED_FEATURES).schema
+    return finish(decode_features(enc.select("ID", "features"), schema).select("ID", *V.SELECTED_FEATURES))

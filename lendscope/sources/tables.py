@@ -121,3 +121,36 @@ def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("T"), (F.col("user_id") % 3).cast("string")).alias("type"),
         F.col("ts").alias("timestamp"),
     )
+
+
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loan applications in the scoring schema, derived from the loan rows.
+
+    Some values fall outside the schema ranges or are missing on purpose,
+    which feeds the quarantine path; ``received_at`` is the order date.
+    """
+    from ..functions.features import add_features, repair_types
+    f = add_features(repair_types(loans(spark, sf_dir))[0])
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_orderdate").alias("received_at"))
+    k = F.col("ID")
+    return f.join(o, "ID").select(
+        "ID", "received_at",
+        F.when(k % 10 == 0, F.lit(None).cast("string")).when(k % 10 == 1, F.lit(""))
+        .otherwise(F.concat(F.lit("cust_"), k.cast("string"))).alias("customer_id"),
+        "Credit_Amount",
+        (k % 12).cast("int").alias("Client_Income_Type"),
+        (k % 11).cast("int").alias("Client_Education"),
+        (k % 3).cast("int").alias("Client_Gender"),
+        F.abs(F.col("Age_Days")).cast("int").alias("Age_Days"),
+        F.col("Employed_Days").cast("int").alias("Employed_Days"),
+        ((k * 7) % 10500).cast("int").alias("Registration_Days"),
+        ((k * 3) % 10000).cast("int").alias("ID_Days"),
+        (k % 6).cast("int").alias("Cleint_City_Rating"),
+        (k % 2).cast("int").alias("Client_Permanent_Match_Tag"),
+        (k % 21).cast("int").alias("Type_Organization"),
+        "Score_Source_1", "Score_Source_2", "Score_Source_3",
+        (k % 11).cast("int").alias("Phone_Change"),
+        F.col("Age_Years").cast("int").alias("Age_Years"),
+        F.col("Employment_Years").cast("int").alias("Employment_Years"),
+        "Average_External_Score", "Max_External_Score", "Min_External_Score",
+    )
