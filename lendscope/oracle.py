@@ -741,3 +741,33 @@ select feedback_id, customer_id is not null and actual_outcome in (0, 1) as is_v
 SQL["features_json_roundtrip"] = with_feat() + ", " + VAPPS + "\nselect ID, " + ", ".join(
     f"round({q(c)}, 6) as {q(c)}" if not r[3] else q(c) for c, r in zip(APP_FIELDS, APP_RULES)) + \
     " from vapps where len(errs) = 0"
+
+
+# ---------------------------------------------------------------- oversampling
+
+KNN = """
+mino as (select vec_id id, embedding v,
+   row_number() over (order by ('0x' || substr(md5('42|' || vec_id::varchar), 1, 8))::bigint, vec_id) base_no
+   from embeddings where label = 0),
+pairs as (select a.id, b.id nid,
+   list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double))) d
+   from mino a, mino b where a.id <> b.id),
+knn as (select id, row_number() over (partition by id order by d, nid) nn_rank, nid, d from pairs qualify nn_rank <= 3)"""
+
+SQL["knn_minority_embeddings"] = with_(KNN) + """
+select id, nn_rank::int as nn_rank, nid as neighbor_id, round(d, 6) as sq_dist from knn"""
+
+
+def _h(tag: str) -> str:
+    return f"('0x' || substr(md5('42|' || i::varchar || '|{tag}'), 1, 8))::bigint"
+
+
+SQL["smote_embeddings"] = with_(KNN) + f""",
+cnt as (select count(*) filter (where label = 0) m, count(*) filter (where label <> 0) nmaj from embeddings),
+idx as (select unnest(range(0, greatest(floor(nmaj / 3.0)::bigint - m, 0))) i, m from cnt),
+syn as (select i syn_id, {_h('b')} % m + 1 base_no, {_h('n')} % least(3, m - 1) + 1 nn_rank,
+   {_h('g')} / 4294967296.0 gap from idx),
+v as (select s.syn_id, list_transform(list_zip(b.v, n.v), lambda x: x[1]::double + s.gap * (x[2]::double - x[1]::double)) vec
+   from syn s join mino b on b.base_no = s.base_no
+   join knn k on k.id = b.id and k.nn_rank = s.nn_rank join mino n on n.id = k.nid)
+select syn_id, unnest(range(0, len(vec)))::int as dim, round(unnest(vec), 6) as value from v"""

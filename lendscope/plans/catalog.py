@@ -396,3 +396,26 @@ def features_json_roundtrip(spark, sf):
     enc = encode_features(ok, V.SELECTED_FEATURES)
     schema = ok.select(*V.SELECTED_FEATURES).schema
     return finish(decode_features(enc.select("ID", "features"), schema).select("ID", *V.SELECTED_FEATURES))
+
+
+# ---------------------------------------------------------------- oversampling
+
+from ..operators import sampling as SM  # noqa: E402
+
+# The oversampling setting of the training run.
+SMOTE_RATIO = 3.0
+SMOTE_K = 3
+
+
+@query("knn_minority_embeddings")
+def knn_minority_embeddings(spark, sf):
+    e = T.table(spark, sf, "embeddings").where(F.col("label") == 0)
+    return finish(SM.knn_within(e, "vec_id", "embedding", SMOTE_K))
+
+
+@query("smote_embeddings")
+def smote_embeddings(spark, sf):
+    e = T.table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") != 0).cast("int").alias("y"))
+    n_major = e.where(F.col("y") == 1).count()
+    s = SM.smote(e, "vec_id", "embedding", "y", 0, SM.smote_target(n_major, SMOTE_RATIO), SMOTE_K)
+    return finish(s.select("syn_id", F.posexplode("vec").alias("dim", "value")))
