@@ -103,7 +103,7 @@ def rank_in_class(df: DataFrame, class_col: str | None, id_col: str, seed: int |
                      *([F.sum("_n").over(Window.partitionBy(*keys) if keys else Window.partitionBy())
                         .alias(size_col)] if size_col else []))
     w = Window.partitionBy(*keys, "_hb").orderBy("_h", id_col)
-    d = d.withColumn("_r", F.row_number().over(w))
+    d = d.withColumn("_rn", F.row_number().over(w))
     # the offsets table is bounded by classes x 4,096
     d = d.join(F.broadcast(off), keys + ["_hb"])
-    return d.withColumn(rank_col, (F.col("_r") + F.col("_off")).cast("bigint")).drop("_h", "_hb", "_r", "_off")
+    return d.withColumn(rank_col, (F.col("_rn") + F.col("_off")).cast("bigint")).drop("_h", "_hb", "_rn", "_off")

@@ -419,3 +419,26 @@ def smote_embeddings(spark, sf):
     n_major = e.where(F.col("y") == 1).count()
     s = SM.smote(e, "vec_id", "embedding", "y", 0, SM.smote_target(n_major, SMOTE_RATIO), SMOTE_K)
     return finish(s.select("syn_id", F.posexplode("vec").alias("dim", "value")))
+
+
+# ---------------------------------------------------------------- training (rows-only checks)
+
+from . import training as TR  # noqa: E402
+
+
+def prepared(spark, sf):
+    return TR.prepare(ml_with_id(spark, sf))
+
+
+@query("model_comparison")
+def model_comparison(spark, sf):
+    p = prepared(spark, sf)
+    cfg = TR.DEFAULT_CONFIG
+    res, _ = TR.train_and_compare(p, cfg, TR.balance(p.train, p.features, "smote", cfg["smote_ratio"]))
+    return res
+
+
+@query("sampling_comparison")
+def sampling_comparison(spark, sf):
+    return TR.sampling_comparison(prepared(spark, sf))
+
