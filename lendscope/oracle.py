@@ -771,3 +771,29 @@ v as (select s.syn_id, list_transform(list_zip(b.v, n.v), lambda x: x[1]::double
    from syn s join mino b on b.base_no = s.base_no
    join knn k on k.id = b.id and k.nn_rank = s.nn_rank join mino n on n.id = k.nid)
 select syn_id, unnest(range(0, len(vec)))::int as dim, round(unnest(vec), 6) as value from v"""
+
+
+# ---------------------------------------------------------------- streaming
+
+_DAILY_PARTIALS = """daily as (select cast("timestamp" as date) as day, count(*) total_predictions,
+   count(*) filter (where decision = 'APPROVE') approved, count(*) filter (where decision = 'REJECT') rejected,
+   count(*) filter (where decision = 'REVIEW') reviews, sum(probability) sum_probability,
+   sum(processing_time_ms) sum_latency, count(processing_time_ms) n_latency from scored group by 1)"""
+
+_FINISH_DAILY = """select day, total_predictions::bigint as total_predictions,
+ round(approved / total_predictions, 6) as approval_rate, round(rejected / total_predictions, 6) as rejection_rate,
+ round(reviews / total_predictions, 6) as review_rate, round(sum_probability / total_predictions, 6) as avg_probability,
+ round(sum_latency / nullif(n_latency, 0), 6) as avg_processing_time_ms"""
+
+# The last day's window closes only when the watermark passes its end,
+# which the input never reaches: the stream emits every day but the last.
+SQL["stream_daily_kpis"] = with_(RAW_PREDICTIONS, SCORED, _DAILY_PARTIALS) + _FINISH_DAILY + \
+    " from daily where day < (select max(day) from daily)"
+
+SQL["sliding_7d_kpis"] = with_(RAW_PREDICTIONS, SCORED, _DAILY_PARTIALS) + """,
+s as (select day, """ + ", ".join(
+    f"sum({c}) over (order by day range between interval 6 day preceding and current row) as {c}"
+    for c in ["total_predictions", "approved", "rejected", "reviews", "sum_probability", "sum_latency", "n_latency"]) + \
+    " from daily)\n" + _FINISH_DAILY + " from s"
+
+SQL["stream_alert_cooldown"] = SQL["alert_cooldown"]

@@ -442,3 +442,37 @@ def model_comparison(spark, sf):
 def sampling_comparison(spark, sf):
     return TR.sampling_comparison(prepared(spark, sf))
 
+
+
+# ---------------------------------------------------------------- streaming
+
+from ..session import shared_dir  # noqa: E402
+from ..streaming import jobs as ST  # noqa: E402
+
+
+def _replay(spark, df: DataFrame, name: str):
+    """Write a derived table once into the shared folder and return a file stream over it."""
+    src = shared_dir(spark, f"{name}-src")
+    df.write.mode("overwrite").parquet(src)
+    return ST.file_stream(spark, src, spark.read.parquet(src).schema)
+
+
+@query("stream_daily_kpis")
+def stream_daily_kpis(spark, sf):
+    s = _replay(spark, T.scored_log(spark, sf), "scored-log")
+    out, ck = shared_dir(spark, "daily-kpis"), shared_dir(spark, "daily-kpis-ck")
+    ST.run_to_table(ST.daily_kpis_stream(s), out, ck)
+    return finish(ST.finish_daily(spark.read.parquet(out)))
+
+
+@query("sliding_7d_kpis")
+def sliding_7d_kpis(spark, sf):
+    return finish(ST.sliding_kpis(ST.daily_partials(T.scored_log(spark, sf))))
+
+
+@query("stream_alert_cooldown")
+def stream_alert_cooldown(spark, sf):
+    s = _replay(spark, T.alert_events(spark, sf), "alerts")
+    out, ck = shared_dir(spark, "cooldown"), shared_dir(spark, "cooldown-ck")
+    ST.run_to_table(ST.cooldown_stream(s), out, ck)
+    return spark.read.parquet(out).select("alert_id", "type", "sent")
