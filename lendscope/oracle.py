@@ -797,3 +797,6 @@ s as (select day, """ + ", ".join(
     " from daily)\n" + _FINISH_DAILY + " from s"
 
 SQL["stream_alert_cooldown"] = SQL["alert_cooldown"]
+
+SQL["loans_csv_roundtrip"] = SQL["loans_typed"]
+SQL["alert_log_roundtrip"] = SQL["alerts_7d"]

@@ -476,3 +476,29 @@ def stream_alert_cooldown(spark, sf):
     out, ck = shared_dir(spark, "cooldown"), shared_dir(spark, "cooldown-ck")
     ST.run_to_table(ST.cooldown_stream(s), out, ck)
     return spark.read.parquet(out).select("alert_id", "type", "sent")
+
+
+# ---------------------------------------------------------------- file sources and sinks
+
+from ..sources import files as FI  # noqa: E402
+
+
+@query("loans_csv_roundtrip")
+def loans_csv_roundtrip(spark, sf):
+    """SNK-1 / SRC-1: loans written as CSV with pandas-style NA text, read back typed."""
+    raw = T.loans(spark, sf)
+    path = shared_dir(spark, "loans-csv")
+    # missing values written as 'NA' text, the way many exports do
+    raw.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in raw.columns]) \
+        .write.option("header", True).csv(path)
+    back = FI.type_like(FI.read_loans_csv(spark, path, raw.columns), raw, ["Client_Income"])
+    return finish(FE.repair_types(back)[0])
+
+
+@query("alert_log_roundtrip")
+def alert_log_roundtrip(spark, sf):
+    """SNK-4 / SRC-5: alerts appended as JSON lines, read back with a fixed schema."""
+    _, _, _, al, _ = monitoring_frames(spark, sf)
+    path = shared_dir(spark, "alert-log")
+    FI.write_alerts(al.withColumn("timestamp", F.lit(T.AS_OF)), path, F.lit(T.AS_OF))
+    return finish(FI.read_alerts(spark, path).select(*AL.ALERT_FIELDS))
