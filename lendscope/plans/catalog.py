@@ -273,8 +273,17 @@ def threshold_choice(spark, sf):
 from ..operators import alerts as AL  # noqa: E402
 
 
+def cycle_log(spark, sf):
+    """The labelled log of one monitoring cycle, written once to the shared
+    checkpoint folder: every metric of the cycle then scans that table
+    instead of repeating the as-of join."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return T.prediction_log(spark, sf).checkpoint(eager=True)
+
+
 def monitoring_frames(spark, sf):
-    log = T.prediction_log(spark, sf)
+    log = cycle_log(spark, sf)
     k7 = monitor.performance_metrics(log, 7)
     drift = AL.detect_drift(log)
     al = AL.generate_alerts(k7, AL.history_total(log)).unionByName(AL.drift_alerts(drift))
@@ -301,7 +310,7 @@ def health_check(spark, sf):
 
 @query("model_status")
 def model_status(spark, sf):
-    log = T.prediction_log(spark, sf)
+    log = cycle_log(spark, sf)
     return finish(AL.model_status(monitor.performance_metrics(log, 7), AL.detect_drift(log)))
 
 
@@ -323,7 +332,7 @@ def executive_summary_30d(spark, sf):
 
 @query("daily_report")
 def daily_report(spark, sf):
-    log = T.prediction_log(spark, sf)
+    log = cycle_log(spark, sf)
     return finish(RP.daily_report(monitor.performance_metrics(log, 1), monitor.roi_metrics(log, 1),
                                   AL.detect_drift(log)))
 
