@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.exprs import try_div
-from .profile import ID, TARGET, unpivot_numeric
+from .profile import ID, TARGET, column_name, unpivot_numeric
+from ..session import ensure_checkpoint_dir
 from .ranking import exact_quantiles, rank_in_class
 
 UNKNOWN = "Unknown"
@@ -25,7 +26,7 @@ MAX_BROADCAST_CODES = 200_000
 def median_fill_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, median) over non-missing values, exact."""
     q = exact_quantiles(unpivot_numeric(df, cols), "column", "value", [0.5])
-    return q.select("column", F.col("quantile").alias("fill"))
+    return q.select(column_name("column", cols).alias("column"), F.col("quantile").alias("fill"))
 
 
 def mode_fill_values(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -57,6 +58,10 @@ def fill_missing(df: DataFrame, keep_types=(ID, TARGET)) -> tuple[DataFrame, dic
     mode = _one_row(mode_fill_values(df, cat), cat) if cat else None
     stats = med.crossJoin(mode) if med is not None and mode is not None else (med or mode)
     renamed = stats.select(*[F.col(c).alias(f"_fill_{c}") for c in num + cat])
+    # the fitted fill values are one row: write them once so later actions
+    # (code-table sizing, the final scan) do not refit them
+    ensure_checkpoint_dir(df.sparkSession)
+    renamed = renamed.checkpoint(eager=True)
     # one row: a bounded broadcast
     j = df.crossJoin(F.broadcast(renamed))
     out = j.select(*[F.coalesce(F.col(c), F.col(f"_fill_{c}").cast(types[c])).alias(c) if c in keep_types
@@ -79,6 +84,8 @@ def encode(df: DataFrame, cols: list[str], codes: DataFrame | None = None) -> Da
     if not cols:
         return df
     codes = codes if codes is not None else label_codes(df, cols)
+    ensure_checkpoint_dir(df.sparkSession)
+    codes = codes.checkpoint(eager=True)  # small fitted table, sized once and reused by every join
     n_codes = codes.count()
     small = n_codes <= MAX_BROADCAST_CODES
     out = df
@@ -111,7 +118,8 @@ def stratified_split(df: DataFrame, target: str = TARGET, id_col: str = ID, test
 def scaler_stats(train: DataFrame, cols: list[str]) -> DataFrame:
     """PREP-5: (column, mean, std) with the population std, fitted on train rows."""
     long = unpivot_numeric(train, cols)
-    return long.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    g = long.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return g.select(column_name("column", cols).alias("column"), "mean", "std")
 
 
 def standardize(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
@@ -141,7 +149,7 @@ def anova_f(train: DataFrame, cols: list[str], target: str = TARGET, k: int = 20
     ssb = F.col("between_raw") - F.col("S") * F.col("S") / F.col("N")
     ssw = F.col("SS") - F.col("between_raw")
     f = try_div(ssb / (F.col("k") - 1), F.when(ssw > 0, ssw) / (F.col("N") - F.col("k")))
-    out = a.select("column", f.alias("f_score"))
+    out = a.select(column_name("column", cols).alias("column"), f.alias("f_score"))
     w = Window.orderBy(F.col("f_score").desc_nulls_last(), F.col("column"))
     r = out.withColumn("rank", F.row_number().over(w))
     return r.withColumn("selected", F.col("f_score").isNotNull() & (F.col("rank") <= k))

@@ -2,7 +2,7 @@
 IQR outliers, consistency checks, correlations, cross-tabs, histograms.
 
 Wide statistics never run one job per column: the table is unpivoted to
-(column, value) and aggregated by column name in one pass.  Aggregates
+(column index, value) and aggregated by column in one pass.  Aggregates
 with a map-side combine (count, sums, covariance) shrink every partition
 to one row per column before the shuffle, so a column holding all rows is
 not a hot spot.
@@ -38,9 +38,21 @@ def text_columns(df: DataFrame) -> list[str]:
 
 def unpivot_numeric(df: DataFrame, cols: list[str], key: str = "column", value: str = "value",
                     keep: list[str] | None = None) -> DataFrame:
+    """Long form (keep..., key, value) with ``key`` the 0-based column index.
+
+    An integer key hashes and compares much faster than the name in the
+    per-column aggregations; ``column_name`` maps it back at the end.
+    """
     keep = keep or []
-    return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols]) \
-        .unpivot(keep, cols, key, value)
+    pairs = F.array(*[F.struct(F.lit(i).alias(key), F.col(c).cast("double").alias(value))
+                      for i, c in enumerate(cols)])
+    return df.select(*keep, F.inline(pairs))
+
+
+def column_name(idx, cols: list[str]):
+    """Column index -> name (the inverse of ``unpivot_numeric``'s key)."""
+    i = F.col(idx) if isinstance(idx, str) else idx
+    return F.element_at(F.array(*[F.lit(c) for c in cols]), i + 1)
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -117,7 +129,7 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, top: int | None =
     c = j.groupBy("column", "q1", "q3", "n_rows").agg(
         F.count_if((v < F.col("q1") - IQR_K * iqr) | (v > F.col("q3") + IQR_K * iqr)).alias("outliers"))
     out = c.where(F.col("outliers") > 0).select(
-        "column", "q1", "q3", F.col("outliers").cast("bigint").alias("outliers"),
+        column_name("column", cols).alias("column"), "q1", "q3", F.col("outliers").cast("bigint").alias("outliers"),
         (F.col("outliers") / F.col("n_rows") * 100).alias("percentage"))
     return _ranked(out, "outliers", top)
 
@@ -147,7 +159,8 @@ def target_correlation(df: DataFrame, target: str = TARGET, top: int | None = 10
     y = F.col(target).cast("double")
     g = long.groupBy("column").agg(F.covar_pop("value", y).alias("cov"),
                                    F.stddev_pop("value").alias("sx"), F.stddev_pop(y).alias("sy"))
-    r = g.select("column", F.abs(try_div(F.col("cov"), F.col("sx") * F.col("sy"))).alias("abs_corr")) \
+    r = g.select(column_name("column", cols).alias("column"),
+                 F.abs(try_div(F.col("cov"), F.col("sx") * F.col("sy"))).alias("abs_corr")) \
         .where(F.col("abs_corr").isNotNull())
     return _ranked(r, "abs_corr", top)
 

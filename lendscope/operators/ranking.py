@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import seeded_u32
+from ..session import ensure_checkpoint_dir
 
 NBUCKETS = 1024
 HASH_BUCKET_BITS = 12
@@ -67,7 +68,9 @@ def exact_quantiles(long: DataFrame, key: str, value: str, qs: list[float]) -> D
     """
     g = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))) \
         .groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    g = prefix_sums(g, "_v", ["_c"], by=[key])
+    # the ranked value counts feed three consumers: write them once
+    ensure_checkpoint_dir(long.sparkSession)
+    g = prefix_sums(g, "_v", ["_c"], by=[key]).checkpoint(eager=True)
     n = g.groupBy(key).agg(F.sum("_c").alias("n"))
     tgt = n.select(key, "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")) \
         .withColumn("_pos", (F.col("n") - 1) * F.col("q")) \

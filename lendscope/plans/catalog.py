@@ -34,12 +34,12 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query("monitor_kpis_7d")
 def monitor_kpis_7d(spark: SparkSession, sf: str) -> DataFrame:
-    return finish(monitor.performance_metrics(T.prediction_log(spark, sf), 7))
+    return finish(monitor.performance_metrics(T.prediction_log(spark, sf, 7), 7))
 
 
 @query("monitor_kpis_30d")
 def monitor_kpis_30d(spark: SparkSession, sf: str) -> DataFrame:
-    return finish(monitor.performance_metrics(T.prediction_log(spark, sf), 30))
+    return finish(monitor.performance_metrics(T.prediction_log(spark, sf, 30), 30))
 
 
 @query("label_join")
@@ -67,7 +67,7 @@ def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("confidence_mix_7d")
 def confidence_mix_7d(spark: SparkSession, sf: str) -> DataFrame:
-    return finish(monitor.confidence_distribution(T.prediction_log(spark, sf), 7))
+    return finish(monitor.confidence_distribution(T.prediction_log(spark, sf, 7), 7))
 
 
 @query("lifetime_stats")
@@ -77,12 +77,12 @@ def lifetime_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("roi_30d")
 def roi_30d(spark: SparkSession, sf: str) -> DataFrame:
-    return finish(monitor.roi_metrics(T.prediction_log(spark, sf), 30))
+    return finish(monitor.roi_metrics(T.prediction_log(spark, sf, 30), 30))
 
 
 @query("daily_series_30d")
 def daily_series_30d(spark: SparkSession, sf: str) -> DataFrame:
-    return finish(monitor.daily_series(T.prediction_log(spark, sf), 30))
+    return finish(monitor.daily_series(T.prediction_log(spark, sf, 30), 30))
 
 
 @query("daily_snapshot")
@@ -273,13 +273,17 @@ def threshold_choice(spark, sf):
 from ..operators import alerts as AL  # noqa: E402
 
 
+# The longest look-back of a monitoring cycle (ROI, volume history, drift baseline).
+CYCLE_DAYS = 30
+
+
 def cycle_log(spark, sf):
     """The labelled log of one monitoring cycle, written once to the shared
     checkpoint folder: every metric of the cycle then scans that table
     instead of repeating the as-of join."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    return T.prediction_log(spark, sf).checkpoint(eager=True)
+    return T.prediction_log(spark, sf, CYCLE_DAYS).checkpoint(eager=True)
 
 
 def monitoring_frames(spark, sf):
@@ -293,7 +297,7 @@ def monitoring_frames(spark, sf):
 
 @query("drift_7d_vs_30d")
 def drift_7d_vs_30d(spark, sf):
-    return finish(AL.detect_drift(T.prediction_log(spark, sf)))
+    return finish(AL.detect_drift(T.prediction_log(spark, sf, 30)))
 
 
 @query("alerts_7d")
@@ -327,7 +331,7 @@ from ..operators import report as RP  # noqa: E402
 
 @query("executive_summary_30d")
 def executive_summary_30d(spark, sf):
-    return finish(RP.executive_summary(monitor.roi_metrics(T.prediction_log(spark, sf), 30)))
+    return finish(RP.executive_summary(monitor.roi_metrics(T.prediction_log(spark, sf, 30), 30)))
 
 
 @query("daily_report")
@@ -339,7 +343,7 @@ def daily_report(spark, sf):
 
 @query("dashboard_7d")
 def dashboard_7d(spark, sf):
-    return finish(RP.dashboard_data(monitor.performance_metrics(T.prediction_log(spark, sf), 7), 7))
+    return finish(RP.dashboard_data(monitor.performance_metrics(T.prediction_log(spark, sf, 7), 7), 7))
 
 
 @query("monitoring_summary")

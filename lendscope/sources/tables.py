@@ -107,10 +107,21 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full prediction log: ladder plus outcomes attached by feedback."""
+def prediction_log(spark: SparkSession, sf_dir: str, since_days: int | None = None, as_of=None) -> DataFrame:
+    """The prediction log: ladder plus outcomes attached by feedback.
+
+    With ``since_days`` only predictions of the look-back window are
+    labelled.  A prediction's label comes from feedback at or after it, so
+    both sides are cut at the window start *before* the as-of join: the
+    time filter reaches the Parquet scan (pushed filter, and partition
+    pruning on a date-partitioned log) instead of running after the join.
+    """
     from ..operators.labels import attach_outcomes
-    return attach_outcomes(scored_log(spark, sf_dir), feedback(spark, sf_dir))
+    log, fb = scored_log(spark, sf_dir), feedback(spark, sf_dir)
+    if since_days is not None:
+        start = (as_of if as_of is not None else as_of_lit()) - F.make_dt_interval(days=F.lit(since_days))
+        log, fb = log.where(F.col("timestamp") >= start), fb.where(F.col("feedback_ts") >= start)
+    return attach_outcomes(log, fb)
 
 
 def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
