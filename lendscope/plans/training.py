@@ -321,3 +321,15 @@ def load_model(path: str):
     thr = meta.get("threshold")
     return PipelineModel.load(f"{path}/model"), meta.get("features", []), 0.5 if thr is None else thr
 
+
+
+def run_pipeline(ml: DataFrame, model_dir: str, config: dict = DEFAULT_CONFIG) -> DataFrame:
+    """ML-13: prepare, balance, fit and compare, save the best model; returns the results table."""
+    p = prepare(ml, config)
+    tr = balance(p.train, p.features, "smote", config["smote_ratio"], config["random_state"])
+    res, fitted = train_and_compare(p, config, tr)
+    # one row per model: a bounded collect
+    best = res.where("Rank = 1").select("Model").first()["Model"]
+    save_model(fitted[best], p.features, model_dir, threshold=None,
+               extra={"model_name": best, "config": config})
+    return res
