@@ -45,11 +45,6 @@ def try_div(a, b) -> Column:
     return F.try_divide(col_(a), col_(b))
 
 
-def nan_to_null(c) -> Column:
-    c = col_(c)
-    return F.when(~F.isnan(c), c)
-
-
 def seeded_u32(seed, c) -> Column:
     """md5 of '<seed>|<value>' -> 32 bit integer."""
     s = F.concat(F.lit(f"{seed}|"), col_(c).cast("string"))
@@ -92,8 +87,3 @@ def kolmogorov_pvalue(lam) -> Column:
 def severity_from_p(p) -> Column:
     p = col_(p)
     return F.when(p < 0.01, "HIGH").when(p < 0.05, "MEDIUM").otherwise("LOW")
-
-
-def r6(c) -> Column:
-    """Round doubles to 6 digits so both engines hash the same value."""
-    return F.round(col_(c).cast("double"), 6)

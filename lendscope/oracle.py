@@ -269,10 +269,6 @@ def with_feat() -> str:
     return with_(LOANS, TYPED, FEAT)
 
 
-def r6(c: str) -> str:
-    return f"round({c}, 6)"
-
-
 SQL["loans_typed"] = with_(LOANS, TYPED) + "select * replace (" + ", ".join(
     f"round({q(c)}, 6) as {q(c)}" for c in ["Client_Income", "Credit_Amount", "Loan_Annuity", "Age_Days",
                                             "Employed_Days", "Car_Owned", "Score_Source_1", "Score_Source_2",

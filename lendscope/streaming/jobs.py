@@ -19,10 +19,11 @@ session time zone.
 
 from __future__ import annotations
 
+import time
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -55,15 +56,21 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int | None =
 # ---------------------------------------------------------------- STR-1
 
 def score_stream(apps: DataFrame, score_fn: Callable[[DataFrame], DataFrame], log_path: str,
-                 quarantine_path: str, checkpoint: str, trigger: dict | None = None):
+                 quarantine_path: str, checkpoint: str, trigger: dict | None = None,
+                 latency_path: str | None = None):
     """Validate each micro-batch, score the valid rows, append them to the
     date-partitioned log and the invalid ones (with reasons) to quarantine.
 
     ``score_fn`` maps valid applications to rows with ``probability``
     (e.g. a fitted pipeline's transform).  ``foreachBatch`` with a
     checkpoint gives at-least-once appends keyed by batch id.
+
+    SCO-4: with ``latency_path`` each batch appends (batch_id, rows,
+    elapsed_ms, ms_per_row); the row count comes from an ``Observation`` on
+    the write itself, not from a second pass.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
+        t0 = time.time()
         v = V.validate(batch.withColumn("customer_id", V.default_customer_id(F.col("customer_id"),
                                                                              F.current_timestamp())),
                        V.APPLICATION_RULES)
@@ -71,8 +78,16 @@ def score_stream(apps: DataFrame, score_fn: Callable[[DataFrame], DataFrame], lo
             .write.mode("append").parquet(quarantine_path)
         ok = v.where("is_valid").drop("errors", "is_valid")
         scored = score_fn(ok).withColumn("features", F.to_json(F.struct(*V.SELECTED_FEATURES)))
-        scored.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date") \
-            .parquet(log_path)
+        obs = Observation(f"scored_{batch_id}")
+        scored.withColumn("date", F.to_date("timestamp")).observe(obs, F.count(F.lit(1)).alias("rows")) \
+            .write.mode("append").partitionBy("date").parquet(log_path)
+        if latency_path:
+            rows = obs.get["rows"]
+            ms = (time.time() - t0) * 1000.0
+            batch.sparkSession.createDataFrame(
+                [(batch_id, rows, ms, ms / rows if rows else None)],
+                "batch_id long, rows long, elapsed_ms double, ms_per_row double") \
+                .write.mode("append").parquet(latency_path)
 
     w = apps.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()

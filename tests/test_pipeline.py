@@ -94,8 +94,10 @@ def test_score_stream_appends_and_quarantines(spark):
     apps.write.parquet(src)
     stream = ST.file_stream(spark, src, spark.read.parquet(src).schema)
     log, quarantine, ck = shared_dir(spark, "log"), shared_dir(spark, "q"), shared_dir(spark, "ck")
-    q = ST.score_stream(stream, ST.ladder_scores(0.65), log, quarantine, ck)
+    lat = shared_dir(spark, "lat")
+    q = ST.score_stream(stream, ST.ladder_scores(0.65), log, quarantine, ck, latency_path=lat)
     q.awaitTermination()
+    assert spark.read.parquet(lat).agg(F.sum("rows")).first()[0] == spark.read.parquet(log).count()
     n_log, n_q = spark.read.parquet(log).count(), spark.read.parquet(quarantine).count()
     assert n_log + n_q == apps.count() and n_log > 0 and n_q > 0
     assert "date" in spark.read.parquet(log).columns
