@@ -54,9 +54,23 @@ def fill_missing(df: DataFrame, keep_types=(ID, TARGET)) -> tuple[DataFrame, dic
     types = {f.name: f.dataType for f in df.schema.fields}
     num = [c for c in df.columns if isinstance(types[c], NumericType)]
     cat = [c for c in df.columns if c not in num]
-    med = _one_row(median_fill_values(df, num), num) if num else None
-    mode = _one_row(mode_fill_values(df, cat), cat) if cat else None
-    stats = med.crossJoin(mode) if med is not None and mode is not None else (med or mode)
+    # Only columns with a missing value need a fitted fill: one cheap pass
+    # counts them (one number per column reaches the driver).
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first().asDict()
+    num_fit = [c for c in num if nulls[c] > 0]
+    cat_fit = [c for c in cat if nulls[c] > 0]
+    parts = []
+    if num_fit:
+        parts.append(median_fill_values(df, num_fit))
+    if cat_fit:
+        parts.append(mode_fill_values(df, cat_fit).select("column", F.col("fill").cast("string").alias("fill")))
+    if parts:
+        long = parts[0].select("column", F.col("fill").cast("string").alias("fill"))
+        for p in parts[1:]:
+            long = long.unionByName(p)
+        stats = long.groupBy().pivot("column", num + cat).agg(F.first("fill"))
+    else:
+        stats = df.sparkSession.range(1).select(*[F.lit(None).cast("string").alias(c) for c in num + cat])
     renamed = stats.select(*[F.col(c).alias(f"_fill_{c}") for c in num + cat])
     # the fitted fill values are one row: write them once so later actions
     # (code-table sizing, the final scan) do not refit them
@@ -64,8 +78,11 @@ def fill_missing(df: DataFrame, keep_types=(ID, TARGET)) -> tuple[DataFrame, dic
     renamed = renamed.checkpoint(eager=True)
     # one row: a bounded broadcast
     j = df.crossJoin(F.broadcast(renamed))
-    out = j.select(*[F.coalesce(F.col(c), F.col(f"_fill_{c}").cast(types[c])).alias(c) if c in keep_types
-                     else F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}")).alias(c) if c in num
+    out = j.select(*[F.coalesce(F.col(c), F.col(f"_fill_{c}").cast("double").cast(types[c])).alias(c)
+                     if c in keep_types and c in num
+                     else F.coalesce(F.col(c), F.col(f"_fill_{c}")).alias(c) if c in keep_types
+                     else F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}").cast("double")).alias(c)
+                     if c in num
                      else F.coalesce(F.col(c).cast("string"), F.col(f"_fill_{c}")).alias(c)
                      for c in df.columns])
     return out, {"numeric": num, "categorical": cat}
