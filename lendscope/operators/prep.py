@@ -33,8 +33,10 @@ def mode_fill_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, mode): most frequent value, smallest on a tie, 'Unknown' if none."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
     g = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
-    best = g.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("column", "value")
+    # two hash aggregations instead of a window per column: a column with
+    # many distinct values is never sorted in one task
+    top = g.groupBy("column").agg(F.max("n").alias("n"))
+    best = g.join(top, ["column", "n"]).groupBy("column").agg(F.min("value").alias("value"))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     return names.join(best, "column", "left").select(
         "column", F.coalesce(F.col("value"), F.lit(UNKNOWN)).alias("fill"))
