@@ -91,11 +91,22 @@ def fill_missing(df: DataFrame, keep_types=(ID, TARGET)) -> tuple[DataFrame, dic
 
 
 def label_codes(df: DataFrame, cols: list[str]) -> DataFrame:
-    """PREP-3: (column, value, code) with codes 0.. over sorted distinct values."""
+    """PREP-3: (column, value, code) with codes 0.. over sorted distinct values.
+
+    Strings sort by code point, and so do their 2-character prefixes: the
+    distinct values are ranked inside each (column, prefix) and shifted by
+    the running count of the earlier prefixes of the column, so a column
+    with a huge vocabulary is never sorted in one task.
+    """
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    d = long.where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return d.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    d = long.where(F.col("value").isNotNull()).distinct().withColumn("_p", F.substring("value", 1, 2))
+    cnt = d.groupBy("column", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per (column, prefix): bounded by the prefix alphabet
+    w_off = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.select("column", "_p", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("column", "_p").orderBy("value")
+    r = d.withColumn("_r", F.row_number().over(w)).join(off, ["column", "_p"])
+    return r.select("column", "value", (F.col("_off") + F.col("_r") - 1).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, cols: list[str], codes: DataFrame | None = None) -> DataFrame:

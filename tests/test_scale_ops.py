@@ -84,3 +84,17 @@ def test_exact_quantiles_match_numpy(spark, skew):
     for name, arr in (("a", a), ("b", b)):
         for q in (0.25, 0.5, 0.75):
             assert got[(name, q)] == pytest.approx(float(np.quantile(arr, q)), rel=1e-12, abs=1e-12)
+
+
+def test_label_codes_match_sorted_order(spark):
+    from lendscope.operators.prep import label_codes
+    rnd = random.Random(11)
+    alphabet = "abAB09_é€"
+    vals = {"".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 6))) for _ in range(3000)}
+    hot = ["aa" + str(i) for i in range(500)]  # many values behind one prefix
+    rows = [(v, h) for v, h in zip(sorted(vals), hot * 10)]
+    df = spark.createDataFrame(rows, "c1 string, c2 string")
+    got = {(r.column, r.value): r.code for r in label_codes(df, ["c1", "c2"]).collect()}
+    for name, values in (("c1", {r[0] for r in rows}), ("c2", {r[1] for r in rows})):
+        for code, v in enumerate(sorted(values)):
+            assert got[(name, v)] == code
