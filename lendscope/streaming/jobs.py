@@ -106,7 +106,8 @@ def daily_kpis_stream(log: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Daily tumbling KPIs of a (streaming) scored log; append mode emits a day
     once the watermark (max event time - ``delay``) passes its end.  Rows
     later than the watermark are dropped and counted by the engine
-    (``numRowsDroppedByWatermark``)."""
+    (``numRowsDroppedByWatermark``, counted after map-side partial
+    aggregation)."""
     s = log.withColumn("event_time", utc_instant("timestamp")).withWatermark("event_time", delay)
     g = s.groupBy(F.window("event_time", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("total_predictions"),
