@@ -175,3 +175,18 @@ def test_late_rows_dropped_by_watermark(spark):
     want = {r.d.isoformat(): r.n for r in log.groupBy(F.to_date("timestamp").alias("d")).count()
             .withColumnRenamed("count", "n").collect()}
     assert all(got[d] == want[d] for d in got)
+
+
+def test_eda_pipeline_from_csv(spark):
+    from lendscope.plans.eda import run_complete_pipeline
+    from lendscope.sources import files as FI
+    raw = T.loans(spark, SF)
+    csv = shared_dir(spark, "raw-csv")
+    raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns]).write.option("header", True).csv(csv)
+    back = FI.type_like(FI.read_loans_csv(spark, csv, raw.columns), raw, ["Client_Income"])
+    out = shared_dir(spark, "eda")
+    summary = run_complete_pipeline(spark, back, out)
+    assert summary["converted_columns"] == ["Client_Income"]
+    assert summary["rows"] == raw.count()
+    processed = FI.read_processed(spark, f"{out}/processed")
+    assert processed.columns[-1] == "Default" and "ID" not in processed.columns
