@@ -64,3 +64,10 @@ def test_every_query_has_sql_or_is_documented():
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() == 1
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(E.ROWS_ONLY)))
+def test_plan_has_no_cartesian_product_or_row_udf(spark, name):
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "BatchEvalPython" not in plan
