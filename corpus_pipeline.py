@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from lendscope.llm.common import materialize, table
 from lendscope.llm.mixing import mixing_stage
 from lendscope.llm.mph_dedup import dedup_stage
+from lendscope.llm.parity_join import near_dedup_stage
 from lendscope.llm.quality import quality_stage
+from lendscope.llm.spm import encoding_stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_stage),
     ("exact dedup", dedup_stage),
+    ("near dedup", near_dedup_stage),
     ("mixing sources", mixing_stage),
+    ("encoding", encoding_stage),
 ]
 
 # Seeded samples, thresholds from binomial tails and merges are not SQL; tests/llm holds the brute-force version.

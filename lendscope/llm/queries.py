@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import mixing, mph_dedup, quality, sharding
+from . import lattice_lm, mixing, mph_dedup, parity_join, quality, secret_scan, sharding, spm, warc
 
 QUERIES = {
+    "op1_lattice_lm": lattice_lm.op1_lattice_lm,
     "op2_mph_exact_dedup": mph_dedup.op2_mph_exact_dedup,
+    "op3_parity_sketch_join": parity_join.op3_parity_sketch_join,
     "op4_stratified_interleave": sharding.op4_stratified_interleave,
+    "op5_agenda_sentencepiece": spm.op5_agenda_sentencepiece,
     "op6_capped_water_filling": mixing.op6_capped_water_filling,
     "op7_risk_controlled_rules": quality.op7_risk_controlled_rules,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_warc_index_merge": warc.op10_warc_index_merge,
 }
 
-
-
-SQL: dict[str, str] = {"op2_mph_exact_dedup": mph_dedup.OP2_SQL}
+SQL: dict[str, str] = {
+    "op2_mph_exact_dedup": mph_dedup.OP2_SQL,
+    "op10_warc_index_merge": warc.OP10_SQL,
+}
