@@ -113,8 +113,8 @@ def op6_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it."""
-    copies = (mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-              .withColumnRenamed("doc_id", "_id"))
-    j = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    copies = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    turn = next(f"turn{i}" for i in range(len(docs.columns) + 1) if f"turn{i}" not in docs.columns)
+    j = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"]))
     return j.select(*[docs[c] for c in docs.columns],
-                    F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+                    F.explode(F.sequence(F.lit(1), copies["copies"])).alias(turn)).drop(turn)

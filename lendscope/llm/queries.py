@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lattice_lm, mixing, mph_dedup, parity_join, quality, secret_scan, sharding, spm, warc
+from . import lattice_lm, mixing, mph_dedup, parity_join, quality, repeats, secret_scan, sharding, spm, warc
 
 QUERIES = {
     "op1_lattice_lm": lattice_lm.op1_lattice_lm,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_agenda_sentencepiece": spm.op5_agenda_sentencepiece,
     "op6_capped_water_filling": mixing.op6_capped_water_filling,
     "op7_risk_controlled_rules": quality.op7_risk_controlled_rules,
+    "op8_interval_tree_repeats": repeats.op8_interval_tree_repeats,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_warc_index_merge": warc.op10_warc_index_merge,
 }
