@@ -25,11 +25,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, join_hot_split, materialize, table, word_array
+from .common import join_hot_split, materialize, table, word_array
 
 # Fixed values of the base rules.
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -51,7 +51,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _count_chars(t: Column, chars: str) -> Column:
-    return F.length(t) - F.length(F.translate(t, chars, ""))
+    """Characters of a class; regexp_replace is several times faster than translate, which maps every character."""
+    return F.length(t) - F.length(F.regexp_replace(t, chars, ""))
 
 
 def _repeated_words(words: Column) -> Column:
@@ -81,20 +82,19 @@ def _repeated_words(words: Column) -> Column:
 def text_counts(docs: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
     """doc_id, stratum and the counts of each text, from one scan."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    word_chars = F.length(F.translate(t, SPACES, ""))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE))
     packed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null")).alias("stratum"),
-        word_chars.cast("long").alias("word_chars"), _count_chars(t, SYMBOLS).cast("long").alias("n_symbols"),
-        _count_chars(t, UPPER).cast("long").alias("n_upper"), _count_chars(t, "!?").cast("long").alias("n_marks"),
+        _count_chars(t, SYMBOLS).cast("long").alias("n_symbols"),
+        _count_chars(t, "[A-Z]").cast("long").alias("n_upper"), _count_chars(t, "[!?]").cast("long").alias("n_marks"),
         _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"),
                                        (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
-        _let(word_array(t), lambda w: F.struct(F.size(w).cast("long").alias("n"),
+        _let(word_array(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"),
                                                _repeated_words(w).cast("long").alias("rep"))).alias("words"))
     n, rep = F.col("words.n"), F.col("words.rep")
     return packed.select(
-        "doc_id", "stratum", n.alias("n_words"), "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"),
+        "doc_id", "stratum", n.alias("n_words"), F.col("words.chars").alias("word_chars"), "n_symbols", F.col("lines.dup").alias("n_dup_lines"),
         rep.alias("n_repeat_words"), "n_upper", "n_marks", F.col("lines.n").alias("n_lines"),
         ((n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)).alias("base_failed"))
 

@@ -49,6 +49,8 @@ SUFFIX_CHUNK = 400_000  # bytes of a suffix array
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+AT = U((1 << 21) - 1)  # positions in a tile
+INNER = 1 << 15  # mark in the packed length
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * U(0x2545F4914F6CDD1D))
 
 
@@ -88,16 +90,25 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def super_windows(data: np.ndarray, owner: np.ndarray, min_len: int) -> tuple[np.ndarray, ...]:
-    """(start, end, gram hash, content hash) of the super-windows of a tile; windows stay in one owner."""
-    gram = min(GRAM, min_len)
+    """(start, end, gram hash, content hash, inner) of the super-windows of a tile; windows stay in one owner.
+
+    ``inner`` tells that the gram occurs more than once in the super-window:
+    only then may windows within it be equal.
+    """
+    gram, width = min(GRAM, min_len), min_len - min(GRAM, min_len) + 1
     if len(data) < min_len:
         e = np.zeros(0, np.int64)
-        return e, e, e.view(np.uint64), e.view(np.uint64)
+        return e, e, e.view(np.uint64), e.view(np.uint64), e.astype(bool)
     h = Hashes(data)
-    least = sliding_min(h.grams(gram), min_len - gram + 1)
+    grams = h.grams(gram)
+    # Hash and position in one word: the least gram of every window, the first and the last of equals.
+    at, high = np.arange(len(grams), dtype=np.uint64), grams & ~AT
+    first_at = sliding_min(high | at, width) & AT
+    last_at = AT - (sliding_min(high | (AT - at), width) & AT)
+    least = grams[first_at.astype(np.int64)]
     valid = owner[:len(least)] == owner[min_len - 1:]
     new = np.ones(len(least), dtype=bool)
-    new[1:] = (least[1:] != least[:-1]) | ~valid[:-1] | (owner[1:len(least)] != owner[:len(least) - 1])
+    new[1:] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1]) | (owner[1:len(least)] != owner[:len(least) - 1])
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(least)] - 1
     ok = valid[first]
@@ -108,7 +119,7 @@ def super_windows(data: np.ndarray, owner: np.ndarray, min_len: int) -> tuple[np
         first, last = np.repeat(first, n) + step * MAX_RUN, np.repeat(last, n)
         last = np.minimum(last, first + MAX_RUN - 1)
     end = last + min_len
-    return first, end, least[first], h.of(first, end)
+    return first, end, least[first], h.of(first, end), first_at[first] != last_at[last]
 
 
 def tiles(texts: list[bytes], min_len: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -151,9 +162,9 @@ def find_supers(docs: DataFrame, min_len: int) -> DataFrame:
         n_held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            node, start, end, gram, content = (np.concatenate(x) for x in zip(*held, strict=True))
+            node, start, end, gram, content, inner = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((start, node, content, gram))
-            node, start, end, gram, content = (x[order] for x in (node, start, end, gram, content))
+            node, start, end, gram, content, inner = (x[order] for x in (node, start, end, gram, content, inner))
             new_gram = np.r_[True, gram[1:] != gram[:-1]]
             new = new_gram | np.r_[True, content[1:] != content[:-1]]
             head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
@@ -168,7 +179,7 @@ def find_supers(docs: DataFrame, min_len: int) -> DataFrame:
                 at = at[np.lexsort((start[at], node[at]))]
                 need, owner = np.unique(node[at], return_inverse=True)
                 place = np.zeros(len(at), dtype=place_type)
-                place["owner"], place["start"], place["n"] = owner, start[at], end[at] - start[at]
+                place["owner"], place["start"], place["n"] = owner, start[at], end[at] - start[at] + INNER * inner[at]
                 with_gram = kind != 1
                 return (bucket, kind, (gram[at] >> U(32)).astype(np.uint32).tobytes() if with_gram else b"",
                         content[at].tobytes() if with_gram else b"", squeeze.compress(place.tobytes()), need.tobytes())
@@ -191,10 +202,10 @@ def find_supers(docs: DataFrame, min_len: int) -> DataFrame:
                 part = batch.slice(k, 500)
                 ids = np.array(part.column(0), dtype=np.int64)
                 for data, owner, offset in tiles([(t.as_py() or "").encode() for t in part.column(1)], min_len):
-                    first, end, gram, content = super_windows(data, owner, min_len)
+                    first, end, gram, content, inner = super_windows(data, owner, min_len)
                     if len(first):
                         start = offset[first]
-                        held.append((ids[owner[first]], start, start + end - first, gram, content))
+                        held.append((ids[owner[first]], start, start + end - first, gram, content, inner))
                         n_held += len(first)
                 if n_held >= CHUNK_SUPERS:
                     yield from flush()
@@ -227,28 +238,28 @@ def find_supers(docs: DataFrame, min_len: int) -> DataFrame:
                     continue
                 at = np.frombuffer(expand.decompress(place), dtype=place_type)
                 owner, start = np.frombuffer(node, dtype=np.int64)[at["owner"]], at["start"].astype(np.int64)
-                end = start + at["n"]
+                end, inner = start + at["n"] % INNER, at["n"] >= INNER
                 if kind == 1:
                     yield from found(owner, start, end, None, None)
                 else:
-                    (hot if kind == 2 else plain).append((owner, start, end, gram, np.frombuffer(content, dtype=np.uint64)))
+                    (hot if kind == 2 else plain).append((owner, start, end, gram, np.frombuffer(content, dtype=np.uint64), inner))
         marked = np.unique(np.concatenate(marks)) if marks else np.zeros(0, dtype=np.uint32)
         for entries, is_hot in ((plain, False), (hot, True)):
             if not entries:
                 continue
-            node, start, end, gram, content = (np.concatenate(x) for x in zip(*entries, strict=True))
+            node, start, end, gram, content, inner = (np.concatenate(x) for x in zip(*entries, strict=True))
             order = np.argsort(gram, kind="stable")
             g = gram[order]
-            # Grams of one super-window only (most of them) are done.
+            # Grams of one super-window only (most of them) are done, unless it repeats itself.
             more = np.r_[False, g[1:] == g[:-1]]
             more[:-1] |= more[1:]
-            more |= is_hot | np.isin(g, marked)
+            more |= is_hot | np.isin(g, marked) | inner[order]
             order = order[more]
             if not len(order):
                 continue
-            node, start, end, gram, content = (x[order] for x in (node, start, end, gram, content))
+            node, start, end, gram, content, inner = (x[order] for x in (node, start, end, gram, content, inner))
             order = np.lexsort((start, node, content, gram))
-            node, start, end, gram, content = (x[order] for x in (node, start, end, gram, content))
+            node, start, end, gram, content, inner = (x[order] for x in (node, start, end, gram, content, inner))
             new_gram = np.r_[True, gram[1:] != gram[:-1]]
             new = new_gram | np.r_[True, content[1:] != content[:-1]]
             head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
@@ -257,7 +268,7 @@ def find_supers(docs: DataFrame, min_len: int) -> DataFrame:
             gram_no = np.cumsum(new_gram) - 1
             kinds = np.bincount(gram_no, new).astype(np.int64)[gram_no]
             split = is_hot | (kinds > GROUP) | np.isin(gram, marked)
-            on = np.flatnonzero(new & ((kinds > 1) | split))
+            on = np.flatnonzero(new & ((kinds > 1) | split | inner))
             salts = np.maximum(1, -(-kinds[on] // GROUP)).astype(np.uint64)
             with np.errstate(over="ignore"):
                 salt = np.where(split[on], mix(content[on]) % salts + U(1), U(0)) + (U(number) << U(32) if is_hot else U(0))
