@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 def op6_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, weights 5, 2, 1 repeating, three epochs at most."""
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""The registered queries of the training-data operators and their SQL."""
+"""The registered queries of the training-data operators and their SQL (``SQL``, where it can express them)."""
 
 from __future__ import annotations
 
 from . import lattice_lm, mixing, mph_dedup, parity_join, quality, repeats, secret_scan, sharding, spm, warc
+from .oracles import SQL  # noqa: F401
 
 QUERIES = {
     "op1_lattice_lm": lattice_lm.op1_lattice_lm,
@@ -16,8 +17,3 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_warc_index_merge": warc.op10_warc_index_merge,
 }
-
-SQL: dict[str, str] = {
-    "op2_mph_exact_dedup": mph_dedup.OP2_SQL,
-    "op10_warc_index_merge": warc.OP10_SQL,
-}

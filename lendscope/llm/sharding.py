@@ -66,4 +66,4 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "shard-1", text: s
 
 def op4_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards."""
-    return interleave(table(spark, sf_dir, "documents"))
+    return interleave(table(spark, sf_dir, "documents")).drop("source", "rank")
