@@ -24,7 +24,8 @@ the documents' numbers.  Entries that meet within a task are joined there and
 one of them goes on, so a fingerprint with a third of all documents comes as
 one entry a task.  The order of blocks comes from counts over all documents in
 2^20 cells (1 MB); it decides what is passed on, not what is found.  Texts are
-shuffled only for documents that meet another.
+shuffled only if their document may be in a pair: a bit map of MAP_BITS bits
+(2 MB) holds hashes of those documents and is looked up while scanning.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ CELLS = 1 << 20
 CELL_PARTS = 64
 FOLDED = 1024  # bits of the sketch that is compared first
 CHUNK_ENTRIES = 1_500_000
+MAP_BITS = 1 << 24
+MAP_PARTS = 64
 WORD_CACHE = 400_000
 PAIRS_PER_SALT = 2000
 HUBS = 16
@@ -147,19 +150,20 @@ def node_of(doc_id: Column, text: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Rows (node, doc_id, n_shingles) of all documents and (part, cells) block counts of each task."""
+    """Rows (node, doc_id, n_shingles, sketch) of all documents and (part, cells) block counts of each task."""
     size = CELLS // CELL_PARTS
-    names = ["node", "doc_id", "n_shingles", "part", "cells"]
+    names = ["node", "doc_id", "n_shingles", "sketch", "part", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, dtype=np.int64)
         waiting: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            sizes = []
+            sizes, sketches = [], []
             for text in batch.column(2):
                 t = shingles(text.as_py())
                 sizes.append(len(t))
+                sketches.append(folded(t))
                 for b, _ in bands(len(t)) if len(t) else ():
                     waiting.append((blocks(t, b) >> U(44)).astype(np.int64))
                     held += len(waiting[-1])
@@ -167,16 +171,16 @@ def measure(docs: DataFrame) -> DataFrame:
                     counts += np.bincount(np.concatenate(waiting), minlength=CELLS)
                     waiting, held = [], 0
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if waiting:
             counts += np.bincount(np.concatenate(waiting), minlength=CELLS)
         small = np.minimum(counts, 65535).astype(np.uint16)  # a task's count; the sum over tasks is not cut
         parts = [small[i * size:(i + 1) * size].tobytes() for i in range(CELL_PARTS)]
         none = [pa.nulls(CELL_PARTS, pa.int64()) for _ in range(3)]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(range(CELL_PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*none, pa.nulls(CELL_PARTS, pa.list_(pa.int64())), pa.array(range(CELL_PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return docs.select("node", "doc_id", "text").mapInArrow(
-        run, "node long, doc_id long, n_shingles long, part int, cells binary")
+        run, "node long, doc_id long, n_shingles long, sketch array<long>, part int, cells binary")
 
 
 def rarity_of(measured: DataFrame) -> np.ndarray:
@@ -332,43 +336,88 @@ def meetings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
             .repartition(parts, "bucket").mapInArrow(meet, EDGE))
 
 
+def _places(nodes: np.ndarray) -> np.ndarray:
+    return (mix(nodes.astype(np.int64).view(np.uint64)) % U(MAP_BITS)).astype(np.int64)
+
+
+def bit_map(wanted: DataFrame) -> np.ndarray:
+    """One bit for each hash of a wanted node, MAP_BITS in all."""
+    size = MAP_BITS // MAP_PARTS
+    names = ["part", "bits"]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(MAP_BITS, dtype=bool)
+        for batch in batches:
+            on[_places(np.array(batch.column(0)))] = True
+        if on.any():
+            packed = [np.packbits(x).tobytes() for x in on.reshape(MAP_PARTS, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(MAP_PARTS), pa.int32()), pa.array(packed, pa.binary())], names)
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = np.frombuffer(bits, dtype=np.uint8)
+                found[part] = found[part] | b if part in found else b
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array([b.tobytes() for b in found.values()], pa.binary())], names)
+
+    schema = "part int, bits binary"
+    rows = wanted.mapInArrow(mark, schema).repartition(MAP_PARTS, "part").mapInArrow(union, schema).collect()  # MAP_BITS in all
+    out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    for r in rows:
+        out[r["part"] * size // 8:(r["part"] + 1) * size // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, sketch, tokens) of the wanted documents."""
+    """(node, tokens) of the wanted documents (distinct nodes), written."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_map(wanted)))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            keep = on[_places(np.array(batch.column(0)))]
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
-                sets = [shingles(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(t) for t in sets], pa.int32()),
-                     pa.array([folded(t) for t in sets], pa.list_(pa.int64())),
-                     pa.array([t.view(np.int64) for t in sets], pa.list_(pa.int64()))], ["node", "n", "sketch", "tokens"])
+                sets = [shingles(t.as_py()).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
 
-    return (docs.select("node", "text").join(wanted, "node", "left_semi")
-            .mapInArrow(run, "node long, n int, sketch array<long>, tokens array<long>"))
+    sifted = docs.select("node", "text").mapInArrow(sift, "node long, text string")
+    return materialize(sifted.join(wanted, "node", "left_semi").mapInArrow(run, "node long, tokens array<long>"), "jac-sets")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked: folded sketches first, then whole sets."""
-    # b is a hub, perhaps of a third of all documents: it is copied to one salt per PAIRS_PER_SALT pairs.
+def _salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs with a salt of their hub b, and the hubs once for each salt: PAIRS_PER_SALT pairs meet one copy."""
     per_hub = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_pairs"))
-    total = pairs.count()
     salts = F.ceil(F.col("_pairs") / PAIRS_PER_SALT).cast("int")
-    salted = (join_hot_split(pairs, per_hub, "b", "_pairs", total)
+    salted = (join_hot_split(pairs, per_hub, "b", "_pairs", max(1, pairs.count()))
               .withColumn("_salt", F.pmod(F.xxhash64("a"), salts).cast("int")).select("a", "b", "_salt"))
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    hubs = (sets.join(per_hub, sets["node"] == per_hub["b"])
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))))
-    right = hubs.select("b", "_salt", F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    return salted, per_hub.select("b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+
+
+def verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked, written: folded sketches first, then whole sets. ``pairs`` is a written table."""
+    salted, hubs = _salted(pairs)
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")).join(hubs, "b")
     bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = (salted.join(left, "a").join(right, ["b", "_salt"])
-            .where((4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (7 * bits <= F.col("n_a") + F.col("n_b")))
-            .select("a", "b", "_salt"))
-    tokens = sets.select(F.col("node").alias("a"), F.col("tokens").alias("t_a"))
-    both = near.join(tokens, "a").join(hubs.select("b", "_salt", F.col("tokens").alias("t_b")), ["b", "_salt"])
+    near = materialize(salted.join(left, "a").join(right, ["b", "_salt"])
+                       .where(_sizes_fit("n_a", "n_b") & (7 * bits <= F.col("n_a") + F.col("n_b")))
+                       .select("a", "b").distinct(), "jac-near")
+    if near.isEmpty():
+        return near
+    sets = token_sets(docs, near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    salted, hubs = _salted(near)
+    both = (salted.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")).join(hubs, "b"), ["b", "_salt"]))
     common = F.size(F.array_intersect("t_a", "t_b"))
     union = F.size("t_a") + F.size("t_b") - common
-    return both.where(100 * common >= 75 * union).select("a", "b").distinct()
+    return materialize(both.where(100 * common >= 75 * union).select("a", "b").distinct(), "jac-links")
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -389,9 +438,8 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     edges = materialize(meetings(rows, rarity_of(measured)), "jac-edges")
     same = edges.where("same").select("a", "b")
     pairs = materialize(edges.where(~F.col("same")).where(_sizes_fit("n_a", "n_b")).select("a", "b").distinct(), "jac-pairs")
-    wanted = edges.where(~F.col("same")).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(token_sets(rows, wanted), "jac-sets")
-    links = materialize(verify(pairs, sets).unionByName(same), "jac-links")
+    sketches = measured.where(F.col("part").isNull()).select("node", F.col("n_shingles").alias("n"), "sketch")
+    links = verify(pairs, sketches, rows).unionByName(same)
     component = materialize(connected_components(links), "jac-components")
 
     def labelled(frame: DataFrame, node: str, label: str) -> DataFrame:
@@ -426,9 +474,9 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
                .where((F.col("c") != F.col("h.c")) & (4 * F.least("n", "h.n") >= 3 * F.greatest("n", "h.n")))
                .select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b")).distinct())
         fresh = materialize(met.join(done, ["a", "b"], "left_anti"), "jac-pairs")
-        found = materialize(verify(fresh, sets), "jac-links")
+        found = verify(fresh, sketches, rows)
         done = done.unionByName(fresh)
-        if found.count():
+        if not found.isEmpty():
             links = links.unionByName(found)
             component = materialize(connected_components(links), "jac-components")
         members = materialize(m.join(hubs.select("print", F.col("h.node").alias("node")), ["print", "node"], "left_anti")
