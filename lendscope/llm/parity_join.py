@@ -13,8 +13,8 @@ that the smaller document's size asks for; a document joins the bands of all
 smaller sizes it may be linked to, down to three quarters of its own.
 
 Documents that meet form buckets.  A bucket is not expanded into pairs: all
-members are compared with one hub, first by folded sketches of 1,024 bits
-(their distance is a lower bound too), then by their whole sets.  Links make
+members are compared with one hub, first by folded sketches of about as many
+bits as tokens (their distance is a lower bound too), then by their whole sets.  Links make
 components; buckets that are not within one component by then compare what is
 left with further hubs, until no two members of different components are left
 uncompared.  So no link between components is lost.
@@ -35,66 +35,42 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_hot_split, materialize, table
 from .components import connected_components
+from .hashing import mix, shingle_sets
 
 WORDS = 5
 CELLS = 1 << 20
 CELL_PARTS = 64
-FOLDED = 1024  # bits of the sketch that is compared first
+MIN_BITS = 512  # of the folded sketch that is compared first
+BLOCK_BYTES = 600_000  # of texts that are hashed together
 CHUNK_ENTRIES = 1_500_000
 MAP_BITS = 1 << 24
 MAP_PARTS = 64
-WORD_CACHE = 400_000
 PAIRS_PER_SALT = 2000
 HUBS = 16
 NO_ID = 1 << 62  # documents without id are numbered from here, by their text
 U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """64-bit finaliser (public murmur constants)."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> U(33))
-
-
-FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | U(1)
-
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of one text's shingles."""
+    return shingle_sets([text], WORDS)[0]
 
-@lru_cache(maxsize=1)
-def _word_hashes() -> dict[bytes, int]:
-    return {}
 
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; fewer words than a shingle's count as one."""
-    words = (text or "").encode().lower().split()  # A-Z only, cut at \x20 and \x09-\x0D only
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    known = _word_hashes()
-    if len(known) > WORD_CACHE:
-        known.clear()
-    try:
-        h = np.array([known[w] for w in words], dtype=np.uint64)
-    except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in words], dtype=np.uint64)
-    n = len(words)
-    with np.errstate(over="ignore"):
-        if n < WORDS:
-            return mix(np.array([(h * FACTORS[:n]).sum(dtype=np.uint64) + U(n)], dtype=np.uint64))
-        s = h[:n - WORDS + 1] * FACTORS[0]
-        for i in range(1, WORDS):
-            s += h[i:n - WORDS + 1 + i] * FACTORS[i]
-    return np.unique(mix(s))
+def text_blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of about BLOCK_BYTES of text each, with their token sets."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK_BYTES)) + 1
+    for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, len(batch)].tolist(), strict=True):
+        part = batch.slice(a, b - a)
+        if len(part):
+            yield part, *shingle_sets(part.column(column).to_pylist(), WORDS)
 
 
 def band(n: int) -> int:
@@ -115,32 +91,64 @@ def bands(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(tokens: np.ndarray, b: int) -> np.ndarray:
-    """Fingerprints of the non-empty blocks: XOR over a block's tokens, with band and block."""
-    mixed = mix(tokens ^ U(0x5851F42D4C957F2D))
-    if b == 64:
-        return mix(mixed ^ U(64))
-    at = tokens >> U(64 - b)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return mix(np.bitwise_xor.reduceat(mixed, first) ^ mix(at[first] * U(128) + U(b)))
+@lru_cache(maxsize=100_000)
+def _bands(n: int) -> tuple[tuple[int, int], ...]:
+    return tuple(bands(n)) if n else ()
+
 
+def blocks(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(fingerprints, entry bounds, document, band, d) of the non-empty blocks, for each document and each band it joins.
 
-def passed_on(tokens: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """The fingerprints under which a document may meet the others."""
-    out = []
-    for b, d in bands(len(tokens)):
-        f = blocks(tokens, b)
-        if len(f) <= d:  # too few blocks for the bound: all of them, and a mark that all such documents share
-            out += [f, mix(np.array([b], dtype=np.uint64) + U(1 << 32))]
+    A fingerprint is the XOR over a block's tokens, with band and block.
+    """
+    n = np.diff(bounds)
+    joins = [(i, b, d) for i, k in enumerate(n.tolist()) for b, d in _bands(k)]
+    if not joins:
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), np.zeros(1, np.int64), none, none, none
+    doc, band_, d = (np.array(x, dtype=np.int64) for x in zip(*joins, strict=True))
+    size = n[doc]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    entry = np.repeat(np.arange(len(doc)), size)
+    t = tokens[np.arange(begin[-1]) + np.repeat(bounds[doc] - begin[:-1], size)]
+    bits = band_[entry].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        at = t >> (U(64) - bits)  # band 64: the token itself
+        first = np.ones(len(t), dtype=bool)
+        first[1:] = (at[1:] != at[:-1]) | (entry[1:] != entry[:-1])
+        first = np.flatnonzero(first)
+        prints = mix(np.bitwise_xor.reduceat(mix(t ^ U(0x5851F42D4C957F2D)), first) ^ mix(at[first] * U(128) + bits[first]))
+    return prints, np.searchsorted(entry[first], np.arange(len(doc) + 1)), doc, band_, d
+
+
+def passed_on(tokens: np.ndarray, bounds: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, document of each) under which the documents may meet others: the d + 1 rarest blocks."""
+    prints, cuts, doc, band_, d = blocks(tokens, bounds)
+    # Rarity first, then the fingerprint, in one word (its last 8 bits don't decide).
+    key = (rarity[prints >> U(44)].astype(np.uint64) << U(56)) | (prints >> U(8))
+    out, owner = [], []
+    for i, (a, b, most) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), d.tolist(), strict=True)):
+        if b - a <= most:  # too few blocks for the bound: all of them, and a mark that all such documents of the band share
+            out += [prints[a:b], mix(np.array([band_[i] + (1 << 32)], dtype=np.uint64))]
+            owner.append(b - a + 1)
+        elif b - a == most + 1:
+            out.append(prints[a:b])
+            owner.append(b - a)
         else:
-            out.append(f[np.lexsort((f, rarity[f >> U(44)]))[:d + 1]])
-    return np.concatenate(out)
+            out.append(prints[a:b][np.argpartition(key[a:b], most)[:most + 1]])
+            owner.append(most + 1)
+    return (np.concatenate(out), np.repeat(doc, owner)) if out else (prints, doc)
 
 
-def folded(tokens: np.ndarray) -> np.ndarray:
-    """Parity sketch of FOLDED bits as 64-bit words."""
-    odd = np.bincount((tokens & U(FOLDED - 1)).astype(np.int64), minlength=FOLDED) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketches_of(tokens: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Each document's parity sketch folded to a power of two of bits, at least its number of tokens, as 64-bit words."""
+    n = np.diff(bounds)
+    bits = np.array([max(MIN_BITS, 1 << (int(k) - 1).bit_length()) if k else MIN_BITS for k in n.tolist()], dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    place = begin[:-1].repeat(n) + (tokens & (bits.repeat(n) - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=begin[-1]) & 1).astype(np.uint8)
+    words = np.packbits(odd, bitorder="little").view(np.int64)
+    return [words[a // 64:b // 64] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
 
 def node_of(doc_id: Column, text: Column) -> Column:
@@ -159,19 +167,16 @@ def measure(docs: DataFrame) -> DataFrame:
         waiting: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            sizes, sketches = [], []
-            for text in batch.column(2):
-                t = shingles(text.as_py())
-                sizes.append(len(t))
-                sketches.append(folded(t))
-                for b, _ in bands(len(t)) if len(t) else ():
-                    waiting.append((blocks(t, b) >> U(44)).astype(np.int64))
-                    held += len(waiting[-1])
+            for part, tokens, bounds in text_blocks(batch, 2):
+                waiting.append((blocks(tokens, bounds)[0] >> U(44)).astype(np.int64))
+                held += len(waiting[-1])
                 if held > 1_000_000:
                     counts += np.bincount(np.concatenate(waiting), minlength=CELLS)
                     waiting, held = [], 0
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array(np.diff(bounds), pa.int64()),
+                    pa.array(sketches_of(tokens, bounds), pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if waiting:
             counts += np.bincount(np.concatenate(waiting), minlength=CELLS)
         small = np.minimum(counts, 65535).astype(np.uint16)  # a task's count; the sum over tasks is not cut
@@ -229,16 +234,18 @@ def meetings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
         prints: list[np.ndarray] = []
-        nodes: list[int] = []
-        sizes: list[int] = []
+        owners: list[np.ndarray] = []  # documents' numbers in ``nodes``
+        nodes: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         twins: list[tuple[int, int, int]] = []
         first_of: dict[bytes, int] = {}
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            node, size = np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.uint32)
-            p = np.concatenate(prints)
-            owner = np.repeat(np.arange(len(prints), dtype=np.int64), [len(x) for x in prints])
+            node, size = np.concatenate(nodes), np.concatenate(sizes)
+            p, owner = np.concatenate(prints), np.concatenate(owners)
+            if not len(p):  # texts without words only
+                return
             order, first = stars(p, owner, node)
             p, owner = p[order], owner[order]
             alone = first == np.arange(len(p))
@@ -248,7 +255,7 @@ def meetings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
             keep = node[a] != node[b]
             a, b, q = a[keep], b[keep], p[joined][keep]
             rows = []
-            home = int(mix(np.array([node[0]]).view(np.uint64))[0] % U(parts))
+            home = int(mix(node[:1].view(np.uint64))[0] % U(parts)) if len(node) else 0
             if len(a):
                 rows.append((home, 1, q.tobytes(), b"", np.stack([node[a], node[b]]).tobytes(), np.stack([size[a], size[b]]).tobytes()))
             if twins:
@@ -262,25 +269,31 @@ def meetings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
                 at = order[edges[k]:edges[k + 1]]
                 need, place = np.unique(owner[at], return_inverse=True)
                 rows.append((int(k), 0, p[at].tobytes(), place.astype(np.uint32).tobytes(), node[need].tobytes(), size[need].tobytes()))
-            for x in (prints, nodes, sizes, twins):
+            for x in (prints, owners, nodes, sizes, twins):
                 x.clear()
             first_of.clear()
             for k in range(0, len(rows), 64):
                 yield packed(rows[k:k + 64])
 
         for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = shingles(text.as_py())
-                if not len(t):
-                    continue
-                twin = first_of.setdefault(xxhash.xxh3_128_digest(t.tobytes()), node)
-                if twin != node:
-                    twins.append((node, twin, len(t)))
-                    continue
-                prints.append(passed_on(t, rare))
-                nodes.append(node)
-                sizes.append(len(t))
-                held += len(prints[-1])
+            for part, tokens, bounds in text_blocks(batch, 1):
+                node = np.array(part.column(0), dtype=np.int64)
+                n = np.diff(bounds)
+                once = n > 0
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    if a < b:
+                        twin = first_of.setdefault(xxhash.xxh3_128_digest(tokens[a:b]), int(node[i]))
+                        if twin != node[i]:
+                            twins.append((int(node[i]), twin, b - a))
+                            once[i] = False
+                kept = np.flatnonzero(once)
+                tokens = tokens[np.repeat(once, n)]
+                f, doc = passed_on(tokens, np.concatenate([[0], np.cumsum(n[kept])]), rare)
+                prints.append(f)
+                owners.append(doc + sum(map(len, nodes)))
+                nodes.append(node[kept])
+                sizes.append(n[kept].astype(np.uint32))
+                held += len(f)
                 if held >= CHUNK_ENTRIES:
                     yield from flush()
                     held = 0
@@ -369,9 +382,9 @@ def bit_map(wanted: DataFrame) -> np.ndarray:
     return np.unpackbits(out).astype(bool)
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, tokens) of the wanted documents (distinct nodes), written."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_map(wanted)))
+def token_sets(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """``roles`` (node, b, _salt, hub) with the tokens of their documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_map(roles.select("node"))))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.unpackbits(shared.value).astype(bool)
@@ -382,13 +395,13 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
-                sets = [shingles(t.as_py()).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
+            for part, tokens, bounds in text_blocks(batch, 4):
+                sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], sets], ["node", "b", "_salt", "hub", "tokens"])
 
     sifted = docs.select("node", "text").mapInArrow(sift, "node long, text string")
-    return materialize(sifted.join(wanted, "node", "left_semi").mapInArrow(run, "node long, tokens array<long>"), "jac-sets")
+    return (sifted.join(roles, "node").select("node", "b", "_salt", "hub", "text")
+            .mapInArrow(run, "node long, b long, _salt int, hub boolean, tokens array<long>"))
 
 
 def _salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -405,19 +418,29 @@ def verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     salted, hubs = _salted(pairs)
     left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")).join(hubs, "b")
-    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+    def fold(s: str, other: str) -> Column:
+        """A sketch of twice the other's bits, folded once (sizes that fit differ by no more)."""
+        half = F.size(s) / 2
+        once = F.zip_with(F.slice(s, F.lit(1), half.cast("int")), F.slice(s, half.cast("int") + 1, half.cast("int")), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(s) > F.size(other), once).otherwise(F.col(s))
+
+    bits = F.aggregate(F.zip_with(fold("s_a", "s_b"), fold("s_b", "s_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                       F.lit(0), lambda t, x: t + x)
     near = materialize(salted.join(left, "a").join(right, ["b", "_salt"])
                        .where(_sizes_fit("n_a", "n_b") & (7 * bits <= F.col("n_a") + F.col("n_b")))
                        .select("a", "b").distinct(), "jac-near")
     if near.isEmpty():
         return near
-    sets = token_sets(docs, near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     salted, hubs = _salted(near)
-    both = (salted.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")).join(hubs, "b"), ["b", "_salt"]))
+    roles = materialize(salted.select(F.col("a").alias("node"), "b", "_salt", F.lit(False).alias("hub"))
+                        .unionByName(hubs.select(F.col("b").alias("node"), "b", "_salt", F.lit(True).alias("hub"))), "jac-roles")
+    sets = token_sets(docs, roles)
+    both = (sets.where(~F.col("hub")).select(F.col("node").alias("a"), "b", "_salt", F.col("tokens").alias("t_a"))
+            .join(sets.where("hub").select("b", "_salt", F.col("tokens").alias("t_b")), ["b", "_salt"]))
     common = F.size(F.array_intersect("t_a", "t_b"))
     union = F.size("t_a") + F.size("t_b") - common
-    return materialize(both.where(100 * common >= 75 * union).select("a", "b").distinct(), "jac-links")
+    return materialize(both.where(100 * common >= 75 * union).select("a", "b"), "jac-links").distinct()
 
 
 def _sizes_fit(a: str, b: str) -> Column:

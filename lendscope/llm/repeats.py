@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_hot_split, materialize, table
-from .parity_join import mix, node_of
+from .hashing import Hashes, mix
+from .parity_join import node_of
 
 GRAM = 32
 TILE = 1_000_000  # window starts that are hashed at once
@@ -47,37 +47,8 @@ HOT_LOCAL = 64  # different super-windows of one gram in a task from which the g
 GROUP = 2000  # super-windows of a group that is not split
 SUFFIX_CHUNK = 400_000  # bytes of a suffix array
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 AT = U((1 << 21) - 1)  # positions in a tile
 INNER = 1 << 15  # mark in the packed length
-BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * U(0x2545F4914F6CDD1D))
-
-
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def series(b: int) -> np.ndarray:
-        return np.cumprod(np.r_[U(1), np.full(n, U(b))], dtype=np.uint64)
-    return series(BASE), series(INVERSE)
-
-
-class Hashes:
-    """Hash of any stretch of a byte array, from prefix sums."""
-
-    def __init__(self, data: np.ndarray) -> None:
-        size = 1 << max(16, int(len(data)).bit_length())
-        power, self.inverse = _powers(size)
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[data] * power[:len(data)], dtype=np.uint64)])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
-
-    def grams(self, n: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            k = len(self.sums) - n
-            return mix((self.sums[n:] - self.sums[:k]) * self.inverse[:k] + U(n))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -109,7 +109,8 @@ def test_jaccard_one_large_group_and_a_shared_passage(spark):
 
 def test_blocks_meet_within_the_bound():
     """Sets at the threshold share one of the fingerprints that both pass on, whatever the order of blocks."""
-    from lendscope.llm.parity_join import CELLS, mix, passed_on
+    from lendscope.llm.hashing import mix
+    from lendscope.llm.parity_join import CELLS, passed_on
     rnd = np.random.default_rng(1)
     for _ in range(400):
         union = int(rnd.integers(1, 900))
@@ -119,7 +120,37 @@ def test_blocks_meet_within_the_bound():
         t = rnd.permutation(t)
         a, b = np.sort(t[:common + extra]), np.sort(np.r_[t[:common], t[common + extra:]])
         rarity = rnd.integers(0, 5, CELLS).astype(np.uint8)
-        assert len(np.intersect1d(passed_on(a, rarity), passed_on(b, rarity)))
+        f, doc = passed_on(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), rarity)
+        assert len(np.intersect1d(f[doc == 0], f[doc == 1]))
+
+
+def test_folded_sketches_bound_the_difference():
+    from lendscope.llm.hashing import mix
+    from lendscope.llm.parity_join import sketches_of
+    rnd = np.random.default_rng(2)
+    for _ in range(100):
+        n = int(rnd.integers(1, 3000))
+        t = mix(rnd.integers(0, 2**63, 2 * n).astype(np.uint64))
+        x, y = np.sort(t[:n]), np.sort(t[n // 10:n + n // 10])
+        a, b = sketches_of(np.r_[x, y], np.array([0, len(x), len(x) + len(y)]))
+        while len(a) > len(b):
+            a = a[:len(a) // 2] ^ a[len(a) // 2:]
+        while len(b) > len(a):
+            b = b[:len(b) // 2] ^ b[len(b) // 2:]
+        assert sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)) <= len(np.setxor1d(x, y))
+
+
+def test_shingle_sets_of_many_texts(mixed_docs):
+    from lendscope.llm.hashing import shingle_sets
+    texts = [t for _, t, *_ in mixed_docs]
+    tokens, bounds = shingle_sets(texts, 5)
+    known = {}
+    for i, t in enumerate(texts):
+        want = brute.shingle_set(t)
+        got = tokens[bounds[i]:bounds[i + 1]]
+        assert len(got) == len(want) and (np.diff(got.astype(object)) > 0).all()
+        known[frozenset(got.tolist())] = frozenset(want)
+    assert len(known) == len(set(known.values()))
 
 
 def test_jaccard_null_ids_repeated_rows_and_empty(spark, empty):
