@@ -290,7 +290,8 @@ def lexicon(counts: DataFrame, model_file: str, logp: np.ndarray) -> DataFrame:
     return counts.mapInArrow(run, "word binary, c long, a long, h long, lp double")
 
 
-CHUNK = "bucket int, kind int, x binary, y binary, z binary, ids binary"
+CHUNK = "bucket int, kind int, home long, x binary, y binary, z binary, ids binary"
+ANSWER = "home long, bucket int, kind int, ids binary, sums binary, docs binary, none binary"
 
 
 def score_documents(docs: DataFrame, model_file: str, rounds: int = 1, text: str = "text") -> DataFrame:
@@ -316,7 +317,7 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = 1, text: str
     shared = spark.sparkContext.broadcast(hot)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def cut(kind: int, hashes: np.ndarray, y: np.ndarray, z: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
+    def cut(kind: int, home: int, hashes: np.ndarray, y: np.ndarray, z: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
         """Packed arrays by bucket; ``ids`` is what y points into, the part of it that the bucket needs."""
         bucket = (hashes % np.uint64(parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -324,15 +325,15 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = 1, text: str
         for b in np.flatnonzero(np.diff(edges)):
             at = order[edges[b]:edges[b + 1]]
             if kind:
-                yield int(b), kind, hashes[at].tobytes(), y[at].tobytes(), z[at].tobytes(), b""
+                yield int(b), kind, home, hashes[at].tobytes(), y[at].tobytes(), z[at].tobytes(), b""
             else:
                 need, place = np.unique(y[at], return_inverse=True)
-                yield int(b), kind, hashes[at].tobytes(), place.astype(np.uint32).tobytes(), z[at].tobytes(), ids[need].tobytes()
+                yield int(b), kind, home, hashes[at].tobytes(), place.astype(np.uint32).tobytes(), z[at].tobytes(), ids[need].tobytes()
 
     def batch_of(rows_: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows_, strict=True), kinds, strict=True)],
-                                          ["bucket", "kind", "x", "y", "z", "ids"])
+                                          ["bucket", "kind", "home", "x", "y", "z", "ids"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -345,11 +346,11 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = 1, text: str
         def flush() -> pa.RecordBatch:
             h = np.array(hashes, dtype=np.uint64)
             owner = np.repeat(np.arange(len(ids)), np.diff(np.r_[docs_at, len(hashes)]))
-            out = list(cut(0, h, owner, np.array(tf, dtype=np.uint32), np.array(ids, dtype=np.int64))) if len(h) else []
+            out = list(cut(0, ids[0], h, owner, np.array(tf, dtype=np.uint32), np.array(ids, dtype=np.int64))) if len(h) else []
             numbers = np.array([x[2:] for x in sums], dtype=np.float64)
             doc_ids = np.array([x[1] or 0 for x in sums], dtype=np.int64)
             no_id = np.array([x[1] is None for x in sums])
-            out.append((int(ids[0] % parts), 2, np.array(ids, dtype=np.int64).tobytes(), numbers.tobytes(), no_id.tobytes(), doc_ids.tobytes()))
+            out.append((int(ids[0] % parts), 2, ids[0], np.array(ids, dtype=np.int64).tobytes(), numbers.tobytes(), no_id.tobytes(), doc_ids.tobytes()))
             for x in (hashes, tf, docs_at, ids, sums):
                 x.clear()
             return batch_of(out)
@@ -382,24 +383,26 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = 1, text: str
         for batch in batches:
             h = np.array(batch.column(0), dtype=np.int64).view(np.uint64)
             if len(h):
-                yield batch_of(list(cut(1, h, np.array(batch.column(1), dtype=np.int64), np.array(batch.column(2), dtype=np.float64), h)))
+                yield batch_of(list(cut(1, 0, h, np.array(batch.column(1), dtype=np.int64), np.array(batch.column(2), dtype=np.float64), h)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of each document's words in the lexicon of this partition."""
+        """Sums of each document's words in the lexicon of this partition, packed for the chunk they belong to."""
         asked: list[tuple] = []
         lists: list[tuple] = []
-        names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"]
+
+        def out(rows_: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+            names = ["home", "bucket", "kind", "ids", "sums", "docs", "none"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows_, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
-            for kind, *packed in zip(*[batch.column(i).to_pylist() for i in range(1, 6)], strict=True):
+            for bucket, kind, home, *packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if kind == 0:
-                    asked.append(tuple(packed))
+                    asked.append((home, bucket, *packed))
                 elif kind == 1:
                     lists.append(tuple(packed))
                 else:
-                    rows_ = np.frombuffer(packed[0], dtype=np.int64)
-                    s = np.frombuffer(packed[1]).reshape(-1, 4)
-                    doc_ids = pa.array(np.frombuffer(packed[3], dtype=np.int64), mask=np.frombuffer(packed[2], dtype=bool))
-                    yield pa.RecordBatch.from_arrays([pa.array(rows_), doc_ids, pa.array(s[:, 0].astype(np.int64)), pa.array(s[:, 1].astype(np.int64)), pa.array(s[:, 2]), pa.array(s[:, 3])], names)
+                    yield out([(home, -1, kind, packed[0], packed[1], packed[3], packed[2])])
         if not asked:
             return
         h = np.concatenate([np.frombuffer(x[0], dtype=np.uint64) for x in lists])
@@ -408,21 +411,38 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = 1, text: str
         c = np.concatenate([np.frombuffer(x[1], dtype=np.int64) for x in lists])[order]
         lp = np.concatenate([np.frombuffer(x[2]) for x in lists])[order]
         base = np.log10((c + SMOOTH) / below)
-        for x in asked:
-            at = np.searchsorted(h, np.frombuffer(x[0], dtype=np.uint64))
-            owner, n = np.frombuffer(x[1], dtype=np.uint32), np.frombuffer(x[2], dtype=np.uint32).astype(np.float64)
-            ids = np.frombuffer(x[3], dtype=np.int64)
-            total = [np.bincount(owner, n * v[at], len(ids)) for v in ((c > 0).astype(np.float64), base, lp)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(np.zeros(len(ids), dtype=np.int64)), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2])], names)
-
-    # Rows are told apart by number, as ids may repeat.
+        for home, bucket, hashes, owner, n, ids in asked:
+            at = np.searchsorted(h, np.frombuffer(hashes, dtype=np.uint64))
+            owner, n = np.frombuffer(owner, dtype=np.uint32), np.frombuffer(n, dtype=np.uint32).astype(np.float64)
+            sums = np.stack([np.bincount(owner, n * v[at], len(ids) // 8) for v in ((c > 0).astype(np.float64), base, lp)], axis=1)
+            yield out([(home, bucket, 0, ids, sums.tobytes(), b"", b"")])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunk's own sums plus the answers of all partitions, in the partitions' order."""
+        chunks: dict[int, tuple] = {}
+        answers: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for home, bucket, kind, ids, sums, docs_, none in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if kind == 2:
+                    chunks[home] = (ids, sums, docs_, none)
+                else:
+                    answers.setdefault(home, []).append((bucket, ids, sums))
+        names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+        for home, (ids, sums, docs_, none) in chunks.items():
+            ids = np.frombuffer(ids, dtype=np.int64)
+            s = np.frombuffer(sums).reshape(-1, 4).copy()
+            for _, some, more in sorted(answers.pop(home, []), key=lambda x: x[0]):
+                s[np.searchsorted(ids, np.frombuffer(some, dtype=np.int64)), 1:] += np.frombuffer(more).reshape(-1, 3)
+            doc_ids = pa.array(np.frombuffer(docs_, dtype=np.int64), mask=np.frombuffer(none, dtype=bool))
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(s[:, 0].astype(np.int64)), pa.array(np.rint(s[:, 1]).astype(np.int64)), pa.array(s[:, 2]), pa.array(s[:, 3])], names)
+
+    # Rows are told apart by number, as ids may repeat; numbers rise within a task, so a chunk's are sorted.
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     asked = numbered.mapInArrow(scan, CHUNK)
     lists = lex.where(~is_hot).select("h", "c", "lp").mapInArrow(pack_lexicon, CHUNK)
-    partial = (asked.unionByName(lists).repartition(parts, "bucket")
-               .mapInArrow(answer, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"))
-    sums = partial.groupBy("row").agg(F.max("doc_id").alias("doc_id"),
-                                      *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    sums = (asked.unionByName(lists).repartition(parts, "bucket").mapInArrow(answer, ANSWER)
+            .repartition(parts, "home").mapInArrow(
+                finish, "doc_id long, n_tokens long, n_known long, base_score double, score double"))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
     return sums.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
