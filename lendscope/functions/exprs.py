@@ -51,6 +51,12 @@ def seeded_u32(seed, c) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
 
 
+def seeded_u60(seed, c) -> Column:
+    """md5 of '<seed>|<value>' -> 60 bit integer, for draws from more than 2^32 rows."""
+    s = F.concat(F.lit(f"{seed}|"), col_(c).cast("string"))
+    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint")
+
+
 def decision(p) -> Column:
     p = col_(p)
     e = None

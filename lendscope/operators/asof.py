@@ -32,8 +32,11 @@ def forward_asof(left: DataFrame, right: DataFrame, by: str, left_t: Column, rig
 
     The match is the right row of the same ``by`` value with the smallest
     (``right_t``, *``right_order``) such that ``right_t >= left_t``; null if
-    none.  A right row at exactly ``left_t`` matches.
+    none.  A right row at exactly ``left_t`` matches.  A null key equals no
+    other: such right rows are left out and such left rows have no match.
     """
+    unkeyed, left = left.where(F.col(by).isNull()), left.where(F.col(by).isNotNull())
+    right = right.where(F.col(by).isNotNull())
     rfields = [right_t, *right_order] + [c for c in right.columns if c not in (by, right_t, *right_order)]
     rstruct = F.struct(*[F.col(c) for c in rfields])
     rtype = right.select(rstruct).schema[0].dataType
@@ -64,4 +67,5 @@ def forward_asof(left: DataFrame, right: DataFrame, by: str, left_t: Column, rig
            .withColumn("_nx", F.first("_fm", ignorenulls=True).over(wn))
            .where(F.col("_k") == 1).select("_c", "_b", "_nx"))
     out = inb.join(nxt, ["_c", "_b"], "left")
-    return out.select("_row.*", F.coalesce(match, "_nx").alias(match))
+    return out.select("_row.*", F.coalesce(match, "_nx").alias(match)) \
+        .unionByName(unkeyed.withColumn(match, F.lit(None).cast(rtype)))

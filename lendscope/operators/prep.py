@@ -14,18 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.exprs import try_div
-from .profile import ID, TARGET, column_name, unpivot_numeric
-from ..session import ensure_checkpoint_dir
+from .profile import ID, TARGET, column_name
+from ..session import written
 from .ranking import exact_quantiles, rank_in_class
 
 UNKNOWN = "Unknown"
-# Largest code table broadcast to the rows; bigger ones are joined with a shuffle.
-MAX_BROADCAST_CODES = 200_000
 
 
 def median_fill_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, median) over non-missing values, exact."""
-    q = exact_quantiles(unpivot_numeric(df, cols), "column", "value", [0.5])
+    q = exact_quantiles(df, cols, [0.5])
     return q.select(column_name("column", cols).alias("column"), F.col("quantile").alias("fill"))
 
 
@@ -74,10 +72,9 @@ def fill_missing(df: DataFrame, keep_types=(ID, TARGET)) -> tuple[DataFrame, dic
     else:
         stats = df.sparkSession.range(1).select(*[F.lit(None).cast("string").alias(c) for c in num + cat])
     renamed = stats.select(*[F.col(c).alias(f"_fill_{c}") for c in num + cat])
-    # the fitted fill values are one row: write them once so later actions
-    # (code-table sizing, the final scan) do not refit them
-    ensure_checkpoint_dir(df.sparkSession)
-    renamed = renamed.checkpoint(eager=True)
+    # the fitted fill values are one row: write them once so that later
+    # actions (codes, the final scan) do not refit them
+    renamed = written(renamed, "fill-values")
     # one row: a bounded broadcast
     j = df.crossJoin(F.broadcast(renamed))
     out = j.select(*[F.coalesce(F.col(c), F.col(f"_fill_{c}").cast("double").cast(types[c])).alias(c)
@@ -93,15 +90,18 @@ def fill_missing(df: DataFrame, keep_types=(ID, TARGET)) -> tuple[DataFrame, dic
 def label_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     """PREP-3: (column, value, code) with codes 0.. over sorted distinct values.
 
-    Strings sort by code point, and so do their 2-character prefixes: the
-    distinct values are ranked inside each (column, prefix) and shifted by
-    the running count of the earlier prefixes of the column, so a column
-    with a huge vocabulary is never sorted in one task.
+    The distinct values are sorted by ranges of (column, value), whose
+    bounds Spark takes from the values' distribution; each range is numbered
+    on its own and shifted by what its column has in earlier ranges.  So a
+    vocabulary is split evenly whatever its values begin with.
     """
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    d = long.where(F.col("value").isNotNull()).distinct().withColumn("_p", F.substring("value", 1, 2))
+    ranges = (long.where(F.col("value").isNotNull()).distinct().repartitionByRange("column", "value")
+              .withColumn("_p", F.spark_partition_id()))
+    # written once: counts and rows have to see the same ranges
+    d = written(ranges, "label-ranges")
     cnt = d.groupBy("column", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per (column, prefix): bounded by the prefix alphabet
+    # one row per column and range
     w_off = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.select("column", "_p", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
     w = Window.partitionBy("column", "_p").orderBy("value")
@@ -110,18 +110,17 @@ def label_codes(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def encode(df: DataFrame, cols: list[str], codes: DataFrame | None = None) -> DataFrame:
-    """Replace each text column by its integer code."""
+    """Replace each text column by its integer code.
+
+    The code tables are joined without a hint: adaptive execution broadcasts
+    those that are measured to be small and shuffles the others.
+    """
     if not cols:
         return df
-    codes = codes if codes is not None else label_codes(df, cols)
-    ensure_checkpoint_dir(df.sparkSession)
-    codes = codes.checkpoint(eager=True)  # small fitted table, sized once and reused by every join
-    n_codes = codes.count()
-    small = n_codes <= MAX_BROADCAST_CODES
+    codes = codes if codes is not None else written(label_codes(df, cols), "label-codes")
     out = df
     for c in cols:
         cc = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        cc = F.broadcast(cc) if small else cc
         out = out.join(cc, out[c] == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
         out = out.withColumn(c, F.col(f"_c_{c}")).drop(f"_c_{c}")
     return out
@@ -147,9 +146,10 @@ def stratified_split(df: DataFrame, target: str = TARGET, id_col: str = ID, test
 
 def scaler_stats(train: DataFrame, cols: list[str]) -> DataFrame:
     """PREP-5: (column, mean, std) with the population std, fitted on train rows."""
-    long = unpivot_numeric(train, cols)
-    g = long.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return g.select(column_name("column", cols).alias("column"), "mean", "std")
+    one = train.agg(*[F.struct(F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_pop(F.col(c).cast("double")).alias("std"))
+                      .alias(f"s{i}") for i, c in enumerate(cols)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}.mean").alias("mean"),
+                                                  F.col(f"s{i}.std").alias("std")) for i, c in enumerate(cols)])))
 
 
 def standardize(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
@@ -165,21 +165,25 @@ def standardize(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
 def anova_f(train: DataFrame, cols: list[str], target: str = TARGET, k: int = 20) -> DataFrame:
     """PREP-6: one-way ANOVA F of every column against the target; top k selected.
 
-    F is computed from per-class n, sum and sum of squares in one pass.
-    Columns with zero within-class variance get a null F and are not
-    selected.
+    One aggregate of count, mean and variance per class and column; the sums
+    of squares around the class means don't cancel, however large the values
+    are.  A column whose classes are constant but differ separates them
+    perfectly (infinite F, ranked first); one that is constant altogether has
+    no F and is not selected.
     """
-    long = unpivot_numeric(train, cols, keep=[target])
-    v = F.col("value")
-    g = long.groupBy("column", target).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
-    a = g.groupBy("column").agg(
-        F.sum("n").alias("N"), F.sum("s").alias("S"), F.count(F.lit(1)).alias("k"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between_raw"),
-        F.sum("ss").alias("SS"))
-    ssb = F.col("between_raw") - F.col("S") * F.col("S") / F.col("N")
-    ssw = F.col("SS") - F.col("between_raw")
-    f = try_div(ssb / (F.col("k") - 1), F.when(ssw > 0, ssw) / (F.col("N") - F.col("k")))
-    out = a.select(column_name("column", cols).alias("column"), f.alias("f_score"))
+    g = train.where(F.col(target).isNotNull()).groupBy(target).agg(*[
+        F.struct(F.count(c).alias("n"), F.avg(F.col(c).cast("double")).alias("m"), F.var_pop(F.col(c).cast("double")).alias("v"))
+        .alias(f"s{i}") for i, c in enumerate(cols)])
+    per = g.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}.n").alias("n"), F.col(f"s{i}.m").alias("m"),
+                                               F.col(f"s{i}.v").alias("v")) for i, c in enumerate(cols)]))).where("n > 0")
+    # one row per class and column from here on
+    mean = per.groupBy("column").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_all"))
+    a = per.join(F.broadcast(mean), "column").groupBy("column").agg(
+        F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("v")).alias("ssw"),
+        F.sum(F.col("n") * (F.col("m") - F.col("_all")) * (F.col("m") - F.col("_all"))).alias("ssb"))
+    f = F.when(F.col("ssw") > 0, try_div(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k")))) \
+        .when(F.col("ssb") > 0, F.lit(float("inf")))
+    out = a.select("column", F.when(F.col("k") > 1, f).alias("f_score"))
     w = Window.orderBy(F.col("f_score").desc_nulls_last(), F.col("column"))
     r = out.withColumn("rank", F.row_number().over(w))
     return r.withColumn("selected", F.col("f_score").isNotNull() & (F.col("rank") <= k))

@@ -114,20 +114,23 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, top: int | None =
     are left out; the percentage is over all rows.
     """
     cols = cols if cols is not None else numeric_columns(df)
-    long = unpivot_numeric(df, cols)
-    q = exact_quantiles(long, "column", "value", [0.25, 0.75])
+    q = exact_quantiles(df, cols, [0.25, 0.75])
     qs = q.groupBy("column").agg(F.max(F.when(F.col("q") == 0.25, F.col("quantile"))).alias("q1"),
                                  F.max(F.when(F.col("q") == 0.75, F.col("quantile"))).alias("q3"),
                                  F.first("n").alias("n_valid"))
-    total = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    qs = qs.crossJoin(F.broadcast(total)) \
-        .where((F.col("n_valid") >= F.col("n_rows") * MIN_VALID_SHARE) & (F.col("q3") - F.col("q1") > 0))
-    iqr = F.col("q3") - F.col("q1")
-    # one row per numeric column: a bounded broadcast
-    j = long.join(F.broadcast(qs), "column")
-    v = F.col("value")
-    c = j.groupBy("column", "q1", "q3", "n_rows").agg(
-        F.count_if((v < F.col("q1") - IQR_K * iqr) | (v > F.col("q3") + IQR_K * iqr)).alias("outliers"))
+    # one row with both quartiles of every column: a bounded broadcast
+    fences = qs.groupBy().pivot("column", list(range(len(cols)))).agg(F.first(F.struct("q1", "q3", "n_valid")))
+    iqr = [F.col(f"`{i}`.q3") - F.col(f"`{i}`.q1") for i in range(len(cols))]
+    v = [F.col(f"v{i}") for i in range(len(cols))]
+    rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    one = rows.crossJoin(F.broadcast(fences)).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.count_if((v[i] < F.col(f"`{i}`.q1") - IQR_K * iqr[i]) | (v[i] > F.col(f"`{i}`.q3") + IQR_K * iqr[i]))
+          .alias(f"o{i}") for i in range(len(cols))])
+    c = (one.crossJoin(F.broadcast(fences)).select("n_rows", F.inline(F.array(*[F.struct(
+        F.lit(i).alias("column"), F.col(f"`{i}`.q1").alias("q1"), F.col(f"`{i}`.q3").alias("q3"),
+        F.col(f"`{i}`.n_valid").alias("n_valid"), F.col(f"o{i}").alias("outliers")) for i in range(len(cols))])))
+        .where((F.col("n_valid") >= F.col("n_rows") * MIN_VALID_SHARE) & (F.col("q3") - F.col("q1") > 0)))
     out = c.where(F.col("outliers") > 0).select(
         column_name("column", cols).alias("column"), "q1", "q3", F.col("outliers").cast("bigint").alias("outliers"),
         (F.col("outliers") / F.col("n_rows") * 100).alias("percentage"))
@@ -154,11 +157,14 @@ def target_correlation(df: DataFrame, target: str = TARGET, top: int | None = 10
     Constant columns (zero variance) give no correlation and are left out.
     """
     cols = numeric_columns(df, exclude=(ID, target))
-    long = unpivot_numeric(df, cols, keep=[target]) \
-        .where(F.col("value").isNotNull() & F.col(target).isNotNull())
     y = F.col(target).cast("double")
-    g = long.groupBy("column").agg(F.covar_pop("value", y).alias("cov"),
-                                   F.stddev_pop("value").alias("sx"), F.stddev_pop(y).alias("sy"))
+    # one aggregate over all columns: no row is multiplied
+    one = df.agg(*[F.struct(F.covar_pop(x, yy).alias("cov"), F.stddev_pop(x).alias("sx"), F.stddev_pop(yy).alias("sy"))
+                   .alias(f"s{i}") for i, c in enumerate(cols)
+                   for x, yy in [(F.when(y.isNotNull(), F.col(c).cast("double")), F.when(F.col(c).isNotNull(), y))]])
+    g = one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"s{i}.cov").alias("cov"),
+                                               F.col(f"s{i}.sx").alias("sx"), F.col(f"s{i}.sy").alias("sy"))
+                                      for i in range(len(cols))])))
     r = g.select(column_name("column", cols).alias("column"),
                  F.abs(try_div(F.col("cov"), F.col("sx") * F.col("sy"))).alias("abs_corr")) \
         .where(F.col("abs_corr").isNotNull())

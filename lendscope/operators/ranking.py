@@ -1,31 +1,51 @@
 """Order statistics without a single-partition sort.
 
 ``Window.orderBy`` without ``partitionBy`` moves every row into one task.
-The two primitives here keep the work spread:
+The primitives here keep the work spread:
 
-* ``prefix_sums``: running sums in value order.  Rows are split into
-  equal-width value buckets, summed inside each bucket (one window
-  partition per bucket) and shifted by the running total of the bucket
-  totals (at most ``nbuckets`` rows, broadcast back).
+* ``prefix_sums``: running sums in value order.  Bucket edges are
+  percentiles of the values (a mergeable sketch), so buckets hold about
+  the same number of distinct values whatever the distribution; a row
+  finds its bucket by two short searches.  Buckets are summed inside (one
+  window partition each) and shifted by the running total of the bucket
+  totals.
+* ``exact_quantiles``: rank selection by refinement.  One aggregate
+  brackets every wanted rank of every column by two percentiles of a
+  sketch with a guaranteed error; a second scan counts what lies below
+  and passes on only the values inside the brackets.
 * ``rank_in_class``: exact row numbers per class in seeded-hash order.
-  The 32-bit hash is uniform, so its top 12 bits split every class into
-  4,096 even buckets whatever the class sizes are; a bucket's offset is
-  the running count of the earlier buckets of its class.
+  The 32-bit hash is uniform, so its top bits split every class into even
+  buckets whatever the class sizes are; a bucket's offset is the running
+  count of the earlier buckets of its class.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import seeded_u32
-from ..session import ensure_checkpoint_dir
 
 NBUCKETS = 1024
 HASH_BUCKET_BITS = 12
+ACCURACY = 10_000  # the sketch's rank error is at most n / ACCURACY
+
+
+def bucket_count(df: DataFrame, least: int = NBUCKETS) -> int:
+    """Buckets of a rank operator: several for each shuffle partition, so parallelism follows the cluster's."""
+    return max(least, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _search(edges: Column, step: int, v: Column) -> Column:
+    """Number of sorted ``edges`` that are at most ``v``, looking at every ``step``-th first."""
+    coarse = F.size(F.filter(edges, lambda e, i: (i % step == 0) & (e <= v)))
+    at = F.greatest(coarse - 1, F.lit(0)) * step
+    return at + F.size(F.filter(F.slice(edges, at + 1, step), lambda e: e <= v))
 
 
-def prefix_sums(df: DataFrame, order_col: str, cols: list[str], nbuckets: int = NBUCKETS,
+def prefix_sums(df: DataFrame, order_col: str, cols: list[str], nbuckets: int | None = None,
                 suffix: str = "_cum", by: list[str] | None = None) -> DataFrame:
     """Inclusive running sums of ``cols`` in ascending ``order_col`` order.
 
@@ -34,14 +54,14 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], nbuckets: int =
     the sums per group (e.g. per column of an unpivoted table).
     """
     by = list(by or [])
+    nbuckets = nbuckets or bucket_count(df)
+    step = math.isqrt(nbuckets)
     v = F.col(order_col).cast("double")
-    bounds = df.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    # one row per group of ``by`` (a handful of columns): a bounded broadcast
+    shares = F.array(*[F.lit(i / nbuckets) for i in range(1, nbuckets)])
+    bounds = df.groupBy(*by).agg(F.percentile_approx(v, shares, 10 * nbuckets).alias("_edges"))
+    # one row of nbuckets edges per group of ``by`` (a handful of columns): a bounded broadcast
     d = df.join(F.broadcast(bounds), by) if by else df.crossJoin(F.broadcast(bounds))
-    span = F.col("_hi") - F.col("_lo")
-    b = F.when(span > 0, F.least(F.floor((v - F.col("_lo")) / span * nbuckets),
-                                 F.lit(nbuckets - 1))).otherwise(F.lit(0)).cast("int")
-    d = d.withColumn("_b", b).drop("_lo", "_hi")
+    d = d.withColumn("_b", _search(F.col("_edges"), step, v)).drop("_edges")
     w_in = Window.partitionBy(*by, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     for c in cols:
         d = d.withColumn(f"{c}_in", F.sum(c).over(w_in))
@@ -57,35 +77,54 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], nbuckets: int =
     return d.drop("_b")
 
 
-def exact_quantiles(long: DataFrame, key: str, value: str, qs: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy default).
 
-    ``long`` is an unpivoted table (key, value).  Values are counted per
-    distinct (key, value), ranked with ``prefix_sums`` and the two order
-    statistics around position (n - 1) * q are picked by a band join
-    against the small target table.  No group is ever held in memory,
-    unlike ``percentile``.  Returns (key, q, quantile, n).
+    (column index, q, quantile, n) for the non-missing values of ``cols``;
+    quantile is null where there are none.  The order statistics around
+    position (n - 1) * q lie between the percentiles q - 3e and q + 3e of a
+    sketch with rank error e * n (or minimum and maximum for small n), so
+    only values between those are ranked; nothing is checkpointed and no
+    row is multiplied by the number of columns before a shuffle.
     """
-    g = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))) \
-        .groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    # the ranked value counts feed three consumers: write them once
-    ensure_checkpoint_dir(long.sparkSession)
-    g = prefix_sums(g, "_v", ["_c"], by=[key]).checkpoint(eager=True)
-    n = g.groupBy(key).agg(F.sum("_c").alias("n"))
-    tgt = n.select(key, "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")) \
-        .withColumn("_pos", (F.col("n") - 1) * F.col("q")) \
-        .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-    # targets: (#keys x #qs x 2) rows, a bounded broadcast; each value row probes its key
-    t = tgt.select(key, "q", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_lo").alias("_r")),
-        F.struct(F.lit(1).alias("side"), F.col("_hi").alias("_r")))).alias("_t")).select(key, "q", "_t.*")
-    picks = g.join(F.broadcast(t), key) \
-        .where((F.col("_c_cum") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_c_cum"))) \
-        .groupBy(key, "q").agg(F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("v_lo"),
-                               F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("v_hi"))
-    out = tgt.join(picks, [key, "q"], "left")
-    qv = F.col("v_lo") + (F.col("_pos") - F.col("_lo")) * (F.col("v_hi") - F.col("v_lo"))
-    return out.select(key, "q", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(qv)
+    vals = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]
+    d = df.select(*vals)
+    eps = 3.0 / ACCURACY
+    ps = [min(1.0, max(0.0, q + s * eps)) for q in qs for s in (-1, 1)]
+    one = d.agg(*[F.struct(F.count(f"v{i}").alias("n"), F.min(f"v{i}").alias("lo"), F.max(f"v{i}").alias("hi"),
+                           F.percentile_approx(f"v{i}", F.array(*[F.lit(p) for p in ps]), ACCURACY).alias("p")).alias(f"s{i}")
+                  for i in range(len(cols))])
+
+    def bracket(i: int, k: int) -> tuple[Column, Column]:
+        s, few = F.col(f"s{i}"), F.col(f"s{i}.n") < ACCURACY
+        return (F.when(few, s["lo"]).otherwise(F.get(s["p"], F.lit(2 * k))),
+                F.when(few, s["hi"]).otherwise(F.get(s["p"], F.lit(2 * k + 1))))
+
+    cells = [(i, k, q) for i in range(len(cols)) for k, q in enumerate(qs)]
+    # one row of sketches: a bounded broadcast
+    j = d.crossJoin(F.broadcast(one))
+    inside = F.array(*[F.when(F.col(f"v{i}").between(*bracket(i, k)), F.struct(
+        F.lit(i).alias("column"), F.lit(q).alias("q"), F.col(f"v{i}").alias("v"))) for i, k, q in cells])
+    near = (j.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x")).select("x.*")
+            .groupBy("column", "q", "v").agg(F.count(F.lit(1)).alias("c")))
+    ranked = prefix_sums(near, "v", ["c"], by=["column", "q"])
+    below = j.agg(*[F.count_if(F.col(f"v{i}") < bracket(i, k)[0]).alias(f"b{i}_{k}") for i, k, _ in cells])
+    # one row again: the ranks wanted of each column and quantile
+    want = one.crossJoin(F.broadcast(below)).select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("column"), F.lit(q).alias("q"), F.col(f"s{i}.n").alias("n"), F.col(f"b{i}_{k}").alias("below"))
+        for i, k, q in cells])))
+    pos = (F.col("n") - 1) * F.col("q")
+    first, last = F.floor(pos) - F.col("below"), F.ceil(pos) - F.col("below")
+    # (columns x quantiles) rows: a bounded broadcast
+
+    def at(r: Column) -> Column:
+        return F.max(F.when((F.col("c_cum") - F.col("c") <= r) & (r < F.col("c_cum")), F.col("v")))
+
+    picks = (ranked.join(F.broadcast(want), ["column", "q"])
+             .groupBy("column", "q").agg(at(first).alias("v_lo"), at(last).alias("v_hi")))
+    out = want.join(picks, ["column", "q"], "left")
+    between = F.col("v_lo") + (pos - F.floor(pos)) * (F.col("v_hi") - F.col("v_lo"))
+    return out.select("column", "q", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(between)
                       .alias("quantile"), "n")
 
 
@@ -96,10 +135,11 @@ def rank_in_class(df: DataFrame, class_col: str | None, id_col: str, seed: int |
     Optionally adds ``size_col`` with the class size.
     """
     h = seeded_u32(seed, F.col(id_col))
-    d = df.withColumn("_h", h).withColumn("_hb", F.shiftright("_h", 32 - HASH_BUCKET_BITS))
+    bits = min(32, max(HASH_BUCKET_BITS, math.ceil(math.log2(bucket_count(df)))))
+    d = df.withColumn("_h", h).withColumn("_hb", F.shiftright("_h", 32 - bits))
     keys = [class_col] if class_col else []
     cnt = d.groupBy(*keys, "_hb").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 4,096 rows per class
+    # at most 2^bits rows per class
     w_off = (Window.partitionBy(*keys) if keys else Window).orderBy("_hb") \
         .rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.select(*keys, "_hb", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"),
@@ -107,6 +147,6 @@ def rank_in_class(df: DataFrame, class_col: str | None, id_col: str, seed: int |
                         .alias(size_col)] if size_col else []))
     w = Window.partitionBy(*keys, "_hb").orderBy("_h", id_col)
     d = d.withColumn("_rn", F.row_number().over(w))
-    # the offsets table is bounded by classes x 4,096
+    # the offsets table is bounded by classes x 2^bits
     d = d.join(F.broadcast(off), keys + ["_hb"])
     return d.withColumn(rank_col, (F.col("_rn") + F.col("_off")).cast("bigint")).drop("_h", "_hb", "_rn", "_off")

@@ -128,6 +128,16 @@ SQL["monitor_kpis_30d"] = kpis(30)
 SQL["label_join"] = with_log() + """
 select id, customer_id, actual_outcome, feedback_date, feedback_id from lab"""
 
+SQL["label_join_null_keys"] = with_(RAW_PREDICTIONS, SCORED, FEEDBACK) + """,
+p as (select id, "timestamp" t, case when split_part(customer_id, '_', 2)::bigint % 5 <> 0 then customer_id end as customer_id from scored),
+f as (select feedback_id, feedback_ts, actual_outcome, case when split_part(customer_id, '_', 2)::bigint % 5 <> 0 then customer_id end as customer_id from feedback),
+m as (select p.id, arg_min(struct_pack(a := f.actual_outcome, t := f.feedback_ts, i := f.feedback_id), struct_pack(t := f.feedback_ts, i := f.feedback_id)) as m
+   from p join f on f.customer_id = p.customer_id and f.feedback_ts >= p.t group by 1)
+select p.id, p.customer_id, m.m.a as actual_outcome, m.m.t as feedback_date, m.m.i as feedback_id from p left join m on m.id = p.id"""
+
+SQL["stream_labels"] = with_log() + """
+select id, actual_outcome, feedback_id from lab where feedback_id is not null"""
+
 SQL["unmatched_feedback"] = with_log() + """
 select f.* from feedback f
 where f.feedback_id not in (select feedback_id from lab where feedback_id is not null)"""
@@ -424,13 +434,36 @@ SQL["scaler_stats"] = with_train() + """
 select "column", round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from long group by 1"""
 
 SQL["anova_f_top20"] = with_train() + """,
-g as (select "column", "Default", count(value) n, sum(value) s, sum(value * value) ss from long group by 1, 2),
-a as (select "column", sum(n) N, sum(s) S, count(*) k, sum(s * s / n) br, sum(ss) SS from g group by 1),
-f as (select "column", ((br - S * S / N) / (k - 1)) / (case when SS - br > 0 then SS - br end / (N - k)) as f from a)
+g as (select "column", "Default", count(value) n, avg(value) m, var_pop(value) v from long group by 1, 2 having count(value) > 0),
+o as (select "column", sum(n * m) / sum(n) as all_m from g group by 1),
+a as (select "column", sum(n) N, count(*) k, sum(n * v) ssw, sum(n * (m - all_m) * (m - all_m)) ssb from g join o using ("column") group by 1),
+f as (select "column", case when k < 2 then null when ssw > 0 then (ssb / (k - 1)) / (ssw / (N - k))
+   when ssb > 0 then 'inf'::double end as f from a)
 select "column", round(f, 6) as f_score, row_number() over (order by f desc nulls last, "column") as rank,
  f is not null and row_number() over (order by f desc nulls last, "column") <= 20 as selected
 from f"""
 
+SQL["anova_f_edges"] = with_(LOANS) + """, x as (select "Default" y, (ID % 7 + 100000000)::double large_mean, (ID % 7)::double small_mean,
+   "Default" * 3.0::double separator, 5.0::double as constant from loans),
+long as (unpivot x on large_mean, small_mean, separator, constant into name "column" value value),
+g as (select "column", y, count(value) n, avg(value) m, var_pop(value) v from long group by 1, 2),
+o as (select "column", sum(n * m) / sum(n) as all_m from g group by 1),
+a as (select "column", sum(n) N, count(*) k, sum(n * v) ssw, sum(n * (m - all_m) * (m - all_m)) ssb from g join o using ("column") group by 1),
+f as (select "column", case when ssw > 0 then (ssb / (k - 1)) / (ssw / (N - k)) when ssb > 0 then 'inf'::double end as f from a)
+select "column", round(f, 6) as f_score, row_number() over (order by f desc nulls last, "column") as rank,
+ f is not null and row_number() over (order by f desc nulls last, "column") <= 2 as selected from f"""
+
+SQL["rank_models"] = with_(LOANS) + """, g as (select Client_Education as Model, avg("Default") p, avg(House_Own) auc, avg(Bike_Owned) f1,
+   avg(Car_Owned) - avg(House_Own) gap from loans where Client_Education is not null group by 1),
+s as (select *, 0.4 * auc + 0.3 * f1 + 0.2 * p + (-0.1) * gap as score from g)
+select Model, round(p, 6) as Test_Precision, round(auc, 6) as Test_ROC_AUC, round(f1, 6) as Test_F1, round(gap, 6) as Overfitting_Gap,
+ case when gap < 0.05 then 'green' when gap < 0.15 then 'amber' else 'red' end as Gap_Status, round(score, 6) as Composite_Score,
+ row_number() over (order by score desc, Model)::int as Rank from s"""
+
+SQL["duplicate_rows_coarse"] = with_(LOANS) + """
+select (count(*) - (select count(*) from (select distinct "Default", Bike_Owned, Child_Count, Client_Income_Type from loans)))::bigint
+ as duplicate_rows from loans"""
+
 SQL["undersample_train"] = with_train() + f""",
 r as (select ID, "Default", row_number() over (partition by "Default" order by {_HASH}, ID) rk,
    (select count(*) from train where "Default" = 1) n1 from train)
@@ -754,14 +787,14 @@ SQL["knn_minority_embeddings"] = with_(KNN) + """
 select id, nn_rank::int as nn_rank, nid as neighbor_id, round(d, 6) as sq_dist from knn"""
 
 
-def _h(tag: str) -> str:
-    return f"('0x' || substr(md5('42|' || i::varchar || '|{tag}'), 1, 8))::bigint"
+def _h(tag: str, digits: int = 8) -> str:
+    return f"('0x' || substr(md5('42|' || i::varchar || '|{tag}'), 1, {digits}))::bigint"
 
 
 SQL["smote_embeddings"] = with_(KNN) + f""",
 cnt as (select count(*) filter (where label = 0) m, count(*) filter (where label <> 0) nmaj from embeddings),
 idx as (select unnest(range(0, greatest(floor(nmaj / 3.0)::bigint - m, 0))) i, m from cnt),
-syn as (select i syn_id, {_h('b')} % m + 1 base_no, {_h('n')} % least(3, m - 1) + 1 nn_rank,
+syn as (select i syn_id, {_h('b', 15)} % m + 1 base_no, {_h('n')} % least(3, m - 1) + 1 nn_rank,
    {_h('g')} / 4294967296.0 gap from idx),
 v as (select s.syn_id, list_transform(list_zip(b.v, n.v), lambda x: x[1]::double + s.gap * (x[2]::double - x[1]::double)) vec
    from syn s join mino b on b.base_no = s.base_no
@@ -781,10 +814,9 @@ _FINISH_DAILY = """select day, total_predictions::bigint as total_predictions,
  round(reviews / total_predictions, 6) as review_rate, round(sum_probability / total_predictions, 6) as avg_probability,
  round(sum_latency / nullif(n_latency, 0), 6) as avg_processing_time_ms"""
 
-# The last day's window closes only when the watermark passes its end,
-# which the input never reaches: the stream emits every day but the last.
+# The last day is still open: no later event has closed it.
 SQL["stream_daily_kpis"] = with_(RAW_PREDICTIONS, SCORED, _DAILY_PARTIALS) + _FINISH_DAILY + \
-    " from daily where day < (select max(day) from daily)"
+    ", day < (select max(day) from daily) as closed from daily"
 
 SQL["sliding_7d_kpis"] = with_(RAW_PREDICTIONS, SCORED, _DAILY_PARTIALS) + """,
 s as (select day, """ + ", ".join(
@@ -792,7 +824,29 @@ s as (select day, """ + ", ".join(
     for c in ["total_predictions", "approved", "rejected", "reviews", "sum_probability", "sum_latency", "n_latency"]) + \
     " from daily)\n" + _FINISH_DAILY + " from s"
 
+SQL["stream_sliding_7d_kpis"] = SQL["sliding_7d_kpis"]
+
 SQL["stream_alert_cooldown"] = SQL["alert_cooldown"]
 
 SQL["loans_csv_roundtrip"] = SQL["loans_typed"]
 SQL["alert_log_roundtrip"] = SQL["alerts_7d"]
+
+
+# ---------------------------------------------------------------- the shifted log
+
+_RECENT = f"ts >= {AS_OF} - interval 7 day"
+_SHIFTED_P = f"""(case when {_RECENT} then least(least(value / 200.0::double, 1.0::double) * 1.5::double + 0.2::double, 1.0::double)
+   else least(value / 200.0::double, 1.0::double) end)"""
+RAW_SHIFTED = f"""
+raw_predictions as (
+ select event_id as id, ts as "timestamp", concat('customer_', cast(user_id as varchar)) as customer_id,
+  {_SHIFTED_P} as probability, cast({_SHIFTED_P} >= 0.5::double as int) as prediction,
+  case when regexp_extract(props,'([0-9]+)',1) in ('7','77') then null
+       else cast(regexp_extract(props,'([0-9]+)',1) as double) * 6 * (case when {_RECENT} then 20 else 1 end) end as processing_time_ms
+ from events where event_type in ('view','click','signup') and ({_RECENT} or event_id % 4 = 0))"""
+FEEDBACK_SHIFTED = FEEDBACK.replace("cast(event_type = 'error' as int) as actual_outcome",
+                                    "cast(event_type = 'error' and event_id % 10 = 0 as int) as actual_outcome")
+
+for _name in ("alerts_7d", "drift_7d_vs_30d", "health_check", "model_status"):
+    SQL[{"alerts_7d": "alerts_shifted", "drift_7d_vs_30d": "drift_shifted"}.get(_name, f"{_name}_shifted")] = \
+        SQL[_name].replace(RAW_PREDICTIONS, RAW_SHIFTED).replace(FEEDBACK, FEEDBACK_SHIFTED)

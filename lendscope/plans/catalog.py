@@ -271,28 +271,50 @@ def threshold_choice(spark, sf):
 # ---------------------------------------------------------------- drift, alerts, health
 
 from ..operators import alerts as AL  # noqa: E402
+from ..session import shared_dir, written  # noqa: E402
 
 
 # The longest look-back of a monitoring cycle (ROI, volume history, drift baseline).
 CYCLE_DAYS = 30
 
 
-def cycle_log(spark, sf):
+def cycle_log(spark, sf, log=T.prediction_log):
     """The labelled log of one monitoring cycle, written once to the shared
-    checkpoint folder: every metric of the cycle then scans that table
-    instead of repeating the as-of join."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return T.prediction_log(spark, sf, CYCLE_DAYS).checkpoint(eager=True)
+    folder: every metric of the cycle then scans that table instead of
+    repeating the as-of join."""
+    return written(log(spark, sf, CYCLE_DAYS), "cycle-log")
 
 
-def monitoring_frames(spark, sf):
-    log = cycle_log(spark, sf)
-    k7 = monitor.performance_metrics(log, 7)
-    drift = AL.detect_drift(log)
+def monitoring_frames(spark, sf, source=T.prediction_log):
+    """The cycle's frames; the few rows that several consumers read are computed once and written."""
+    log = cycle_log(spark, sf, source)
+    k7 = written(monitor.performance_metrics(log, 7), "cycle-kpis")
+    drift = written(AL.detect_drift(log), "cycle-drift")
     al = AL.generate_alerts(k7, AL.history_total(log)).unionByName(AL.drift_alerts(drift))
-    roi = monitor.roi_metrics(log, 30)
-    return log, k7, drift, al, roi
+    roi = written(monitor.roi_metrics(log, 30), "cycle-roi")
+    return log, k7, drift, written(al, "cycle-alerts"), roi
+
+
+@query("drift_shifted")
+def drift_shifted(spark, sf):
+    return finish(AL.detect_drift(T.shifted_log(spark, sf, 30)))
+
+
+@query("alerts_shifted")
+def alerts_shifted(spark, sf):
+    return finish(monitoring_frames(spark, sf, T.shifted_log)[3])
+
+
+@query("health_check_shifted")
+def health_check_shifted(spark, sf):
+    _, k7, drift, al, roi = monitoring_frames(spark, sf, T.shifted_log)
+    return AL.health_status(k7, al, drift, roi)
+
+
+@query("model_status_shifted")
+def model_status_shifted(spark, sf):
+    log = cycle_log(spark, sf, T.shifted_log)
+    return finish(AL.model_status(written(monitor.performance_metrics(log, 7), "cycle-kpis"), AL.detect_drift(log)))
 
 
 @query("drift_7d_vs_30d")
@@ -315,7 +337,7 @@ def health_check(spark, sf):
 @query("model_status")
 def model_status(spark, sf):
     log = cycle_log(spark, sf)
-    return finish(AL.model_status(monitor.performance_metrics(log, 7), AL.detect_drift(log)))
+    return finish(AL.model_status(written(monitor.performance_metrics(log, 7), "cycle-kpis"), AL.detect_drift(log)))
 
 
 @query("alert_cooldown")
@@ -436,6 +458,7 @@ def smote_embeddings(spark, sf):
 
 # ---------------------------------------------------------------- training (rows-only checks)
 
+from ..operators import scoring as SC  # noqa: E402
 from . import training as TR  # noqa: E402
 
 
@@ -456,10 +479,58 @@ def sampling_comparison(spark, sf):
     return TR.sampling_comparison(prepared(spark, sf))
 
 
+@query("score_applications")
+def score_applications(spark, sf):
+    """SNK-5 / SRC-6 / SCO-1: fit, save the package, load it, score raw applications."""
+    source = featured_loans(spark, sf)
+    p = TR.prepare(prep.ml_table(source, keep_id=True))
+    f = TR.with_vector(p.train, p.features)
+    est, scheme = TR.estimators("moderate", p.train.count())["Logistic Regression"]
+    model = est.fit(TR.weighted(f, scheme))
+    path = shared_dir(spark, "package")
+    TR.save_model(TR.package(source, p.features, model, p.train.select("ID")), p.features, path, threshold=None)
+    pm, features, threshold = TR.load_model(path)
+    apps = TR.raw_rows(validated_applications(spark, sf).where("is_valid"), features, source)
+    return finish(SC.score(pm, apps, threshold).select("ID", "probability", "prediction", "decision", "confidence_level"))
+
+
+@query("rank_models")
+def rank_models(spark, sf):
+    """ML-8 / ML-9 / SORT-2 on a metrics table made from the labelled loans: one "model" per education level."""
+    d = T.loans(spark, sf)
+    g = d.groupBy(F.col("Client_Education").alias("Model")).agg(
+        F.avg("Default").alias("Test_Precision"), F.avg("House_Own").alias("Test_ROC_AUC"),
+        F.avg("Bike_Owned").alias("Test_F1"), (F.avg("Car_Owned") - F.avg("House_Own")).alias("Overfitting_Gap"))
+    return finish(TR.rank_models(g.where(F.col("Model").isNotNull())))
+
+
+@query("anova_f_edges")
+def anova_f_edges(spark, sf):
+    """PREP-6 on columns with large means, perfect separation and no variance."""
+    d = T.loans(spark, sf).select(
+        "Default", (F.col("ID") % 7 + 100_000_000).cast("double").alias("large_mean"), (F.col("ID") % 7).cast("double").alias("small_mean"),
+        (F.col("Default") * 3.0).alias("separator"), F.lit(5.0).alias("constant"))
+    return finish(prep.anova_f(d, ["large_mean", "small_mean", "separator", "constant"], k=2))
+
+
+@query("label_join_null_keys")
+def label_join_null_keys(spark, sf):
+    """JOIN-1 where every fifth customer is unknown on both sides."""
+    from ..operators.labels import attach_outcomes
+    known = F.when(F.substring_index("customer_id", "_", -1).cast("long") % 5 != 0, F.col("customer_id"))
+    log = T.scored_log(spark, sf).withColumn("customer_id", known)
+    fb = T.feedback(spark, sf).withColumn("customer_id", known)
+    return attach_outcomes(log, fb).select("id", "customer_id", "actual_outcome", "feedback_date", "feedback_id")
+
+
+@query("duplicate_rows_coarse")
+def duplicate_rows_coarse(spark, sf):
+    """AGG-4 on columns that do repeat."""
+    return finish(profile.duplicate_rows(T.loans(spark, sf).select("Default", "Bike_Owned", "Child_Count", "Client_Income_Type")))
+
 
 # ---------------------------------------------------------------- streaming
 
-from ..session import shared_dir  # noqa: E402
 from ..streaming import jobs as ST  # noqa: E402
 
 
@@ -470,12 +541,32 @@ def _replay(spark, df: DataFrame, name: str):
     return ST.file_stream(spark, src, spark.read.parquet(src).schema)
 
 
-@query("stream_daily_kpis")
-def stream_daily_kpis(spark, sf):
+def _daily_days(spark, sf):
     s = _replay(spark, T.scored_log(spark, sf), "scored-log")
     out, ck = shared_dir(spark, "daily-kpis"), shared_dir(spark, "daily-kpis-ck")
-    ST.run_to_table(ST.daily_kpis_stream(s), out, ck)
-    return finish(ST.finish_daily(spark.read.parquet(out)))
+    ST.run_daily_kpis(s, out, ck)
+    return ST.latest_days(spark, out)
+
+
+@query("stream_daily_kpis")
+def stream_daily_kpis(spark, sf):
+    return finish(ST.finish_daily(_daily_days(spark, sf)))
+
+
+@query("stream_sliding_7d_kpis")
+def stream_sliding_7d_kpis(spark, sf):
+    """STR-3 on what the daily stream wrote."""
+    return finish(ST.sliding_kpis(_daily_days(spark, sf)))
+
+
+@query("stream_labels")
+def stream_labels(spark, sf):
+    """STR-5: outcomes attached by the stream, one row per labelled prediction."""
+    p = _replay(spark, T.scored_log(spark, sf).select("id", "customer_id", "timestamp"), "predictions")
+    f = _replay(spark, T.feedback(spark, sf), "feedback")
+    out, ck = shared_dir(spark, "labels"), shared_dir(spark, "labels-ck")
+    ST.run_to_table(ST.label_stream(p, f), out, ck)
+    return spark.read.parquet(out).select("id", "actual_outcome", "feedback_id")
 
 
 @query("sliding_7d_kpis")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import alerts as AL
 from ..operators import monitor, report
 from ..operators.cooldown import cooldown
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 CYCLE_DAYS = 30
 
@@ -24,19 +24,18 @@ CYCLE_DAYS = 30
 def run_monitoring_cycle(log: DataFrame, out_dir: str, as_of, sent_alerts: DataFrame | None = None,
                          days_back: int = 7) -> dict:
     """Evaluate and persist one cycle; returns the health row as a dict."""
-    spark = log.sparkSession
-    ensure_checkpoint_dir(spark)
-    w = monitor.lookback(log, CYCLE_DAYS, as_of).checkpoint(eager=True)
-    kpis = monitor.performance_metrics(w, days_back, as_of)
-    drift = AL.detect_drift(w, days_back, CYCLE_DAYS, as_of)
+    w = written(monitor.lookback(log, CYCLE_DAYS, as_of), "cycle-log")
+    # few rows, read by several consumers: computed once
+    kpis = written(monitor.performance_metrics(w, days_back, as_of), "cycle-kpis")
+    drift = written(AL.detect_drift(w, days_back, CYCLE_DAYS, as_of), "cycle-drift")
     raised = AL.generate_alerts(kpis, AL.history_total(w, as_of)).unionByName(AL.drift_alerts(drift))
-    roi = monitor.roi_metrics(w, CYCLE_DAYS, as_of)
-    health = AL.health_status(kpis, raised, drift, roi).checkpoint(eager=True)
+    roi = written(monitor.roi_metrics(w, CYCLE_DAYS, as_of), "cycle-roi")
+    health = written(AL.health_status(kpis, raised, drift, roi), "cycle-health")
 
     # cooldown against what was already sent: earlier sends take part in the
     # fold, only the new alerts are written
     new = raised.select(F.monotonically_increasing_id().alias("alert_id"), "*", as_of.alias("timestamp"))
-    new = new.checkpoint(eager=True)
+    new = written(new, "cycle-alerts")
     hist = sent_alerts.select(F.lit(None).cast("long").alias("alert_id"), "type", "timestamp") \
         if sent_alerts is not None else None
     pool = new.select("alert_id", "type", "timestamp")

@@ -15,17 +15,18 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..operators import metrics as M
 from ..operators import prep
 from ..operators.profile import ID, TARGET
 from ..operators.ranking import rank_in_class
 from ..operators.sampling import smote, smote_target
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 # Regularisation presets, model settings and scoring weights.
 PRESETS = {
@@ -68,11 +69,8 @@ def prepare(ml: DataFrame, config: dict = DEFAULT_CONFIG) -> Prepared:
     # one name per column: a bounded collect
     selected = [r["column"] for r in f.where("selected").orderBy("rank").select("column").collect()]
     keep = [ID, *selected, TARGET]
-    # Model fitting passes over the rows many times: cut the lineage once
-    # into the cluster's checkpoint folder.
-    ensure_checkpoint_dir(ml.sparkSession)
-    return Prepared(train.select(*keep).checkpoint(eager=True), test.select(*keep).checkpoint(eager=True),
-                    selected, f)
+    # Model fitting passes over the rows many times: written once into the shared folder.
+    return Prepared(written(train.select(*keep), "train"), written(test.select(*keep), "test"), selected, f)
 
 
 def with_vector(df: DataFrame, features: list[str]) -> DataFrame:
@@ -98,13 +96,17 @@ def balance(train: DataFrame, features: list[str], method: str | None, ratio: fl
     syn = smote(v, ID, "vec", TARGET, 1, target, 3, seed)
     syn = syn.select((-1 - F.col("syn_id")).alias(ID),
                      *[F.col("vec")[i].alias(c) for i, c in enumerate(features)], F.col("label").alias(TARGET))
-    return train.unionByName(syn)
+    # every fold and fit reads these rows: the neighbour search runs once
+    return written(train.unionByName(syn), "balanced-train")
 
 
 def weighted(df: DataFrame, scheme: str) -> DataFrame:
     """PREP-10: balanced n / (2 n_c), the fixed {0: 1, 1: 3}, or positive weight 3."""
     if scheme == "balanced":
-        return prep.with_weights(df, prep.class_weights(df))
+        # one row per class
+        w = {r[TARGET]: r["weight"] for r in prep.class_weights(df.select(TARGET)).collect()}
+        pairs = [x for k, v in w.items() for x in (F.lit(k), F.lit(v))]
+        return df.withColumn("weight", F.element_at(F.create_map(*pairs), F.col(TARGET))) if pairs else df.withColumn("weight", F.lit(1.0))
     w1 = GBT_POS_WEIGHT if scheme == "pos3" else FIXED_CLASS_WEIGHT[1]
     return df.withColumn("weight", F.when(F.col(TARGET) == 1, F.lit(w1)).otherwise(F.lit(FIXED_CLASS_WEIGHT[0])))
 
@@ -145,9 +147,14 @@ def folds(train: DataFrame, k: int, seed: int) -> DataFrame:
     return r.withColumn("fold", ((F.col("_fold_rank") - 1) % k).cast("int")).drop("_fold_rank")
 
 
-def cv_auc(est, scheme: str, train: DataFrame, features: list[str], k: int, seed: int) -> list[float]:
-    """ML-5: AUC of each of k stratified folds."""
-    f = with_vector(folds(train, k, seed), features)
+def folded(train: DataFrame, features: list[str], k: int, seed: int) -> DataFrame:
+    """Rows with fold number and feature vector, kept in executor memory while models are fitted."""
+    f = written(folds(train, k, seed), "folds")
+    return with_vector(f, features).select(TARGET, "fold", "features").persist()
+
+
+def cv_auc(est, scheme: str, f: DataFrame, k: int) -> list[float]:
+    """ML-5: AUC of each of k stratified folds of ``folded`` rows."""
     out = []
     for i in range(k):
         tr = weighted(f.where(F.col("fold") != i), scheme)
@@ -165,18 +172,21 @@ def train_and_compare(prepared: Prepared, config: dict = DEFAULT_CONFIG, resampl
     """
     spark = prepared.train.sparkSession
     tr = resampled if resampled is not None else prepared.train
-    n_train = tr.count()
-    test = with_vector(prepared.test, prepared.features)
+    f = folded(tr, prepared.features, config["cv_folds"], config["random_state"])
+    n_train = f.count()
+    test = with_vector(prepared.test, prepared.features).select(TARGET, "features").persist()
     rows, fitted = [], {}
     for name, (est, scheme) in estimators(config["regularization"], n_train, config["random_state"]).items():
-        scores = cv_auc(est, scheme, tr, prepared.features, config["cv_folds"], config["random_state"])
-        model = est.fit(weighted(with_vector(tr, prepared.features), scheme))
+        scores = cv_auc(est, scheme, f, config["cv_folds"])
+        model = est.fit(weighted(f, scheme))
         fitted[name] = model
         m = test_metrics(model, test)
         mean = sum(scores) / len(scores)
         std = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
         rows.append((name, mean, std, m["auc"], mean - m["auc"], m["precision"], m["recall"], m["f1"],
                      m["accuracy"]))
+    f.unpersist()
+    test.unpersist()
     res = spark.createDataFrame(rows, "Model string, CV_ROC_AUC double, CV_STD double, Test_ROC_AUC double, "
                                       "Overfitting_Gap double, Test_Precision double, Test_Recall double, "
                                       "Test_F1 double, Test_Accuracy double")
@@ -212,23 +222,29 @@ class BusinessEvaluator(Evaluator):
 
 
 def sampling_comparison(prepared: Prepared, seed: int = 42) -> DataFrame:
-    """ML-17: a 30-tree depth-8 balanced forest per sampling strategy; best precision first."""
+    """ML-17: a 30-tree depth-8 balanced forest per sampling strategy; best precision first.
+
+    A strategy that fails (e.g. too few defaults for its neighbours) is
+    reported with ``error`` and left out of the ranking, the others go on.
+    """
     spark = prepared.train.sparkSession
-    test = with_vector(prepared.test, prepared.features)
+    test = with_vector(prepared.test, prepared.features).select(TARGET, "features").persist()
     rows = []
-    for name, method, ratio in SAMPLING_STRATEGIES:
-        tr = balance(prepared.train, prepared.features, method, ratio, seed)
+    for i, (name, method, ratio) in enumerate(SAMPLING_STRATEGIES):
         rf = RandomForestClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight", numTrees=30,
                                     maxDepth=8, minInstancesPerNode=MIN_LEAF, seed=seed)
-        m = test_metrics(rf.fit(weighted(with_vector(tr, prepared.features), "balanced")), test)
-        rows.append((name, method, ratio, m["precision"], m["recall"], m["f1"]))
-    df = spark.createDataFrame(rows, "strategy string, method string, ratio double, precision double, "
-                                     "recall double, f1_score double")
-    w = Window.orderBy(F.col("precision").desc(), F.col("_i"))
+        try:
+            tr = balance(prepared.train, prepared.features, method, ratio, seed)
+            m = test_metrics(rf.fit(weighted(with_vector(tr, prepared.features), "balanced")), test)
+            rows.append((i, name, method, ratio, m["precision"], m["recall"], m["f1"], None))
+        except Exception as e:  # noqa: BLE001 - the comparison goes on without this strategy
+            rows.append((i, name, method, ratio, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+    test.unpersist()
+    df = spark.createDataFrame(rows, "_i int, strategy string, method string, ratio double, precision double, "
+                                     "recall double, f1_score double, error string")
     # first strategy wins a tie
-    df = df.withColumn("_i", F.array_position(F.array(*[F.lit(n) for n, _, _ in SAMPLING_STRATEGIES]),
-                                              F.col("strategy")))
-    return df.withColumn("rank", F.row_number().over(w)).drop("_i")
+    w = Window.orderBy(F.col("precision").desc_nulls_last(), F.col("_i"))
+    return df.withColumn("rank", F.when(F.col("error").isNull(), F.row_number().over(w))).drop("_i")
 
 
 def search_candidates(seed: int = 42, n_iter: int = SEARCH_ITER) -> list[dict]:
@@ -241,35 +257,55 @@ def search_candidates(seed: int = 42, n_iter: int = SEARCH_ITER) -> list[dict]:
     return [grid[i] for i in order[:n_iter]]
 
 
-def hyperparameter_search(prepared: Prepared, seed: int = 42, n_iter: int = SEARCH_ITER, k: int = 3) -> DataFrame:
-    """ML-18: random search scored by the business score over stratified folds, refit, test metrics.
+def _forest(c: dict, seed: int) -> tuple[RandomForestClassifier, str]:
+    rf = RandomForestClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight",
+                                numTrees=c["n_estimators"], maxDepth=c["max_depth"],
+                                minInstancesPerNode=c["min_samples_leaf"], seed=seed)
+    return rf, "balanced" if c["class_weight"] == "balanced" else "fixed"
+
 
-    ``min_samples_split`` has no Spark knob; ``minInstancesPerNode`` takes
-    the leaf size, and the class weight choice picks the weight column.
+def search_scores(prepared: Prepared, seed: int = 42, n_iter: int = SEARCH_ITER, k: int = 3) -> DataFrame:
+    """ML-18: one row per candidate with the mean business score of its k folds.
+
+    Candidates that differ only in ``min_samples_split``, which Spark's forest
+    doesn't have, are one model: fitted once and reported for each.
     """
     spark = prepared.train.sparkSession
-    f = with_vector(folds(prepared.train, k, seed), prepared.features)
-    ev = BusinessEvaluator()
-    best = None
+    f = folded(prepared.train, prepared.features, k, seed)
+    ev, known, rows = BusinessEvaluator(), {}, []
     for i, c in enumerate(search_candidates(seed, n_iter)):
-        rf = RandomForestClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight",
-                                    numTrees=c["n_estimators"], maxDepth=c["max_depth"],
-                                    minInstancesPerNode=c["min_samples_leaf"], seed=seed)
-        scheme = "balanced" if c["class_weight"] == "balanced" else "fixed"
-        scores = []
-        for j in range(k):
-            m = rf.fit(weighted(f.where(F.col("fold") != j), scheme))
-            scores.append(ev.evaluate(m.transform(f.where(F.col("fold") == j))))
-        s = sum(scores) / k
-        if best is None or s > best[0]:
-            best = (s, i, c, rf, scheme)
-    s, i, c, rf, scheme = best
-    model = rf.fit(weighted(with_vector(prepared.train, prepared.features), scheme))
+        key = tuple(sorted((n, v) for n, v in c.items() if n != "min_samples_split"))
+        if key not in known:
+            rf, scheme = _forest(c, seed)
+            known[key] = sum(ev.evaluate(rf.fit(weighted(f.where(F.col("fold") != j), scheme))
+                                         .transform(f.where(F.col("fold") == j))) for j in range(k)) / k
+        rows.append((i, json.dumps(c, sort_keys=True), known[key]))
+    f.unpersist()
+    return spark.createDataFrame(rows, "candidate int, params string, cv_score double")
+
+
+def best_forest(prepared: Prepared, scores: DataFrame, seed: int = 42):
+    """The model of the best candidate (the first of equals), refitted on all training rows: (model, params, score)."""
+    # one row per candidate
+    best = scores.orderBy(F.col("cv_score").desc(), "candidate").first()
+    rf, scheme = _forest(json.loads(best["params"]), seed)
+    return rf.fit(weighted(with_vector(prepared.train, prepared.features), scheme)), best["params"], best["cv_score"]
+
+
+def hyperparameter_search(prepared: Prepared, seed: int = 42, n_iter: int = SEARCH_ITER, k: int = 3) -> DataFrame:
+    """ML-18: random search over stratified folds, refit, test metrics; one row."""
+    return tuned(prepared, seed, n_iter, k)[0]
+
+
+def tuned(prepared: Prepared, seed: int = 42, n_iter: int = SEARCH_ITER, k: int = 3):
+    """(the search's result row, the refitted model)."""
+    model, params, score_ = best_forest(prepared, search_scores(prepared, seed, n_iter, k), seed)
     m = test_metrics(model, with_vector(prepared.test, prepared.features))
-    return spark.createDataFrame(
-        [(json.dumps(c, sort_keys=True), s, m["precision"], m["recall"], m["f1"], m["auc"])],
+    row = prepared.train.sparkSession.createDataFrame(
+        [(params, score_, m["precision"], m["recall"], m["f1"], m["auc"])],
         "best_params string, best_cv_score double, test_precision double, test_recall double, "
         "test_f1 double, test_roc_auc double")
+    return row, model
 
 
 def optimisation_report(base: dict, threshold: dict, sampling: DataFrame, hyper: DataFrame) -> DataFrame:
@@ -300,8 +336,57 @@ def optimisation_report(base: dict, threshold: dict, sampling: DataFrame, hyper:
         .withColumn("target_met", F.col("best_precision") >= M.TARGET_PRECISION).drop("ord")
 
 
+def package(source: DataFrame, features: list[str], model, train_ids: DataFrame | None = None) -> PipelineModel:
+    """Fills, codes, scaler, selection and model as one persistable pipeline over raw feature rows.
+
+    ``source`` is the engineered table the model's ML table was made from;
+    the fitted fills and codes are those of ``prep.ml_table``, the scaler is
+    fitted on ``train_ids`` (all rows without it).  The statistics are
+    written into SQL expressions, so the package needs no code to load it:
+    a few numbers per selected feature and the categories of selected text
+    features.
+    """
+    text = [c for c in features if not isinstance(source.schema[c].dataType, NumericType)]
+    numeric = [c for c in features if c not in text]
+    fill = {r["column"]: r["fill"] for r in prep.median_fill_values(source, numeric).collect()} if numeric else {}
+    fill |= {r["column"]: r["fill"] for r in prep.mode_fill_values(source, text).collect()} if text else {}
+
+    def lit(v) -> str:
+        if v is None:
+            return "CAST(NULL AS DOUBLE)"
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else f"CAST('{float(v)!r}' AS DOUBLE)"
+
+    parts = [f"COALESCE(CAST(`{c}` AS DOUBLE), {lit(fill.get(c))}) AS `_x_{c}`" for c in numeric]
+    if text:
+        filled = source.select(*[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) for c in text])
+        codes: dict[str, list] = {}
+        for r in prep.label_codes(filled, text).collect():
+            codes.setdefault(r["column"], []).append((r["value"], r["code"]))
+        for c in text:
+            table = ", ".join(f"{lit(v)}, {k}" for v, k in sorted(codes[c], key=lambda x: x[1]))
+            # element_at gives null for a category that training hasn't seen; the handler skips nothing
+            parts.append(f"CAST(MAP({table})[COALESCE(`{c}`, {lit(fill[c])})] AS DOUBLE) AS `_x_{c}`")
+    keep = source if train_ids is None else source.join(train_ids, ID, "left_semi")
+    encoded = keep.selectExpr(*parts)
+    stats = {r["column"]: r for r in prep.scaler_stats(encoded, [f"_x_{c}" for c in features]).collect()}
+    scaled = []
+    for c in features:
+        r = stats[f"_x_{c}"]
+        scaled.append(f"COALESCE(TRY_DIVIDE(`_x_{c}` - {lit(r['mean'])}, {lit(r['std'])}), CAST(0 AS DOUBLE)) AS `_z_{c}`")
+    return PipelineModel(stages=[
+        SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__"),
+        SQLTransformer(statement="SELECT *, " + ", ".join(scaled) + " FROM __THIS__"),
+        VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="features"), model])
+
+
+def raw_rows(df: DataFrame, features: list[str], source: DataFrame) -> DataFrame:
+    """Rows with every feature the package reads: those a row doesn't have are missing, and filled like missing ones."""
+    have = set(df.columns)
+    return df.select("*", *[F.lit(None).cast(source.schema[c].dataType).alias(c) for c in features if c not in have])
+
+
 def save_model(model, features: list[str], path: str, threshold: float | None, extra: dict | None = None) -> None:
-    """SNK-5: pipeline model directory plus a one-row metadata table."""
+    """SNK-5: the package (``package``; a bare model reads prepared rows) plus a one-row metadata table."""
     pm = model if isinstance(model, PipelineModel) else PipelineModel(stages=[
         VectorAssembler(inputCols=features, outputCol="features"), model])
     pm.write().overwrite().save(f"{path}/model")
@@ -322,14 +407,42 @@ def load_model(path: str):
     return PipelineModel.load(f"{path}/model"), meta.get("features", []), 0.5 if thr is None else thr
 
 
+def run_pipeline(features: DataFrame, model_dir: str, config: dict = DEFAULT_CONFIG) -> DataFrame:
+    """ML-13: prepare, balance, fit and compare, save the best model with all it needs to score raw rows.
 
-def run_pipeline(ml: DataFrame, model_dir: str, config: dict = DEFAULT_CONFIG) -> DataFrame:
-    """ML-13: prepare, balance, fit and compare, save the best model; returns the results table."""
-    p = prepare(ml, config)
+    ``features`` is the engineered loan table; returns the results table.
+    """
+    p = prepare(prep.ml_table(features, keep_id=True), config)
     tr = balance(p.train, p.features, "smote", config["smote_ratio"], config["random_state"])
     res, fitted = train_and_compare(p, config, tr)
     # one row per model: a bounded collect
-    best = res.where("Rank = 1").select("Model").first()["Model"]
-    save_model(fitted[best], p.features, model_dir, threshold=None,
-               extra={"model_name": best, "config": config})
+    best = res.where("Rank = 1").select("Model", "Test_Precision", "Test_Recall", "Test_F1", "Test_ROC_AUC").first()
+    save_model(package(features, p.features, fitted[best["Model"]], p.train.select(ID)), p.features, model_dir,
+               threshold=None, extra={"model_name": best["Model"], "config": config,
+                                      "metrics": {k: v for k, v in best.asDict().items() if k != "Model"}})
     return res
+
+
+def run_optimisation(features: DataFrame, model_dir: str, out_dir: str, seed: int = 42, n_iter: int = SEARCH_ITER,
+                     k: int = 3) -> DataFrame:
+    """ML-20 / ML-21: reload the saved model, tune its threshold, compare samplings, search, report, save the best.
+
+    Returns the report; the tuned model and its threshold are saved under ``out_dir``.
+    """
+    p = prepare(prep.ml_table(features, keep_id=True))
+    pm, _, thr = load_model(model_dir)
+    test_raw = features.join(p.test.select(ID), ID, "left_semi")
+    scored = written(p1(pm.transform(test_raw)).select(F.col(TARGET).alias("y"), F.col("p1").alias("score")), "test-scores")
+
+    def at(t: float) -> dict:
+        r = M.classification_metrics(scored.withColumn("pred", (F.col("score") >= F.lit(t)).cast("int")), "y", "pred").first()
+        return {"precision": r["precision"], "recall": r["recall"], "f1": r["f1_score"]}
+
+    sweep = M.threshold_sweep(scored, "y", "score")
+    choice = M.choose_thresholds(sweep).where("strategy = 'precision_first'").first()  # one row
+    tuned_thr = float(choice["threshold"])
+    hyper, model = tuned(p, seed, n_iter, k)
+    report = written(optimisation_report(at(thr), at(tuned_thr), sampling_comparison(p, seed), hyper), "optimisation")
+    save_model(package(features, p.features, model, p.train.select(ID)), p.features, out_dir, threshold=tuned_thr,
+               extra={"optimised": True})
+    return report

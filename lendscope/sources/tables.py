@@ -124,6 +124,29 @@ def prediction_log(spark: SparkSession, sf_dir: str, since_days: int | None = No
     return attach_outcomes(log, fb)
 
 
+def shifted_log(spark: SparkSession, sf_dir: str, since_days: int | None = None) -> DataFrame:
+    """A labelled log in which the last week differs from the weeks before.
+
+    Scores and latencies are higher, three of four earlier predictions are
+    missing and few outcomes are defaults, so every alert has cause.
+    """
+    from ..operators.labels import attach_outcomes
+    raw = raw_predictions(spark, sf_dir)
+    start = as_of_lit() - F.make_dt_interval(days=F.lit(7))
+    recent = F.col("timestamp") >= start
+    p = F.when(recent, F.least(F.col("probability") * 1.5 + 0.2, F.lit(1.0))).otherwise(F.col("probability"))
+    raw = (raw.where(recent | (F.col("id") % 4 == 0)).withColumn("probability", p)
+           .withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
+           .withColumn("processing_time_ms", F.when(recent, F.col("processing_time_ms") * 20).otherwise(F.col("processing_time_ms"))))
+    log = raw.select("*", X.decision("probability").alias("decision"), X.confidence("probability").alias("confidence_level"))
+    fb = feedback(spark, sf_dir).withColumn(
+        "actual_outcome", F.when(F.col("feedback_id") % 10 == 0, F.col("actual_outcome")).otherwise(F.lit(0)))
+    if since_days is not None:
+        since = as_of_lit() - F.make_dt_interval(days=F.lit(since_days))
+        log, fb = log.where(F.col("timestamp") >= since), fb.where(F.col("feedback_ts") >= since)
+    return attach_outcomes(log, fb)
+
+
 def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate alerts: every error event raises one of three alert types."""
     e = table(spark, sf_dir, "events").where(F.col("event_type") == "error")

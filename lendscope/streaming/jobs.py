@@ -8,9 +8,9 @@ files (any file or message source works the same way):
 * STR-2 ``daily_kpis_stream``: daily tumbling KPIs with a watermark.
 * STR-3 ``sliding_kpis``: 7-day sliding KPIs from additive daily partials.
 * STR-4 ``cooldown_stream``: alert cooldown with per-type state.
-* STR-5 ``label_stream``: late feedback joined to predictions.
+* STR-5 ``label_stream``: each prediction's outcome, emitted once, however late.
 * STR-6 the watermark delay argument; late rows are dropped and counted.
-* STR-7 ``monitoring_stream``: scheduled checks in ``foreachBatch``.
+* STR-7 ``monitoring_stream``: scheduled checks of the look-back in ``foreachBatch``.
 
 Event times in the tables are TIMESTAMP_NTZ; watermarks need TIMESTAMP,
 so they are read as UTC instants (``utc_instant``), independent of the
@@ -19,11 +19,13 @@ session time zone.
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -31,6 +33,7 @@ from ..functions.exprs import try_div
 from ..operators import validate as V
 from ..operators.cooldown import COOLDOWN_MINUTES
 from ..operators.scoring import apply_decisions
+from ..session import written
 
 
 def utc_instant(c) -> Column:
@@ -55,48 +58,75 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int | None =
 
 # ---------------------------------------------------------------- STR-1
 
-def score_stream(apps: DataFrame, score_fn: Callable[[DataFrame], DataFrame], log_path: str,
-                 quarantine_path: str, checkpoint: str, trigger: dict | None = None,
-                 latency_path: str | None = None):
-    """Validate each micro-batch, score the valid rows, append them to the
-    date-partitioned log and the invalid ones (with reasons) to quarantine.
+# Columns of the prediction log, as the monitor reads it.
+LOG_COLUMNS = ["id", "customer_id", "timestamp", "date", "features", "probability", "prediction", "decision",
+               "confidence_level", "processing_time_ms", "batch_id"]
+
 
-    ``score_fn`` maps valid applications to rows with ``probability``
-    (e.g. a fitted pipeline's transform).  ``foreachBatch`` with a
-    checkpoint gives at-least-once appends keyed by batch id.
+def log_schema(spark: SparkSession) -> str:
+    return ("id long, customer_id string, timestamp timestamp_ntz, date date, features string, probability double, "
+            "prediction int, decision string, confidence_level string, processing_time_ms double, batch_id long")
 
-    SCO-4: with ``latency_path`` each batch appends (batch_id, rows,
-    elapsed_ms, ms_per_row); the row count comes from an ``Observation`` on
-    the write itself, not from a second pass.
+
+def score_stream(apps: DataFrame, score_fn: Callable[[DataFrame], DataFrame], log_path: str,
+                 quarantine_path: str, checkpoint: str, trigger: dict | None = None,
+                 latency_path: str | None = None, id_col: str = "ID", time_col: str = "received_at"):
+    """Validate each micro-batch, score the valid rows, write them to the
+    prediction log and the invalid ones (with reasons) to quarantine.
+
+    ``score_fn`` maps valid applications to rows with probability,
+    prediction, decision and confidence level (``scoring.score`` of a loaded
+    package, ``ladder_scores`` for replays).  Log rows carry the row's own
+    id and arrival time; a missing customer id is made from both, so two
+    applications never become one customer.
+
+    Both outputs are partitioned by batch id and a batch overwrites its own
+    partition: a batch that is run again after a failure leaves the same
+    rows, not twice as many.
+
+    SCO-4: ``processing_time_ms`` of a log row is its share of the time that
+    scoring and writing its batch took; with ``latency_path`` each batch also
+    writes (batch_id, rows, elapsed_ms, ms_per_row).
     """
+    def overwrite(df: DataFrame, path: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
     def run(batch: DataFrame, batch_id: int) -> None:
         t0 = time.time()
-        v = V.validate(batch.withColumn("customer_id", V.default_customer_id(F.col("customer_id"),
-                                                                             F.current_timestamp())),
-                       V.APPLICATION_RULES)
-        v.where(~F.col("is_valid")).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("append").parquet(quarantine_path)
+        spark = batch.sparkSession
+        arrived = F.col(time_col).cast("timestamp_ntz")
+        own = F.concat_ws("_", F.lit("customer"), F.date_format(arrived, "yyyyMMddHHmmss"), F.col(id_col).cast("string"))
+        given = F.when(F.col("customer_id") != "", F.col("customer_id"))
+        v = V.validate(batch.withColumn("customer_id", F.coalesce(given, own)), V.APPLICATION_RULES)
+        v = written(v, "stream-batch")  # both outputs come from one evaluation of the batch
+        overwrite(v.where(~F.col("is_valid")), quarantine_path, batch_id)
         ok = v.where("is_valid").drop("errors", "is_valid")
-        scored = score_fn(ok).withColumn("features", F.to_json(F.struct(*V.SELECTED_FEATURES)))
-        obs = Observation(f"scored_{batch_id}")
-        scored.withColumn("date", F.to_date("timestamp")).observe(obs, F.count(F.lit(1)).alias("rows")) \
-            .write.mode("append").partitionBy("date").parquet(log_path)
+        scored = written(score_fn(ok).withColumn("features", F.to_json(F.struct(*V.SELECTED_FEATURES))), "stream-scored")
+        rows = scored.count()
+        ms = (time.time() - t0) * 1000.0
+        log = scored.select(
+            F.col(id_col).cast("long").alias("id"), "customer_id", arrived.alias("timestamp"),
+            F.to_date(arrived).alias("date"), "features", "probability", F.col("prediction").cast("int").alias("prediction"),
+            "decision", "confidence_level", F.lit(ms / rows if rows else None).cast("double").alias("processing_time_ms"))
+        overwrite(log, log_path, batch_id)
         if latency_path:
-            rows = obs.get["rows"]
-            ms = (time.time() - t0) * 1000.0
-            batch.sparkSession.createDataFrame(
-                [(batch_id, rows, ms, ms / rows if rows else None)],
-                "batch_id long, rows long, elapsed_ms double, ms_per_row double") \
-                .write.mode("append").parquet(latency_path)
+            overwrite(spark.range(1).select(F.lit(rows).cast("long").alias("rows"), F.lit(ms).alias("elapsed_ms"),
+                                            F.lit(ms / rows if rows else None).cast("double").alias("ms_per_row")),
+                      latency_path, batch_id)
 
     w = apps.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def read_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """The prediction log written by ``score_stream``."""
+    return spark.read.schema(log_schema(spark)).parquet(log_path)
+
+
 def ladder_scores(threshold: float) -> Callable[[DataFrame], DataFrame]:
     """A score_fn for rows that already carry a probability (e.g. replayed logs)."""
     def fn(df: DataFrame) -> DataFrame:
-        return apply_decisions(df, threshold).withColumn("timestamp", F.current_timestamp())
+        return apply_decisions(df, threshold)
     return fn
 
 
@@ -104,8 +134,9 @@ def ladder_scores(threshold: float) -> Callable[[DataFrame], DataFrame]:
 
 def daily_kpis_stream(log: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Daily tumbling KPIs of a (streaming) scored log; append mode emits a day
-    once the watermark (max event time - ``delay``) passes its end.  Rows
-    later than the watermark are dropped and counted by the engine
+    once the watermark (max event time - ``delay``) passes its end, update
+    mode (``run_daily_kpis``) also the days that are still open.  Rows later
+    than the watermark are dropped and counted by the engine
     (``numRowsDroppedByWatermark``, counted after map-side partial
     aggregation)."""
     s = log.withColumn("event_time", utc_instant("timestamp")).withWatermark("event_time", delay)
@@ -121,10 +152,30 @@ def daily_kpis_stream(log: DataFrame, delay: str = "0 seconds") -> DataFrame:
                     "sum_probability", "sum_latency", "n_latency")
 
 
+def run_daily_kpis(log: DataFrame, out: str, checkpoint: str, delay: str = "0 seconds") -> None:
+    """Drain the log in update mode; every batch writes the days it changed to its own partition."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (daily_kpis_stream(log, delay).writeStream.foreachBatch(run).outputMode("update")
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def latest_days(spark: SparkSession, out: str) -> DataFrame:
+    """Each day's partials as of the last batch that changed it; ``closed`` once a later day has begun."""
+    d = spark.read.parquet(out)
+    last = d.groupBy("day").agg(F.max_by(F.struct(*[c for c in d.columns if c not in ("day", "batch_id")]),
+                                         F.col("batch_id")).alias("p")).select("day", "p.*")
+    newest = last.agg(F.max("day").alias("_newest"))  # one row
+    return last.crossJoin(F.broadcast(newest)).withColumn("closed", F.col("day") < F.col("_newest")).drop("_newest")
+
+
 def finish_daily(partials: DataFrame) -> DataFrame:
     """Rates from the additive daily partials."""
     n = F.col("total_predictions")
-    return partials.select("day", n.cast("bigint").alias("total_predictions"),
+    closed = ["closed"] if "closed" in partials.columns else []
+    return partials.select("day", *closed, n.cast("bigint").alias("total_predictions"),
                            try_div("approved", n).alias("approval_rate"),
                            try_div("rejected", n).alias("rejection_rate"),
                            try_div("reviews", n).alias("review_rate"),
@@ -153,19 +204,20 @@ COOLDOWN_STATE = "last_sent timestamp"
 
 
 def _cooldown_fn(minutes: int):
-    gap = pd.Timedelta(minutes=minutes)
+    gap = np.timedelta64(minutes, "m")
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["timestamp", "alert_id"])
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        sent = []
-        for ts in rows["timestamp"]:
-            ok = last is None or ts - last >= gap
-            if ok:
-                last = ts
-            sent.append(ok)
+        at = rows["timestamp"].to_numpy(dtype="datetime64[us]")
+        sent = np.zeros(len(at), dtype=bool)
+        last = np.datetime64(pd.Timestamp(state.get[0])) if state.exists else None
+        # From one sent alert straight to the first alert a cooldown later.
+        i = 0 if last is None else int(np.searchsorted(at, last + gap))
+        while i < len(at):
+            sent[i], last = True, at[i]
+            i = int(np.searchsorted(at, last + gap))
         if last is not None:
-            state.update((last.to_pydatetime(),))
+            state.update((pd.Timestamp(last).to_pydatetime(),))
         yield rows.assign(sent=sent)[["alert_id", "type", "timestamp", "sent"]]
 
     return fn
@@ -174,10 +226,12 @@ def _cooldown_fn(minutes: int):
 def cooldown_stream(alerts: DataFrame, minutes: int = COOLDOWN_MINUTES, delay: str = "0 seconds") -> DataFrame:
     """Alert cooldown with state = last sent event time per type.
 
-    Within a micro-batch a type's alerts are handled in event-time order;
-    across batches the state carries the last sent time, so the result
-    equals the batch operator when alerts arrive in time order.  Only the
-    current micro-batch of one type is in one task, never its history.
+    Within a micro-batch a type's alerts are handled in event-time order,
+    one step per sent alert; across batches the state carries the last sent
+    time, so the result equals the batch operator when alerts arrive in time
+    order.  One task holds one type's rows of one micro-batch: bound that
+    with the source's ``maxFilesPerTrigger`` (a history replayed as one
+    batch is better run by the batch operator, which splits types).
     """
     s = alerts.withColumn("timestamp", utc_instant("timestamp")).withWatermark("timestamp", delay)
     return s.groupBy("type").applyInPandasWithState(
@@ -186,42 +240,90 @@ def cooldown_stream(alerts: DataFrame, minutes: int = COOLDOWN_MINUTES, delay: s
 
 # ---------------------------------------------------------------- STR-5
 
-def label_stream(predictions: DataFrame, feedback: DataFrame, bound: str = "7 days",
-                 delay: str = "1 day") -> DataFrame:
-    """Predictions left-joined to later feedback of the same customer within ``bound``.
-
-    Emits (prediction id, feedback) pairs and, once the watermark passes
-    the bound, unmatched predictions with null feedback; ``first_labels``
-    keeps the earliest feedback per prediction in ``foreachBatch``.
+LABEL_SALTS = 8  # a customer's open predictions are spread over so many groups
+LABEL_OUT = "id long, actual_outcome int, feedback_date timestamp, feedback_id long"
+LABEL_STATE = "ids array<long>, times array<long>, f_times array<long>, f_ids array<long>, outcomes array<int>"
+
+
+def _label_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Open predictions and feedback of one customer and salt; emits what this batch settles."""
+    ids, times, f_times, f_ids, outcomes = (list(x) for x in state.get) if state.exists else ([], [], [], [], [])
+    rows = pd.concat(list(pdfs), ignore_index=True)
+    at = rows["event_time"].to_numpy(dtype="datetime64[us]").astype("int64")
+    is_feedback, event_id = rows["is_feedback"].to_numpy(dtype=bool), rows["event_id"].to_numpy(dtype="int64")
+    ids += event_id[~is_feedback].tolist()
+    times += at[~is_feedback].tolist()
+    f_times += at[is_feedback].tolist()
+    f_ids += event_id[is_feedback].tolist()
+    outcomes += rows["outcome"].to_numpy(dtype="int64")[is_feedback].tolist()
+    order = np.lexsort((f_ids, f_times)) if f_ids else np.zeros(0, dtype=int)
+    ft, fi, fo = (np.array(x, dtype="int64")[order] for x in (f_times, f_ids, outcomes))
+    hit = np.searchsorted(ft, np.array(times, dtype="int64"))
+    done = hit < len(ft)
+    pid, pt = np.array(ids, dtype="int64"), np.array(times, dtype="int64")
+    # The newest feedback alone can still label what arrives later with an earlier time.
+    last = slice(len(ft) - 1, None) if len(ft) else slice(0, 0)
+    state.update((pid[~done].tolist(), pt[~done].tolist(), ft[last].tolist(), fi[last].tolist(), fo[last].tolist()))
+    if done.any():
+        h = hit[done]
+        yield pd.DataFrame({"id": pid[done], "actual_outcome": fo[h].astype("int32"),
+                            "feedback_date": ft[h].astype("datetime64[us]"), "feedback_id": fi[h]})
+
+
+def label_stream(predictions: DataFrame, feedback: DataFrame) -> DataFrame:
+    """(id, actual_outcome, feedback_date, feedback_id), once per labelled prediction.
+
+    State per customer: the predictions without an outcome and the newest
+    feedback.  Nothing expires, so feedback that comes months later still
+    labels; what it settles leaves the state.  Predictions of a customer are
+    spread over LABEL_SALTS groups, each of which sees all of the customer's
+    feedback.  The result equals the batch as-of join when events arrive in
+    time order (any order within a batch).  Rows without customer are left
+    out: they have no feedback.
     """
-    p = predictions.withColumn("p_time", utc_instant("timestamp")).withWatermark("p_time", delay) \
-        .select("id", F.col("customer_id").alias("p_customer"), "p_time")
-    f = feedback.withColumn("f_time", utc_instant("feedback_ts")).withWatermark("f_time", delay) \
-        .select("feedback_id", F.col("customer_id").alias("f_customer"), "f_time", "actual_outcome")
-    cond = ((F.col("p_customer") == F.col("f_customer")) & (F.col("f_time") >= F.col("p_time"))
-            & (F.col("f_time") <= F.col("p_time") + F.expr(f"INTERVAL {bound}")))
-    return p.join(f, cond, "leftOuter")
+    p = predictions.where(F.col("customer_id").isNotNull()).select(
+        "customer_id", F.pmod(F.xxhash64("id"), F.lit(LABEL_SALTS)).cast("int").alias("salt"),
+        F.lit(False).alias("is_feedback"), F.col("id").cast("long").alias("event_id"), F.lit(0).alias("outcome"),
+        utc_instant("timestamp").alias("event_time"))
+    f = feedback.where(F.col("customer_id").isNotNull()).select(
+        "customer_id", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))).alias("salt"),
+        F.lit(True).alias("is_feedback"), F.col("feedback_id").cast("long").alias("event_id"),
+        F.coalesce(F.col("actual_outcome"), F.lit(0)).cast("int").alias("outcome"), utc_instant("feedback_ts").alias("event_time"))
+    return p.unionByName(f).groupBy("customer_id", "salt").applyInPandasWithState(
+        _label_fn, LABEL_OUT, LABEL_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def first_labels(pairs: DataFrame) -> DataFrame:
-    """Earliest feedback per prediction (ties by feedback id) of a batch of pairs."""
-    return pairs.groupBy("id").agg(
-        F.min(F.when(F.col("feedback_id").isNotNull(),
-                     F.struct("f_time", "feedback_id", "actual_outcome"))).alias("m")) \
-        .select("id", F.col("m.actual_outcome").alias("actual_outcome"), F.col("m.f_time").alias("feedback_date"),
-                F.col("m.feedback_id").alias("feedback_id"))
+# ---------------------------------------------------------------- STR-7
 
+REPORT_HOUR = 8  # fixed value: the hour of the daily report
 
-# ---------------------------------------------------------------- STR-7
 
-def monitoring_stream(log_stream: DataFrame, check: Callable[[DataFrame, int], None], checkpoint: str,
-                      every: str | None = None):
-    """Run ``check`` (e.g. KPIs, alerts, reports) on every new batch of the log.
+def monitoring_stream(log_stream: DataFrame, read_log_fn: Callable[[], DataFrame], checkpoint: str,
+                      health: Callable[[DataFrame], DataFrame], on_health: Callable[[DataFrame, int], None],
+                      on_report: Callable[[DataFrame], None] | None = None,
+                      on_dashboard: Callable[[DataFrame], None] | None = None,
+                      clock: Callable[[], "dt.datetime"] | None = None, every: str | None = None):
+    """Scheduled checks over the look-back, not over the micro-batch.
 
-    ``every='30 minutes'`` polls like the reference's monitor; without it
-    the query processes what is there and stops (availableNow).
+    New rows of the log only start a tick.  Each tick reads the log table
+    (``read_log_fn``), writes the status that ``health`` computes from it
+    (one row with ``active_alerts``) through ``on_health``, runs the report
+    at REPORT_HOUR and the dashboard when there are no alerts.
+    ``every='30 minutes'`` polls; without it the query handles what is there
+    and stops (availableNow).
     """
-    w = log_stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
+    now = clock or (lambda: dt.datetime.now(dt.timezone.utc))
+
+    def tick(_: DataFrame, batch_id: int) -> None:
+        log = read_log_fn()
+        status = written(health(log), "monitor-status")
+        on_health(status, batch_id)
+        if on_report and now().hour == REPORT_HOUR:
+            on_report(log)
+        if on_dashboard and status.first()["active_alerts"] == 0:  # one row
+            on_dashboard(log)
+
+    w = log_stream.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
     return w.start()
 

@@ -87,50 +87,142 @@ def test_candidates_are_distinct_grid_points():
     assert len({tuple(sorted(x.items())) for x in c}) == 20
 
 
-def test_score_stream_appends_and_quarantines(spark):
-    apps = T.applications(spark, SF).drop("received_at").withColumn(
-        "probability", (F.col("ID") % 100) / 100.0)
+def test_knn_searches_few_cells_of_clustered_rows(spark):
+    """Twenty far-apart clusters: almost all (row, block) searches are pruned, and the result is brute force's."""
+    import numpy as np
+    from lendscope.operators.sampling import knn_blocks
+    rnd = np.random.default_rng(1)
+    v = np.repeat(rnd.normal(size=(20, 8)) * 100, 50, axis=0) + rnd.normal(size=(1000, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(1000)], "id long, vec array<double>")
+    base, _, wanted = knn_blocks(df, "id", "vec", 3, block_rows=25)
+    blocks = base.select("blk").distinct().count()
+    assert wanted.count() < 0.25 * 1000 * (blocks - 1)
+    got = {(r.id, r.nn_rank): r.neighbor_id for r in knn_within(df, "id", "vec", 3, block_rows=25).collect()}
+    for i in range(1000):
+        d = ((v - v[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert [got[(i, k + 1)] for k in range(3)] == list(np.lexsort((np.arange(1000), d))[:3])
+
+
+def test_package_scores_raw_rows_like_prepared_ones(spark, prepared):
+    """The saved package on engineered rows equals the fitted model on prepared rows."""
+    source = C.featured_loans(spark, SF)
+    f = TR.with_vector(prepared.train, prepared.features)
+    est, scheme = TR.estimators("moderate", prepared.train.count())["Logistic Regression"]
+    model = est.fit(TR.weighted(f, scheme))
+    path = shared_dir(spark, "package")
+    TR.save_model(TR.package(source, prepared.features, model, prepared.train.select("ID")), prepared.features, path, None)
+    pm, feats, thr = TR.load_model(path)
+    from lendscope.operators.scoring import score
+    raw = {r.ID: r.probability for r in score(pm, source.join(prepared.test.select("ID"), "ID", "left_semi"), thr).collect()}
+    fitted = {r.ID: r.p1 for r in TR.p1(model.transform(TR.with_vector(prepared.test, feats))).collect()}
+    assert raw.keys() == fitted.keys() and len(raw) > 100
+    assert max(abs(raw[i] - fitted[i]) for i in raw) < 1e-9
+    assert 0.05 < sum(raw.values()) / len(raw) < 0.95
+
+
+def _stream_log(spark, folder, apps):
+    stream = ST.file_stream(spark, folder, apps.schema)
+    paths = [shared_dir(spark, n) for n in ("log", "q", "ck", "lat")]
+    return stream, paths
+
+
+def test_score_stream_log_is_what_the_monitor_reads(spark):
+    """Applications to log to outcomes to KPIs; ids are the rows' own; a batch run again leaves no new rows."""
+    from lendscope.operators import alerts, monitor
+    from lendscope.operators.labels import attach_outcomes
+    apps = T.applications(spark, SF).withColumn("probability", (F.col("ID") % 100) / 100.0)
     src = shared_dir(spark, "apps-src")
     apps.write.parquet(src)
-    stream = ST.file_stream(spark, src, spark.read.parquet(src).schema)
-    log, quarantine, ck = shared_dir(spark, "log"), shared_dir(spark, "q"), shared_dir(spark, "ck")
-    lat = shared_dir(spark, "lat")
-    q = ST.score_stream(stream, ST.ladder_scores(0.65), log, quarantine, ck, latency_path=lat)
-    q.awaitTermination()
-    assert spark.read.parquet(lat).agg(F.sum("rows")).first()[0] == spark.read.parquet(log).count()
-    n_log, n_q = spark.read.parquet(log).count(), spark.read.parquet(quarantine).count()
+    stream, (log, quarantine, ck, lat) = _stream_log(spark, src, spark.read.parquet(src))
+    ST.score_stream(stream, ST.ladder_scores(0.65), log, quarantine, ck, latency_path=lat).awaitTermination()
+    rows = ST.read_log(spark, log)
+    assert rows.columns[:10] == ST.LOG_COLUMNS[:10]
+    n_log, n_q = rows.count(), spark.read.parquet(quarantine).count()
     assert n_log + n_q == apps.count() and n_log > 0 and n_q > 0
-    assert "date" in spark.read.parquet(log).columns
-
-
-def test_label_stream_matches_batch_within_bound(spark):
+    assert spark.read.parquet(lat).agg(F.sum("rows")).first()[0] == n_log
+    # applications without a customer id are customers of their own
+    own = rows.where(F.col("customer_id").startswith("customer_"))
+    assert own.count() > 1 and own.select("customer_id").distinct().count() == own.count()
+    # the same files once more under a new checkpoint are the same batch number: nothing doubles
+    again, _ = _stream_log(spark, src, spark.read.parquet(src))
+    ST.score_stream(again, ST.ladder_scores(0.65), log, quarantine, shared_dir(spark, "ck2")).awaitTermination()
+    rows = ST.read_log(spark, log)
+    assert rows.count() == n_log
+    fb = rows.select(F.col("id").alias("feedback_id"), (F.col("timestamp") + F.expr("INTERVAL 40 DAYS")).alias("feedback_ts"),
+                     "customer_id", (F.col("id") % 2).cast("int").alias("actual_outcome"))
+    labelled = attach_outcomes(rows.select("id", "customer_id", "timestamp", "probability", "prediction", "decision",
+                                           "confidence_level", "processing_time_ms"), fb)
+    assert labelled.where("feedback_id is not null").count() == n_log
+    newest = F.lit(rows.agg(F.max("timestamp")).first()[0]).cast("timestamp_ntz")
+    kpis = monitor.performance_metrics(labelled, 7, newest).first()
+    assert kpis["total_predictions"] > 0
+    alerts.detect_drift(labelled, as_of=newest).collect()
+
+
+def test_label_stream_labels_late_feedback_once(spark):
+    """The stream's outcomes are the batch join's, over several batches, and 40 days late still counts."""
     log, fb = T.scored_log(spark, SF), T.feedback(spark, SF)
     ps, fs = shared_dir(spark, "p"), shared_dir(spark, "f")
-    log.write.parquet(ps)
-    fb.write.parquet(fs)
-    pairs = ST.label_stream(ST.file_stream(spark, ps, log.schema), ST.file_stream(spark, fs, fb.schema))
-    out, ck = shared_dir(spark, "pairs"), shared_dir(spark, "pairs-ck")
-    ST.run_to_table(pairs, out, ck)
-    got = {r.id: r.feedback_id for r in ST.first_labels(spark.read.parquet(out)).collect()
-           if r.feedback_id is not None}
-    batch = C.T.prediction_log(spark, SF).where(
-        F.col("feedback_id").isNotNull() & (F.col("feedback_date") <= F.col("timestamp") + F.expr("INTERVAL 7 DAYS")))
-    want = {r.id: r.feedback_id for r in batch.select("id", "feedback_id").collect()}
-    assert got == want
-
-
-def test_monitoring_stream_runs_checks(spark):
+    out, ck = shared_dir(spark, "labels"), shared_dir(spark, "labels-ck")
+
+    def run():
+        s = ST.label_stream(ST.file_stream(spark, ps, log.schema), ST.file_stream(spark, fs, fb.schema))
+        ST.run_to_table(s, out, ck)
+
+    middle = F.lit("2024-01-15").cast("timestamp_ntz")
+    log.where(F.col("timestamp") < middle).write.mode("append").parquet(ps)
+    fb.where(F.col("feedback_ts") < middle).write.mode("append").parquet(fs)
+    run()
+    log.where(F.col("timestamp") >= middle).write.mode("append").parquet(ps)
+    late = spark.createDataFrame([(10**9, "customer_late", 1)], "feedback_id long, customer_id string, actual_outcome int") \
+        .select("feedback_id", (middle + F.expr("INTERVAL 40 DAYS")).alias("feedback_ts"), "customer_id", "actual_outcome")
+    early = log.limit(1).withColumn("id", F.lit(10**9).cast(log.schema["id"].dataType)).withColumn("customer_id", F.lit("customer_late"))
+    early.write.mode("append").parquet(ps)
+    fb.where(F.col("feedback_ts") >= middle).write.mode("append").parquet(fs)
+    run()
+    late.select(*fb.columns).write.mode("append").parquet(fs)
+    run()
+    rows = spark.read.parquet(out).collect()
+    got = {r.id: r.feedback_id for r in rows}
+    assert len(got) == len(rows) and got.pop(10**9) == 10**9
+    batch = C.T.prediction_log(spark, SF).where(F.col("feedback_id").isNotNull())
+    assert got == {r.id: r.feedback_id for r in batch.select("id", "feedback_id").collect()}
+
+
+def test_cooldown_stream_over_many_batches(spark):
+    """Files in time order, one a batch: equal to the batch operator."""
+    from lendscope.operators.cooldown import cooldown
+    al = T.alert_events(spark, SF)
+    src, out, ck = (shared_dir(spark, n) for n in ("al", "al-out", "al-ck"))
+    for d in range(1, 31, 6):
+        day = F.dayofmonth("timestamp")
+        al.where((day >= d) & (day < d + 6)).coalesce(1).write.mode("append").parquet(src)
+    al.where(F.dayofmonth("timestamp") > 30).coalesce(1).write.mode("append").parquet(src)
+    ST.run_to_table(ST.cooldown_stream(ST.file_stream(spark, src, al.schema, max_files=1)), out, ck)
+    got = {r.alert_id: r.sent for r in spark.read.parquet(out).collect()}
+    assert got == {r.alert_id: r.sent for r in cooldown(al).collect()}
+
+
+def test_monitoring_stream_checks_the_look_back(spark):
+    import datetime as dt
     log = T.scored_log(spark, SF)
     src = shared_dir(spark, "mon-src")
     log.write.parquet(src)
-    seen = []
-
-    def check(batch, batch_id):
-        seen.append(batch.count())
+    seen = {"health": [], "report": 0, "dashboard": 0}
+
+    def tick(hour, alerts):
+        q = ST.monitoring_stream(
+            ST.file_stream(spark, src, log.schema), lambda: spark.read.parquet(src), shared_dir(spark, "mon-ck"),
+            lambda d: d.agg(F.count(F.lit(1)).alias("rows"), F.lit(alerts).alias("active_alerts")),
+            lambda s, _: seen["health"].append(s.first()["rows"]),
+            on_report=lambda _: seen.update(report=seen["report"] + 1),
+            on_dashboard=lambda _: seen.update(dashboard=seen["dashboard"] + 1), clock=lambda: dt.datetime(2024, 1, 31, hour))
+        q.awaitTermination()
 
-    q = ST.monitoring_stream(ST.file_stream(spark, src, log.schema), check, shared_dir(spark, "mon-ck"))
-    q.awaitTermination()
-    assert sum(seen) == log.count()
+    tick(8, 0)
+    tick(9, 2)
+    assert set(seen["health"]) == {log.count()} and seen["report"] == 1 and seen["dashboard"] == 1
 
 
 def test_monitoring_cycle_writes_tables(spark):

@@ -78,12 +78,36 @@ def test_exact_quantiles_match_numpy(spark, skew):
     rnd = np.random.default_rng(7)
     a = rnd.normal(size=2001)
     b = np.where(rnd.random(1500) < 0.7, 1.0, rnd.normal(size=1500)) if skew else rnd.integers(0, 5, 1500) * 1.0
-    rows = [("a", float(x)) for x in a] + [("b", float(x)) for x in b] + [("b", None)] * 10
-    df = spark.createDataFrame(rows, "col string, v double")
-    got = {(r.col, r.q): r.quantile for r in exact_quantiles(df, "col", "v", [0.25, 0.5, 0.75]).collect()}
-    for name, arr in (("a", a), ("b", b)):
+    rows = [(float(a[i]) if i < len(a) else None, float(b[i]) if i < len(b) else None, None) for i in range(2010)]
+    df = spark.createDataFrame(rows, "a double, b double, none double")
+    got = {(r.column, r.q): (r.quantile, r.n) for r in exact_quantiles(df, ["a", "b", "none"], [0.25, 0.5, 0.75]).collect()}
+    for k, arr in enumerate((a, b)):
         for q in (0.25, 0.5, 0.75):
-            assert got[(name, q)] == pytest.approx(float(np.quantile(arr, q)), rel=1e-12, abs=1e-12)
+            assert got[(k, q)][0] == pytest.approx(float(np.quantile(arr, q)), rel=1e-12, abs=1e-12)
+            assert got[(k, q)][1] == len(arr)
+    assert got[(2, 0.5)] == (None, 0)
+
+
+def test_exact_quantiles_of_more_values_than_the_sketch_keeps(spark):
+    """Brackets come from the sketch here, with heavy ties and one outlier."""
+    rnd = np.random.default_rng(3)
+    a = np.concatenate([rnd.exponential(size=60_000), np.full(20_000, 1.0), [1e12]])
+    df = spark.createDataFrame([(float(x),) for x in a], "a double").repartition(7)
+    got = {r.q: r.quantile for r in exact_quantiles(df, ["a"], [0.0, 0.01, 0.5, 0.632, 0.99, 1.0]).collect()}
+    for q, v in got.items():
+        assert v == pytest.approx(float(np.quantile(a, q)), rel=1e-12)
+
+
+def test_buckets_stay_even_with_an_outlier(spark):
+    """100,001 values, one of them 1e12: no bucket above a few times the mean."""
+    from lendscope.operators import ranking
+    df = spark.range(100_000).select((F.col("id") / 1000.0).alias("v"), F.lit(1).alias("c")).unionByName(
+        spark.createDataFrame([(1e12, 1)], "v double, c int"))
+    edges = df.agg(F.percentile_approx("v", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 640).alias("e"))
+    sizes = [r["count"] for r in df.crossJoin(edges).groupBy(ranking._search(F.col("e"), 8, F.col("v"))).count().collect()]
+    assert sum(sizes) == 100_001 and max(sizes) < 3 * 100_001 / 64
+    last = prefix_sums(df, "v", ["c"], nbuckets=64).orderBy(F.col("v").desc()).first()
+    assert last["c_cum"] == 100_001
 
 
 def test_label_codes_match_sorted_order(spark):
