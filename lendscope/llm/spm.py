@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 BLANK = "▁"  # fixed value: the sign SentencePiece writes for a blank
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 500_000
 LONG_CHUNK = 64  # characters; longer chunks are not kept
+SHORT_CHUNK = 32  # characters; below, a list is faster than a heap
+NO_PIECE = float("inf")
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(9)]  # ids as little-endian words
 BLOCK_CHARS = 1_000_000  # texts whose new chunks are encoded and checked together
 
 
@@ -61,9 +65,23 @@ class MergeVocabulary:
         self.cache: dict[str, bytes] = {}
 
     def merge(self, chunk: str) -> list[int]:
-        """Agenda encoding of one chunk."""
+        """Agenda encoding of one chunk; a short chunk's agenda is a plain list, a long one's a heap."""
         rank, symbols, n = self.rank, list(chunk), len(chunk)
-        if n > 1:
+        if n <= SHORT_CHUNK:
+            get = rank.get
+            agenda = [get(a + b, NO_PIECE) for a, b in zip(symbols, symbols[1:])]
+            while agenda:
+                best = min(agenda)
+                if best == NO_PIECE:
+                    break
+                i = agenda.index(best)  # the leftmost of equals
+                symbols[i] += symbols.pop(i + 1)
+                del agenda[i]
+                if i < len(agenda):
+                    agenda[i] = get(symbols[i] + symbols[i + 1], NO_PIECE)
+                if i:
+                    agenda[i - 1] = get(symbols[i - 1] + symbols[i], NO_PIECE)
+        else:
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             agenda = []
             for i in range(n - 1):
@@ -120,7 +138,7 @@ class MergeVocabulary:
         for c, a, b in zip(chunks, own, self.library.decode(own), strict=True):
             if self.decode(a) != b.encode():
                 raise ValueError(f"the decoded text differs from the library's for {c[:80]!r}")
-        return {c: np.array(a, dtype="<u4").tobytes() for c, a in zip(chunks, own, strict=True)}
+        return {c: struct.pack(f"<{len(a)}I", *a) if len(a) >= len(PACKS) else PACKS[len(a)](*a) for c, a in zip(chunks, own, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end ids, as little-endian 32-bit words."""
