@@ -149,10 +149,16 @@ def folds(train: DataFrame, k: int, seed: int) -> DataFrame:
 
 def folded(train: DataFrame, features: list[str], k: int, seed: int) -> DataFrame:
     """Rows with fold number and feature vector, kept in executor memory while models are fitted."""
-    f = written(folds(train, k, seed), "folds")
+    f = spread(written(folds(train, k, seed), "folds"))
     return with_vector(f, features).select(TARGET, "fold", "features").persist()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core: small tables are written as few files, and fits pass over them many times."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cv_auc(est, scheme: str, f: DataFrame, k: int) -> list[float]:
     """ML-5: AUC of each of k stratified folds of ``folded`` rows."""
     out = []
@@ -235,7 +241,7 @@ def sampling_comparison(prepared: Prepared, seed: int = 42) -> DataFrame:
                                     maxDepth=8, minInstancesPerNode=MIN_LEAF, seed=seed)
         try:
             tr = balance(prepared.train, prepared.features, method, ratio, seed)
-            m = test_metrics(rf.fit(weighted(with_vector(tr, prepared.features), "balanced")), test)
+            m = test_metrics(rf.fit(weighted(with_vector(spread(tr), prepared.features), "balanced")), test)
             rows.append((i, name, method, ratio, m["precision"], m["recall"], m["f1"], None))
         except Exception as e:  # noqa: BLE001 - the comparison goes on without this strategy
             rows.append((i, name, method, ratio, None, None, None, f"{type(e).__name__}: {e}"[:500]))
