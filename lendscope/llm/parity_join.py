@@ -48,8 +48,8 @@ WORDS = 5
 CELLS = 1 << 20
 CELL_PARTS = 64
 MIN_BITS = 512  # of the folded sketch that is compared first
-BLOCK_BYTES = 600_000  # of texts that are hashed together
-CHUNK_ENTRIES = 1_500_000
+BLOCK_BYTES = 400_000  # of texts that are hashed together
+CHUNK_ENTRIES = 500_000
 MAP_BITS = 1 << 24
 MAP_PARTS = 64
 PAIRS_PER_SALT = 2000
@@ -353,8 +353,12 @@ def _places(nodes: np.ndarray) -> np.ndarray:
     return (mix(nodes.astype(np.int64).view(np.uint64)) % U(MAP_BITS)).astype(np.int64)
 
 
+def _bits_at(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 > 0
+
+
 def bit_map(wanted: DataFrame) -> np.ndarray:
-    """One bit for each hash of a wanted node, MAP_BITS in all."""
+    """One bit for each hash of a wanted node, MAP_BITS in all, packed."""
     size = MAP_BITS // MAP_PARTS
     names = ["part", "bits"]
 
@@ -379,17 +383,16 @@ def bit_map(wanted: DataFrame) -> np.ndarray:
     out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
     for r in rows:
         out[r["part"] * size // 8:(r["part"] + 1) * size // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out
 
 
 def token_sets(docs: DataFrame, roles: DataFrame) -> DataFrame:
     """``roles`` (node, b, _salt, hub) with the tokens of their documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_map(roles.select("node"))))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(roles.select("node")))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            keep = on[_places(np.array(batch.column(0)))]
+            keep = _bits_at(shared.value, _places(np.array(batch.column(0))))
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
@@ -435,7 +438,7 @@ def verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     salted, hubs = _salted(near)
     roles = materialize(salted.select(F.col("a").alias("node"), "b", "_salt", F.lit(False).alias("hub"))
                         .unionByName(hubs.select(F.col("b").alias("node"), "b", "_salt", F.lit(True).alias("hub"))), "jac-roles")
-    sets = token_sets(docs, roles)
+    sets = materialize(token_sets(docs, roles), "jac-sets")
     both = (sets.where(~F.col("hub")).select(F.col("node").alias("a"), "b", "_salt", F.col("tokens").alias("t_a"))
             .join(sets.where("hub").select("b", "_salt", F.col("tokens").alias("t_b")), ["b", "_salt"]))
     common = F.size(F.array_intersect("t_a", "t_b"))
