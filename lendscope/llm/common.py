@@ -27,6 +27,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_in_small_batches(df: DataFrame, name: str, rows: int = 500) -> DataFrame:
+    """``materialize`` with Arrow batches of so many rows, where several Python steps stand in one stage.
+
+    Spark's default of 10,000 texts a batch is held once in the JVM and once in
+    each step's worker.  The setting is put back when the table is written.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(rows))
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

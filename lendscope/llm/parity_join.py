@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot_split, materialize, table
+from .common import join_hot_split, materialize, materialize_in_small_batches, table
 from .components import connected_components
 from .hashing import mix, shingle_sets
 
@@ -438,7 +438,7 @@ def verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     salted, hubs = _salted(near)
     roles = materialize(salted.select(F.col("a").alias("node"), "b", "_salt", F.lit(False).alias("hub"))
                         .unionByName(hubs.select(F.col("b").alias("node"), "b", "_salt", F.lit(True).alias("hub"))), "jac-roles")
-    sets = materialize(token_sets(docs, roles), "jac-sets")
+    sets = materialize_in_small_batches(token_sets(docs, roles), "jac-sets")
     both = (sets.where(~F.col("hub")).select(F.col("node").alias("a"), "b", "_salt", F.col("tokens").alias("t_a"))
             .join(sets.where("hub").select("b", "_salt", F.col("tokens").alias("t_b")), ["b", "_salt"]))
     common = F.size(F.array_intersect("t_a", "t_b"))
@@ -460,8 +460,8 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"),
                        node_of(F.col("doc_id"), F.col(text)).alias("node"))
-    measured = materialize(measure(rows), "jac-sizes")
-    edges = materialize(meetings(rows, rarity_of(measured)), "jac-edges")
+    measured = materialize_in_small_batches(measure(rows), "jac-sizes")
+    edges = materialize_in_small_batches(meetings(rows, rarity_of(measured)), "jac-edges")
     same = edges.where("same").select("a", "b")
     pairs = materialize(edges.where(~F.col("same")).where(_sizes_fit("n_a", "n_b")).select("a", "b").distinct(), "jac-pairs")
     sketches = measured.where(F.col("part").isNull()).select("node", F.col("n_shingles").alias("n"), "sketch")
