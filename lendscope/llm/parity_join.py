@@ -53,7 +53,7 @@ CHUNK_ENTRIES = 500_000
 MAP_BITS = 1 << 24
 MAP_PARTS = 64
 PAIRS_PER_SALT = 2000
-HUBS = 16
+HUBS = 32
 NO_ID = 1 << 62  # documents without id are numbered from here, by their text
 U = np.uint64
 
