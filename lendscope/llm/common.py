@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,39 @@ def materialize_in_small_batches(df: DataFrame, name: str, rows: int = 500) -> D
         conf.set(key, before)
 
 
+ROWS_OF_FILE = 1 << 40  # row numbers of a file; with 2 ** 22 files they stay below 2 ** 62
+
+
+def _is_table(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one row of a Parquet table (a scan with projections and filters, no more)."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation":
+        return False
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def with_row_key(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for each row, the same at every reading, and that column's name.
+
+    A Parquet table's rows are numbered by file and place in it; anything else is written first.
+    """
+    key = next(f"_row{i}" for i in range(len(docs.columns) + 1) if f"_row{i}" not in docs.columns)
+    if not _is_table(docs):
+        return materialize(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+    placed = docs.select(F.struct("*").alias("_doc"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    # One row per file.
+    files = materialize(placed.select("_file").distinct().select(
+        "_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_no")), name)
+    return placed.join(F.broadcast(files), "_file").select(
+        "_doc.*", (F.col("_no") * ROWS_OF_FILE + F.col("_place")).alias(key)), key
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

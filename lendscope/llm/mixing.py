@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_digits, join_hot_split, materialize, n_words, running_total, seeded_key, table
+from .common import hash_digits, join_hot_split, materialize, n_words, running_total, seeded_key, table, with_row_key
 
 # Fixed values of the mix: weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -59,7 +59,7 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix-1",
-        text: str = "text", source: str = "source") -> DataFrame:
+        text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies, source.
 
     ``copies`` says how often the mix repeats the document (0 to max_epochs),
@@ -68,8 +68,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     words has target 0.  A null source is one source, the last.  Rows with
     equal ids (or none) are ordered by size and then take turns by their order;
     identical rows are interchangeable.  An empty table gives an empty result.
+    ``row`` names a column that tells rows apart; it is given back as ``_row``.
     """
+    keys = ["_row"] if row else []
     rows = materialize(docs.select(
+        *[F.col(row).alias(k) for k in keys],
         F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
         n_words(F.col(text)).alias("size")), "mix-rows")
     total = rows.count()
@@ -103,7 +106,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     swapped = F.col("doc_id").eqNullSafe(F.col("_swap_id")) & (size == F.col("_swap_size"))
     copies = F.col("_whole") + F.when(swapped & F.col("_swap_size").isNotNull(), 1 - F.col("_extra")).otherwise(F.col("_extra"))
     return done.withColumn("copies", copies.cast("int")).select(
-        "doc_id", "size", "source_size", "target", (size * F.col("copies")).alias("taken"), "copies", "source")
+        *keys, "doc_id", "size", "source_size", "target", (size * F.col("copies")).alias("taken"), "copies", "source")
 
 
 def op6_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +115,10 @@ def op6_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    """Pipeline stage: each row as often as the mix takes it."""
+    keyed, key = with_row_key(docs, "mix-keys")
+    copies = mix(keyed, row=key).where("copies > 0").select(F.col("_row").alias(key), F.col("copies").alias("_copies"))
     turn = next(f"turn{i}" for i in range(len(docs.columns) + 1) if f"turn{i}" not in docs.columns)
-    j = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"]))
-    return j.select(*[docs[c] for c in docs.columns],
-                    F.explode(F.sequence(F.lit(1), copies["copies"])).alias(turn)).drop(turn)
+    j = keyed.join(copies, key)
+    return j.select(*[keyed[c] for c in docs.columns],
+                    F.explode(F.sequence(F.lit(1), copies["_copies"])).alias(turn)).drop(turn)

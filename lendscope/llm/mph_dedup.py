@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot_split, materialize, table
+from .common import join_hot_split, materialize, table, with_row_key
 
 BUCKET_KEYS = 1024
 GAMMA = 2  # bits of a level for each key that reaches it
@@ -143,16 +143,19 @@ def probe(arrivals: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
             .applyInPandas(_lookup_bucket, LOOKUP_SCHEMA))
 
 
-def exact_dedup(docs: DataFrame, historical: Column, text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, historical: Column, text: str = "text", row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, in_history.
 
     ``historical`` tells the rows that arrived before the others.  Of equal
     texts the row with the largest doc_id stays.  Null texts count as empty.
     Rows repeated with one doc_id are one document: all of them stay or go.
     A null doc_id wins only where its group has no other.  An empty table
-    gives an empty result; other columns of ``docs`` are not looked at.
+    gives an empty result; other columns of ``docs`` are not looked at, but
+    ``row`` may name one that tells rows apart: it is given back as ``_row``.
     """
+    keys = ["_row"] if row else []
     rows = materialize(docs.select(
+        *[F.col(row).alias(k) for k in keys],
         F.col("doc_id").cast("long").alias("doc_id"),
         F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("digest"),
         F.coalesce(historical, F.lit(False)).alias("historical")), "dedup-digests")
@@ -167,7 +170,7 @@ def exact_dedup(docs: DataFrame, historical: Column, text: str = "text") -> Data
         .agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"),
              F.max("member").alias("repeats_history")), "dedup-groups")
     return join_hot_split(rows, groups, "digest", "group_size", total).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        *keys, "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"), F.col("historical").alias("in_history"), "repeats_history")
 
 
@@ -183,10 +186,11 @@ def op2_mph_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents whose text no document with a larger id repeats."""
-    kept = exact_dedup(docs, earlier_arrivals()).where("kept").select("doc_id").distinct()
-    on = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    return docs.join(kept, on, "left_semi")
+    """Pipeline stage: one row per distinct text, the one with the largest id (of equal ids the first row)."""
+    keyed, key = with_row_key(docs, "dedup-rows")
+    kept = (exact_dedup(keyed, earlier_arrivals(), row=key).where("kept")
+            .groupBy("text_sha256").agg(F.min("_row").alias(key)).select(key))
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 OP2_SQL = """

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot_split, materialize, materialize_in_small_batches, table
+from .common import join_hot_split, materialize, materialize_in_small_batches, table, with_row_key
 from .components import connected_components
 from .hashing import mix, shingle_sets
 
@@ -458,8 +458,13 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     without id are told apart by their texts; their component_id is the least
     id reachable, null if there is none.  An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"),
-                       node_of(F.col("doc_id"), F.col(text)).alias("node"))
+    out = linked_nodes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"),
+                                   node_of(F.col("doc_id"), F.col(text)).alias("node")))
+    return out.select("doc_id", "n_shingles", F.when(F.col("c") < NO_ID, F.col("c")).alias("component_id"))
+
+
+def linked_nodes(rows: DataFrame) -> DataFrame:
+    """(node, doc_id, n_shingles, c) of each of ``rows`` (doc_id, text, node); c is the least node reachable."""
     measured = materialize_in_small_batches(measure(rows), "jac-sizes")
     edges = materialize_in_small_batches(meetings(rows, rarity_of(measured)), "jac-edges")
     same = edges.where("same").select("a", "b")
@@ -507,8 +512,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
             component = materialize(connected_components(links), "jac-components")
         members = materialize(m.join(hubs.select("print", F.col("h.node").alias("node")), ["print", "node"], "left_anti")
                               .select("print", "node", "n"), "jac-members")
-    out = labelled(measured.where(F.col("part").isNull()).select("node", "doc_id", "n_shingles"), "node", "c")
-    return out.select("doc_id", "n_shingles", F.when(F.col("c") < NO_ID, F.col("c")).alias("component_id"))
+    return labelled(measured.where(F.col("part").isNull()).select("node", "doc_id", "n_shingles"), "node", "c")
 
 
 def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -517,7 +521,9 @@ def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id stays."""
-    kept = (jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select("doc_id").distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Pipeline stage: of each component of rows the one with the least id stays (none last; of equal ids the first row)."""
+    keyed, key = with_row_key(docs, "near-rows")
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(key).alias("node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node"))
+    kept = linked_nodes(rows).groupBy("c").agg(first.alias("first")).select(F.col("first.node").alias(key))
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot_split, materialize, table, word_array
+from .common import join_hot_split, materialize, table, with_row_key, word_array
 
 # Fixed values of the base rules.
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -79,12 +79,13 @@ def _repeated_words(words: Column) -> Column:
     return _let(words, lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(_let(windows(w), covered)))
 
 
-def text_counts(docs: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of each text, from one scan."""
+def text_counts(docs: DataFrame, text: str = "text", stratum: str = "lang", row: str | None = None) -> DataFrame:
+    """doc_id, stratum and the counts of each text, from one scan (and ``_row``, the column ``row``, if there is one)."""
+    keys = ["_row"] if row else []
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE))
     packed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        *[F.col(row).alias(k) for k in keys], F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null")).alias("stratum"),
         _count_chars(t, SYMBOLS).cast("long").alias("n_symbols"),
         _count_chars(t, "[A-Z]").cast("long").alias("n_upper"), _count_chars(t, "[!?]").cast("long").alias("n_marks"),
@@ -94,7 +95,7 @@ def text_counts(docs: DataFrame, text: str = "text", stratum: str = "lang") -> D
                                                _repeated_words(w).cast("long").alias("rep"))).alias("words"))
     n, rep = F.col("words.n"), F.col("words.rep")
     return packed.select(
-        "doc_id", "stratum", n.alias("n_words"), F.col("words.chars").alias("word_chars"), "n_symbols", F.col("lines.dup").alias("n_dup_lines"),
+        *keys, "doc_id", "stratum", n.alias("n_words"), F.col("words.chars").alias("word_chars"), "n_symbols", F.col("lines.dup").alias("n_dup_lines"),
         rep.alias("n_repeat_words"), "n_upper", "n_marks", F.col("lines.n").alias("n_lines"),
         ((n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)).alias("base_failed"))
 
@@ -181,15 +182,16 @@ def cutoffs(counts: DataFrame, labels: DataFrame, limit: float = MAX_FALSE_REJEC
     return allowed.groupBy("stratum", "rule").agg(best.alias("b")).select("stratum", "rule", "b.*")
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: the counts, base_failed and kept (false if base_failed or a cutoff is reached).
 
     Null and empty texts have no words and fail the base rule.  A stratum
     without enough labels has no cutoffs, so its documents stay unless the
     base rule rejects them; a null stratum is one of its own.  Empty labels
     leave the base rule alone; an empty table gives an empty result.
+    ``row`` names a column that tells rows apart; it is given back as ``_row``.
     """
-    counts = materialize(text_counts(docs, text, stratum), "quality-counts")
+    counts = materialize(text_counts(docs, text, stratum, row), "quality-counts")
     chosen = (cutoffs(counts, labels).groupBy("stratum")
               .agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]))
     sizes = counts.groupBy("stratum").agg(F.count(F.lit(1)).alias("_rows"))
@@ -209,6 +211,7 @@ def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep (rows of one doc_id stay or go together)."""
-    kept = judge(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Pipeline stage: the rows that the rules keep, whatever their ids."""
+    keyed, key = with_row_key(docs, "quality-rows")
+    kept = judge(keyed, table(spark, sf_dir, "labels"), row=key).where("kept").select(F.col("_row").alias(key))
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
