@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import join_hot_split, materialize, table
@@ -453,16 +453,44 @@ def cut_texts(docs: DataFrame, gone: DataFrame, with_text: bool) -> DataFrame:
     return packed_texts(docs).join(lists, "node", "left").select("doc_id", "packed", "cuts").mapInArrow(run, schema)
 
 
+def numbered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, text, node): ``node`` tells distinct documents (id and text) apart, in the order of ids, none last.
+
+    Where no id has two texts that is the id itself (``node_of``).  Otherwise
+    distinct documents are ranked by id and a hash of both, and the texts are
+    written once with their ranks.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), t.alias("_whole"))
+    prints = rows.where(F.col("doc_id").isNotNull()).select("doc_id", F.sha2(F.col("_whole").cast("binary"), 256).alias("_print"))
+    clashes = prints.groupBy("doc_id").agg(F.min("_print").alias("_lo"), F.max("_print").alias("_hi")).where("_lo <> _hi")
+    if clashes.isEmpty():
+        return rows.select("doc_id", "text", node_of(F.col("doc_id"), F.col("text")).alias("node"))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("_whole"))
+    keyed = rows.select("doc_id", "text", F.sha2(name.cast("binary"), 256).alias("_doc"))
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("_doc")]
+    # Ranged parts are written first: their ids have to be the same for counts and rows.
+    parts = materialize(keyed.groupBy("_doc").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
+                        .repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "rep-documents")
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_docs"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    starts = counts.select("_part", F.coalesce(F.sum("_docs").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_start")
+    numbers = materialize(parts.join(starts, "_part").select("_doc", "_n", place.cast("long").alias("node")), "rep-numbers")
+    total = numbers.agg(F.sum("_n")).first()[0]
+    return materialize(join_hot_split(keyed, numbers, "_doc", "_n", total).select("doc_id", "text", "node"), "rep-texts")
+
+
 def remove_repeats(docs: DataFrame, min_len: int = 100, text: str = "text", with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept`` if asked for).
 
     Null texts are empty; texts of less than ``min_len`` bytes lose nothing.
-    Rows repeated with one doc_id are one document and have the same result;
-    rows without id come after all others, ordered by a hash of their text.  An
-    empty table gives an empty result.
+    Rows repeated with one doc_id and text are one document and have the same
+    result; different texts of one id are documents of their own, ordered by a
+    hash, and so are rows without id, which come after all others.  An empty
+    table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"),
-                       node_of(F.col("doc_id"), F.col(text)).alias("node"))
+    rows = numbered(docs, text)
     found = materialize(find_supers(rows, min_len), "rep-supers")
     settled = materialize(settle_groups(contexts_of(rows, found.where(F.col("grp").isNotNull())), min_len), "rep-groups")
     windows = settled.where(F.col("hash").isNotNull())

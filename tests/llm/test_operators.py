@@ -252,6 +252,21 @@ def test_repeats_null_ids_repeated_rows_and_empty(spark, empty):
     assert remove_repeats(empty).collect() == []
 
 
+def test_repeats_of_one_id_with_two_texts(spark):
+    from lendscope.llm.repeats import remove_repeats
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    p, q = word(150), word(260)
+    rows = [(7, word(900) + p + word(30), None, None), (7, p + word(20), None, None), (7, p + q, None, None), (7, p + q, None, None),
+            (7, word(40), None, None), (3, word(10) + q + word(500), None, None), (9, word(300) + p, None, None),
+            (None, q + word(50), None, None), (None, p + word(5), None, None), (None, None, None, None)]
+    order = sorted(set(pairs(rows)), key=lambda r: (r[0] is None, r[0] or 0, brute.sha(f"{'' if r[0] is None else r[0]}:{r[1] or ''}")))
+    number = {r: i for i, r in enumerate(order)}
+    want = brute.repeats([(i, r[1]) for r, i in number.items()])
+    got = sorted(((r.doc_id or 0), *r[1:]) for r in remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted((r[0] or 0, *want[number[r]]) for r in pairs(rows))
+
+
 def test_repeats_keep_the_rest(spark):
     from lendscope.llm.repeats import remove_repeats
     t = "0123456789" * 3 + "".join(chr(97 + i * 7 % 26) + str(i) for i in range(60))
