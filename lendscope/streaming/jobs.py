@@ -241,12 +241,16 @@ def cooldown_stream(alerts: DataFrame, minutes: int = COOLDOWN_MINUTES, delay: s
 # ---------------------------------------------------------------- STR-5
 
 LABEL_SALTS = 8  # a customer's open predictions are spread over so many groups
+NEVER = np.iinfo(np.int64).min  # no time is before it
 LABEL_OUT = "id long, actual_outcome int, feedback_date timestamp, feedback_id long"
 LABEL_STATE = "ids array<long>, times array<long>, f_times array<long>, f_ids array<long>, outcomes array<int>"
 
 
-def _label_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Open predictions and feedback of one customer and salt; emits what this batch settles."""
+def _label_fn(key, pdfs: Iterator[pd.DataFrame], state, settled_until: Callable) -> Iterator[pd.DataFrame]:
+    """Open predictions and feedback of one customer and salt; emits what this batch settles.
+
+    ``settled_until`` gives the time (microseconds) before which no prediction arrives any more.
+    """
     ids, times, f_times, f_ids, outcomes = (list(x) for x in state.get) if state.exists else ([], [], [], [], [])
     rows = pd.concat(list(pdfs), ignore_index=True)
     at = rows["event_time"].to_numpy(dtype="datetime64[us]").astype("int64")
@@ -261,25 +265,29 @@ def _label_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame
     hit = np.searchsorted(ft, np.array(times, dtype="int64"))
     done = hit < len(ft)
     pid, pt = np.array(ids, dtype="int64"), np.array(times, dtype="int64")
-    # The newest feedback alone can still label what arrives later with an earlier time.
-    last = slice(len(ft) - 1, None) if len(ft) else slice(0, 0)
-    state.update((pid[~done].tolist(), pt[~done].tolist(), ft[last].tolist(), fi[last].tolist(), fo[last].tolist()))
+    # Feedback stays for predictions that arrive later, until the watermark says that none does.
+    due = slice(int(np.searchsorted(ft, settled_until(state))), None)
+    state.update((pid[~done].tolist(), pt[~done].tolist(), ft[due].tolist(), fi[due].tolist(), fo[due].tolist()))
     if done.any():
         h = hit[done]
         yield pd.DataFrame({"id": pid[done], "actual_outcome": fo[h].astype("int32"),
                             "feedback_date": ft[h].astype("datetime64[us]"), "feedback_id": fi[h]})
 
 
-def label_stream(predictions: DataFrame, feedback: DataFrame) -> DataFrame:
+def label_stream(predictions: DataFrame, feedback: DataFrame, delay: str | None = None) -> DataFrame:
     """(id, actual_outcome, feedback_date, feedback_id), once per labelled prediction.
 
-    State per customer: the predictions without an outcome and the newest
-    feedback.  Nothing expires, so feedback that comes months later still
-    labels; what it settles leaves the state.  Predictions of a customer are
-    spread over LABEL_SALTS groups, each of which sees all of the customer's
-    feedback.  The result equals the batch as-of join when events arrive in
-    time order (any order within a batch).  Rows without customer are left
-    out: they have no feedback.
+    State per customer: the predictions without an outcome and the feedback.
+    Open predictions never expire, so feedback that comes months later still
+    labels; what it settles leaves the state.  Feedback stays too, so either
+    source may run ahead of the other.  With a ``delay`` (no source is later
+    than that against its own newest row) feedback that the watermark of both
+    has passed is dropped when its customer is next seen; no row is dropped as
+    late.  Predictions of a customer are spread over LABEL_SALTS groups, each
+    of which sees all of the customer's feedback.  The result equals the batch
+    as-of join when a customer's feedback arrives in time order (any order
+    within a batch); predictions may come in any order (with a ``delay``, within
+    that).  Rows without customer are left out: they have no feedback.
     """
     p = predictions.where(F.col("customer_id").isNotNull()).select(
         "customer_id", F.pmod(F.xxhash64("id"), F.lit(LABEL_SALTS)).cast("int").alias("salt"),
@@ -289,8 +297,14 @@ def label_stream(predictions: DataFrame, feedback: DataFrame) -> DataFrame:
         "customer_id", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))).alias("salt"),
         F.lit(True).alias("is_feedback"), F.col("feedback_id").cast("long").alias("event_id"),
         F.coalesce(F.col("actual_outcome"), F.lit(0)).cast("int").alias("outcome"), utc_instant("feedback_ts").alias("event_time"))
+    if delay is not None:
+        p, f = p.withWatermark("event_time", delay), f.withWatermark("event_time", delay)
+
+    def label(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        return _label_fn(key, pdfs, state, lambda s: NEVER if delay is None else 1000 * s.getCurrentWatermarkMs())
+
     return p.unionByName(f).groupBy("customer_id", "salt").applyInPandasWithState(
-        _label_fn, LABEL_OUT, LABEL_STATE, "append", GroupStateTimeout.NoTimeout)
+        label, LABEL_OUT, LABEL_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # ---------------------------------------------------------------- STR-7

@@ -1,5 +1,7 @@
 """Rows-only operators: training, persistence, scoring, streaming."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +192,28 @@ def test_label_stream_labels_late_feedback_once(spark):
     assert got == {r.id: r.feedback_id for r in batch.select("id", "feedback_id").collect()}
 
 
+@pytest.mark.parametrize("delay", [None, "0 seconds"])
+def test_label_stream_where_feedback_runs_ahead(spark, delay):
+    """Predictions that come batches after the feedback get the earliest outcome at or after them."""
+    at = lambda minute: dt.datetime(2024, 1, 1, 0, minute)
+    p_schema, f_schema = "id long, customer_id string, timestamp timestamp_ntz", "feedback_id long, customer_id string, feedback_ts timestamp_ntz, actual_outcome int"
+    ps, fs = shared_dir(spark, "p"), shared_dir(spark, "f")
+    out, ck = shared_dir(spark, "labels"), shared_dir(spark, "labels-ck")
+
+    def batch(predictions, feedback):
+        spark.createDataFrame([(i, "c", at(m)) for i, m in predictions], p_schema).write.mode("append").parquet(ps)
+        spark.createDataFrame([(i, "c", at(m), i % 2) for i, m in feedback], f_schema).write.mode("append").parquet(fs)
+        s = ST.label_stream(ST.file_stream(spark, ps, spark.read.parquet(ps).schema), ST.file_stream(spark, fs, spark.read.parquet(fs).schema), delay)
+        ST.run_to_table(s, out, ck)
+
+    batch([(1, 0)], [(11, 10), (12, 20), (13, 30)])
+    batch([(2, 5), (3, 15)], [(14, 40)])
+    batch([(4, 25), (5, 30), (6, 45)], [])
+    batch([], [(15, 50)])
+    assert {r.id: (r.feedback_id, r.actual_outcome) for r in spark.read.parquet(out).collect()} == {
+        1: (11, 1), 2: (11, 1), 3: (12, 0), 4: (13, 1), 5: (13, 1), 6: (15, 1)}
+
+
 def test_cooldown_stream_over_many_batches(spark):
     """Files in time order, one a batch: equal to the batch operator."""
     from lendscope.operators.cooldown import cooldown
