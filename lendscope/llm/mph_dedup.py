@@ -13,7 +13,8 @@ slot's winner, nonmembers are grouped among themselves.
 Scale: texts are read once and only (doc_id, 32-byte digest) goes on.  Groups
 of copies are reduced map-side before any shuffle, so a digest with a third of
 all rows reaches a bucket as one row; giving results back to the rows uses
-``join_hot_split``.  A bucket holds about BUCKET_KEYS digests at any size.
+``join_hot_split``.  A bucket holds about BUCKET_KEYS digests of each side at
+any size, whichever side is the larger.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def exact_dedup(docs: DataFrame, historical: Column, text: str = "text", row: st
         F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("digest"),
         F.coalesce(historical, F.lit(False)).alias("historical")), "dedup-digests")
     total, past = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("historical").cast("long")), F.lit(0))).first()
-    buckets = max(1, past // BUCKET_KEYS)
+    buckets = max(1, max(past, total - past) // BUCKET_KEYS)
     history = distinct_digests(rows.where("historical"))
     index = materialize(build_index(history, buckets), "dedup-index")
     found = probe(distinct_digests(rows.where(~F.col("historical"))), index, buckets)

@@ -45,6 +45,17 @@ def test_exact_dedup_null_ids_and_repeated_rows(spark):
     assert got == [(0, 0, 2, True), (0, 0, 2, True), (0, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True)]
 
 
+@pytest.mark.parametrize("past", [False, True])
+def test_exact_dedup_buckets_follow_the_larger_side(spark, monkeypatch, past):
+    from lendscope.llm import mph_dedup
+    used, probe = [], mph_dedup.probe
+    monkeypatch.setattr(mph_dedup, "BUCKET_KEYS", 10)
+    monkeypatch.setattr(mph_dedup, "probe", lambda new, index, buckets: used.append(buckets) or probe(new, index, buckets))
+    rows = [(i, f"t{i}", None, None) for i in range(100)]
+    assert all(r.kept for r in mph_dedup.exact_dedup(frame(spark, rows), F.lit(past)).collect())
+    assert used == [10]
+
+
 def test_perfect_hash_is_minimal():
     from lendscope.llm.mph_dedup import PerfectHash
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
