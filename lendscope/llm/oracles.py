@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
+from .cover_dedup import OP13_SQL
 from .mixing import MAX_EPOCHS, WEIGHTS
 from .mph_dedup import OP2_SQL
 from .quality import (CLEAN_PRICE, DELTA, LENGTH_GRID, MAX_FALSE_REJECTION, MAX_REPEAT_PERCENT, MIN_WORDS, RULES,
@@ -217,4 +218,5 @@ SQL: dict[str, str] = {
     "op7_risk_controlled_rules": OP7_SQL,
     "op9_secret_scan": OP9_SQL,
     "op10_warc_index_merge": OP10_SQL,
+    "op13_difference_cover_dedup": OP13_SQL,
 }

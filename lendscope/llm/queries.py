@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lattice_lm, mixing, mph_dedup, parity_join, quality, repeats, secret_scan, sharding, spm, warc
+from . import cover_dedup, lattice_lm, mixing, mph_dedup, parity_join, quality, repeats, secret_scan, sharding, spm, warc
 from .oracles import SQL  # noqa: F401
 
 QUERIES = {
@@ -16,4 +16,5 @@ QUERIES = {
     "op8_interval_tree_repeats": repeats.op8_interval_tree_repeats,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_warc_index_merge": warc.op10_warc_index_merge,
+    "op13_difference_cover_dedup": cover_dedup.op13_difference_cover_dedup,
 }
