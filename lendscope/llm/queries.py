@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import cover_dedup, lattice_lm, mixing, mph_dedup, parity_join, quality, repeats, secret_scan, sharding, spm, warc
+from . import (cover_dedup, lattice_lm, mixing, mph_dedup, parity_join, prefix_trie, quality, repeats, secret_scan, sharding, spm,
+               warc, whitening)
 from .oracles import SQL  # noqa: F401
 
 QUERIES = {
@@ -16,5 +17,7 @@ QUERIES = {
     "op8_interval_tree_repeats": repeats.op8_interval_tree_repeats,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_warc_index_merge": warc.op10_warc_index_merge,
+    "op11_zfast_conversation_trie": prefix_trie.op11_zfast_conversation_trie,
+    "op12_qdwh_whitening": whitening.op12_qdwh_whitening,
     "op13_difference_cover_dedup": cover_dedup.op13_difference_cover_dedup,
 }
