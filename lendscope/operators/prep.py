@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.exprs import try_div
-from .profile import ID, TARGET, column_name
+from .profile import ID, TARGET, column_name, split_agg
 from ..session import written
-from .ranking import exact_quantiles, rank_in_class
+from .ranking import exact_quantiles, narrow, rank_in_class
 
 UNKNOWN = "Unknown"
 
@@ -146,8 +146,9 @@ def stratified_split(df: DataFrame, target: str = TARGET, id_col: str = ID, test
 
 def scaler_stats(train: DataFrame, cols: list[str]) -> DataFrame:
     """PREP-5: (column, mean, std) with the population std, fitted on train rows."""
-    one = train.agg(*[F.struct(F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_pop(F.col(c).cast("double")).alias("std"))
-                      .alias(f"s{i}") for i, c in enumerate(cols)])
+    values = narrow(train, cols)
+    one = split_agg(values, [F.struct(F.avg(f"v{i}").alias("mean"), F.stddev_pop(f"v{i}").alias("std")).alias(f"s{i}")
+                             for i in range(len(cols))], 5)
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}.mean").alias("mean"),
                                                   F.col(f"s{i}.std").alias("std")) for i, c in enumerate(cols)])))
 
@@ -171,9 +172,9 @@ def anova_f(train: DataFrame, cols: list[str], target: str = TARGET, k: int = 20
     perfectly (infinite F, ranked first); one that is constant altogether has
     no F and is not selected.
     """
-    g = train.where(F.col(target).isNotNull()).groupBy(target).agg(*[
-        F.struct(F.count(c).alias("n"), F.avg(F.col(c).cast("double")).alias("m"), F.var_pop(F.col(c).cast("double")).alias("v"))
-        .alias(f"s{i}") for i, c in enumerate(cols)])
+    values = narrow(train.where(F.col(target).isNotNull()), cols, target)
+    g = split_agg(values, [F.struct(F.count(f"v{i}").alias("n"), F.avg(f"v{i}").alias("m"), F.var_pop(f"v{i}").alias("v")).alias(f"s{i}")
+                           for i in range(len(cols))], 6, target)
     per = g.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}.n").alias("n"), F.col(f"s{i}.m").alias("m"),
                                                F.col(f"s{i}.v").alias("v")) for i, c in enumerate(cols)]))).where("n > 0")
     # one row per class and column from here on

@@ -10,12 +10,12 @@ not a hot spot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..functions.exprs import try_div
-from .ranking import exact_quantiles
+from .ranking import narrow, quantile_rows
 
 TARGET = "Default"
 ID = "ID"
@@ -55,6 +55,22 @@ def column_name(idx, cols: list[str]):
     return F.element_at(F.array(*[F.lit(c) for c in cols]), i + 1)
 
 
+def split_agg(df: DataFrame, aggs: list[Column], fields: int, by: str | None = None) -> DataFrame:
+    """One aggregate, computed as several of so few buffer fields (``fields`` each) that Spark generates code for them.
+
+    Above spark.sql.codegen.maxFields (100) an aggregate is interpreted.  ``df``
+    should be a narrow written table, as each part scans its own columns.
+    Without ``by`` the parts are one row each; with it one per (non-null) value
+    of ``by``, a handful.
+    """
+    step = max(1, 90 // fields)
+    parts = [df.groupBy(*([by] if by else [])).agg(*aggs[i:i + step]) for i in range(0, len(aggs), step)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p), by) if by else out.crossJoin(F.broadcast(p))
+    return out
+
+
 def shape(df: DataFrame) -> DataFrame:
     """AGG-1: rows, columns and the type histogram as one row."""
     kinds = {"numeric": len(numeric_columns(df, exclude=())), "text": len(text_columns(df))}
@@ -114,26 +130,19 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, top: int | None =
     are left out; the percentage is over all rows.
     """
     cols = cols if cols is not None else numeric_columns(df)
-    q = exact_quantiles(df, cols, [0.25, 0.75])
-    qs = q.groupBy("column").agg(F.max(F.when(F.col("q") == 0.25, F.col("quantile"))).alias("q1"),
-                                 F.max(F.when(F.col("q") == 0.75, F.col("quantile"))).alias("q3"),
-                                 F.first("n").alias("n_valid"))
-    # one row with both quartiles of every column: a bounded broadcast
-    fences = qs.groupBy().pivot("column", list(range(len(cols)))).agg(F.first(F.struct("q1", "q3", "n_valid")))
-    iqr = [F.col(f"`{i}`.q3") - F.col(f"`{i}`.q1") for i in range(len(cols))]
-    v = [F.col(f"v{i}") for i in range(len(cols))]
-    rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
-    one = rows.crossJoin(F.broadcast(fences)).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if((v[i] < F.col(f"`{i}`.q1") - IQR_K * iqr[i]) | (v[i] > F.col(f"`{i}`.q3") + IQR_K * iqr[i]))
-          .alias(f"o{i}") for i in range(len(cols))])
-    c = (one.crossJoin(F.broadcast(fences)).select("n_rows", F.inline(F.array(*[F.struct(
-        F.lit(i).alias("column"), F.col(f"`{i}`.q1").alias("q1"), F.col(f"`{i}`.q3").alias("q3"),
-        F.col(f"`{i}`.n_valid").alias("n_valid"), F.col(f"o{i}").alias("outliers")) for i in range(len(cols))])))
-        .where((F.col("n_valid") >= F.col("n_rows") * MIN_VALID_SHARE) & (F.col("q3") - F.col("q1") > 0)))
-    out = c.where(F.col("outliers") > 0).select(
-        column_name("column", cols).alias("column"), "q1", "q3", F.col("outliers").cast("bigint").alias("outliers"),
-        (F.col("outliers") / F.col("n_rows") * 100).alias("percentage"))
+    values = narrow(df, cols)
+    found: dict[int, dict[float, float | None]] = {}
+    valid: dict[int, int] = {}
+    for i, q, x, n in quantile_rows(values, len(cols), [0.25, 0.75]):
+        found.setdefault(i, {})[q], valid[i] = x, n
+    fences = [(i, c[0.25], c[0.75], valid[i]) for i, c in found.items() if valid[i] and c[0.75] > c[0.25]]
+    # the fences are literals of one more scan; the answer has one row per column
+    counts = values.agg(F.count(F.lit(1)).alias("n_rows"), *[
+        F.count_if((F.col(f"v{i}") < q1 - IQR_K * (q3 - q1)) | (F.col(f"v{i}") > q3 + IQR_K * (q3 - q1))).alias(f"o{i}")
+        for i, q1, q3, _ in fences]).first()
+    rows = [(cols[i], q1, q3, counts[f"o{i}"], counts[f"o{i}"] / counts["n_rows"] * 100) for i, q1, q3, n in fences
+            if n >= counts["n_rows"] * MIN_VALID_SHARE and counts[f"o{i}"]]
+    out = df.sparkSession.createDataFrame(rows, "column string, q1 double, q3 double, outliers long, percentage double")
     return _ranked(out, "outliers", top)
 
 
@@ -157,11 +166,11 @@ def target_correlation(df: DataFrame, target: str = TARGET, top: int | None = 10
     Constant columns (zero variance) give no correlation and are left out.
     """
     cols = numeric_columns(df, exclude=(ID, target))
-    y = F.col(target).cast("double")
-    # one aggregate over all columns: no row is multiplied
-    one = df.agg(*[F.struct(F.covar_pop(x, yy).alias("cov"), F.stddev_pop(x).alias("sx"), F.stddev_pop(yy).alias("sy"))
-                   .alias(f"s{i}") for i, c in enumerate(cols)
-                   for x, yy in [(F.when(y.isNotNull(), F.col(c).cast("double")), F.when(F.col(c).isNotNull(), y))]])
+    pairs = narrow(df, [*cols, target])
+    y = F.col(f"v{len(cols)}")
+    one = split_agg(pairs, [F.struct(F.covar_pop(x, yy).alias("cov"), F.stddev_pop(x).alias("sx"), F.stddev_pop(yy).alias("sy"))
+                            .alias(f"s{i}") for i in range(len(cols))
+                            for x, yy in [(F.when(y.isNotNull(), F.col(f"v{i}")), F.when(F.col(f"v{i}").isNotNull(), y))]], 10)
     g = one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"s{i}.cov").alias("cov"),
                                                F.col(f"s{i}.sx").alias("sx"), F.col(f"s{i}.sy").alias("sy"))
                                       for i in range(len(cols))])))

@@ -3,16 +3,15 @@
 ``Window.orderBy`` without ``partitionBy`` moves every row into one task.
 The primitives here keep the work spread:
 
-* ``prefix_sums``: running sums in value order.  Bucket edges are
-  percentiles of the values (a mergeable sketch), so buckets hold about
-  the same number of distinct values whatever the distribution; a row
-  finds its bucket by two short searches.  Buckets are summed inside (one
-  window partition each) and shifted by the running total of the bucket
-  totals.
-* ``exact_quantiles``: rank selection by refinement.  One aggregate
-  brackets every wanted rank of every column by two percentiles of a
-  sketch with a guaranteed error; a second scan counts what lies below
-  and passes on only the values inside the brackets.
+* ``prefix_sums``: running sums in value order.  The rows are dealt by
+  ranges of the order that Spark samples from the values, so a range holds
+  about as many distinct values as any other whatever the distribution;
+  ranges are summed inside (one window partition each) and shifted by the
+  running total of the range totals.
+* ``quantile_rows``: rank selection by radix.  Doubles have 64-bit keys of
+  the same order; every pass counts the next 16-bit digit of the values
+  that begin like a wanted one, for all columns and ranks at once.  Four
+  passes over a narrow written table give the exact order statistics.
 * ``rank_in_class``: exact row numbers per class in seeded-hash order.
   The 32-bit hash is uniform, so its top bits split every class into even
   buckets whatever the class sizes are; a bucket's offset is the running
@@ -22,15 +21,19 @@ The primitives here keep the work spread:
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import seeded_u32
+from ..session import written
 
 NBUCKETS = 1024
 HASH_BUCKET_BITS = 12
-ACCURACY = 10_000  # the sketch's rank error is at most n / ACCURACY
+DIGIT = 16  # bits of a key that one pass settles
 
 
 def bucket_count(df: DataFrame, least: int = NBUCKETS) -> int:
@@ -38,94 +41,133 @@ def bucket_count(df: DataFrame, least: int = NBUCKETS) -> int:
     return max(least, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _search(edges: Column, step: int, v: Column) -> Column:
-    """Number of sorted ``edges`` that are at most ``v``, looking at every ``step``-th first."""
-    coarse = F.size(F.filter(edges, lambda e, i: (i % step == 0) & (e <= v)))
-    at = F.greatest(coarse - 1, F.lit(0)) * step
-    return at + F.size(F.filter(F.slice(edges, at + 1, step), lambda e: e <= v))
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df``, evaluated once and written, with ``_b``, the number of the range of ``order`` that a row lies in."""
+    return written(written(df, "prefix-rows").repartitionByRange(*order).withColumn("_b", F.spark_partition_id()), "prefix-ranges")
 
 
-def prefix_sums(df: DataFrame, order_col: str, cols: list[str], nbuckets: int | None = None,
-                suffix: str = "_cum", by: list[str] | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, order_col: str, cols: list[str], suffix: str = "_cum", by: list[str] | None = None) -> DataFrame:
     """Inclusive running sums of ``cols`` in ascending ``order_col`` order.
 
     ``df`` should hold one row per distinct ``order_col`` value (group
     first), so ties are summed together as an ECDF needs.  ``by`` restarts
-    the sums per group (e.g. per column of an unpivoted table).
+    the sums per group (e.g. per column of an unpivoted table).  ``df`` is
+    evaluated once and written; its ranges are written too, so that totals
+    and rows see the same ones.
     """
     by = list(by or [])
-    nbuckets = nbuckets or bucket_count(df)
-    step = math.isqrt(nbuckets)
-    v = F.col(order_col).cast("double")
-    shares = F.array(*[F.lit(i / nbuckets) for i in range(1, nbuckets)])
-    bounds = df.groupBy(*by).agg(F.percentile_approx(v, shares, 10 * nbuckets).alias("_edges"))
-    # one row of nbuckets edges per group of ``by`` (a handful of columns): a bounded broadcast
-    d = df.join(F.broadcast(bounds), by) if by else df.crossJoin(F.broadcast(bounds))
-    d = d.withColumn("_b", _search(F.col("_edges"), step, v)).drop("_edges")
-    w_in = Window.partitionBy(*by, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    for c in cols:
-        d = d.withColumn(f"{c}_in", F.sum(c).over(w_in))
+    d = ranged(df, [*by, order_col])
     tot = d.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"{c}_bt") for c in cols])
-    # at most nbuckets rows per group: the window over bucket totals is bounded
+    # one row per range (and group): the window over range totals is bounded by the shuffle partitions
     w_off = (Window.partitionBy(*by) if by else Window).orderBy("_b") \
         .rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*by, "_b", *[F.coalesce(F.sum(f"{c}_bt").over(w_off), F.lit(0)).alias(f"{c}_off")
                                   for c in cols])
-    d = d.join(F.broadcast(off), by + ["_b"])
+    w_in = Window.partitionBy(*by, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", *[F.sum(c).over(w_in).alias(f"{c}_in") for c in cols]).join(F.broadcast(off), by + ["_b"])
     for c in cols:
         d = d.withColumn(f"{c}{suffix}", F.col(f"{c}_in") + F.col(f"{c}_off")).drop(f"{c}_in", f"{c}_off")
     return d.drop("_b")
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas / numpy default).
-
-    (column index, q, quantile, n) for the non-missing values of ``cols``;
-    quantile is null where there are none.  The order statistics around
-    position (n - 1) * q lie between the percentiles q - 3e and q + 3e of a
-    sketch with rank error e * n (or minimum and maximum for small n), so
-    only values between those are ranked; nothing is checkpointed and no
-    row is multiplied by the number of columns before a shuffle.
+def order_keys(v: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit keys in the order of the doubles ``v`` (both zeros have one key)."""
+    bits = (v + 0.0).view(np.uint64)
+    negative = (bits >> np.uint64(63)).astype(bool)
+    return np.where(negative, ~bits, bits | np.uint64(1 << 63))
+
+
+def key_value(key: int) -> float:
+    """The double whose key is ``key``."""
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return float(np.array([bits], dtype=np.uint64).view(float)[0])
+
+
+def narrow(df: DataFrame, cols: list[str], *more: str) -> DataFrame:
+    """The columns as doubles v0, v1, ... (NaN is missing), written once; ``more`` are kept as they are."""
+    v = [F.col(c).cast("double") for c in cols]
+    return written(df.select(*[F.when(~F.isnan(x), x).alias(f"v{i}") for i, x in enumerate(v)], *more), "narrow")
+
+
+def _digit_counts(values: DataFrame, wanted: dict[int, list[int]], done: int) -> DataFrame:
+    """(column, slot, digit, n): how many values of a column have the digit behind ``done`` settled bits.
+
+    ``wanted`` has the settled prefixes of each column (its slots); a task sends the digits it meets.
+    """
+    names = [f"v{i}" for i in wanted]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[np.zeros(0, np.int64)] * 4]
+            for (i, prefixes), values_ in zip(wanted.items(), batch.columns, strict=True):
+                keys = order_keys(values_.drop_null().to_numpy(zero_copy_only=False))
+                head = keys >> np.uint64(64 - done) if done else np.zeros(len(keys), np.uint64)
+                for slot, prefix in enumerate(prefixes):
+                    digits = (keys[head == np.uint64(prefix)] >> np.uint64(64 - DIGIT - done)) & np.uint64((1 << DIGIT) - 1)
+                    digit, n = np.unique(digits, return_counts=True)
+                    out.append([np.full(len(n), i), np.full(len(n), slot), digit.astype(np.int64), n.astype(np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["column", "slot", "digit", "n"])
+
+    return (values.select(*names).mapInArrow(count, "column long, slot long, digit long, n long")
+            .groupBy("column", "slot", "digit").agg(F.sum("n").alias("n")))
+
+
+def order_statistics(values: DataFrame, n_cols: int, shares: list[float]) -> tuple[list[int], dict[tuple[int, int], float]]:
+    """(non-missing values of each column of a ``narrow`` table, {(column, rank from 0): value}).
+
+    The ranks are those on both sides of (n - 1) * share.  Counts stay on the
+    executors: at most 2 ** DIGIT per column and prefix, summed in order by a
+    window; one row per wanted rank comes to the driver.
     """
-    vals = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]
-    d = df.select(*vals)
-    eps = 3.0 / ACCURACY
-    ps = [min(1.0, max(0.0, q + s * eps)) for q in qs for s in (-1, 1)]
-    one = d.agg(*[F.struct(F.count(f"v{i}").alias("n"), F.min(f"v{i}").alias("lo"), F.max(f"v{i}").alias("hi"),
-                           F.percentile_approx(f"v{i}", F.array(*[F.lit(p) for p in ps]), ACCURACY).alias("p")).alias(f"s{i}")
-                  for i in range(len(cols))])
-
-    def bracket(i: int, k: int) -> tuple[Column, Column]:
-        s, few = F.col(f"s{i}"), F.col(f"s{i}.n") < ACCURACY
-        return (F.when(few, s["lo"]).otherwise(F.get(s["p"], F.lit(2 * k))),
-                F.when(few, s["hi"]).otherwise(F.get(s["p"], F.lit(2 * k + 1))))
-
-    cells = [(i, k, q) for i in range(len(cols)) for k, q in enumerate(qs)]
-    # one row of sketches: a bounded broadcast
-    j = d.crossJoin(F.broadcast(one))
-    inside = F.array(*[F.when(F.col(f"v{i}").between(*bracket(i, k)), F.struct(
-        F.lit(i).alias("column"), F.lit(q).alias("q"), F.col(f"v{i}").alias("v"))) for i, k, q in cells])
-    near = (j.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x")).select("x.*")
-            .groupBy("column", "q", "v").agg(F.count(F.lit(1)).alias("c")))
-    ranked = prefix_sums(near, "v", ["c"], by=["column", "q"])
-    below = j.agg(*[F.count_if(F.col(f"v{i}") < bracket(i, k)[0]).alias(f"b{i}_{k}") for i, k, _ in cells])
-    # one row again: the ranks wanted of each column and quantile
-    want = one.crossJoin(F.broadcast(below)).select(F.inline(F.array(*[F.struct(
-        F.lit(i).alias("column"), F.lit(q).alias("q"), F.col(f"s{i}.n").alias("n"), F.col(f"b{i}_{k}").alias("below"))
-        for i, k, q in cells])))
-    pos = (F.col("n") - 1) * F.col("q")
-    first, last = F.floor(pos) - F.col("below"), F.ceil(pos) - F.col("below")
-    # (columns x quantiles) rows: a bounded broadcast
-
-    def at(r: Column) -> Column:
-        return F.max(F.when((F.col("c_cum") - F.col("c") <= r) & (r < F.col("c_cum")), F.col("v")))
-
-    picks = (ranked.join(F.broadcast(want), ["column", "q"])
-             .groupBy("column", "q").agg(at(first).alias("v_lo"), at(last).alias("v_hi")))
-    out = want.join(picks, ["column", "q"], "left")
-    between = F.col("v_lo") + (pos - F.floor(pos)) * (F.col("v_hi") - F.col("v_lo"))
-    return out.select("column", "q", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(between)
-                      .alias("quantile"), "n")
+    spark = values.sparkSession
+    along = Window.partitionBy("column", "slot").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    counts = _digit_counts(values, {i: [0] for i in range(n_cols)}, 0).withColumns(
+        {"upto": F.sum("n").over(along), "all": F.sum("n").over(Window.partitionBy("column", "slot"))})
+    at = (F.col("all") - 1) * F.col("share")
+    ranks = counts.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn(
+        "rank", F.explode(F.array(F.floor(at), F.ceil(at)))).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    # bounded by columns x shares x 2
+    rows = ranks.select("column", "rank", "digit", (F.col("rank") - F.col("upto") + F.col("n")).alias("left"), "all").distinct().collect()
+    sizes = [0] * n_cols
+    for r in rows:
+        sizes[r["column"]] = r["all"]
+    state = {(r["column"], r["rank"]): (r["digit"], r["left"]) for r in rows}
+    for done in range(DIGIT, 64, DIGIT):
+        prefixes: dict[int, list[int]] = {}
+        for (i, _), (prefix, _) in sorted(state.items()):
+            if prefix not in prefixes.setdefault(i, []):
+                prefixes[i].append(prefix)
+        if not state:
+            break
+        asked = spark.createDataFrame([(i, prefixes[i].index(p), rank, left) for (i, rank), (p, left) in state.items()],
+                                      "column long, slot long, rank long, left long")
+        counts = _digit_counts(values, prefixes, done).withColumn("upto", F.sum("n").over(along))
+        # one row per wanted rank: a bounded broadcast
+        found = counts.join(F.broadcast(asked), ["column", "slot"]).where(
+            (F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n")))
+        state = {(r["column"], r["rank"]): ((state[r["column"], r["rank"]][0] << DIGIT) | r["digit"], r["left"] - r["upto"] + r["n"])
+                 for r in found.collect()}
+    return sizes, {k: key_value(prefix) for k, (prefix, _) in state.items()}
+
+
+def quantile_rows(values: DataFrame, n_cols: int, qs: list[float]) -> list[tuple[int, float, float | None, int]]:
+    """(column index, q, quantile, n) with linear interpolation (pandas / numpy default); null for empty columns."""
+    sizes, at = order_statistics(values, n_cols, qs)
+    out = []
+    for i, n in enumerate(sizes):
+        for q in qs:
+            if not n:
+                out.append((i, q, None, 0))
+                continue
+            pos = (n - 1) * q
+            lo, hi = at[i, math.floor(pos)], at[i, math.ceil(pos)]
+            out.append((i, q, lo if lo == hi else lo + (pos - math.floor(pos)) * (hi - lo), n))
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> DataFrame:
+    """``quantile_rows`` of the columns as a table (column, q, quantile, n); one row per column and quantile."""
+    return df.sparkSession.createDataFrame(quantile_rows(narrow(df, cols), len(cols), qs), "column int, q double, quantile double, n long")
 
 
 def rank_in_class(df: DataFrame, class_col: str | None, id_col: str, seed: int | str = 42,

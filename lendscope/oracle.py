@@ -443,6 +443,89 @@ select "column", round(f, 6) as f_score, row_number() over (order by f desc null
  f is not null and row_number() over (order by f desc nulls last, "column") <= 20 as selected
 from f"""
 
+# Trees: candidate cuts are the values at ranks floor((n - 1) i / 32); every level is a few CTEs.
+_UNIT = 16777216
+_CUTS = f""",
+fx as (select ID, y, list_position({[c for c in _ML_FEATURES]}, "column") as fi, "column" as f, v from
+   (unpivot (select ID, "Default" as y, {", ".join(f"{q(c)}::double as {q(c)}" for c in _ML_FEATURES)} from train)
+    on {", ".join(q(c) for c in _ML_FEATURES)} into name "column" value v)),
+ranked as (select fi, f, v, row_number() over (partition by fi order by v) - 1 as k, count(*) over (partition by fi) as n from fx),
+cut_values as (select distinct fi, f, v as cut from ranked join (select unnest(range(1, 33)) as i) on k = floor((n - 1) * (i / 32.0::double))::bigint),
+cuts as (select * from cut_values c where cut < (select max(cut) from cut_values d where d.fi = c.fi))"""
+
+
+def _tree_levels(t: str, stats: str, depth: int, gain: str, allowed: str) -> tuple[str, list[str]]:
+    """CTEs that grow tree ``t`` over ``stats`` (ID, s0, s1); gain and allowed are over l0, l1, r0, r1, t0, t1. Returns them and the node tables."""
+    sql = f", {t}_a0 as (select ID, 0 as node, s0, s1 from {stats})"
+    base, nodes = "1", []
+    for d in range(depth):
+        sql += f""",
+{t}_t{d} as (select node, sum(s0)::bigint as t0, sum(s1)::bigint as t1 from {t}_a{d} group by 1),
+{t}_c{d} as (select a.node, c.fi, c.f, c.cut, coalesce(sum(s0) filter (v <= cut), 0)::bigint as l0, coalesce(sum(s1) filter (v <= cut), 0)::bigint as l1
+   from {t}_a{d} a join fx on fx.ID = a.ID join cuts c on c.fi = fx.fi group by all),
+{t}_g{d} as (select *, {gain} as gain from (select *, t0 - l0 as r0, t1 - l1 as r1 from {t}_c{d} join {t}_t{d} using (node))),
+{t}_b{d} as (select *, ({base}) + 2 * (row_number() over (order by node) - 1) as left_node from
+   (select * from {t}_g{d} where {allowed} qualify row_number() over (partition by node order by gain desc, fi, cut) = 1)),
+{t}_a{d + 1} as (select a.ID, b.left_node + (fx.v > b.cut)::int as node, s0, s1 from {t}_a{d} a join {t}_b{d} b on a.node = b.node
+   join fx on fx.ID = a.ID and fx.fi = b.fi),
+{t}_n{d} as (select x.node, {d} as depth, b.f as feature, b.cut as threshold, b.left_node, x.t0, x.t1, b.gain
+   from {t}_t{d} x left join {t}_b{d} b on b.node = x.node)"""
+        base += f" + 2 * (select count(*) from {t}_b{d})"
+        nodes.append(f"{t}_n{d}")
+    sql += f""",
+{t}_n{depth} as (select node, {depth} as depth, null::varchar as feature, null::double as threshold, null::bigint as left_node,
+   sum(s0)::bigint as t0, sum(s1)::bigint as t1, null::double as gain from {t}_a{depth} group by 1)"""
+    nodes.append(f"{t}_n{depth}")
+    sql += f""",
+{t} as ({" union all ".join(f"select * from {n}" for n in nodes)})"""
+    return sql, nodes
+
+
+def _boost_value(s0: str, s1: str) -> str:
+    return f"(-(sign({s0}) * greatest(abs({s0} / {_UNIT}.0::double) - 0.1, 0)) / ({s1} / {_UNIT}.0::double + 1.0))"
+
+
+def _boost_score(s0: str, s1: str) -> str:
+    return f"(pow(greatest(abs({s0} / {_UNIT}.0::double) - 0.1, 0), 2) / ({s1} / {_UNIT}.0::double + 1.0))"
+
+
+def boosted_sql(rounds: int, depth: int) -> str:
+    """Second-order boosting: rate 0.05, L1 0.1, L2 1, positives weigh 3, least hessian of a child 1."""
+    gain = f"0.5 * ({_boost_score('l0', 'l1')} + {_boost_score('r0', 'r1')} - {_boost_score('t0', 't1')})"
+    sql = with_train() + _CUTS + ', margin0 as (select ID, "Default" as y, 0.0::double as m from train)'
+    for r in range(rounds):
+        sql += f""",
+grad{r} as (select ID, round(w * (p - y) * {_UNIT})::bigint as s0, round(w * p * (1 - p) * {_UNIT})::bigint as s1
+   from (select ID, y, 1 / (1 + exp(-m)) as p, case when y = 1 then 3.0::double else 1.0::double end as w from margin{r}))"""
+        sql += _tree_levels(f"tree{r}", f"grad{r}", depth, gain, f"l1 >= {_UNIT} and r1 >= {_UNIT} and gain > 1e-6")[0]
+        # a row's leaf is the deepest node it reached
+        reached = " union all ".join(f"select ID, node, {d} as d from tree{r}_a{d}" for d in range(depth + 1))
+        sql += f""",
+leaf{r} as (select ID, node from ({reached}) qualify row_number() over (partition by ID order by d desc) = 1),
+margin{r + 1} as (select m.ID, m.y, m.m + 0.05 * {_boost_value('t.t0', 't.t1')} as m from margin{r} m join leaf{r} using (ID) join tree{r} t using (node))"""
+    return sql + "\n" + " union all ".join(
+        f"""select {r}::int as tree, node::int as node, depth::int as depth, feature, round(threshold, 6) as threshold, left_node::int as left_node,
+ t0 as stat0, t1 as stat1, round(gain, 6) as gain, round({_boost_value('t0', 't1')}, 6) as value from tree{r}""" for r in range(rounds))
+
+
+def forest_tree_sql(depth: int) -> str:
+    """One balanced Gini tree over all rows and features, leaf >= 10, split >= 20."""
+    def purity(a: str, b: str) -> str:
+        return f"(coalesce((w0 * {a} * (w0 * {a}) + w1 * {b} * (w1 * {b})) / nullif(w0 * {a} + w1 * {b}, 0), 0))"
+    gain = f"(select {purity('l0', 'l1')} + {purity('r0', 'r1')} - {purity('t0', 't1')} from cw)"
+    sql = with_train() + _CUTS + """, cw as (select count(*) / (2.0::double * count(*) filter ("Default" = 0)) as w0,
+   count(*) / (2.0::double * count(*) filter ("Default" = 1)) as w1 from train),
+cls as (select ID, ("Default" = 0)::int as s0, ("Default" = 1)::int as s1 from train)"""
+    sql += _tree_levels("tree", "cls", depth, gain, "l0 + l1 >= 10 and r0 + r1 >= 10 and t0 + t1 >= 20 and least(t0, t1) > 0 and gain > 1e-12")[0]
+    return sql + """
+select 0::int as tree, node::int as node, depth::int as depth, feature, round(threshold, 6) as threshold, left_node::int as left_node,
+ t0 as stat0, t1 as stat1, round(gain, 6) as gain, round(t1 * w1 / (t0 * w0 + t1 * w1), 6) as value from tree, cw"""
+
+
+SQL["boosted_stumps"] = boosted_sql(3, 1)
+SQL["boosted_trees"] = boosted_sql(2, 2)
+SQL["forest_tree"] = forest_tree_sql(2)
+
 SQL["anova_f_edges"] = with_(LOANS) + """, x as (select "Default" y, (ID % 7 + 100000000)::double large_mean, (ID % 7)::double small_mean,
    "Default" * 3.0::double separator, 5.0::double as constant from loans),
 long as (unpivot x on large_mean, small_mean, separator, constant into name "column" value value),

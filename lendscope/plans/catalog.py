@@ -7,6 +7,8 @@ the same in Spark and in the SQL oracle.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -459,6 +461,7 @@ def smote_embeddings(spark, sf):
 # ---------------------------------------------------------------- training (rows-only checks)
 
 from ..operators import scoring as SC  # noqa: E402
+from ..operators import trees as trees_  # noqa: E402
 from . import training as TR  # noqa: E402
 
 
@@ -485,8 +488,7 @@ def score_applications(spark, sf):
     source = featured_loans(spark, sf)
     p = TR.prepare(prep.ml_table(source, keep_id=True))
     f = TR.with_vector(p.train, p.features)
-    est, scheme = TR.estimators("moderate", p.train.count())["Logistic Regression"]
-    model = est.fit(TR.weighted(f, scheme))
+    model = TR.logistic("moderate", p.train.count()).fit(TR.weighted(f))
     path = shared_dir(spark, "package")
     TR.save_model(TR.package(source, p.features, model, p.train.select("ID")), p.features, path, threshold=None)
     pm, features, threshold = TR.load_model(path)
@@ -494,6 +496,48 @@ def score_applications(spark, sf):
     return finish(SC.score(pm, apps, threshold).select("ID", "probability", "prediction", "decision", "confidence_level"))
 
 
+def _train_rows(spark, sf):
+    s = split_ml(spark, sf)
+    return written(s.where(~F.col("is_test")).drop("is_test"), "train-rows"), feature_columns(s)
+
+
+def _boosted_rows(spark, sf, rounds: int, depth: int):
+    """ML-4: the nodes of boosted trees over the unscaled training rows."""
+    train, feats = _train_rows(spark, sf)
+    table, edges = TR.tree_table(train, feats)
+    p = replace(TR.boost_params("moderate"), rounds=rounds, depth=depth)
+    trees, = trees_.grow_boosted(table, [-1], len(feats), p)
+    values = [[trees_.leaf_weight(x, p) for x in t.stats] for t in trees]
+    return finish(spark.createDataFrame(trees_.tree_rows(trees, edges, feats, values), trees_.TREE_SCHEMA))
+
+
+@query("boosted_stumps")
+def boosted_stumps(spark, sf):
+    return _boosted_rows(spark, sf, 3, 1)
+
+
+@query("boosted_trees")
+def boosted_trees(spark, sf):
+    return _boosted_rows(spark, sf, 2, 2)
+
+
+@query("forest_tree")
+def forest_tree(spark, sf):
+    """ML-3: one balanced tree over all rows and features, leaf >= 10, split >= 20."""
+    train, feats = _train_rows(spark, sf)
+    table, edges = TR.tree_table(train, feats)
+    w = trees_.balanced_weights(trees_.training_counts(trees_.fold_counts(table), -1))
+    spec = trees_.TreeSpec("one", 0, 2, bootstrap=False, min_leaf=TR.MIN_LEAF, min_split=TR.MIN_SPLIT, weights=w)
+    trees = trees_.grow_forest(table, [spec], len(feats))
+    return finish(spark.createDataFrame(trees_.tree_rows(trees, edges, feats, [trees_.class_shares(t, w) for t in trees]), trees_.TREE_SCHEMA))
+
+
+@query("hyperparameter_scores")
+def hyperparameter_scores(spark, sf):
+    """ML-18: 20 of 72 grid points, three folds; the business score of each."""
+    return TR.search_scores(prepared(spark, sf))
+
+
 @query("rank_models")
 def rank_models(spark, sf):
     """ML-8 / ML-9 / SORT-2 on a metrics table made from the labelled loans: one "model" per education level."""

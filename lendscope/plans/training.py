@@ -13,7 +13,7 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +23,7 @@ from pyspark.sql.types import NumericType
 
 from ..operators import metrics as M
 from ..operators import prep
+from ..operators import trees as TR
 from ..operators.profile import ID, TARGET
 from ..operators.ranking import rank_in_class
 from ..operators.sampling import smote, smote_target
@@ -37,13 +38,14 @@ PRESETS = {
 DEFAULT_CONFIG = {"test_size": 0.2, "random_state": 42, "n_features": 20, "cv_folds": 3, "smote_ratio": 3.0,
                   "regularization": "moderate"}
 MIN_LEAF = 10
-GBT_LEARNING_RATE = 0.05
-GBT_POS_WEIGHT = 3.0
+MIN_SPLIT = 20
+BOOST_RATE, BOOST_POS_WEIGHT, BOOST_L1, BOOST_L2 = 0.05, 3.0, 0.1, 1.0
 FIXED_CLASS_WEIGHT = {0: 1.0, 1: 3.0}
 COMPOSITE = {"auc": 0.4, "f1": 0.3, "precision": 0.2, "gap": -0.1}
 GAP_GREEN, GAP_AMBER = 0.05, 0.15
 SAMPLING_STRATEGIES = [("No Sampling", None, None), ("Conservative SMOTE (4:1)", "smote", 4.0),
                        ("SMOTE (2:1)", "smote", 2.0), ("Random Undersampling", "undersample", 0.3)]
+SAMPLING_TREES, SAMPLING_DEPTH = 30, 8
 SEARCH_GRID = {"n_estimators": [30, 50, 100], "max_depth": [6, 8, 10], "min_samples_split": [10, 20],
                "min_samples_leaf": [5, 10], "class_weight": ["balanced", "fixed_1_3"]}
 SEARCH_ITER = 20
@@ -100,31 +102,46 @@ def balance(train: DataFrame, features: list[str], method: str | None, ratio: fl
     return written(train.unionByName(syn), "balanced-train")
 
 
-def weighted(df: DataFrame, scheme: str) -> DataFrame:
-    """PREP-10: balanced n / (2 n_c), the fixed {0: 1, 1: 3}, or positive weight 3."""
-    if scheme == "balanced":
-        # one row per class
-        w = {r[TARGET]: r["weight"] for r in prep.class_weights(df.select(TARGET)).collect()}
-        pairs = [x for k, v in w.items() for x in (F.lit(k), F.lit(v))]
-        return df.withColumn("weight", F.element_at(F.create_map(*pairs), F.col(TARGET))) if pairs else df.withColumn("weight", F.lit(1.0))
-    w1 = GBT_POS_WEIGHT if scheme == "pos3" else FIXED_CLASS_WEIGHT[1]
-    return df.withColumn("weight", F.when(F.col(TARGET) == 1, F.lit(w1)).otherwise(F.lit(FIXED_CLASS_WEIGHT[0])))
+def weighted(df: DataFrame) -> DataFrame:
+    """PREP-10: balanced weights n / (2 n_c)."""
+    # one row per class
+    w = {r[TARGET]: r["weight"] for r in prep.class_weights(df.select(TARGET)).collect()}
+    pairs = [x for k, v in w.items() for x in (F.lit(k), F.lit(v))]
+    return df.withColumn("weight", F.element_at(F.create_map(*pairs), F.col(TARGET))) if pairs else df.withColumn("weight", F.lit(1.0))
 
 
-def estimators(preset: str, n_train: int, seed: int = 42) -> dict:
-    """ML-1..4: the three regularised models (weights set per model)."""
+def logistic(preset: str, n_train: int) -> LogisticRegression:
+    """ML-2: L2 with C of the preset."""
+    return LogisticRegression(featuresCol="features", labelCol=TARGET, weightCol="weight", maxIter=1000, elasticNetParam=0.0,
+                              standardization=False, regParam=1.0 / (PRESETS[preset]["C"] * max(n_train, 1)))
+
+
+def boost_params(preset: str) -> TR.BoostParams:
+    """ML-4: trees and depth (less 2) of the preset, learning rate, L1, L2 and positive weight."""
     p = PRESETS[preset]
-    return {
-        "Logistic Regression": (LogisticRegression(featuresCol="features", labelCol=TARGET, weightCol="weight",
-                                                   maxIter=1000, elasticNetParam=0.0, standardization=False,
-                                                   regParam=1.0 / (p["C"] * max(n_train, 1))), "balanced"),
-        "Random Forest": (RandomForestClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight",
-                                                 numTrees=p["n_estimators"], maxDepth=p["max_depth"],
-                                                 minInstancesPerNode=MIN_LEAF, seed=seed), "balanced"),
-        "Gradient Boosting": (GBTClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight",
-                                            maxIter=p["n_estimators"], maxDepth=p["max_depth"] - 2,
-                                            stepSize=GBT_LEARNING_RATE, seed=seed), "pos3"),
-    }
+    return TR.BoostParams(p["n_estimators"], p["max_depth"] - 2, BOOST_RATE, BOOST_L1, BOOST_L2, BOOST_POS_WEIGHT)
+
+
+def tree_table(rows: DataFrame, features: list[str], fold: str | None = None) -> tuple[DataFrame, list[list[float]]]:
+    """The rows as bins of their features' exact quantiles, and the edges of the bins."""
+    edges = TR.bin_edges(rows, features)
+    return TR.binned(rows, features, edges, TARGET, ID, fold), edges
+
+
+def balanced_forest(table: DataFrame, edges: list[list[float]], outs: list[int], n_trees: int, depth: int, min_leaf: int, min_split: int,
+                    seed: int) -> list[TR.TreesModel]:
+    """ML-3: one balanced forest per left-out fold (-1: none), all trees grown in the same scans."""
+    folds_ = TR.fold_counts(table)
+    weights = [TR.balanced_weights(TR.training_counts(folds_, o)) for o in outs]
+    specs = [t for o, w in zip(outs, weights, strict=True)
+             for t in TR.forest_specs(f"without {o}", n_trees, depth, len(edges), o, w, min_leaf, min_split, seed)]
+    grown = TR.grow_forest(table, specs, len(edges))
+    return [TR.forest_model(grown[i * n_trees:(i + 1) * n_trees], w, edges) for i, w in enumerate(weights)]
+
+
+def boosted(table: DataFrame, edges: list[list[float]], outs: list[int], p: TR.BoostParams) -> list[TR.TreesModel]:
+    """ML-4: one boosted model per left-out fold (-1: none)."""
+    return [TR.boosted_model(t, p, edges) for t in TR.grow_boosted(table, outs, len(edges), p)]
 
 
 def p1(df: DataFrame) -> DataFrame:
@@ -159,16 +176,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def cv_auc(est, scheme: str, f: DataFrame, k: int) -> list[float]:
-    """ML-5: AUC of each of k stratified folds of ``folded`` rows."""
-    out = []
-    for i in range(k):
-        tr = weighted(f.where(F.col("fold") != i), scheme)
-        te = f.where(F.col("fold") == i)
-        m = est.fit(tr)
-        a = M.roc_auc(p1(m.transform(te)), TARGET, "p1").first()["auc"]
-        out.append(a if a is not None else 0.0)
-    return out
+def auc_of(model, rows: DataFrame) -> float:
+    a = M.roc_auc(p1(model.transform(rows)), TARGET, "p1").first()["auc"]
+    return a if a is not None else 0.0
+
+
+def fitted_models(rows: DataFrame, features: list[str], config: dict) -> dict[str, list]:
+    """ML-1..4: of each kind the models without fold 0, 1, ... and the one of all rows, last.
+
+    ``rows`` are the written rows with their ``fold``.  The trees of all folds
+    grow together; bins are those of all rows.
+    """
+    k, seed, preset = config["cv_folds"], config["random_state"], PRESETS[config["regularization"]]
+    outs = [*range(k), -1]
+    vectors = with_vector(rows, features).select(TARGET, "fold", "features").persist()
+    est = logistic(config["regularization"], vectors.count())
+    lr = [est.fit(weighted(vectors.where(F.col("fold") != o))) for o in outs]
+    vectors.unpersist()
+    table, edges = tree_table(rows, features, "fold")
+    table = spread(table).persist()
+    rf = balanced_forest(table, edges, outs, preset["n_estimators"], preset["max_depth"], MIN_LEAF, MIN_SPLIT, seed)
+    gb = boosted(table, edges, outs, boost_params(config["regularization"]))
+    table.unpersist()
+    return {"Logistic Regression": lr, "Random Forest": rf, "Gradient Boosting": gb}
 
 
 def train_and_compare(prepared: Prepared, config: dict = DEFAULT_CONFIG, resampled: DataFrame | None = None):
@@ -178,15 +208,14 @@ def train_and_compare(prepared: Prepared, config: dict = DEFAULT_CONFIG, resampl
     """
     spark = prepared.train.sparkSession
     tr = resampled if resampled is not None else prepared.train
-    f = folded(tr, prepared.features, config["cv_folds"], config["random_state"])
-    n_train = f.count()
+    rows_ = spread(written(folds(tr, config["cv_folds"], config["random_state"]), "folds"))
+    f = with_vector(rows_, prepared.features).select(TARGET, "fold", "features").persist()
     test = with_vector(prepared.test, prepared.features).select(TARGET, "features").persist()
     rows, fitted = [], {}
-    for name, (est, scheme) in estimators(config["regularization"], n_train, config["random_state"]).items():
-        scores = cv_auc(est, scheme, f, config["cv_folds"])
-        model = est.fit(weighted(f, scheme))
-        fitted[name] = model
-        m = test_metrics(model, test)
+    for name, models in fitted_models(rows_, prepared.features, config).items():
+        scores = [auc_of(m, f.where(F.col("fold") == i)) for i, m in enumerate(models[:-1])]
+        fitted[name] = models[-1]
+        m = test_metrics(models[-1], test)
         mean = sum(scores) / len(scores)
         std = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
         rows.append((name, mean, std, m["auc"], mean - m["auc"], m["precision"], m["recall"], m["f1"],
@@ -237,11 +266,11 @@ def sampling_comparison(prepared: Prepared, seed: int = 42) -> DataFrame:
     test = with_vector(prepared.test, prepared.features).select(TARGET, "features").persist()
     rows = []
     for i, (name, method, ratio) in enumerate(SAMPLING_STRATEGIES):
-        rf = RandomForestClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight", numTrees=30,
-                                    maxDepth=8, minInstancesPerNode=MIN_LEAF, seed=seed)
         try:
-            tr = balance(prepared.train, prepared.features, method, ratio, seed)
-            m = test_metrics(rf.fit(weighted(with_vector(spread(tr), prepared.features), "balanced")), test)
+            tr = written(balance(prepared.train, prepared.features, method, ratio, seed), "sampled")
+            table, edges = tree_table(tr, prepared.features)
+            model, = balanced_forest(spread(table), edges, [-1], SAMPLING_TREES, SAMPLING_DEPTH, MIN_LEAF, MIN_SPLIT, seed)
+            m = test_metrics(model, test)
             rows.append((i, name, method, ratio, m["precision"], m["recall"], m["f1"], None))
         except Exception as e:  # noqa: BLE001 - the comparison goes on without this strategy
             rows.append((i, name, method, ratio, None, None, None, f"{type(e).__name__}: {e}"[:500]))
@@ -263,39 +292,70 @@ def search_candidates(seed: int = 42, n_iter: int = SEARCH_ITER) -> list[dict]:
     return [grid[i] for i in order[:n_iter]]
 
 
-def _forest(c: dict, seed: int) -> tuple[RandomForestClassifier, str]:
-    rf = RandomForestClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight",
-                                numTrees=c["n_estimators"], maxDepth=c["max_depth"],
-                                minInstancesPerNode=c["min_samples_leaf"], seed=seed)
-    return rf, "balanced" if c["class_weight"] == "balanced" else "fixed"
+Kind = tuple[str, int, int]  # class weight, min_samples_leaf, min_samples_split
+
+
+def _kind(c: dict) -> Kind:
+    return c["class_weight"], c["min_samples_leaf"], c["min_samples_split"]
+
+
+def _weights(scheme: str, counts: dict[int, int]) -> tuple[float, float]:
+    return TR.balanced_weights(counts) if scheme == "balanced" else (FIXED_CLASS_WEIGHT[0], FIXED_CLASS_WEIGHT[1])
 
 
 def search_scores(prepared: Prepared, seed: int = 42, n_iter: int = SEARCH_ITER, k: int = 3) -> DataFrame:
     """ML-18: one row per candidate with the mean business score of its k folds.
 
-    Candidates that differ only in ``min_samples_split``, which Spark's forest
-    doesn't have, are one model: fitted once and reported for each.
+    Candidates of one kind (class weight, leaf and split limit) share their
+    trees: a forest of 30 is the first 30 trees of the one of 100, and a tree of
+    depth 6 is the upper part of the one of depth 10.  So at most 8 kinds x k
+    folds x 100 trees grow, all in the same scans, one a level, and one more
+    scan counts the hits of every candidate in its held-out folds.
     """
     spark = prepared.train.sparkSession
-    f = folded(prepared.train, prepared.features, k, seed)
-    ev, known, rows = BusinessEvaluator(), {}, []
-    for i, c in enumerate(search_candidates(seed, n_iter)):
-        key = tuple(sorted((n, v) for n, v in c.items() if n != "min_samples_split"))
-        if key not in known:
-            rf, scheme = _forest(c, seed)
-            known[key] = sum(ev.evaluate(rf.fit(weighted(f.where(F.col("fold") != j), scheme))
-                                         .transform(f.where(F.col("fold") == j))) for j in range(k)) / k
-        rows.append((i, json.dumps(c, sort_keys=True), known[key]))
-    f.unpersist()
-    return spark.createDataFrame(rows, "candidate int, params string, cv_score double")
+    rows = written(folds(prepared.train, k, seed), "folds")
+    table, edges = tree_table(rows, prepared.features, "fold")
+    table = spread(table).persist()
+    folds_, d = TR.fold_counts(table), len(edges)
+    candidates = search_candidates(seed, n_iter)
+    kinds: dict[Kind, list[dict]] = {}
+    for c in candidates:
+        kinds.setdefault(_kind(c), []).append(c)
+    plan, specs = [], []
+    for kind, members in kinds.items():
+        n_trees, depth = max(c["n_estimators"] for c in members), max(c["max_depth"] for c in members)
+        for out in range(k):
+            w = _weights(kind[0], TR.training_counts(folds_, out))
+            plan.append((kind, out, w, len(specs), n_trees))
+            specs += TR.forest_specs(f"{kind} without {out}", n_trees, depth, d, out, w, kind[1], kind[2], seed)
+    trees = TR.grow_forest(table, specs, d)
+    asked = [(out, [(i, c["n_estimators"], c["max_depth"]) for i, c in enumerate(candidates) if _kind(c) == kind], trees[a:a + n], w)
+             for kind, out, w, a, n in plan]
+    hits = {(r["candidate"], r["fold"]): r for r in TR.held_out_hits(table, asked).collect()}  # candidates x folds rows
+    table.unpersist()
+
+    def score(i: int, out: int) -> float:
+        r = hits.get((i, out))
+        if r is None:
+            return 0.0
+        precision = r["tp"] / (r["tp"] + r["fp"]) if r["tp"] + r["fp"] else 0.0
+        f1 = 2 * r["tp"] / (2 * r["tp"] + r["fp"] + r["fn"]) if r["tp"] else 0.0
+        return M.BUSINESS_W_PRECISION * precision + M.BUSINESS_W_F1 * f1
+
+    out_rows = [(i, json.dumps(c, sort_keys=True), sum(score(i, o) for o in range(k)) / k) for i, c in enumerate(candidates)]
+    return spark.createDataFrame(out_rows, "candidate int, params string, cv_score double")
 
 
 def best_forest(prepared: Prepared, scores: DataFrame, seed: int = 42):
     """The model of the best candidate (the first of equals), refitted on all training rows: (model, params, score)."""
     # one row per candidate
     best = scores.orderBy(F.col("cv_score").desc(), "candidate").first()
-    rf, scheme = _forest(json.loads(best["params"]), seed)
-    return rf.fit(weighted(with_vector(prepared.train, prepared.features), scheme)), best["params"], best["cv_score"]
+    c = json.loads(best["params"])
+    table, edges = tree_table(prepared.train, prepared.features)
+    w = _weights(c["class_weight"], TR.training_counts(TR.fold_counts(table), -1))
+    specs = TR.forest_specs("best", c["n_estimators"], c["max_depth"], len(edges), -1, w, c["min_samples_leaf"], c["min_samples_split"], seed)
+    model = TR.forest_model(TR.grow_forest(spread(table), specs, len(edges)), w, edges)
+    return model, best["params"], best["cv_score"]
 
 
 def hyperparameter_search(prepared: Prepared, seed: int = 42, n_iter: int = SEARCH_ITER, k: int = 3) -> DataFrame:

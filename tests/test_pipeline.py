@@ -59,9 +59,8 @@ def test_knn_matches_brute_force(spark):
 
 
 def test_model_fit_save_load_score(spark, prepared):
-    tr = TR.weighted(TR.with_vector(prepared.train, prepared.features), "balanced")
-    est, _ = TR.estimators("heavy", tr.count())["Logistic Regression"]
-    model = est.fit(tr)
+    tr = TR.weighted(TR.with_vector(prepared.train, prepared.features))
+    model = TR.logistic("heavy", tr.count()).fit(tr)
     path = shared_dir(spark, "model")
     TR.save_model(model, prepared.features, path, threshold=None)
     pm, feats, thr = TR.load_model(path)
@@ -110,8 +109,7 @@ def test_package_scores_raw_rows_like_prepared_ones(spark, prepared):
     """The saved package on engineered rows equals the fitted model on prepared rows."""
     source = C.featured_loans(spark, SF)
     f = TR.with_vector(prepared.train, prepared.features)
-    est, scheme = TR.estimators("moderate", prepared.train.count())["Logistic Regression"]
-    model = est.fit(TR.weighted(f, scheme))
+    model = TR.logistic("moderate", prepared.train.count()).fit(TR.weighted(f))
     path = shared_dir(spark, "package")
     TR.save_model(TR.package(source, prepared.features, model, prepared.train.select("ID")), prepared.features, path, None)
     pm, feats, thr = TR.load_model(path)

@@ -66,7 +66,7 @@ def test_prefix_sums_match_cumsum(spark):
     vals = sorted({round(rnd.expovariate(1.0), 3) for _ in range(3000)})
     rows = [(v, rnd.randrange(5)) for v in vals]
     df = spark.createDataFrame(rows, "v double, c long")
-    got = {r.v: r.c_cum for r in prefix_sums(df, "v", ["c"], nbuckets=64).collect()}
+    got = {r.v: r.c_cum for r in prefix_sums(df, "v", ["c"]).collect()}
     acc = 0
     for v, c in rows:
         acc += c
@@ -88,8 +88,8 @@ def test_exact_quantiles_match_numpy(spark, skew):
     assert got[(2, 0.5)] == (None, 0)
 
 
-def test_exact_quantiles_of_more_values_than_the_sketch_keeps(spark):
-    """Brackets come from the sketch here, with heavy ties and one outlier."""
+def test_exact_quantiles_of_many_values(spark):
+    """Heavy ties and one outlier."""
     rnd = np.random.default_rng(3)
     a = np.concatenate([rnd.exponential(size=60_000), np.full(20_000, 1.0), [1e12]])
     df = spark.createDataFrame([(float(x),) for x in a], "a double").repartition(7)
@@ -98,18 +98,40 @@ def test_exact_quantiles_of_more_values_than_the_sketch_keeps(spark):
         assert v == pytest.approx(float(np.quantile(a, q)), rel=1e-12)
 
 
-def test_buckets_stay_even_with_an_outlier(spark):
-    """100,001 values, one of them 1e12: no bucket above a few times the mean."""
-    from lendscope.operators import ranking
+def test_ranges_stay_even_with_an_outlier(spark):
+    """100,001 values, one of them 1e12: no range above a few times the mean."""
+    from lendscope.operators.ranking import ranged
     df = spark.range(100_000).select((F.col("id") / 1000.0).alias("v"), F.lit(1).alias("c")).unionByName(
         spark.createDataFrame([(1e12, 1)], "v double, c int"))
-    edges = df.agg(F.percentile_approx("v", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 640).alias("e"))
-    sizes = [r["count"] for r in df.crossJoin(edges).groupBy(ranking._search(F.col("e"), 8, F.col("v"))).count().collect()]
-    assert sum(sizes) == 100_001 and max(sizes) < 3 * 100_001 / 64
-    last = prefix_sums(df, "v", ["c"], nbuckets=64).orderBy(F.col("v").desc()).first()
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        sizes = [r["count"] for r in ranged(df, ["v"]).groupBy("_b").count().collect()]
+    finally:
+        spark.conf.set(key, "true")
+    assert sum(sizes) == 100_001 and len(sizes) > 4 and max(sizes) < 3 * 100_001 / len(sizes)
+    last = prefix_sums(df, "v", ["c"]).orderBy(F.col("v").desc()).first()
     assert last["c_cum"] == 100_001
 
 
+def test_radix_keys_keep_the_order_of_doubles():
+    from lendscope.operators.ranking import key_value, order_keys
+    v = np.array([-np.inf, -1e300, -2.5, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, np.inf])
+    keys = order_keys(v)
+    assert (np.diff(keys.astype(object)) >= 0).all() and keys[4] == keys[5]
+    assert [key_value(int(k)) for k in keys] == v.tolist()
+
+
+def test_quantiles_of_close_and_signed_values(spark):
+    """Values that differ in the last bits only, both signs, zeros of both signs, NaN and null."""
+    a = [1.0 + i * 2.220446049250313e-16 for i in range(200)] + [-1.0 - i * 1e-9 for i in range(100)] + [0.0, -0.0, 5e-324, float("nan"), None]
+    df = spark.createDataFrame([(x,) for x in a], "a double").repartition(5)
+    kept = np.array([x for x in a if x is not None and x == x])
+    got = {r.q: (r.quantile, r.n) for r in exact_quantiles(df, ["a"], [0.0, 0.25, 0.331, 0.5, 0.75, 1.0]).collect()}
+    for q, (v, n) in got.items():
+        assert n == len(kept) and v == pytest.approx(float(np.quantile(kept, q)), rel=1e-15, abs=0)
+
+
 def test_label_codes_match_sorted_order(spark):
     from lendscope.operators.prep import label_codes
     rnd = random.Random(11)
