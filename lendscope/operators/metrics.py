@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import kolmogorov_pvalue, try_div
+from ..functions.exprs import ks_pvalue, try_div
 from .ranking import prefix_sums
 
 
@@ -86,8 +86,8 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
 def ks_two_sample(df: DataFrame, value: str, flag: str) -> DataFrame:
     """MON-2: two-sample KS between rows with flag 1 and flag 0.
 
-    One row ``(n1, n0, ks_statistic, p_value)``; the p-value is the
-    asymptotic Kolmogorov series at sqrt(n1 n0 / (n1 + n0)) * D.
+    One row ``(n1, n0, ks_statistic, p_value)``; the p-value is exact up to
+    10,000 rows a sample and the Kolmogorov series above (``ks_pvalue``).
     """
     g = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
         F.count_if(F.col(flag) == 1).alias("c1"), F.count_if(F.col(flag) == 0).alias("c0"))
@@ -100,8 +100,7 @@ def ks_two_sample(df: DataFrame, value: str, flag: str) -> DataFrame:
         F.coalesce("n1", F.lit(0)).cast("bigint").alias("n1"),
         F.coalesce("n0", F.lit(0)).cast("bigint").alias("n0"),
         "ks_statistic")
-    lam = F.sqrt(F.col("n1") * F.col("n0") / (F.col("n1") + F.col("n0"))) * F.col("ks_statistic")
-    return out.withColumn("p_value", F.when((F.col("n1") > 0) & (F.col("n0") > 0), kolmogorov_pvalue(lam)))
+    return out.withColumn("p_value", ks_pvalue("n1", "n0", "ks_statistic"))
 
 
 def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:

@@ -632,7 +632,22 @@ def _kpv(src: str) -> str:
     lam = f"(sqrt({src}.n1 * {src}.n0 / ({src}.n1 + {src}.n0)) * {src}.d)"
     series = (f"list_sum(list_transform(range(1, 101), lambda k: 2.0 * (case when k % 2 = 1 then 1.0 else -1.0 end)"
               f" * exp(-2.0 * k * k * {lam} * {lam})))")
-    return f"(case when {lam} < 0.2 then 1.0 else least(greatest({series}, 0.0), 1.0) end)"
+    return (f"(case when greatest({src}.n1, {src}.n0) <= 10000 then (select p_value from exact_{src})"
+            f" when {lam} < 0.2 then 1.0 else least(greatest({series}, 0.0), 1.0) end)")
+
+
+def _exact(src: str) -> str:
+    """The chance that a random merged order leaves the band |i / n1 - j / n0| < d, a diagonal of the lattice at a time."""
+    return f"""band_{src} as (select *, n1 + n0 as nn, round(d * (n1 / gcd(n1, n0)) * n0)::bigint * gcd(n1, n0) as w
+   from (select n1::bigint n1, n0::bigint n0, d from {src})),
+walk_{src} as (select 0::bigint as s, 0::bigint as lo, [1.0::double] as p from band_{src} where w > 0 and greatest(n1, n0) <= 10000
+   union all
+   select s + 1, lo2, [coalesce(p[i - lo + 1], 0.0) * (n0 - (s - i)) / (nn - s) + coalesce(p[i - lo], 0.0) * (n1 - (i - 1)) / (nn - s)
+     for i in range(lo2, hi2 + 1)]
+   from (select *, greatest(0, s + 1 - n0, floor(((s + 1) * n1 - w) / nn)::bigint + 1) as lo2,
+     least(n1, s + 1, ceil(((s + 1) * n1 + w) / nn)::bigint - 1) as hi2 from walk_{src}, band_{src} where s < nn)),
+exact_{src} as (select case when w = 0 then 1.0 else greatest(0.0, 1 - coalesce((select list_sum(p) from walk_{src} order by s desc limit 1), 0.0)) end as p_value
+   from band_{src})"""
 
 
 DRIFT = f"""u as (select probability, processing_time_ms,
@@ -641,6 +656,7 @@ cnt as (select count(*) filter (where r = 1) rs, count(*) filter (where r = 0) b
    count(*) filter (where r = 1 and processing_time_ms is not null) rl from u),
 {_ks('probability', 'p')},
 {_ks('processing_time_ms', 'l')},
+{_exact('ks_p')}, {_exact('ks_l')},
 dr as (select 'probability_drift' as metric, ks_p.d, {_kpv('ks_p')} as pv, rs, bs from cnt, ks_p where rs >= 10 and bs >= 10
    union all
    select 'processing_time_drift', ks_l.d, {_kpv('ks_l')}, rs, bs from cnt, ks_l where rs >= 10 and bs >= 10 and rl > 5),
@@ -933,3 +949,6 @@ FEEDBACK_SHIFTED = FEEDBACK.replace("cast(event_type = 'error' as int) as actual
 for _name in ("alerts_7d", "drift_7d_vs_30d", "health_check", "model_status"):
     SQL[{"alerts_7d": "alerts_shifted", "drift_7d_vs_30d": "drift_shifted"}.get(_name, f"{_name}_shifted")] = \
         SQL[_name].replace(RAW_PREDICTIONS, RAW_SHIFTED).replace(FEEDBACK, FEEDBACK_SHIFTED)
+
+# The exact drift test walks a lattice.
+SQL = {k: v.replace("with ", "with recursive ", 1) if "walk_ks_" in v and "recursive" not in v else v for k, v in SQL.items()}
