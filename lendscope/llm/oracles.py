@@ -210,6 +210,47 @@ SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS
 FROM d LEFT JOIN ok USING (doc_id) GROUP BY 1
 """
 
+# The checksum's table as in OP4_SQL; a decimal's bytes are its characters.
+OP11_SQL = """
+WITH t AS (
+    SELECT list(c ORDER BY i) AS crc FROM (
+        SELECT i, list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+        FROM (SELECT unnest(range(256)) AS i))
+), r AS (
+    SELECT conv_id, turn, strlen(coalesce(text, '')) AS b,
+        sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS dg
+    FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+    SELECT conv_id, list(dg ORDER BY turn NULLS FIRST, dg) AS ds, list(b ORDER BY turn NULLS FIRST, dg) AS bs FROM r GROUP BY 1
+), h AS (
+    SELECT o.*, xor(list_reduce([ascii(x)::BIGINT for x in string_split(conv_id::VARCHAR, '')],
+        lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 9 AS h
+    FROM o, t
+), s AS (
+    SELECT h.conv_id AS c, list_concat(coalesce(b.ds[1:h.h], []), h.ds[h.h + 1:]) AS ds,
+        list_concat(coalesce(b.bs[1:h.h], []), h.bs[h.h + 1:]) AS bs
+    FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5
+), p AS (
+    SELECT c, d, len(ds) AS n, array_to_string(ds[1:d], ',') AS k, CASE WHEN d > 0 THEN array_to_string(ds[1:d - 1], ',') END AS pk,
+        CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS b
+    FROM (SELECT *, unnest(range(0, len(ds) + 1)) AS d FROM s)
+), g AS (
+    SELECT d, k, any_value(pk) AS pk, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS own,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n), '')) AS ends_sha256
+    FROM p GROUP BY d, k
+), kids AS (
+    SELECT d - 1 AS d, pk AS k, count(*) AS n FROM g WHERE d > 0 GROUP BY 1, 2
+), m AS (
+    SELECT g.*, coalesce(kids.n, 0) AS n_children FROM g LEFT JOIN kids USING (d, k)
+), under AS (  -- every node and each node above it, along the path of its smallest member
+    SELECT p.d, p.k, sum(m.own) AS saved, count(*) FILTER (m.n_children = 0) AS leaves
+    FROM m JOIN p ON p.c = m.c AND p.d <= m.d GROUP BY 1, 2
+)
+SELECT m.c AS conv_id, m.d AS depth, parent.c AS parent_conv_id, m.n_convs, m.n_children, under.leaves AS n_leaves,
+    under.saved::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN under USING (d, k) LEFT JOIN m AS parent ON parent.d = m.d - 1 AND parent.k = m.pk
+"""
+
 SQL: dict[str, str] = {
     "op2_mph_exact_dedup": OP2_SQL,
     "op3_parity_sketch_join": OP3_SQL,
@@ -218,5 +259,6 @@ SQL: dict[str, str] = {
     "op7_risk_controlled_rules": OP7_SQL,
     "op9_secret_scan": OP9_SQL,
     "op10_warc_index_merge": OP10_SQL,
+    "op11_zfast_conversation_trie": OP11_SQL,
     "op13_difference_cover_dedup": OP13_SQL,
 }

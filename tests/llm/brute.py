@@ -151,3 +151,59 @@ def warc_rows(pages):
         again = n >= 100 and first[h or ""] != i
         out[i] = (n, sha(h or ""), "revisit" if again else "response", first[h or ""] if again else None)
     return out
+
+
+def head_turns(c):
+    return zlib.crc32(str(c).encode()) % 9
+
+
+def family(c):
+    """c - c % 5 with the remainder's sign of SQL."""
+    return c - int(math.copysign(abs(c) % 5, c))
+
+
+def rebuilt_conversations(rows):
+    """(conv_id, turn, role, text) rows to conv_id -> [(role, text)] with the heads of the families."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            own[c].append(((turn is not None, turn or 0), digest, role, text))
+    own = {c: [(r, t) for _, _, r, t in sorted(v)] for c, v in own.items()}
+    return {c: own.get(family(c), [])[:head_turns(c)] + v[head_turns(c):] for c, v in own.items()}
+
+
+def trie(conversations):
+    """Rows of every distinct prefix, as the trie's contract has them."""
+    members, kids = defaultdict(list), Counter()
+    for c, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    for k in members:
+        if k:
+            kids[k[:-1]] += 1
+    leaves, saved = Counter(), Counter()
+    for k, m in members.items():
+        for d in range(len(k) + 1):
+            saved[k[:d]] += (len(m) - 1) * len(k[-1][1].encode()) if k else 0
+            leaves[k[:d]] += not kids[k]
+    return sorted((
+        (min(m), len(k), min(members[k[:-1]]) if k else None, len(m), kids[k], leaves[k], saved[k],
+         sha(",".join(map(str, sorted(c for c in m if len(conversations[c]) == len(k))))))
+        for k, m in members.items()), key=str)
+
+
+def without_repeated_windows(docs, n=50):
+    """(id, text) rows to (n_words, n_removed, kept) of each row, in order."""
+    first = {}
+    all_words = [(-math.inf if i is None else i, words(t)) for i, t in docs]
+    for i, ws in all_words:
+        for a in range(len(ws) - n + 1):
+            w = tuple(ws[a:a + n])
+            first[w] = min(i, first.get(w, math.inf))
+    out = []
+    for i, ws in all_words:
+        gone = {b for a in range(len(ws) - n + 1) if first[tuple(ws[a:a + n])] < i for b in range(a, a + n)}
+        out.append((len(ws), len(gone), " ".join(w for b, w in enumerate(ws) if b not in gone)))
+    return out
