@@ -9,7 +9,7 @@ power of two).  Conversations are inserted in batches:
 1. fat binary search: all pending conversations probe the handles at the
    two-fattest length of their open interval, log2(turns) times, which leaves
    the deepest node whose handle each has, and with it the exit edge;
-2. a binary search over fingerprints gives the length shared with that edge;
+2. the places that agree with that edge's path give the length shared with it;
 3. of the conversations that leave an edge at one place by one turn, the least
    in a seeded order is inserted, and each that ends on an edge; edges split
    there, and the handles of the pieces are taken anew.
@@ -21,9 +21,7 @@ figures of the compacted node its edge ends in.
 
 Scale: no conversation is held in one row, no family in one group.  Paths are
 rows (conversation, depth), numbered and summed in two levels, so a conversation
-of a third of all turns spreads.  Probes of one handle by many conversations are
-counted first and a hot one is answered by broadcast (``join_hot_split``).
-Members are added up by partial aggregates.  Lists of members are hashed in
+of a third of all turns spreads.  Members are added up by partial aggregates.  Lists of members are hashed in
 order from pieces of 1,024 ids.
 """
 
@@ -31,16 +29,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
 from .common import join_hot_split, materialize, table, with_row_key
 
 HEAD_TURNS, FAMILY = 9, 5  # fixed values of the contract: h = crc32 % 9, families of 5 conversations
 BLOCK = 4096  # turns of one conversation that a window task takes together
+SHORT = 1024  # turns up to which a conversation carries its fingerprints in one row
 PIECE = 1024  # ids of one node's list in a row
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -119,85 +118,96 @@ def two_fattest(a: Column, b: Column) -> Column:
 
 
 class Trie:
-    """The compacted trie and the conversations not inserted yet; every table is written."""
+    """The compacted trie and the conversations not inserted yet; what several steps read is written.
 
-    def __init__(self, paths: DataFrame, sequences: DataFrame) -> None:
-        self.spark = paths.sparkSession
-        self.paths = paths.select("x", "d", "key")
-        self.pending = sequences.select("x", "n", F.xxhash64(F.lit("trie"), "x").alias("r"))
+    Where no conversation is longer than SHORT, each carries its fingerprints in
+    one array; else they are joined from ``paths``, one row each.  Joins of many
+    rows with one node are split by adaptive execution (one row a key on the
+    node's side).
+    """
+
+    def __init__(self, paths: DataFrame, sequences: DataFrame, total: int) -> None:
+        self.paths, self.total = paths.select("x", "d", "key"), total
         self.deepest = sequences.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-        self.placed = shared_dir(self.spark, "trie-placed")
+        self.pending = sequences.select("x", "n", F.xxhash64(F.lit("trie"), "x").alias("r"))
+        self.short = self.deepest <= SHORT
+        if self.short:
+            keys = self.paths.groupBy("x").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "key"))), lambda s: s["key"]).alias("keys"))
+            self.whole = materialize(keys, "trie-keys")
+            self.pending = self.pending.join(self.whole, "x")
+        else:
+            self.pending = self.pending.withColumn("keys", F.lit(None).cast("array<binary>"))
+        self.pending = materialize(self.pending, "trie-pending")
+        self.placed: list[DataFrame] = []
         self.nodes: DataFrame | None = None
 
-    def at(self, rows: DataFrame, x: str, d: Column, name: str) -> DataFrame:
-        """Adds ``name``, the fingerprint of the first ``d`` turns of ``x``; null for none."""
+    def mine(self, rows: DataFrame, d: Column, name: str, x: str = "x") -> DataFrame:
+        """Adds ``name``, the fingerprint of the first ``d`` turns of ``x`` (whose array ``rows`` have); null for none."""
+        if self.short:
+            return rows.withColumn(name, F.get("keys", (d - 1).cast("int")))
         p = self.paths.select(F.col("x").alias("_x"), F.col("d").alias("_d"), F.col("key").alias(name))
         return rows.withColumn("_at", d).join(p, (F.col(x) == F.col("_x")) & (F.col("_at") == F.col("_d")), "left").drop("_x", "_d", "_at")
 
-    def look_up(self, rows: DataFrame, probe: str, nodes: DataFrame, key: str, prefix: str) -> DataFrame:
-        """Left join with the nodes that have ``key`` = ``probe``, under ``prefix``; a probe may be that of most rows."""
-        rows = rows.withColumn(probe, F.coalesce(probe, F.lit(b"")))
-        found = nodes.select(F.col(key).alias(probe), *[F.col(c).alias(prefix + c) for c in ("owner", "pe", "e", "key", "f")])
-        asked = rows.groupBy(probe).agg(F.count(F.lit(1)).alias("_n")).join(found, probe, "left")
-        return join_hot_split(rows, asked, probe, "_n", self.total).drop("_n")
+    def look_up(self, rows: DataFrame, probe: str, key: str, prefix: str) -> DataFrame:
+        """Left join with the node that has ``key`` = ``probe``, under ``prefix``."""
+        found = self.nodes.select(F.col(key).alias("_key"), *[F.col(c).alias(prefix + c) for c in ("owner", "pe", "e", "key", "f")])
+        return rows.join(found, F.col(probe) == F.col("_key"), "left").drop("_key")
 
     def search(self) -> DataFrame:
         """Fat binary search: v_ holds the deepest node whose handle is a prefix (null: the root)."""
         names = {"v_owner": "long", "v_pe": "long", "v_e": "long", "v_key": "binary", "v_f": "long"}
-        state = self.pending.select("x", "n", "r", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"),
+        state = self.pending.select("x", "n", "r", "keys", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"),
                                     *[F.lit(None).cast(t).alias(c) for c, t in names.items()])
-        for _ in range(int(self.deepest).bit_length()):
+        for step in range(int(self.deepest).bit_length()):
             # A finished interval probes nothing.
             f = F.when(F.col("a") < F.col("b"), two_fattest(F.col("a"), F.col("b")))
-            tried = materialize(self.at(state.withColumn("f", f), "x", F.col("f"), "h"), "trie-probe")
-            tried = self.look_up(tried, "h", self.nodes, "handle", "t_")
+            tried = self.look_up(self.mine(state.withColumn("f", f), F.col("f"), "h"), "h", "handle", "t_")
             hit = F.col("t_owner").isNotNull()
             # Beyond the conversation's end there is nothing to probe, so an extent that long ends the search.
-            state = tried.select("x", "n", "r", F.when(hit, F.least("t_e", "b")).otherwise(F.col("a")).alias("a"),
+            state = tried.select("x", "n", "r", "keys", F.when(hit, F.least("t_e", "b")).otherwise(F.col("a")).alias("a"),
                                  F.when(F.col("f").isNotNull() & ~hit, F.col("f") - 1).otherwise(F.col("b")).alias("b"),
                                  *[F.when(hit, F.col(c.replace("v_", "t_"))).otherwise(F.col(c)).alias(c) for c in names])
+            if step % 5 == 4:
+                state = materialize(state, "trie-search")
         return state
 
     def exits(self) -> DataFrame:
-        """(x, n, r, shared, b_*): the edge each pending conversation leaves (null: none) and the length shared with it."""
+        """(x, n, r, keys, shared, b_*): the edge each pending conversation leaves (null: none) and the length shared with it."""
         if self.nodes is None:
             return self.pending.select("*", F.lit(0).cast("long").alias("shared"), *[
                 F.lit(None).cast("long").alias(c) for c in ("b_owner", "b_pe", "b_e")], F.lit(None).cast("binary").alias("b_key"))
-        state = self.search()
         e = F.coalesce("v_e", F.lit(0).cast("long"))
-        state = self.at(self.at(state, "x", F.col("v_e"), "here"), "x", e + 1, "next")
+        state = self.mine(self.mine(self.search(), F.col("v_e"), "here"), e + 1, "next")
         through = F.col("v_e").isNull() | F.coalesce(F.col("here") == F.col("v_key"), F.lit(False))
-        state = materialize(state.withColumn("through", through).withColumn("next", F.when(through, F.col("next"))), "trie-deepest")
-        state = self.look_up(state, "next", self.nodes, "first", "c_")
+        state = self.look_up(state.withColumn("through", through).withColumn("next", F.when(through, F.col("next"))), "next", "first", "c_")
         inside = F.col("c_owner").isNotNull()
         edge = {c: F.when(inside, F.col(f"c_{c}")).when(~F.col("through"), F.col(f"v_{c}")) for c in ("owner", "pe", "e", "key")}
         low = F.when(inside, F.col("c_pe") + 1).when(~F.col("through"), F.col("v_f")).otherwise(e)
-        state = state.select("x", "n", "r", *[v.alias(f"b_{c}") for c, v in edge.items()], low.alias("lo"))
-        state = materialize(state.withColumn("hi", F.when(F.col("b_owner").isNull(), F.col("lo")).otherwise(F.least("n", F.col("b_e") - 1))), "trie-exit")
-        widest = state.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
-        owners = self.paths.select(F.col("x").alias("b_owner"), F.col("d").alias("mid"), F.col("key").alias("theirs"))
-        for _ in range(int(widest).bit_length()):
-            mid = F.when(F.col("lo") < F.col("hi"), F.floor((F.col("lo") + F.col("hi") + 1) / 2))
-            probed = materialize(self.at(state.withColumn("mid", mid), "x", F.col("mid"), "mine"), "trie-shared")
-            # Many conversations may leave one edge, so the owner's prefix is asked for once a (owner, length).
-            asked = probed.where("mid is not null").groupBy("b_owner", "mid").agg(F.count(F.lit(1)).alias("_n"))
-            asked = asked.join(owners, ["b_owner", "mid"]).select(F.struct("b_owner", "mid").alias("_of"), "_n", "theirs")
-            open_ = probed.where("mid is not null").withColumn("_of", F.struct("b_owner", "mid"))
-            same = F.col("mine") == F.col("theirs")
-            moved = join_hot_split(open_, asked, "_of", "_n", self.total).withColumn("lo", F.when(same, F.col("mid")).otherwise(F.col("lo"))).withColumn(
-                "hi", F.when(same, F.col("hi")).otherwise(F.col("mid") - 1))
-            state = moved.select(state.columns).unionByName(probed.where("mid is null").select(state.columns))
-        return state.withColumnRenamed("lo", "shared").drop("hi")
+        state = state.select("x", "n", "r", "keys", *[v.alias(f"b_{c}") for c, v in edge.items()], low.alias("lo"))
+        state = state.withColumn("hi", F.when(F.col("b_owner").isNull(), F.col("lo")).otherwise(F.least("n", F.col("b_e") - 1)))
+        # Prefixes agree up to the place where two paths part, so the shared length is the number of places that agree.
+        if self.short:
+            theirs = self.whole.select(F.col("x").alias("b_owner"), F.col("keys").alias("theirs"))
+            places = F.when(F.col("lo") < F.col("hi"), F.sequence(F.col("lo"), F.col("hi") - 1))
+            same = F.size(F.filter(places, lambda i: F.get("keys", i.cast("int")) == F.get("theirs", i.cast("int"))))
+            state = state.join(theirs, "b_owner", "left").withColumn("shared", F.col("lo") + F.coalesce(F.when(places.isNotNull(), same), F.lit(0)))
+            return state.select("x", "n", "r", "keys", "shared", "b_owner", "b_pe", "b_e", "b_key")
+        state = materialize(state, "trie-exit")
+        theirs = self.paths.select(F.col("x").alias("b_owner"), "d", F.col("key").alias("theirs"))
+        along = (join_hot_split(self.paths, state.where("lo < hi").select("x", "n", "b_owner", "lo", "hi"), "x", "n", self.total)
+                 .where("d > lo and d <= hi").join(theirs, ["b_owner", "d"]))
+        same = along.where(F.col("key") == F.col("theirs")).groupBy("x").agg(F.count(F.lit(1)).alias("same"))
+        return state.join(same, "x", "left").withColumn("shared", F.col("lo") + F.coalesce("same", F.lit(0))).drop("lo", "hi", "same")
 
     def insert_batch(self) -> None:
-        """One batch: splits, new leaves, handles; the inserted are written to ``placed`` as (x, shared)."""
-        self.total = self.pending.count()
-        out = materialize(self.at(self.exits(), "x", F.col("shared") + 1, "branch"), "trie-exits")
+        """One batch: splits, new leaves, handles; the inserted are kept in ``placed`` as (x, shared)."""
+        out = materialize(self.mine(self.exits(), F.col("shared") + 1, "branch"), "trie-exits")
         row = ["r", "x", "n", "shared", "b_owner", "b_pe", "b_e", "b_key"]
-        chosen = out.where("n > shared").groupBy("branch").agg(F.min(F.struct("r", "x")).alias("m")).select("m.x")
-        done = materialize(out.where("n = shared").select(row).unionByName(
-            out.join(chosen, "x", "left_semi").where("n > shared").select(row)), "trie-chosen")
-        done.select("x", "shared").write.mode("append").parquet(self.placed)
+        # The least of a branch in the seeded order; conversations that end on an edge or node are a branch each.
+        chosen = (out.groupBy(F.coalesce("branch", F.unhex(F.hex("x"))).alias("_of"))
+                  .agg(F.min(F.struct(*row)).alias("m")).select("m.*"))
+        done = materialize(chosen, "trie-chosen")
+        self.placed.append(done.select("x", "shared"))
         cuts = done.where("b_owner is not null").select("b_owner", "b_pe", "b_e", "b_key", F.col("shared").alias("e")).distinct()
         # Cuts of one edge are as many as its turns at most; the window streams over them.
         along = Window.partitionBy("b_key").orderBy("e")
@@ -206,18 +216,21 @@ class Trie:
         leaves = done.where("n > shared").select(F.col("x").alias("owner"), F.col("shared").alias("pe"), F.col("n").alias("e"))
         fresh = upper.unionByName(lower.select(F.col("b_owner").alias("owner"), "pe", F.col("b_e").alias("e"))).unionByName(leaves)
         fresh = fresh.withColumn("f", two_fattest(F.col("pe"), F.col("e")))
+        if self.short:
+            fresh = fresh.join(self.whole.withColumnRenamed("x", "owner"), "owner")
         for name, d in (("key", F.col("e")), ("first", F.col("pe") + 1), ("handle", F.col("f")), ("parent", F.col("pe"))):
-            fresh = self.at(fresh, "owner", d, name)
+            fresh = self.mine(fresh, d, name, "owner")
+        fresh = fresh.select("owner", "pe", "e", "f", "key", "first", "handle", "parent")
         if self.nodes is not None:
             fresh = self.nodes.join(lower.select(F.col("b_key").alias("key")), "key", "left_anti").select(fresh.columns).unionByName(fresh)
         self.nodes = materialize(fresh, "trie-nodes")
-        self.pending = materialize(self.pending.join(done.select("x"), "x", "left_anti"), "trie-pending")
+        self.pending = materialize(out.select("x", "n", "r", "keys").join(done.select("x"), "x", "left_anti"), "trie-pending")
 
     def build(self) -> tuple[DataFrame, DataFrame]:
-        """(nodes, placed) of all sequences."""
+        """(nodes, placed) of all sequences; some log2 of their number batches."""
         while not self.pending.isEmpty():
             self.insert_batch()
-        return self.nodes, self.spark.read.schema("x long, shared long").parquet(self.placed)
+        return self.nodes, reduce(DataFrame.unionByName, self.placed)
 
 
 def ends(members: DataFrame) -> DataFrame:
@@ -300,7 +313,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
         nodes = placed = None
         first_turns, leaves, saved = 0, 1, 0
     else:
-        nodes, placed = Trie(paths, sequences).build()
+        nodes, placed = Trie(paths, sequences, total).build()
         children = nodes.groupBy(F.coalesce("parent", root).alias("key")).agg(F.count(F.lit(1)).alias("children"))
         # Of every sequence: weight, whether its end has no child, bytes up to where it was inserted.
         head = paths.select("x", F.col("d").alias("shared"), F.col("upto").alias("headed"))
