@@ -151,7 +151,9 @@ def cutoffs(counts: DataFrame, labels: DataFrame, limit: float = MAX_FALSE_REJEC
     """One row per stratum and rule with an allowed cutoff: stratum, rule, cutoff and the evidence.
 
     Labels without quality or document are left out; a document labelled more
-    than once counts with its best quality.
+    than once counts with its best quality.  A labelled document is one trial of
+    its stratum however many rows repeat its id: the greatest of their shares
+    counts, so it is falsely rejected where any of its rows is.
     """
     marks = (labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max("quality").alias("quality")))
@@ -160,8 +162,9 @@ def cutoffs(counts: DataFrame, labels: DataFrame, limit: float = MAX_FALSE_REJEC
     reached = F.array(*[
         F.struct(F.lit(r).alias("rule"), sum(((F.col("_v")[r] >= c).cast("int") for c in grid), F.lit(0)).alias("level"))
         for r, grid in RULES.items()])
-    v = F.struct(*[e.alias(r) for r, e in shares().items()])
-    flat = (held.withColumn("_v", v).select("stratum", "quality", F.explode(reached).alias("x"))
+    trials = held.groupBy("stratum", "doc_id", "quality").agg(*[F.max(e).alias(r) for r, e in shares().items()])
+    v = F.struct(*RULES)
+    flat = (trials.withColumn("_v", v).select("stratum", "quality", F.explode(reached).alias("x"))
             .groupBy("stratum", "x.rule", "x.level")
             .agg(F.sum((F.col("quality") > 0).cast("long")).alias("good"),
                  F.sum((F.col("quality") <= 0).cast("long")).alias("bad")))
