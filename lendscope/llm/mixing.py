@@ -65,14 +65,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     ``copies`` says how often the mix repeats the document (0 to max_epochs),
     ``taken`` is copies times size.  Null texts have no words; documents
     without words are taken by whole repetitions only, and a source without
-    words has target 0.  A null source is one source, the last.  Rows with
-    equal ids (or none) are ordered by size and then take turns by their order;
-    identical rows are interchangeable.  An empty table gives an empty result.
+    words has target 0.  A null source is one source, the last.  Rows with equal
+    ids (or none) are ordered by size and then by a number of their own, so the
+    exchange at the end moves one row, however many are equal to it.  An empty
+    table gives an empty result.
     ``row`` names a column that tells rows apart; it is given back as ``_row``.
     """
     keys = ["_row"] if row else []
+    if not row:
+        docs, row = with_row_key(docs, "mix-docs")
     rows = materialize(docs.select(
-        *[F.col(row).alias(k) for k in keys],
+        F.col(row).alias("_row"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
         n_words(F.col(text)).alias("size")), "mix-rows")
     total = rows.count()
@@ -81,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
                       .drop("source"), "mix-targets")
     keyed = rows.withColumn("_src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     order = running_total(keyed.withColumn("_key", seeded_key(seed)), "_src", "_key", F.col("size"),
-                          hash_digits(total), ["doc_id", "size"])
+                          hash_digits(total), ["doc_id", "size", "_row"])
     plan = join_hot_split(order, src, "_src", "n_docs", total)
     size = F.col("size")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -93,18 +96,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     gap = (first.groupBy("_src").agg(F.max("_rest").alias("_r"), F.sum(F.col("_extra") * size).alias("_got"),
                                      F.count(F.lit(1)).alias("_docs"))
            .withColumn("_gap", F.col("_r") - F.col("_got")))
-    near = join_hot_split(first.select("_src", "doc_id", "size", "_extra", "_key", "_rest"), gap, "_src", "_docs", total)
+    near = join_hot_split(first.select("_src", "doc_id", "size", "_extra", "_key", "_rest", "_row"), gap, "_src", "_docs", total)
     fits = (((F.col("_gap") > 0) & (F.col("_extra") == 0) | (F.col("_gap") < 0) & (F.col("_extra") == 1))
             & (size > 0) & (F.col("_rest") > 0) & (F.abs(F.abs("_gap") - size) < F.abs("_gap")))
     swap = (near.where(fits).groupBy("_src")
-            .agg(F.min(F.struct(F.abs(F.abs("_gap") - size).alias("off"), "_key", "doc_id", "size")).alias("s"),
-                 F.max("_docs").alias("_docs"))
-            .select("_src", "_docs", F.col("s.doc_id").alias("_swap_id"), F.col("s.size").alias("_swap_size")))
+            .agg(F.min(F.struct(F.abs(F.abs("_gap") - size).alias("off"), "_key", "doc_id", "size", "_row")).alias("s"))
+            .select("_src", F.col("s._row").alias("_swap")))
     every = (src.select("_src", F.col("n_docs").alias("_docs"))
-             .join(swap.drop("_docs"), "_src", "left"))
+             .join(swap, "_src", "left"))
     done = join_hot_split(first, every, "_src", "_docs", total)
-    swapped = F.col("doc_id").eqNullSafe(F.col("_swap_id")) & (size == F.col("_swap_size"))
-    copies = F.col("_whole") + F.when(swapped & F.col("_swap_size").isNotNull(), 1 - F.col("_extra")).otherwise(F.col("_extra"))
+    copies = F.col("_whole") + F.when(F.col("_row") == F.col("_swap"), 1 - F.col("_extra")).otherwise(F.col("_extra"))
     return done.withColumn("copies", copies.cast("int")).select(
         *keys, "doc_id", "size", "source_size", "target", (size * F.col("copies")).alias("taken"), "copies", "source")
 
