@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-SPACES = np.zeros(256, dtype=bool)
-SPACES[[0x20, *range(0x09, 0x0E)]] = True  # fixed values: the bytes between words
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,7 +33,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Hash of any stretch of a byte array, from prefix sums."""
+    """Hash of any stretch of less than 512 bytes of an array, from prefix sums."""
 
     def __init__(self, data: np.ndarray) -> None:
         size = 1 << max(16, int(len(data)).bit_length())
@@ -50,21 +51,28 @@ class Hashes:
             return mix((self.sums[n:] - self.sums[:k]) * self.inverse[:k] + U(n))
 
 
+def word_hashes(parts: list[list[bytes]]) -> np.ndarray:
+    """xxh3 of every word, one after another; each distinct word is hashed once.
+
+    Sums of byte hashes times powers, as in ``Hashes``, are for stretches of
+    bounded length: long words can be built on which they agree.
+    """
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in number], dtype=np.uint64)[ids]
+
+
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, bounds): the sorted distinct shingle hashes of text i are tokens[bounds[i]:bounds[i + 1]].
 
     A-Z count as a-z.  A text with fewer words than a shingle has one token,
     the hash of all its words; one without words has none.
     """
-    raw = [(t or "").encode().lower() for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    space = SPACES[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    h = Hashes(data).of(start, end)
-    text_start = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    first = np.searchsorted(start, text_start)  # of each text's words
-    n_words = np.diff(first)
+    # bytes.lower() changes A-Z only, bytes.split() parts at \x20 and \x09-\x0D only.
+    parts = [(t or "").encode().lower().split() for t in texts]
+    h = word_hashes(parts)
+    n_words = np.array([len(p) for p in parts], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(n_words)])  # of each text's words
     factors = mix(np.arange(1, words + 1, dtype=np.uint64)) | U(1)
     n = max(0, len(h) - words + 1)
     with np.errstate(over="ignore"):

@@ -486,7 +486,7 @@ def linked_nodes(rows: DataFrame) -> DataFrame:
         left.select("print", F.col("a").alias("node"), F.col("n_a").alias("n"))
         .unionByName(left.select("print", F.col("b").alias("node"), F.col("n_b").alias("n"))).distinct(), "jac-members")
     done = pairs
-    for turn in range(1_000_000):
+    while True:
         # Members that have a partner of fitting size in another component, told by the bucket's extremes.
         m = labelled(members, "node", "c")
         spread = m.groupBy("print").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("_n"))
