@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import severity_from_p
 from ..sources.tables import as_of_lit
-from .metrics import ks_two_sample
+from ..session import written
+from .metrics import ks_of_counts
+from .score_store import LATENCY, PROBABILITY
 
 # Monitoring limits and messages.
 PRECISION_MIN = 0.35
@@ -30,33 +32,35 @@ ALERT_FIELDS = ["type", "severity", "message", "value", "threshold"]
 def detect_drift(log: DataFrame, days_back: int = 7, baseline_days: int = 30, as_of=None) -> DataFrame:
     """MON-2..4: KS drift of probability and latency, recent vs baseline window.
 
-    One scan covers both windows (a period flag), so the log is read once.
-    Rows: (metric, ks_statistic, p_value, drift_detected, severity,
-    recent_samples, baseline_samples); none when either window has fewer
-    than 10 rows; no latency row unless more than 5 recent latencies exist.
+    One scan covers both windows (a period flag) and gives one row per metric
+    and distinct value, from which ``drift_of_counts`` tests both metrics.
     """
     now = as_of if as_of is not None else as_of_lit()
     recent = now - F.make_dt_interval(days=F.lit(days_back))
     base = now - F.make_dt_interval(days=F.lit(baseline_days))
-    scan = log.where(F.col("timestamp") >= base).select(
-        "probability", "processing_time_ms", (F.col("timestamp") >= recent).cast("int").alias("recent"))
-    counts = scan.agg(F.count_if(F.col("recent") == 1).alias("recent_samples"),
-                      F.count_if(F.col("recent") == 0).alias("baseline_samples"),
-                      F.count_if((F.col("recent") == 1) & F.col("processing_time_ms").isNotNull()).alias("_rl"))
-    parts = []
-    for metric, col, extra in (("probability_drift", "probability", None),
-                               ("processing_time_drift", "processing_time_ms",
-                                F.col("_rl") > MIN_RECENT_LATENCY_ROWS)):
-        k = ks_two_sample(scan, col, "recent").select("ks_statistic", "p_value")
-        cond = (F.col("recent_samples") >= MIN_DRIFT_ROWS) & (F.col("baseline_samples") >= MIN_DRIFT_ROWS)
-        if extra is not None:
-            cond = cond & extra
-        parts.append(counts.crossJoin(k).where(cond).select(
-            F.lit(metric).alias("metric"), "ks_statistic", "p_value",
-            (F.col("p_value") < DRIFT_P).alias("drift_detected"), severity_from_p("p_value").alias("severity"),
-            F.col("recent_samples").cast("bigint").alias("recent_samples"),
-            F.col("baseline_samples").cast("bigint").alias("baseline_samples")))
-    return parts[0].unionByName(parts[1])
+    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in (PROBABILITY, LATENCY)])
+    scan = log.where(F.col("timestamp") >= base).select((F.col("timestamp") >= recent).alias("recent"), F.inline(metrics))
+    return drift_of_counts(scan.groupBy("metric", "value").agg(F.count_if("recent").alias("c1"), F.count_if(~F.col("recent")).alias("c0")))
+
+
+def drift_of_counts(counts: DataFrame) -> DataFrame:
+    """The drift rows of (metric, value, c1 recent, c0 baseline); a null value counts rows without the metric.
+
+    Rows: (metric, ks_statistic, p_value, drift_detected, severity,
+    recent_samples, baseline_samples); none when either window has fewer
+    than 10 rows; no latency row unless more than 5 recent latencies exist.
+    """
+    counts = written(counts, "drift-counts")
+    p, known = F.col("metric") == PROBABILITY, F.col("value").isNotNull()
+    samples = counts.agg(F.sum(F.when(p, F.col("c1"))).cast("bigint").alias("recent_samples"), F.sum(F.when(p, F.col("c0"))).cast("bigint").alias("baseline_samples"),
+                         F.coalesce(F.sum(F.when(~p & known, F.col("c1"))), F.lit(0)).alias("_rl"))
+    enough = (F.col("recent_samples") >= MIN_DRIFT_ROWS) & (F.col("baseline_samples") >= MIN_DRIFT_ROWS)
+    # two rows, each with the one row of sample sizes
+    k = ks_of_counts(counts.where(known)).crossJoin(F.broadcast(samples)).where(
+        enough & ((F.col("metric") == PROBABILITY) | (F.col("_rl") > MIN_RECENT_LATENCY_ROWS)))
+    name = F.when(F.col("metric") == PROBABILITY, F.lit("probability_drift")).otherwise(F.lit("processing_time_drift"))
+    return k.select(name.alias("metric"), "ks_statistic", "p_value", (F.col("p_value") < DRIFT_P).alias("drift_detected"),
+                    severity_from_p("p_value").alias("severity"), "recent_samples", "baseline_samples")
 
 
 def _pct(c: Column) -> Column:

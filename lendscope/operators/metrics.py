@@ -7,11 +7,12 @@ operator sorts the whole table in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ks_pvalue, try_div
-from .ranking import prefix_sums
+from ..session import written
+from .ranking import prefix_sums, ranged
 
 
 def confusion_aggs(y: str = "y", pred: str = "pred") -> list[Column]:
@@ -54,7 +55,12 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
 
     One row ``(auc, n_pos, n_neg)``; auc is null when a class is absent.
     """
-    g = prefix_sums(score_counts(df, y, score), "score", ["neg"])
+    return auc_of_counts(score_counts(df, y, score))
+
+
+def auc_of_counts(counts: DataFrame) -> DataFrame:
+    """``roc_auc`` of (score, pos, neg), one row per distinct score."""
+    g = prefix_sums(counts, "score", ["neg"])
     part = g.select((F.col("pos") * (F.col("neg_cum") - F.col("neg") + F.col("neg") / 2.0)).alias("u"),
                     "pos", "neg")
     a = part.agg(F.sum("u").alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -65,14 +71,34 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
         F.coalesce(F.col("n_neg"), F.lit(0)).cast("bigint").alias("n_neg"))
 
 
-def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+def _corners(counts: DataFrame) -> DataFrame:
+    """The (score, pos, neg, ...) rows at which the ROC curve turns, and its two ends.
+
+    Going down the scores, a point lies on a straight line where the next
+    score adds the same positives and negatives; of such a run the last stays,
+    and of all points the first and the last.  Neighbours are looked up inside
+    a range of scores; a range's least row comes from the table of ranges.
+    """
+    d = ranged(counts, ["score"])
+    step = F.struct("pos", "neg")
+    last = Window.orderBy("_b")  # one row per range
+    border = d.groupBy("_b").agg(F.max_by(step, "score").alias("_top"), F.max("score").alias("_max"))
+    border = border.select("_b", F.lag("_top").over(last).alias("_below"), F.max("_max").over(Window.partitionBy()).alias("_highest"))
+    below = F.coalesce(F.lag(step).over(Window.partitionBy("_b").orderBy("score")), F.col("_below"))
+    return (d.join(F.broadcast(border), "_b").withColumn("_next", below)
+            .where(F.col("_next").isNull() | (F.col("_next") != step) | (F.col("score") == F.col("_highest")))
+            .drop("_b", "_below", "_highest", "_next"))
+
+
+def roc_curve(df: DataFrame, y: str = "y", score: str = "score", corners_only: bool = False) -> DataFrame:
     """ML-11: (threshold, fpr, tpr) at every distinct score, plus the (0, 0) point.
 
-    A point at threshold t counts rows with score >= t as positive.
+    A point at threshold t counts rows with score >= t as positive.  With
+    ``corners_only`` points on a straight line between their neighbours are left out.
     """
-    g = prefix_sums(score_counts(df, y, score), "score", ["pos", "neg"])
+    g = prefix_sums(score_counts(df, y, score).where("pos + neg > 0"), "score", ["pos", "neg"])
     tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    g = g.crossJoin(F.broadcast(tot))  # one row
+    g = (_corners(g) if corners_only else g).crossJoin(F.broadcast(tot))  # one row
     pts = g.select(
         F.col("score").cast("double").alias("threshold"),
         try_div(F.col("N") - F.col("neg_cum") + F.col("neg"), F.col("N")).alias("fpr"),
@@ -89,18 +115,21 @@ def ks_two_sample(df: DataFrame, value: str, flag: str) -> DataFrame:
     One row ``(n1, n0, ks_statistic, p_value)``; the p-value is exact up to
     10,000 rows a sample and the Kolmogorov series above (``ks_pvalue``).
     """
-    g = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
+    g = df.where(F.col(value).isNotNull()).groupBy(F.lit("").alias("metric"), F.col(value).alias("value")).agg(
         F.count_if(F.col(flag) == 1).alias("c1"), F.count_if(F.col(flag) == 0).alias("c0"))
-    g = prefix_sums(g, "v", ["c1", "c0"])
-    tot = g.agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
-    d = g.crossJoin(F.broadcast(tot)).agg(
-        F.max(F.abs(try_div(F.col("c1_cum"), F.col("n1")) - try_div(F.col("c0_cum"), F.col("n0"))))
-        .alias("ks_statistic"))
-    out = tot.crossJoin(d).select(
-        F.coalesce("n1", F.lit(0)).cast("bigint").alias("n1"),
-        F.coalesce("n0", F.lit(0)).cast("bigint").alias("n0"),
-        "ks_statistic")
-    return out.withColumn("p_value", ks_pvalue("n1", "n0", "ks_statistic"))
+    one = df.sparkSession.createDataFrame([("",)], "metric string")
+    return one.join(ks_of_counts(g), "metric", "left").select(
+        F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("n0", F.lit(0)).alias("n0"), "ks_statistic", "p_value")
+
+
+def ks_of_counts(counts: DataFrame) -> DataFrame:
+    """(metric, n1, n0, ks_statistic, p_value) of (metric, value, c1, c0), one row per distinct value; all metrics in one pass."""
+    g = written(prefix_sums(counts, "value", ["c1", "c0"], by=["metric"]), "ks-sums")
+    tot = g.groupBy("metric").agg(F.sum("c1").cast("bigint").alias("n1"), F.sum("c0").cast("bigint").alias("n0"))
+    # one row per metric
+    d = g.join(F.broadcast(tot), "metric").groupBy("metric", "n1", "n0").agg(
+        F.max(F.abs(try_div(F.col("c1_cum"), F.col("n1")) - try_div(F.col("c0_cum"), F.col("n0")))).alias("ks_statistic"))
+    return d.withColumn("p_value", ks_pvalue("n1", "n0", "ks_statistic"))
 
 
 def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:

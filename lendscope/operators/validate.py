@@ -71,9 +71,9 @@ def validate(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.withColumn("errors", errs).withColumn("is_valid", F.size("errors") == 0)
 
 
-def split_valid(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
-    v = validate(df, rules)
-    return v.where("is_valid").drop("errors", "is_valid"), v.where(~F.col("is_valid"))
+def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows and, with their errors, the others; ``validated`` should be a written table, as both read it."""
+    return validated.where("is_valid").drop("errors", "is_valid"), validated.where(~F.col("is_valid"))
 
 
 def default_customer_id(customer_id: Column, received_at: Column) -> Column:

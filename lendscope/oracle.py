@@ -203,6 +203,18 @@ select cast("timestamp" as date) as day, count(*)::bigint as predictions,
  round(avg(processing_time_ms), 6) as avg_processing_time_ms
 from w group by 1"""
 
+SQL["roc_points"] = with_log() + """,
+g as (select probability s, count(*) filter (where actual_outcome = 1) pos, count(*) filter (where actual_outcome = 0) neg
+      from lab where actual_outcome is not null group by 1),
+t as (select sum(pos) P, sum(neg) N from g),
+c as (select *, sum(pos) over (order by s desc) as tps, sum(neg) over (order by s desc) as fps, row_number() over (order by s desc) as i,
+   count(*) over () as n from g),
+-- the library's rule: a point stays where the second difference of either count isn't zero, and at both ends
+d as (select *, lead(tps) over w - 2 * tps + lag(tps) over w as dt, lead(fps) over w - 2 * fps + lag(fps) over w as df from c window w as (order by i))
+select round(s, 6) as threshold, round(fps / t.N, 6) as fpr, round(tps / t.P, 6) as tpr from d, t where i = 1 or i = d.n or dt <> 0 or df <> 0
+union all
+select 'inf'::double, case when N > 0 then 0.0 end, case when P > 0 then 0.0 end from t"""
+
 SQL["daily_snapshot"] = with_log() + """,
 g as (select cast("timestamp" as date) as date, count(*) n,
    count(*) filter (where actual_outcome = 1 and prediction = 1) tp,
@@ -937,12 +949,16 @@ _RECENT = f"ts >= {AS_OF} - interval 7 day"
 _SHIFTED_P = f"""(case when {_RECENT} then least(least(value / 200.0::double, 1.0::double) * 1.5::double + 0.2::double, 1.0::double)
    else least(value / 200.0::double, 1.0::double) end)"""
 RAW_SHIFTED = f"""
+moved as (
+ select * replace (case when {_RECENT} or event_id % 4 = 0 then ts
+   else {AS_OF} - interval 7 day + to_days((event_id % 7)::int) + (ts - date_trunc('day', ts)) end as ts)
+ from events where event_type in ('view','click','signup')),
 raw_predictions as (
  select event_id as id, ts as "timestamp", concat('customer_', cast(user_id as varchar)) as customer_id,
   {_SHIFTED_P} as probability, cast({_SHIFTED_P} >= 0.5::double as int) as prediction,
   case when regexp_extract(props,'([0-9]+)',1) in ('7','77') then null
        else cast(regexp_extract(props,'([0-9]+)',1) as double) * 6 * (case when {_RECENT} then 20 else 1 end) end as processing_time_ms
- from events where event_type in ('view','click','signup') and ({_RECENT} or event_id % 4 = 0))"""
+ from moved)"""
 FEEDBACK_SHIFTED = FEEDBACK.replace("cast(event_type = 'error' as int) as actual_outcome",
                                     "cast(event_type = 'error' and event_id % 10 = 0 as int) as actual_outcome")
 
@@ -950,5 +966,12 @@ for _name in ("alerts_7d", "drift_7d_vs_30d", "health_check", "model_status"):
     SQL[{"alerts_7d": "alerts_shifted", "drift_7d_vs_30d": "drift_shifted"}.get(_name, f"{_name}_shifted")] = \
         SQL[_name].replace(RAW_PREDICTIONS, RAW_SHIFTED).replace(FEEDBACK, FEEDBACK_SHIFTED)
 
+SQL["monitor_kpis_7d_counts"] = SQL["monitor_kpis_7d"]
+# Averages of a day's few scores can end in a 5 at the seventh digit, where the order of adding shows.
+SQL["daily_snapshot_batches"] = SQL["daily_snapshot"].replace("round(conf, 6)", "round(conf, 9)")
+SQL["committed_log_7d"] = with_log() + f"""
+select date, batch_id::bigint as batch_id, count(*)::bigint as n, sum(id)::bigint as ids from (
+ select "timestamp"::date as date, id % 3 as batch_id, id from lab where "timestamp" >= {AS_OF} - interval 7 day) group by all"""
+
 # The exact drift test walks a lattice.
 SQL = {k: v.replace("with ", "with recursive ", 1) if "walk_ks_" in v and "recursive" not in v else v for k, v in SQL.items()}

@@ -67,6 +67,13 @@ def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
     return finish(metrics.roc_curve(lab, "actual_outcome", "probability"))
 
 
+@query("roc_points")
+def roc_points(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-11 without the points on a straight line."""
+    lab = T.prediction_log(spark, sf).where(F.col("actual_outcome").isNotNull())
+    return finish(metrics.roc_curve(lab, "actual_outcome", "probability", corners_only=True))
+
+
 @query("confidence_mix_7d")
 def confidence_mix_7d(spark: SparkSession, sf: str) -> DataFrame:
     return finish(monitor.confidence_distribution(T.prediction_log(spark, sf, 7), 7))
@@ -273,6 +280,8 @@ def threshold_choice(spark, sf):
 # ---------------------------------------------------------------- drift, alerts, health
 
 from ..operators import alerts as AL  # noqa: E402
+from ..operators import score_store as SS  # noqa: E402
+from ..sources import committed as CO  # noqa: E402
 from ..session import shared_dir, written  # noqa: E402
 
 
@@ -287,16 +296,53 @@ def cycle_log(spark, sf, log=T.prediction_log):
     return written(log(spark, sf, CYCLE_DAYS), "cycle-log")
 
 
+def days_before(n: int):
+    """The day ``n`` days before the fixtures' clock, which is a midnight: windows are whole days."""
+    return F.date_sub(F.to_date(T.as_of_lit()), n)
+
+
 def monitoring_frames(spark, sf, source=T.prediction_log):
-    """The cycle's frames; the few rows that several consumers read are computed once and written."""
+    """The cycle's frames; KPIs and drift are sums over one table of score counts per day."""
     log = cycle_log(spark, sf, source)
-    k7 = written(monitor.performance_metrics(log, 7), "cycle-kpis")
-    drift = written(AL.detect_drift(log), "cycle-drift")
+    counts = written(SS.day_counts(log), "cycle-counts")
+    week = F.col("date") >= days_before(7)
+    k7 = written(SS.window_kpis(counts.where(week), 7), "cycle-kpis")
+    drift = written(AL.drift_of_counts(SS.sample_counts(counts, week)), "cycle-drift")
     al = AL.generate_alerts(k7, AL.history_total(log)).unionByName(AL.drift_alerts(drift))
     roi = written(monitor.roi_metrics(log, 30), "cycle-roi")
     return log, k7, drift, written(al, "cycle-alerts"), roi
 
 
+@query("monitor_kpis_7d_counts")
+def monitor_kpis_7d_counts(spark, sf):
+    """MON-1 / AGG-13..16 from the stored score counts."""
+    counts = written(SS.day_counts(T.prediction_log(spark, sf, 7)), "week-counts")
+    return finish(SS.window_kpis(counts.where(F.col("date") >= days_before(7)), 7))
+
+
+@query("daily_snapshot_batches")
+def daily_snapshot_batches(spark, sf):
+    """SNK-6 / STR-2 / JOIN-1: the stored daily metrics after predictions and feedback came in four unaligned batches."""
+    log, fb = T.scored_log(spark, sf), T.feedback(spark, sf)
+    store = SS.MetricStore(spark, shared_dir(spark, "metric-store"))
+    for b in range(4):
+        store.ingest(log.where(F.pmod(F.xxhash64("id"), F.lit(4)) == b), fb.where(F.pmod(F.xxhash64("feedback_id"), F.lit(4)) == 3 - b), b)
+    return finish(store.daily(), 9).withColumns({c: F.round(c, 6) for c in ("precision_score", "recall_score", "f1_score", "approval_rate")})
+
+
+@query("committed_log_7d")
+def committed_log_7d(spark, sf):
+    """SNK-2 / SRC-3: the log in three batches, one of them written twice and a fourth never committed; a week of it."""
+    log = written(T.scored_log(spark, sf).withColumn("date", F.to_date("timestamp")), "log-rows")
+    path = shared_dir(spark, "committed-log")
+    for b in (0, 1, 2, 1):
+        CO.commit_batch(log.where(F.col("id") % 3 == b), path, b)
+    CO.stage_batch(log, path, 3)
+    schema = "id long, customer_id string, timestamp timestamp_ntz, probability double"
+    week = CO.read_committed(spark, path, schema, days_before(7)).where(F.col("timestamp") >= T.as_of_lit() - F.make_dt_interval(days=F.lit(7)))
+    return week.groupBy("date", "batch_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
 @query("drift_shifted")
 def drift_shifted(spark, sf):
     return finish(AL.detect_drift(T.shifted_log(spark, sf, 30)))

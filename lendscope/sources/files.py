@@ -47,11 +47,6 @@ def read_processed(spark: SparkSession, path: str, target: str = "Default") -> D
     return df
 
 
-def append_log(df: DataFrame, path: str, ts: str = "timestamp") -> None:
-    """SNK-2: append predictions, partitioned by date so look-backs prune partitions."""
-    df.withColumn("date", F.to_date(ts)).write.mode("append").partitionBy("date").parquet(path)
-
-
 def encode_features(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     """SNK-3: the feature record as JSON text (customer id excluded)."""
     return df.withColumn(out, F.to_json(F.struct(*features)))

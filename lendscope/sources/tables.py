@@ -128,14 +128,18 @@ def shifted_log(spark: SparkSession, sf_dir: str, since_days: int | None = None)
     """A labelled log in which the last week differs from the weeks before.
 
     Scores and latencies are higher, three of four earlier predictions are
-    missing and few outcomes are defaults, so every alert has cause.
+    moved into the last week (to the same time of another day) and few outcomes
+    are defaults, so every alert has cause.
     """
     from ..operators.labels import attach_outcomes
     raw = raw_predictions(spark, sf_dir)
     start = as_of_lit() - F.make_dt_interval(days=F.lit(7))
+    time_of_day = F.col("timestamp") - F.to_date("timestamp").cast("timestamp_ntz")
+    moved = start + F.make_dt_interval(days=(F.col("id") % 7).cast("int")) + time_of_day
+    raw = raw.withColumn("timestamp", F.when((F.col("timestamp") >= start) | (F.col("id") % 4 == 0), F.col("timestamp")).otherwise(moved))
     recent = F.col("timestamp") >= start
     p = F.when(recent, F.least(F.col("probability") * 1.5 + 0.2, F.lit(1.0))).otherwise(F.col("probability"))
-    raw = (raw.where(recent | (F.col("id") % 4 == 0)).withColumn("probability", p)
+    raw = (raw.withColumn("probability", p)
            .withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
            .withColumn("processing_time_ms", F.when(recent, F.col("processing_time_ms") * 20).otherwise(F.col("processing_time_ms"))))
     log = raw.select("*", X.decision("probability").alias("decision"), X.confidence("probability").alias("confidence_level"))

@@ -34,6 +34,7 @@ from ..operators import validate as V
 from ..operators.cooldown import COOLDOWN_MINUTES
 from ..operators.scoring import apply_decisions
 from ..session import written
+from ..sources.committed import commit_batch, read_committed
 
 
 def utc_instant(c) -> Column:
@@ -59,13 +60,8 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int | None =
 # ---------------------------------------------------------------- STR-1
 
 # Columns of the prediction log, as the monitor reads it.
-LOG_COLUMNS = ["id", "customer_id", "timestamp", "date", "features", "probability", "prediction", "decision",
-               "confidence_level", "processing_time_ms", "batch_id"]
-
-
-def log_schema(spark: SparkSession) -> str:
-    return ("id long, customer_id string, timestamp timestamp_ntz, date date, features string, probability double, "
-            "prediction int, decision string, confidence_level string, processing_time_ms double, batch_id long")
+LOG_SCHEMA = ("id long, customer_id string, timestamp timestamp_ntz, features string, probability double, "
+              "prediction int, decision string, confidence_level string, processing_time_ms double")
 
 
 def score_stream(apps: DataFrame, score_fn: Callable[[DataFrame], DataFrame], log_path: str,
@@ -80,9 +76,10 @@ def score_stream(apps: DataFrame, score_fn: Callable[[DataFrame], DataFrame], lo
     id and arrival time; a missing customer id is made from both, so two
     applications never become one customer.
 
-    Both outputs are partitioned by batch id and a batch overwrites its own
-    partition: a batch that is run again after a failure leaves the same
-    rows, not twice as many.
+    The log is partitioned by date and batch (``sources.committed``): look-backs
+    open the files of their days only, a batch is seen when it is whole, and one
+    that is run again after a failure leaves the same rows, not twice as many.
+    Quarantine and latency are partitioned by batch.
 
     SCO-4: ``processing_time_ms`` of a log row is its share of the time that
     scoring and writing its batch took; with ``latency_path`` each batch also
@@ -99,8 +96,8 @@ def score_stream(apps: DataFrame, score_fn: Callable[[DataFrame], DataFrame], lo
         given = F.when(F.col("customer_id") != "", F.col("customer_id"))
         v = V.validate(batch.withColumn("customer_id", F.coalesce(given, own)), V.APPLICATION_RULES)
         v = written(v, "stream-batch")  # both outputs come from one evaluation of the batch
-        overwrite(v.where(~F.col("is_valid")), quarantine_path, batch_id)
-        ok = v.where("is_valid").drop("errors", "is_valid")
+        ok, refused = V.split_valid(v)
+        overwrite(refused, quarantine_path, batch_id)
         scored = written(score_fn(ok).withColumn("features", F.to_json(F.struct(*V.SELECTED_FEATURES))), "stream-scored")
         rows = scored.count()
         ms = (time.time() - t0) * 1000.0
@@ -108,7 +105,7 @@ def score_stream(apps: DataFrame, score_fn: Callable[[DataFrame], DataFrame], lo
             F.col(id_col).cast("long").alias("id"), "customer_id", arrived.alias("timestamp"),
             F.to_date(arrived).alias("date"), "features", "probability", F.col("prediction").cast("int").alias("prediction"),
             "decision", "confidence_level", F.lit(ms / rows if rows else None).cast("double").alias("processing_time_ms"))
-        overwrite(log, log_path, batch_id)
+        commit_batch(written(log, "stream-log"), log_path, batch_id)
         if latency_path:
             overwrite(spark.range(1).select(F.lit(rows).cast("long").alias("rows"), F.lit(ms).alias("elapsed_ms"),
                                             F.lit(ms / rows if rows else None).cast("double").alias("ms_per_row")),
@@ -118,9 +115,9 @@ def score_stream(apps: DataFrame, score_fn: Callable[[DataFrame], DataFrame], lo
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    """The prediction log written by ``score_stream``."""
-    return spark.read.schema(log_schema(spark)).parquet(log_path)
+def read_log(spark: SparkSession, log_path: str, since=None, until=None) -> DataFrame:
+    """The prediction log written by ``score_stream``, of the days from ``since`` to ``until``."""
+    return read_committed(spark, log_path, LOG_SCHEMA, since, until)
 
 
 def ladder_scores(threshold: float) -> Callable[[DataFrame], DataFrame]:
