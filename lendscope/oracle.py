@@ -538,6 +538,31 @@ SQL["boosted_stumps"] = boosted_sql(3, 1)
 SQL["boosted_trees"] = boosted_sql(2, 2)
 SQL["forest_tree"] = forest_tree_sql(2)
 
+
+
+def logistic_sql(steps: int, c: float) -> str:
+    """Newton steps of a model of two columns and a constant; the 3 x 3 system is solved by determinants."""
+    sql = with_train() + """, cw as (select count(*) / (2.0::double * count(*) filter ("Default" = 0)) as w0,
+   count(*) / (2.0::double * count(*) filter ("Default" = 1)) as w1 from train),
+lr as (select "Default"::double as y, Age_Years / 10 as a, Score_Source_2 as b, case when "Default" = 1 then w1 else w0 end as w from train, cw),
+b0 as (select 0.0::double as x, 0.0::double as y, 0.0::double as z)"""
+    for k in range(steps):
+        sql += f""",
+p{k} as (select lr.*, 1 / (1 + exp(-(b{k}.x + b{k}.y * lr.a + b{k}.z * lr.b))) as p, b{k}.x as bx, b{k}.y as by_, b{k}.z as bz from lr, b{k}),
+s{k} as (select any_value(bx) bx, any_value(by_) by_, any_value(bz) bz,
+   {c} * sum(w * (p - y)) + any_value(bx) g1, {c} * sum(w * (p - y) * a) + any_value(by_) g2, {c} * sum(w * (p - y) * b) + any_value(bz) g3,
+   {c} * sum(w * p * (1 - p)) + 1 h11, {c} * sum(w * p * (1 - p) * a) h12, {c} * sum(w * p * (1 - p) * b) h13,
+   {c} * sum(w * p * (1 - p) * a * a) + 1 h22, {c} * sum(w * p * (1 - p) * a * b) h23, {c} * sum(w * p * (1 - p) * b * b) + 1 h33 from p{k}),
+d{k} as (select *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) as det from s{k}),
+b{k + 1} as (select bx - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / det as x,
+   by_ - (h11 * (g2 * h33 - h23 * g3) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / det as y,
+   bz - (h11 * (h22 * g3 - g2 * h23) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / det as z from d{k})"""
+    return sql + "\n" + " union all ".join(f"select '{n}' as name, round({v}, 6) as coefficient from b{steps}"
+                                           for n, v in (("constant", "x"), ("age", "y"), ("score", "z")))
+
+
+SQL["logistic_steps"] = logistic_sql(3, 0.1)
+
 SQL["anova_f_edges"] = with_(LOANS) + """, x as (select "Default" y, (ID % 7 + 100000000)::double large_mean, (ID % 7)::double small_mean,
    "Default" * 3.0::double separator, 5.0::double as constant from loans),
 long as (unpivot x on large_mean, small_mean, separator, constant into name "column" value value),

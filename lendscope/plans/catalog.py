@@ -431,6 +431,7 @@ def alert_history(spark, sf):
 
 # ---------------------------------------------------------------- validation and scoring
 
+from ..operators import logistic as LO  # noqa: E402
 from ..operators import scoring as SC  # noqa: E402
 from ..operators import validate as V  # noqa: E402
 
@@ -506,6 +507,7 @@ def smote_embeddings(spark, sf):
 
 # ---------------------------------------------------------------- training (rows-only checks)
 
+from ..operators import logistic as LO  # noqa: E402
 from ..operators import scoring as SC  # noqa: E402
 from ..operators import trees as trees_  # noqa: E402
 from . import training as TR  # noqa: E402
@@ -533,8 +535,7 @@ def score_applications(spark, sf):
     """SNK-5 / SRC-6 / SCO-1: fit, save the package, load it, score raw applications."""
     source = featured_loans(spark, sf)
     p = TR.prepare(prep.ml_table(source, keep_id=True))
-    f = TR.with_vector(p.train, p.features)
-    model = TR.logistic("moderate", p.train.count()).fit(TR.weighted(f))
+    model = TR.logistic_of_all(p.train, p.features, "moderate")
     path = shared_dir(spark, "package")
     TR.save_model(TR.package(source, p.features, model, p.train.select("ID")), p.features, path, threshold=None)
     pm, features, threshold = TR.load_model(path)
@@ -578,6 +579,16 @@ def forest_tree(spark, sf):
     return finish(spark.createDataFrame(trees_.tree_rows(trees, edges, feats, [trees_.class_shares(t, w) for t in trees]), trees_.TREE_SCHEMA))
 
 
+@query("logistic_steps")
+def logistic_steps(spark, sf):
+    """ML-2: three Newton steps of a balanced model of two columns, C 0.1."""
+    train, _ = _train_rows(spark, sf)
+    rows = train.select("Default", F.lit(0).alias("fold"), (F.col("Age_Years") / 10).alias("age"), F.col("Score_Source_2").alias("score"))
+    w = trees_.balanced_weights(trees_.training_counts(trees_.fold_counts(rows.select("fold", F.col("Default").alias("y"))), -1))
+    beta, = LO.newton(rows, ["age", "score"], "Default", [-1], [w], 0.1, steps=3)
+    return finish(spark.createDataFrame([(n, float(b)) for n, b in zip(("constant", "age", "score"), beta)], "name string, coefficient double"))
+
+
 @query("hyperparameter_scores")
 def hyperparameter_scores(spark, sf):
     """ML-18: 20 of 72 grid points, three folds; the business score of each."""

@@ -13,7 +13,6 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..operators import logistic as LO
 from ..operators import metrics as M
 from ..operators import prep
 from ..operators import trees as TR
@@ -102,18 +102,16 @@ def balance(train: DataFrame, features: list[str], method: str | None, ratio: fl
     return written(train.unionByName(syn), "balanced-train")
 
 
-def weighted(df: DataFrame) -> DataFrame:
-    """PREP-10: balanced weights n / (2 n_c)."""
-    # one row per class
-    w = {r[TARGET]: r["weight"] for r in prep.class_weights(df.select(TARGET)).collect()}
-    pairs = [x for k, v in w.items() for x in (F.lit(k), F.lit(v))]
-    return df.withColumn("weight", F.element_at(F.create_map(*pairs), F.col(TARGET))) if pairs else df.withColumn("weight", F.lit(1.0))
+def logistic(rows: DataFrame, features: list[str], preset: str, outs: list[int]) -> list[LO.LogisticModel]:
+    """ML-2: L2 with C of the preset and balanced classes (PREP-10); one model per left-out fold (-1: none)."""
+    folds_ = TR.fold_counts(rows.select("fold", F.col(TARGET).alias("y")))
+    weights = [TR.balanced_weights(TR.training_counts(folds_, o)) for o in outs]
+    return [LO.LogisticModel.of(b) for b in LO.newton(rows, features, TARGET, outs, weights, PRESETS[preset]["C"])]
 
 
-def logistic(preset: str, n_train: int) -> LogisticRegression:
-    """ML-2: L2 with C of the preset."""
-    return LogisticRegression(featuresCol="features", labelCol=TARGET, weightCol="weight", maxIter=1000, elasticNetParam=0.0,
-                              standardization=False, regParam=1.0 / (PRESETS[preset]["C"] * max(n_train, 1)))
+def logistic_of_all(rows: DataFrame, features: list[str], preset: str) -> LO.LogisticModel:
+    """``logistic`` of all rows."""
+    return logistic(rows.withColumn("fold", F.lit(0)), features, preset, [-1])[0]
 
 
 def boost_params(preset: str) -> TR.BoostParams:
@@ -189,10 +187,7 @@ def fitted_models(rows: DataFrame, features: list[str], config: dict) -> dict[st
     """
     k, seed, preset = config["cv_folds"], config["random_state"], PRESETS[config["regularization"]]
     outs = [*range(k), -1]
-    vectors = with_vector(rows, features).select(TARGET, "fold", "features").persist()
-    est = logistic(config["regularization"], vectors.count())
-    lr = [est.fit(weighted(vectors.where(F.col("fold") != o))) for o in outs]
-    vectors.unpersist()
+    lr = logistic(rows, features, config["regularization"], outs)
     table, edges = tree_table(rows, features, "fold")
     table = spread(table).persist()
     rf = balanced_forest(table, edges, outs, preset["n_estimators"], preset["max_depth"], MIN_LEAF, MIN_SPLIT, seed)

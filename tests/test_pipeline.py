@@ -59,8 +59,7 @@ def test_knn_matches_brute_force(spark):
 
 
 def test_model_fit_save_load_score(spark, prepared):
-    tr = TR.weighted(TR.with_vector(prepared.train, prepared.features))
-    model = TR.logistic("heavy", tr.count()).fit(tr)
+    model = TR.logistic_of_all(prepared.train, prepared.features, "heavy")
     path = shared_dir(spark, "model")
     TR.save_model(model, prepared.features, path, threshold=None)
     pm, feats, thr = TR.load_model(path)
@@ -108,8 +107,7 @@ def test_knn_searches_few_cells_of_clustered_rows(spark):
 def test_package_scores_raw_rows_like_prepared_ones(spark, prepared):
     """The saved package on engineered rows equals the fitted model on prepared rows."""
     source = C.featured_loans(spark, SF)
-    f = TR.with_vector(prepared.train, prepared.features)
-    model = TR.logistic("moderate", prepared.train.count()).fit(TR.weighted(f))
+    model = TR.logistic_of_all(prepared.train, prepared.features, "moderate")
     path = shared_dir(spark, "package")
     TR.save_model(TR.package(source, prepared.features, model, prepared.train.select("ID")), prepared.features, path, None)
     pm, feats, thr = TR.load_model(path)
