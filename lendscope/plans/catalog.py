@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -473,6 +473,38 @@ def feedback_validation(spark, sf):
     return v.select("feedback_id", "is_valid", F.size("errors").alias("n_errors"))
 
 
+@query("feedback_breaches")
+def feedback_breaches(spark, sf):
+    """PRJ-9 on feedback of which some has no customer, an unknown outcome or none."""
+    k = F.col("feedback_id")
+    f = T.feedback(spark, sf).withColumns({
+        "customer_id": F.when(k % 7 != 0, F.col("customer_id")),
+        "actual_outcome": F.when(k % 5 == 0, F.lit(2)).when(k % 11 != 0, F.col("actual_outcome"))})
+    return V.validate(f, V.FEEDBACK_RULES).select("feedback_id", "is_valid", F.size("errors").alias("n_errors"))
+
+
+@query("prediction_breaches")
+def prediction_breaches(spark, sf):
+    """PRJ-10 on predictions of which some have a score outside [0, 1], no score, no customer or an unknown decision."""
+    k = F.col("id")
+    p = T.raw_predictions(spark, sf).select("id", F.when(k % 7 != 0, F.col("customer_id")).alias("customer_id"),
+                                            F.when(k % 9 == 0, -F.col("probability") - 0.5).when(k % 10 == 0, F.col("probability") + 1.5)
+                                            .when(k % 11 != 0, F.col("probability")).alias("probability"))
+    d = SC.apply_decisions(p, TUNED_THRESHOLD).withColumn("decision", F.when(k % 13 == 0, F.lit("HOLD")).otherwise(F.col("decision")))
+    return V.validate(d, V.PREDICTION_RULES).select("id", "is_valid", F.size("errors").alias("n_errors"))
+
+
+@query("health_check_silent")
+def health_check_silent(spark, sf):
+    """MON-10: the status sixty days after the last prediction, when the look-back is empty."""
+    later = T.as_of_lit() + F.make_dt_interval(days=F.lit(60))
+    log = written(T.prediction_log(spark, sf), "silent-log")
+    k7 = written(monitor.performance_metrics(log, 7, later), "silent-kpis")
+    drift = AL.detect_drift(log, as_of=later)
+    al = AL.generate_alerts(k7, AL.history_total(log, later)).unionByName(AL.drift_alerts(drift))
+    return AL.health_status(k7, al, drift, monitor.roi_metrics(log, 30, later))
+
+
 @query("features_json_roundtrip")
 def features_json_roundtrip(spark, sf):
     from ..sources.files import decode_features, encode_features
@@ -595,6 +627,33 @@ def hyperparameter_scores(spark, sf):
     return TR.search_scores(prepared(spark, sf))
 
 
+OPT_THRESHOLDS = {"base": 0.5, "tuned": 0.65, "No Sampling": 0.3, "Conservative SMOTE (4:1)": 0.45, "SMOTE (2:1)": 0.6,
+                  "Random Undersampling": 0.75, "search": 0.7}
+
+
+@query("optimisation_report")
+def optimisation_report(spark, sf):
+    """ML-20 / ML-21 / ML-17's choice: every configuration is the labelled log's score at a cutoff of its own."""
+    lab = T.prediction_log(spark, sf).where(F.col("actual_outcome").isNotNull())
+    sweep = metrics.threshold_sweep(lab, "actual_outcome", "probability", list(OPT_THRESHOLDS.values()))
+    # one row per configuration
+    at = {round(r["threshold"], 6): r for r in sweep.collect()}
+    row = {n: {"precision": at[t]["precision"], "recall": at[t]["recall"], "f1": at[t]["f1_score"]} for n, t in OPT_THRESHOLDS.items()}
+    tried = spark.createDataFrame([(i, n, *row[n].values()) for i, (n, _, _) in enumerate(TR.SAMPLING_STRATEGIES)],
+                                  "_i int, strategy string, precision double, recall double, f1_score double")
+    sampling = tried.withColumn("rank", F.row_number().over(Window.orderBy(F.col("precision").desc(), "_i")))
+    hyper = spark.createDataFrame([tuple(row["search"].values())], "test_precision double, test_recall double, test_f1 double")
+    return finish(TR.optimisation_report(row["base"], row["tuned"], sampling, hyper))
+
+
+@query("processed_summary")
+def processed_summary(spark, sf):
+    """SRC-2: the written ML table read back, with its class counts."""
+    path = shared_dir(spark, "processed")
+    prep.ml_table(featured_loans(spark, sf)).write.parquet(path)
+    return finish(FI.processed_summary(FI.read_processed(spark, path)))
+
+
 @query("rank_models")
 def rank_models(spark, sf):
     """ML-8 / ML-9 / SORT-2 on a metrics table made from the labelled loans: one "model" per education level."""
@@ -635,17 +694,29 @@ def duplicate_rows_coarse(spark, sf):
 from ..streaming import jobs as ST  # noqa: E402
 
 
-def _replay(spark, df: DataFrame, name: str):
-    """Write a derived table once into the shared folder and return a file stream over it."""
-    src = shared_dir(spark, f"{name}-src")
-    df.write.mode("overwrite").parquet(src)
-    return ST.file_stream(spark, src, spark.read.parquet(src).schema)
+REPLAY_BATCHES, REPLAY_FILES = 4, 2
+REPLAY_DELAY = "60 days"  # the unaligned replays mix all days of the fixtures, which span a month
+
+
+def _replay(spark, df: DataFrame, name: str, key: str, time: str | None = None):
+    """Write a derived table in slices and return a file stream that takes one slice a micro-batch.
+
+    Slices mix all times by a hash of ``key``, or follow each other in ``time``.
+    """
+    src, df = shared_dir(spark, f"{name}-src"), written(df, f"{name}-rows")
+    part = F.pmod(F.xxhash64(key), F.lit(REPLAY_BATCHES))
+    if time:
+        lo, hi = df.agg(F.min(F.unix_date(F.to_date(time))), F.max(F.unix_date(F.to_date(time)))).first()  # one row
+        part = F.floor((F.unix_date(F.to_date(time)) - F.lit(lo or 0)) * REPLAY_BATCHES / ((hi or 0) - (lo or 0) + 1))
+    for b in range(REPLAY_BATCHES):  # the source takes files in the order of their writing
+        df.where(part == b).repartition(REPLAY_FILES).write.mode("append").parquet(src)
+    return ST.file_stream(spark, src, spark.read.parquet(src).schema, REPLAY_FILES)
 
 
 def _daily_days(spark, sf):
-    s = _replay(spark, T.scored_log(spark, sf), "scored-log")
+    s = _replay(spark, T.scored_log(spark, sf), "scored-log", "id")
     out, ck = shared_dir(spark, "daily-kpis"), shared_dir(spark, "daily-kpis-ck")
-    ST.run_daily_kpis(s, out, ck)
+    ST.run_daily_kpis(s, out, ck, REPLAY_DELAY)
     return ST.latest_days(spark, out)
 
 
@@ -663,10 +734,10 @@ def stream_sliding_7d_kpis(spark, sf):
 @query("stream_labels")
 def stream_labels(spark, sf):
     """STR-5: outcomes attached by the stream, one row per labelled prediction."""
-    p = _replay(spark, T.scored_log(spark, sf).select("id", "customer_id", "timestamp"), "predictions")
-    f = _replay(spark, T.feedback(spark, sf), "feedback")
+    p = _replay(spark, T.scored_log(spark, sf).select("id", "customer_id", "timestamp"), "predictions", "id")
+    f = _replay(spark, T.feedback(spark, sf), "feedback", "feedback_id", "feedback_ts")
     out, ck = shared_dir(spark, "labels"), shared_dir(spark, "labels-ck")
-    ST.run_to_table(ST.label_stream(p, f), out, ck)
+    ST.run_to_table(ST.label_stream(p, f, REPLAY_DELAY), out, ck)
     return spark.read.parquet(out).select("id", "actual_outcome", "feedback_id")
 
 
@@ -677,7 +748,7 @@ def sliding_7d_kpis(spark, sf):
 
 @query("stream_alert_cooldown")
 def stream_alert_cooldown(spark, sf):
-    s = _replay(spark, T.alert_events(spark, sf), "alerts")
+    s = _replay(spark, T.alert_events(spark, sf), "alerts", "alert_id", "timestamp")
     out, ck = shared_dir(spark, "cooldown"), shared_dir(spark, "cooldown-ck")
     ST.run_to_table(ST.cooldown_stream(s), out, ck)
     return spark.read.parquet(out).select("alert_id", "type", "sent")

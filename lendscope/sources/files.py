@@ -39,6 +39,9 @@ def write_processed(df: DataFrame, path: str, target: str = "Default", fmt: str
     (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
 
 
+SEVERE_IMBALANCE = 20  # fixed value: non-defaults per default above which training warns
+
+
 def read_processed(spark: SparkSession, path: str, target: str = "Default") -> DataFrame:
     """SRC-2: processed table; the target column is required."""
     df = spark.read.parquet(path)
@@ -47,6 +50,15 @@ def read_processed(spark: SparkSession, path: str, target: str = "Default") -> D
     return df
 
 
+def processed_summary(df: DataFrame, target: str = "Default") -> DataFrame:
+    """SRC-2: rows, columns, rows per class, imbalance ratio and its warning as one row; no ratio without defaults."""
+    y = F.col(target)
+    one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(y == 0).alias("n_0"), F.count_if(y == 1).alias("n_1"))
+    ratio = F.when(F.col("n_1") > 0, F.col("n_0") / F.col("n_1"))
+    return one.select("n_rows", F.lit(len(df.columns)).alias("n_columns"), "n_0", "n_1", ratio.alias("imbalance_ratio"),
+                      F.coalesce(ratio > SEVERE_IMBALANCE, F.col("n_0") > 0).alias("severe_imbalance"))
+
+
 def encode_features(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     """SNK-3: the feature record as JSON text (customer id excluded)."""
     return df.withColumn(out, F.to_json(F.struct(*features)))
