@@ -19,6 +19,7 @@ from ..session import written
 from .ranking import exact_quantiles, narrow, rank_in_class
 
 UNKNOWN = "Unknown"
+MAP_CODES = 100_000  # codes that are broadcast as maps
 
 
 def median_fill_values(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -112,12 +113,17 @@ def label_codes(df: DataFrame, cols: list[str]) -> DataFrame:
 def encode(df: DataFrame, cols: list[str], codes: DataFrame | None = None) -> DataFrame:
     """Replace each text column by its integer code.
 
-    The code tables are joined without a hint: adaptive execution broadcasts
-    those that are measured to be small and shuffles the others.
+    Up to MAP_CODES codes go to every task as one map per column, in one
+    broadcast row; a larger table is joined column by column without a hint.
     """
     if not cols:
         return df
     codes = codes if codes is not None else written(label_codes(df, cols), "label-codes")
+    if codes.count() <= MAP_CODES:
+        maps = codes.groupBy().pivot("column", cols).agg(F.map_from_entries(F.collect_list(F.struct("value", "code"))))
+        one = maps.select(*[F.col(c).alias(f"_m_{c}") for c in cols])  # at most MAP_CODES entries in all
+        return df.crossJoin(F.broadcast(one)).select(*[F.try_element_at(F.col(f"_m_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
+                                                       for c in df.columns])
     out = df
     for c in cols:
         cc = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
@@ -127,8 +133,11 @@ def encode(df: DataFrame, cols: list[str], codes: DataFrame | None = None) -> Da
 
 
 def ml_table(features: DataFrame, target: str = TARGET, id_col: str = ID, keep_id: bool = False) -> DataFrame:
-    """PREP-1..3 + PRJ-3 / SNK-1 layout: filled, encoded, ID dropped, target last."""
-    filled, kinds = fill_missing(features)
+    """PREP-1..3 + PRJ-3 / SNK-1 layout: filled, encoded, ID dropped, target last.
+
+    ``features`` is evaluated once and written: fills, codes and rows read that.
+    """
+    filled, kinds = fill_missing(written(features, "features"))
     cat = [c for c in kinds["categorical"] if c != target]
     enc = encode(filled, cat)
     feats = [c for c in features.columns if c not in (target, id_col)]

@@ -181,7 +181,8 @@ def hist_income_positive(spark, sf):
 # ---------------------------------------------------------------- preparation
 
 def ml_with_id(spark, sf):
-    return prep.ml_table(featured_loans(spark, sf), keep_id=True)
+    """The encoded table with ids, written once: split, scaler, scores and fits read it."""
+    return written(prep.ml_table(featured_loans(spark, sf), keep_id=True), "ml-table")
 
 
 def split_ml(spark, sf):
