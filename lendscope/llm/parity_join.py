@@ -15,9 +15,13 @@ smaller sizes it may be linked to, down to three quarters of its own.
 Documents that meet form buckets.  A bucket is not expanded into pairs: all
 members are compared with one hub, first by folded sketches of about as many
 bits as tokens (their distance is a lower bound too), then by their whole sets.  Links make
-components; buckets that are not within one component by then compare what is
-left with further hubs, until no two members of different components are left
-uncompared.  So no link between components is lost.
+components.  Buckets that reach over several components by then are opened:
+their documents (which hold every link not found yet) pass on their rarest
+tokens, the smaller of two linked documents n - ceil(6 n / 7) + 1 and the larger
+m - ceil(3 m / 4) + 1 of them, in one order for all, of which the two share one.
+Documents of different components that share one so are compared as before.
+So no link between components is lost, and a passage that many documents share
+brings two of them together only where it is most of the smaller one.
 
 Scale: bucket entries are shuffled as packed arrays, 12 bytes an entry plus
 the documents' numbers.  Entries that meet within a task are joined there and
@@ -53,7 +57,6 @@ CHUNK_ENTRIES = 500_000
 MAP_BITS = 1 << 24
 MAP_PARTS = 64
 PAIRS_PER_SALT = 2000
-HUBS = 32
 NO_ID = 1 << 62  # documents without id are numbered from here, by their text
 U = np.uint64
 
@@ -158,38 +161,43 @@ def node_of(doc_id: Column, text: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Rows (node, doc_id, n_shingles, sketch) of all documents and (part, cells) block counts of each task."""
+    """Rows (node, doc_id, n_shingles, sketch) of all documents and (part, cells) counts of each task.
+
+    Parts from CELL_PARTS on count tokens, those before blocks.
+    """
     size = CELLS // CELL_PARTS
     names = ["node", "doc_id", "n_shingles", "sketch", "part", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, dtype=np.int64)
+        counts = np.zeros(2 * CELLS, dtype=np.int64)
         waiting: list[np.ndarray] = []
         held = 0
         for batch in batches:
             for part, tokens, bounds in text_blocks(batch, 2):
                 waiting.append((blocks(tokens, bounds)[0] >> U(44)).astype(np.int64))
-                held += len(waiting[-1])
+                waiting.append((tokens >> U(44)).astype(np.int64) + CELLS)
+                held += len(waiting[-1]) + len(waiting[-2])
                 if held > 1_000_000:
-                    counts += np.bincount(np.concatenate(waiting), minlength=CELLS)
+                    counts += np.bincount(np.concatenate(waiting), minlength=2 * CELLS)
                     waiting, held = [], 0
                 n = len(part)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(np.diff(bounds), pa.int64()),
                     pa.array(sketches_of(tokens, bounds), pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=CELLS)
+            counts += np.bincount(np.concatenate(waiting), minlength=2 * CELLS)
         small = np.minimum(counts, 65535).astype(np.uint16)  # a task's count; the sum over tasks is not cut
-        parts = [small[i * size:(i + 1) * size].tobytes() for i in range(CELL_PARTS)]
-        none = [pa.nulls(CELL_PARTS, pa.int64()) for _ in range(3)]
-        yield pa.RecordBatch.from_arrays([*none, pa.nulls(CELL_PARTS, pa.list_(pa.int64())), pa.array(range(CELL_PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
+        k = 2 * CELL_PARTS
+        parts = [small[i * size:(i + 1) * size].tobytes() for i in range(k)]
+        none = [pa.nulls(k, pa.int64()) for _ in range(3)]
+        yield pa.RecordBatch.from_arrays([*none, pa.nulls(k, pa.list_(pa.int64())), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return docs.select("node", "doc_id", "text").mapInArrow(
         run, "node long, doc_id long, n_shingles long, sketch array<long>, part int, cells binary")
 
 
-def rarity_of(measured: DataFrame) -> np.ndarray:
-    """Half-octave classes of the block counts, one byte a cell."""
+def rarity_of(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Half-octave classes of the counts of blocks and of tokens, one byte a cell."""
     size = CELLS // CELL_PARTS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,11 +211,11 @@ def rarity_of(measured: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array(out, pa.binary())], ["part", "classes"])
 
     rows = (measured.where(F.col("part").isNotNull()).select("part", "cells").repartition(CELL_PARTS, "part")
-            .mapInArrow(add, "part int, classes binary").collect())  # CELLS bytes in all
-    out = np.zeros(CELLS, dtype=np.uint8)
+            .mapInArrow(add, "part int, classes binary").collect())  # 2 * CELLS bytes in all
+    out = np.zeros(2 * CELLS, dtype=np.uint8)
     for r in rows:
         out[r["part"] * size:(r["part"] + 1) * size] = np.frombuffer(r["classes"], dtype=np.uint8)
-    return out
+    return out[:CELLS], out[CELLS:]
 
 
 EDGE = "print long, a long, b long, n_a int, n_b int, same boolean"
@@ -386,9 +394,9 @@ def bit_map(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def token_sets(docs: DataFrame, roles: DataFrame) -> DataFrame:
-    """``roles`` (node, b, _salt, hub) with the tokens of their documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(roles.select("node")))
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the documents whose node's bit is set in the map of ``wanted``: all of them, and few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select("node")))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,14 +404,65 @@ def token_sets(docs: DataFrame, roles: DataFrame) -> DataFrame:
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
+    return docs.select("node", "text").mapInArrow(sift, "node long, text string")
+
+
+def prefix_entries(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """(token, node, n, c, few) for the rarest tokens of each ``wanted`` (node, c) document.
+
+    Of two linked documents the smaller has one of its n - ceil(6 n / 7) + 1
+    rarest tokens (``few``) among the m - ceil(3 m / 4) + 1 rarest of the other.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = shared.value
+        for batch in batches:
+            for part, tokens, bounds in text_blocks(batch, 2):
+                n = np.diff(bounds)
+                owner = np.repeat(np.arange(len(part)), n)
+                order = np.lexsort((tokens, rare[(tokens >> U(44)).astype(np.int64)], owner))
+                place, size = np.arange(len(tokens)) - bounds[owner], n[owner]
+                kept = place < size + (-3 * size) // 4 + 1
+                of = owner[kept]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(tokens[order][kept].view(np.int64)), pa.array(np.array(part.column(0))[of]), pa.array(size[kept].astype(np.int32)),
+                    pa.array(np.array(part.column(1))[of]), pa.array((place < size + (-6 * size) // 7 + 1)[kept])], ["token", "node", "n", "c", "few"])
+
+    return (texts_of(docs, wanted).join(wanted, "node").select("node", "c", "text")
+            .mapInArrow(run, "token long, node long, n int, c long, few boolean"))
+
+
+def pairs_across(entries: DataFrame) -> DataFrame:
+    """(a, b), a > b: documents of different components that the prefixes leave as candidates; ``entries`` is a written table.
+
+    Pairs inside the largest component of a token are never made: one side of
+    the join holds the documents outside it.  A token's documents are dealt by
+    PAIRS_PER_SALT.
+    """
+    per = entries.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"), F.max("few").alias("few"))
+    tokens = per.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.sum("k").alias("_n"), F.count(F.lit(1)).alias("parts"),
+                                      F.max("few").alias("few")).where("parts > 1 and few").select("token", "most", "_n")
+    salts = F.ceil(F.col("_n") / PAIRS_PER_SALT).cast("int")
+    kept = materialize(join_hot_split(entries, tokens, "token", "_n", max(1, entries.count()))
+                       .select("token", "node", "n", "c", "few", (F.col("c") != F.col("most")).alias("outside"), salts.alias("_salts")), "jac-tokens")
+    one = kept.where("outside").select("token", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), "node", "n", "c", "few")
+    other = kept.select("token", F.pmod(F.xxhash64("node"), F.col("_salts")).cast("int").alias("_salt"), F.col("node").alias("node2"),
+                        F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("few").alias("few2"))
+    smaller_has = F.when(F.col("n") < F.col("n2"), F.col("few")).when(F.col("n") > F.col("n2"), F.col("few2")).otherwise(F.col("few") | F.col("few2"))
+    return (one.join(other, ["token", "_salt"]).where((F.col("c") != F.col("c2")) & _sizes_fit("n", "n2") & smaller_has)
+            .select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct())
+
+
+def token_sets(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """``roles`` (node, b, _salt, hub) with the tokens of their documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, tokens, bounds in text_blocks(batch, 4):
                 sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], sets], ["node", "b", "_salt", "hub", "tokens"])
 
-    sifted = docs.select("node", "text").mapInArrow(sift, "node long, text string")
-    return (sifted.join(roles, "node").select("node", "b", "_salt", "hub", "text")
+    return (texts_of(docs, roles).join(roles, "node").select("node", "b", "_salt", "hub", "text")
             .mapInArrow(run, "node long, b long, _salt int, hub boolean, tokens array<long>"))
 
 
@@ -466,7 +525,8 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
 def linked_nodes(rows: DataFrame) -> DataFrame:
     """(node, doc_id, n_shingles, c) of each of ``rows`` (doc_id, text, node); c is the least node reachable."""
     measured = materialize_in_small_batches(measure(rows), "jac-sizes")
-    edges = materialize_in_small_batches(meetings(rows, rarity_of(measured)), "jac-edges")
+    of_blocks, of_tokens = rarity_of(measured)
+    edges = materialize_in_small_batches(meetings(rows, of_blocks), "jac-edges")
     same = edges.where("same").select("a", "b")
     pairs = materialize(edges.where(~F.col("same")).where(_sizes_fit("n_a", "n_b")).select("a", "b").distinct(), "jac-pairs")
     sketches = measured.where(F.col("part").isNull()).select("node", F.col("n_shingles").alias("n"), "sketch")
@@ -477,41 +537,18 @@ def linked_nodes(rows: DataFrame) -> DataFrame:
         c = component.select(F.col("node").alias(node), F.col("component").alias(label))
         return frame.join(c, node, "left").withColumn(label, F.coalesce(label, node))
 
-    # Buckets with a pair across components are left; all others are settled.
+    # Documents of buckets that reach over several components may have links that no hub showed.
     star = edges.where(~F.col("same"))
     across = labelled(labelled(star.select("a", "b").distinct(), "a", "c_a"), "b", "c_b").where("c_a <> c_b").select("a", "b")
-    open_prints = materialize(star.join(across, ["a", "b"], "left_semi").select("print").distinct(), "jac-open")
+    open_prints = star.join(across, ["a", "b"], "left_semi").select("print").distinct()
     left = star.join(open_prints, "print", "left_semi")
-    members = materialize(
-        left.select("print", F.col("a").alias("node"), F.col("n_a").alias("n"))
-        .unionByName(left.select("print", F.col("b").alias("node"), F.col("n_b").alias("n"))).distinct(), "jac-members")
-    done = pairs
-    while True:
-        # Members that have a partner of fitting size in another component, told by the bucket's extremes.
-        m = labelled(members, "node", "c")
-        spread = m.groupBy("print").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-        spread = spread.where("_lo <> _hi")
-        total = members.count()
-        m = materialize(join_hot_split(m, spread, "print", "_n", max(total, 1)).select("print", "node", "n", "c"), "jac-members")
-        total = m.count()
-        if not total:
-            break
-        hubs = (m.groupBy("print", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("_class"))
-                .agg(F.min(F.struct("node", "n", "c")).alias("h")).select("print", "h"))
-        sizes = m.groupBy("print").agg(F.count(F.lit(1)).alias("_n"))
-        hubs = materialize(hubs.join(sizes, "print"), "jac-hubs")
-        # Each member meets at most HUBS hubs of its bucket; a hot bucket's hubs are broadcast.
-        met = (join_hot_split(m, hubs, "print", "_n", total)
-               .where((F.col("c") != F.col("h.c")) & (4 * F.least("n", "h.n") >= 3 * F.greatest("n", "h.n")))
-               .select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b")).distinct())
-        fresh = materialize(met.join(done, ["a", "b"], "left_anti"), "jac-pairs")
-        found = verify(fresh, sketches, rows)
-        done = done.unionByName(fresh)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            component = materialize(connected_components(links), "jac-components")
-        members = materialize(m.join(hubs.select("print", F.col("h.node").alias("node")), ["print", "node"], "left_anti")
-                              .select("print", "node", "n"), "jac-members")
+    wanted = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(labelled(wanted, "node", "c"), "jac-open")
+    entries = materialize_in_small_batches(prefix_entries(rows, wanted, of_tokens), "jac-entries")
+    fresh = materialize(pairs_across(entries).join(pairs, ["a", "b"], "left_anti"), "jac-across")
+    found = verify(fresh, sketches, rows)
+    if not found.isEmpty():
+        component = materialize(connected_components(links.unionByName(found)), "jac-components")
     return labelled(measured.where(F.col("part").isNull()).select("node", "doc_id", "n_shingles"), "node", "c")
 
 
