@@ -7,10 +7,11 @@ in the mixture's proportion (within two rows), and shard sizes differ by one
 row at most.
 
 Scale: both ranks are counted in two levels.  Rows fall into buckets of the
-order (a prefix of the md5 of the id; a slice of [0, 1)), windows number the
-rows inside a bucket, and running totals over the bucket counts give the
-bucket's start.  A source with a third of all rows is spread over all buckets
-like the others.  Only id, source, size and checksum are shuffled, not texts.
+order (a prefix of the md5 of the id; sampled ranges of fraction, source and
+md5), windows number the rows inside a bucket, and running totals over the
+bucket counts give the bucket's start.  A source with a third of all rows is
+spread over all buckets like the others, and so are very many sources of one
+row, whose fractions are all one half.  Only id, source, size and checksum are shuffled, not texts.
 """
 
 from __future__ import annotations
@@ -40,21 +41,16 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "shard-1", text: s
     ties = ["doc_id", "size", "text_crc32"]
     ranked = (running_total(rows.withColumn("_key", seeded_key(seed)), "source", "_key", F.lit(1), digits, ties)
               .withColumn("rank", F.col("before") + 1))
-    slices = 16 ** digits
     frac = ranked.withColumn("_frac", (2 * F.col("rank") - 1) / (2 * F.col("whole")))
-    cut = frac.withColumn("_slice", F.floor(F.col("_frac") * slices))
-    counts = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    # One row per slice of [0, 1): 4,096 of them up to 200 million rows.  Their running
-    # total is taken in two levels too, over blocks of 64 slices.
-    counts = counts.withColumn("_block", F.floor(F.col("_slice") / 64))
-    blocks = counts.groupBy("_block").agg(F.sum("_rows").alias("_of_block"))
-    up_to = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_block", F.coalesce(F.sum("_of_block").over(up_to), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_block").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.join(blocks, "_block").select(
-        "_slice", (F.col("_before") + F.coalesce(F.sum("_rows").over(within), F.lit(0))).alias("_start"))
-    order = Window.partitionBy("_slice").orderBy("_frac", "source", "_key", *ties)
-    placed = cut.join(starts, "_slice").withColumn("_place", F.row_number().over(order) - 1 + F.col("_start"))
+    order = ["_frac", "source", "_key", *ties]
+    # Ranges of the whole order, so that rows of one fraction (as many as there are small sources) spread too.
+    # Written: counts and places have to see the same ranges.
+    cut = materialize(frac.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "shard-ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    placed = cut.join(starts, "_range").withColumn("_place", F.row_number().over(inside) - 1 + F.col("_start"))
     # The first place of shard s is the least p with floor(p * k / n) = s; whole numbers only.
     exact = F.expr(f"cast((_place * {shards}L) div {max(total, 1)}L as int)")
     first = F.expr(f"(cast(shard as long) * {total}L + {shards - 1}L) div {shards}L")

@@ -67,3 +67,21 @@ def test_shingles_of_words_match_plain_sets():
     sizes = np.diff(bounds).tolist()
     assert sizes == [2, 2, 1, 0, 0, 0, 1, 5]
     assert set(tokens[:2].tolist()) == set(tokens[2:4].tolist())
+
+
+def test_many_sources_of_one_row_spread_over_ranges(spark, monkeypatch):
+    """All fractions are one half; the places are cut into several ranges all the same."""
+    from lendscope.llm import sharding
+    written = {}
+    keep = sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda df, name: written.setdefault(name, keep(df, name)))
+    df = frame(spark, [(i, f"t{i}", f"s{i}", None) for i in range(4000)])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = sharding.interleave(df).groupBy("shard").count().collect()
+    finally:
+        spark.conf.set(key, "true")
+    assert {r["count"] for r in got} == {250} and len(got) == 16
+    sizes = [r["count"] for r in written["shard-ranges"].groupBy("_range").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 3 * 4000 / len(sizes)
