@@ -19,6 +19,7 @@ session time zone.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import time
 from typing import Callable, Iterator
@@ -27,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.exprs import try_div
@@ -237,71 +239,121 @@ def cooldown_stream(alerts: DataFrame, minutes: int = COOLDOWN_MINUTES, delay: s
 
 # ---------------------------------------------------------------- STR-5
 
-LABEL_SALTS = 8  # a customer's open predictions are spread over so many groups
-NEVER = np.iinfo(np.int64).min  # no time is before it
-LABEL_OUT = "id long, actual_outcome int, feedback_date timestamp, feedback_id long"
-LABEL_STATE = "ids array<long>, times array<long>, f_times array<long>, f_ids array<long>, outcomes array<int>"
+LABEL_OUT = "id long, outcome int, feedback_at long, feedback_id long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _label_fn(key, pdfs: Iterator[pd.DataFrame], state, settled_until: Callable) -> Iterator[pd.DataFrame]:
-    """Open predictions and feedback of one customer and salt; emits what this batch settles.
+class Labeller(StatefulProcessor):
+    """State of one customer: open predictions by id, and feedback by (time, id), both as maps on disk.
 
-    ``settled_until`` gives the time (microseconds) before which no prediction arrives any more.
+    A batch touches the entries that it adds or settles and no other.  With a
+    watermark a timer of each feedback drops it once no prediction before it can
+    arrive.  ``final``: a label waits for that timer, so that earlier feedback
+    that comes later still wins; else it is emitted as soon as there is one.
     """
-    ids, times, f_times, f_ids, outcomes = (list(x) for x in state.get) if state.exists else ([], [], [], [], [])
-    rows = pd.concat(list(pdfs), ignore_index=True)
-    at = rows["event_time"].to_numpy(dtype="datetime64[us]").astype("int64")
-    is_feedback, event_id = rows["is_feedback"].to_numpy(dtype=bool), rows["event_id"].to_numpy(dtype="int64")
-    ids += event_id[~is_feedback].tolist()
-    times += at[~is_feedback].tolist()
-    f_times += at[is_feedback].tolist()
-    f_ids += event_id[is_feedback].tolist()
-    outcomes += rows["outcome"].to_numpy(dtype="int64")[is_feedback].tolist()
-    order = np.lexsort((f_ids, f_times)) if f_ids else np.zeros(0, dtype=int)
-    ft, fi, fo = (np.array(x, dtype="int64")[order] for x in (f_times, f_ids, outcomes))
-    hit = np.searchsorted(ft, np.array(times, dtype="int64"))
-    done = hit < len(ft)
-    pid, pt = np.array(ids, dtype="int64"), np.array(times, dtype="int64")
-    # Feedback stays for predictions that arrive later, until the watermark says that none does.
-    due = slice(int(np.searchsorted(ft, settled_until(state))), None)
-    state.update((pid[~done].tolist(), pt[~done].tolist(), ft[due].tolist(), fi[due].tolist(), fo[due].tolist()))
-    if done.any():
-        h = hit[done]
-        yield pd.DataFrame({"id": pid[done], "actual_outcome": fo[h].astype("int32"),
-                            "feedback_date": ft[h].astype("datetime64[us]"), "feedback_id": fi[h]})
-
-
-def label_stream(predictions: DataFrame, feedback: DataFrame, delay: str | None = None) -> DataFrame:
+
+    def __init__(self, timed: bool, final: bool) -> None:
+        self.timed, self.final = timed, final
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "id long", "at long")
+        self.feedback = handle.getMapState("feedback", "at long, id long", "outcome int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        newest = None
+        fresh: list[tuple[int, int]] = []
+        for pdf in rows:
+            for at, is_feedback, event, outcome in zip(pdf["at"].tolist(), pdf["is_feedback"].tolist(), pdf["event_id"].tolist(),
+                                                       pdf["outcome"].tolist(), strict=True):
+                if not is_feedback:
+                    fresh.append((event, at))
+                    continue
+                self.feedback.updateValue((at, event), (outcome,))
+                newest = at if newest is None else max(newest, at)
+                if self.timed:
+                    self.handle.registerTimer(at // 1000 + 1)
+        if self.final:
+            for event, at in fresh:
+                self.open.updateValue((event,), (at,))
+            return
+        known = self._known()
+        out = []
+        for event, at in fresh:  # feedback may have come before its prediction
+            i = bisect.bisect_left(known, (at,))
+            if i < len(known):
+                out.append((event, *known[i]))
+            else:
+                self.open.updateValue((event,), (at,))
+        if newest is not None:
+            out += self._settle(known, newest)
+        if out:
+            yield _labels(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        until = 1000 * timerValues.getCurrentWatermarkInMs()
+        known = self._known()
+        past = [f for f in known if f[0] < until]
+        if self.final and past:
+            out = self._settle(known, past[-1][0])
+            if out:
+                yield _labels(out)
+        for at, event, _ in past:  # no prediction before the watermark comes any more
+            self.feedback.removeKey((at, event))
+
+    def _known(self) -> list[tuple[int, int, int]]:
+        return sorted((k[0], k[1], v[0]) for k, v in self.feedback.iterator())
+
+    def _settle(self, known: list[tuple[int, int, int]], newest: int) -> list[tuple[int, int, int, int]]:
+        """Open predictions up to ``newest`` take their earliest feedback and leave the state."""
+        out = []
+        for (event,), (at,) in list(self.open.iterator()):
+            if at <= newest:
+                out.append((event, *known[bisect.bisect_left(known, (at,))]))
+                self.open.removeKey((event,))
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def _labels(rows: list[tuple[int, int, int, int]]) -> pd.DataFrame:
+    event, at, feedback, outcome = zip(*rows, strict=True)
+    return pd.DataFrame({"id": event, "outcome": pd.Series(outcome, dtype="int32"), "feedback_at": at, "feedback_id": feedback})
+
+
+def label_stream(predictions: DataFrame, feedback: DataFrame, delay: str | None = None, final: bool = False) -> DataFrame:
     """(id, actual_outcome, feedback_date, feedback_id), once per labelled prediction.
 
-    State per customer: the predictions without an outcome and the feedback.
-    Open predictions never expire, so feedback that comes months later still
-    labels; what it settles leaves the state.  Feedback stays too, so either
-    source may run ahead of the other.  With a ``delay`` (no source is later
-    than that against its own newest row) feedback that the watermark of both
-    has passed is dropped when its customer is next seen; no row is dropped as
-    late.  Predictions of a customer are spread over LABEL_SALTS groups, each
-    of which sees all of the customer's feedback.  The result equals the batch
-    as-of join when a customer's feedback arrives in time order (any order
-    within a batch); predictions may come in any order (with a ``delay``, within
-    that).  Rows without customer are left out: they have no feedback.
+    State per customer: the predictions without an outcome, which never expire,
+    so feedback that comes months later still labels; and the feedback, so
+    either source may run ahead of the other.  With a ``delay`` (no source is
+    later than that against its own newest row) timers drop feedback that the
+    watermark of both has passed.  The result equals the batch as-of join when a
+    customer's feedback arrives in time order (any order within a batch), in
+    whatever order the predictions come; with ``final`` (which needs a
+    ``delay``) also when feedback is out of order within the delay, as a label
+    is given when the watermark has passed its feedback.  A customer's rows of a
+    micro-batch are handled in one task: bound batches at the sources.  Rows
+    without customer are left out: they have no feedback.
     """
-    p = predictions.where(F.col("customer_id").isNotNull()).select(
-        "customer_id", F.pmod(F.xxhash64("id"), F.lit(LABEL_SALTS)).cast("int").alias("salt"),
-        F.lit(False).alias("is_feedback"), F.col("id").cast("long").alias("event_id"), F.lit(0).alias("outcome"),
-        utc_instant("timestamp").alias("event_time"))
-    f = feedback.where(F.col("customer_id").isNotNull()).select(
-        "customer_id", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))).alias("salt"),
-        F.lit(True).alias("is_feedback"), F.col("feedback_id").cast("long").alias("event_id"),
-        F.coalesce(F.col("actual_outcome"), F.lit(0)).cast("int").alias("outcome"), utc_instant("feedback_ts").alias("event_time"))
-    if delay is not None:
-        p, f = p.withWatermark("event_time", delay), f.withWatermark("event_time", delay)
-
-    def label(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        return _label_fn(key, pdfs, state, lambda s: NEVER if delay is None else 1000 * s.getCurrentWatermarkMs())
-
-    return p.unionByName(f).groupBy("customer_id", "salt").applyInPandasWithState(
-        label, LABEL_OUT, LABEL_STATE, "append", GroupStateTimeout.NoTimeout)
+    if final and delay is None:
+        raise ValueError("final labels need a delay")
+    spark = predictions.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # map states and timers live there
+
+    def side(df: DataFrame, is_feedback: bool, event: str, outcome: Column, time_col: str) -> DataFrame:
+        e = df.where(F.col("customer_id").isNotNull()).select(
+            "customer_id", F.lit(is_feedback).alias("is_feedback"), F.col(event).cast("long").alias("event_id"), outcome.alias("outcome"),
+            utc_instant(time_col).alias("event_time"))
+        e = e.withColumn("at", F.unix_micros("event_time"))
+        return e if delay is None else e.withWatermark("event_time", delay)
+
+    both = side(predictions, False, "id", F.lit(0), "timestamp").unionByName(
+        side(feedback, True, "feedback_id", F.coalesce(F.col("actual_outcome"), F.lit(0)).cast("int"), "feedback_ts"))
+    out = both.groupBy("customer_id").transformWithStateInPandas(
+        Labeller(delay is not None, final), LABEL_OUT, "append", "None" if delay is None else "EventTime")
+    return out.select("id", F.col("outcome").alias("actual_outcome"), F.timestamp_micros("feedback_at").alias("feedback_date"), "feedback_id")
 
 
 # ---------------------------------------------------------------- STR-7

@@ -210,6 +210,41 @@ def test_label_stream_where_feedback_runs_ahead(spark, delay):
         1: (11, 1), 2: (11, 1), 3: (12, 0), 4: (13, 1), 5: (13, 1), 6: (15, 1)}
 
 
+def _label_batches(spark, batches, delay, final):
+    """Run (predictions, feedback) batches, rows (id, customer, second[, outcome]), through one label stream."""
+    ps, fs, out, ck = (shared_dir(spark, n) for n in ("p", "f", "o", "ck"))
+    at = (F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s"))).cast("timestamp_ntz")
+    emitted = []
+    for p, f in batches:
+        spark.createDataFrame(p, "id long, customer_id string, s long").withColumn("timestamp", at).drop("s").write.mode("append").parquet(ps)
+        spark.createDataFrame(f, "feedback_id long, customer_id string, s long, actual_outcome int").withColumn("feedback_ts", at).drop("s") \
+            .write.mode("append").parquet(fs)
+        s = ST.label_stream(ST.file_stream(spark, ps, spark.read.parquet(ps).schema), ST.file_stream(spark, fs, spark.read.parquet(fs).schema), delay, final)
+        q = (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        emitted.append(q.lastProgress)
+    return {r.id: r.feedback_id for r in spark.read.parquet(out).collect()}, emitted
+
+
+def test_final_labels_wait_for_feedback_that_is_out_of_order(spark):
+    """Two feedbacks of one customer come in the wrong order; only with ``final`` does the earlier one win."""
+    batches = [([(1, "a", 0), (2, "a", 15)], [(11, "a", 20, 1)]), ([], [(12, "a", 10, 0)]),
+               ([(9, "b", 500)], [(19, "b", 400, 1)]), ([(10, "b", 501)], [(20, "b", 401, 1)])]
+    got, _ = _label_batches(spark, batches, "30 seconds", True)
+    assert {k: got[k] for k in (1, 2)} == {1: 12, 2: 11}
+    got, _ = _label_batches(spark, batches, "30 seconds", False)
+    assert {k: got[k] for k in (1, 2)} == {1: 11, 2: 11}
+
+
+def test_state_of_labels_stays_bounded(spark):
+    """Settled predictions and passed feedback leave the state over many batches."""
+    batches = [([(10 * b + i, "a", 100 * b + i) for i in range(10)], [(1000 + 10 * b + i, "a", 100 * b + 20 + i, 1) for i in range(10)]) for b in range(6)]
+    got, progress = _label_batches(spark, batches, "10 seconds", False)
+    assert got == {10 * b + i: 1000 + 10 * b for b in range(6) for i in range(10)}
+    rows = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress]
+    assert rows[-1] <= rows[1] + 5  # not growing with the batches
+
+
 def test_cooldown_stream_over_many_batches(spark):
     """Files in time order, one a batch: equal to the batch operator."""
     from lendscope.operators.cooldown import cooldown
