@@ -74,6 +74,7 @@ def _alert(cond: Column, type_: str, severity, message: Column, value: Column, t
                                  value.cast("double").alias("value"), thr.alias("threshold")))
 
 
+# Alert types, severities and texts, and the recommendations below, as the monitor's readers expect them.
 def generate_alerts(kpis: DataFrame, history_total: DataFrame) -> DataFrame:
     """MON-5..7: alert rows from a KPI row and the 30-day prediction count.
 
