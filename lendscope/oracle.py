@@ -1026,7 +1026,7 @@ from ml"""
 _OPT = ("(values ('Base Model', 0, 0.5::double), ('Threshold Optimized', 1, 0.65), ('Sampling: No Sampling', 2, 0.3), "
         "('Sampling: Conservative SMOTE (4:1)', 3, 0.45), ('Sampling: SMOTE (2:1)', 4, 0.6), ('Sampling: Random Undersampling', 5, 0.75), "
         "('Hyperparameter Tuned', 6, 0.7)) v(configuration, ord, t)")
-SQL["optimisation_report"] = with_log() + f""",
+SQL["tuning_report"] = with_log() + f""",
 c as (select configuration, ord, count(*) filter (actual_outcome = 1 and probability >= t) tp,
    count(*) filter (actual_outcome = 0 and probability >= t) fp, count(*) filter (actual_outcome = 1 and probability < t) fn
    from {_OPT}, lab where actual_outcome is not null group by 1, 2),

@@ -632,8 +632,8 @@ OPT_THRESHOLDS = {"base": 0.5, "tuned": 0.65, "No Sampling": 0.3, "Conservative
                   "Random Undersampling": 0.75, "search": 0.7}
 
 
-@query("optimisation_report")
-def optimisation_report(spark, sf):
+@query("tuning_report")
+def tuning_report(spark, sf):
     """ML-20 / ML-21 / ML-17's choice: every configuration is the labelled log's score at a cutoff of its own."""
     lab = T.prediction_log(spark, sf).where(F.col("actual_outcome").isNotNull())
     sweep = metrics.threshold_sweep(lab, "actual_outcome", "probability", list(OPT_THRESHOLDS.values()))
