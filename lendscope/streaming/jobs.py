@@ -244,12 +244,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class Labeller(StatefulProcessor):
-    """State of one customer: open predictions by id, and feedback by (time, id), both as maps on disk.
-
-    A batch touches the entries that it adds or settles and no other.  With a
-    watermark a timer of each feedback drops it once no prediction before it can
-    arrive.  ``final``: a label waits for that timer, so that earlier feedback
-    that comes later still wins; else it is emitted as soon as there is one.
+    """State of one customer: open predictions (id, time), and feedback (time, id, outcome), both as lists on disk.
+
+    A batch appends to a list, or reads and writes it, in one call each, not one
+    per row.  Of rows that share a key the last one counts.  With a watermark
+    timers drop feedback once no prediction before it can arrive.  ``final``: a
+    label waits for the timer of its feedback, so that earlier feedback that
+    comes later still wins; else it is emitted as soon as there is one, and the
+    feedback of a batch has one timer, that of its newest.
     """
 
     def __init__(self, timed: bool, final: bool) -> None:
@@ -257,36 +259,41 @@ class Labeller(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "id long", "at long")
-        self.feedback = handle.getMapState("feedback", "at long, id long", "outcome int")
+        self.open = handle.getListState("open", "id long, at long")
+        self.feedback = handle.getListState("feedback", "at long, id long, outcome int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        newest = None
         fresh: list[tuple[int, int]] = []
+        told: list[tuple[int, int, int]] = []
         for pdf in rows:
             for at, is_feedback, event, outcome in zip(pdf["at"].tolist(), pdf["is_feedback"].tolist(), pdf["event_id"].tolist(),
                                                        pdf["outcome"].tolist(), strict=True):
-                if not is_feedback:
+                if is_feedback:
+                    told.append((at, event, outcome))
+                else:
                     fresh.append((event, at))
-                    continue
-                self.feedback.updateValue((at, event), (outcome,))
-                newest = at if newest is None else max(newest, at)
-                if self.timed:
-                    self.handle.registerTimer(at // 1000 + 1)
+        if told:
+            self.feedback.appendList(told)
+            if self.timed:
+                until = {at // 1000 + 1 for at, _, _ in told}
+                for t in sorted(until) if self.final else [max(until)]:
+                    self.handle.registerTimer(t)
         if self.final:
-            for event, at in fresh:
-                self.open.updateValue((event,), (at,))
+            if fresh:
+                self.open.appendList(fresh)
             return
         known = self._known()
-        out = []
+        out, wait = [], []
         for event, at in fresh:  # feedback may have come before its prediction
             i = bisect.bisect_left(known, (at,))
             if i < len(known):
                 out.append((event, *known[i]))
             else:
-                self.open.updateValue((event,), (at,))
-        if newest is not None:
-            out += self._settle(known, newest)
+                wait.append((event, at))
+        if wait:
+            self.open.appendList(wait)
+        if told:
+            out += self._settle(known, max(told)[0])
         if out:
             yield _labels(out)
 
@@ -294,29 +301,36 @@ class Labeller(StatefulProcessor):
         until = 1000 * timerValues.getCurrentWatermarkInMs()
         known = self._known()
         past = [f for f in known if f[0] < until]
-        if self.final and past:
+        if not past:
+            return
+        if self.final:
             out = self._settle(known, past[-1][0])
             if out:
                 yield _labels(out)
-        for at, event, _ in past:  # no prediction before the watermark comes any more
-            self.feedback.removeKey((at, event))
+        _put(self.feedback, [f for f in known if f[0] >= until])  # no prediction before the watermark comes any more
 
     def _known(self) -> list[tuple[int, int, int]]:
-        return sorted((k[0], k[1], v[0]) for k, v in self.feedback.iterator())
+        return sorted((at, event, outcome) for (at, event), outcome in {(f[0], f[1]): f[2] for f in self.feedback.get()}.items())
 
     def _settle(self, known: list[tuple[int, int, int]], newest: int) -> list[tuple[int, int, int, int]]:
         """Open predictions up to ``newest`` take their earliest feedback and leave the state."""
-        out = []
-        for (event,), (at,) in list(self.open.iterator()):
-            if at <= newest:
-                out.append((event, *known[bisect.bisect_left(known, (at,))]))
-                self.open.removeKey((event,))
+        waiting = {o[0]: o[1] for o in self.open.get()}
+        out = [(event, *known[bisect.bisect_left(known, (at,))]) for event, at in waiting.items() if at <= newest]
+        if out:
+            _put(self.open, [o for o in waiting.items() if o[1] > newest])
         return out
 
     def close(self) -> None:
         pass
 
 
+def _put(state, rows: list[tuple]) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 def _labels(rows: list[tuple[int, int, int, int]]) -> pd.DataFrame:
     event, at, feedback, outcome = zip(*rows, strict=True)
     return pd.DataFrame({"id": event, "outcome": pd.Series(outcome, dtype="int32"), "feedback_at": at, "feedback_id": feedback})
