@@ -104,6 +104,37 @@ def test_knn_searches_few_cells_of_clustered_rows(spark):
         assert [got[(i, k + 1)] for k in range(3)] == list(np.lexsort((np.arange(1000), d))[:3])
 
 
+def test_knn_sends_a_row_to_a_bounded_number_of_groups(spark):
+    """Rows without structure have to search nearly every block; they are sent once a group, and the result is brute force's."""
+    import numpy as np
+    from lendscope.operators.sampling import GROUPS, knn_blocks
+    rnd = np.random.default_rng(2)
+    v = rnd.normal(size=(1500, 8))
+    v[1400:] = v[:100]  # equal rows: ties go by id
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(1500)], "id long, vec array<double>")
+    base, _, wanted = knn_blocks(df, "id", "vec", 3, block_rows=20)
+    assert base.select("blk").distinct().count() > 3 * GROUPS
+    assert wanted.count() <= GROUPS * 1500
+    got = {(r.id, r.nn_rank): r.neighbor_id for r in knn_within(df, "id", "vec", 3, block_rows=20).collect()}
+    for i in range(1500):
+        d = ((v - v[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert [got[(i, k + 1)] for k in range(3)] == list(np.lexsort((np.arange(1500), d))[:3])
+
+
+def test_strategies_share_the_neighbour_search(spark, prepared, monkeypatch):
+    """Both SMOTE strategies oversample the same rows: their neighbours are searched once, with the same rows as alone."""
+    searched = []
+    monkeypatch.setattr(TR, "knn_within", lambda *a, **k: searched.append(1) or knn_within(*a, **k))
+    shared = TR.searched_once()
+    for ratio in (4.0, 2.0):
+        one = TR.balance(prepared.train, prepared.features, "smote", ratio, neighbours=shared)
+        alone = TR.balance(prepared.train, prepared.features, "smote", ratio)
+        assert one.count() > prepared.train.count()
+        assert one.exceptAll(alone).count() == 0 and alone.exceptAll(one).count() == 0
+    assert len(searched) == 1
+
+
 def test_package_scores_raw_rows_like_prepared_ones(spark, prepared):
     """The saved package on engineered rows equals the fitted model on prepared rows."""
     source = C.featured_loans(spark, SF)
