@@ -10,8 +10,9 @@ chunk's ids are compared with the sentencepiece library's, Arrow batch by
 Arrow batch, and a difference fails the task.  Decoding joins the pieces of the
 ids and is compared with the library's decoder in the same way.
 
-Scale: one scan and no shuffle.  A worker keeps at most CACHE_CHUNKS encoded
-chunks and reads the vocabulary file once.
+Scale: one scan and no shuffle.  A worker keeps at most about twice CACHE_CHUNKS
+encoded chunks, of which those that were not met again for longest go, and reads
+the vocabulary file once.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 BLANK = "▁"  # fixed value: the sign SentencePiece writes for a blank
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 LONG_CHUNK = 64  # characters; longer chunks are not kept
 SHORT_CHUNK = 32  # characters; below, a list is faster than a heap
 NO_PIECE = float("inf")
-PACKS = [struct.Struct(f"<{n}I").pack for n in range(9)]  # ids as little-endian words
 BLOCK_CHARS = 1_000_000  # texts whose new chunks are encoded and checked together
 
 
@@ -62,25 +63,31 @@ class MergeVocabulary:
         if any(BLANK in p.lstrip(BLANK) or ("\n" in p and len(p) > 1) for p in self.ids):
             raise ValueError("a piece reaches over a blank or a line end; texts can't be cut there")
         self.chunks = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # when it is full it becomes ``before``, from which chunks that come again are taken back
+        self.before: dict[str, bytes] = {}
 
     def merge(self, chunk: str) -> list[int]:
         """Agenda encoding of one chunk; a short chunk's agenda is a plain list, a long one's a heap."""
         rank, symbols, n = self.rank, list(chunk), len(chunk)
         if n <= SHORT_CHUNK:
             get = rank.get
-            agenda = [get(a + b, NO_PIECE) for a, b in zip(symbols, symbols[1:])]
+            agenda = list(map(get, map(add, chunk, chunk[1:]), repeat(NO_PIECE)))
+            last = n - 2  # of the agenda
             while agenda:
                 best = min(agenda)
                 if best == NO_PIECE:
                     break
                 i = agenda.index(best)  # the leftmost of equals
-                symbols[i] += symbols.pop(i + 1)
+                symbols[i] = pair = symbols[i] + symbols.pop(i + 1)
                 del agenda[i]
-                if i < len(agenda):
-                    agenda[i] = get(symbols[i] + symbols[i + 1], NO_PIECE)
+                last -= 1
+                if i <= last:
+                    agenda[i] = get(pair + symbols[i + 1], NO_PIECE)
                 if i:
-                    agenda[i - 1] = get(symbols[i - 1] + symbols[i], NO_PIECE)
+                    agenda[i - 1] = get(symbols[i - 1] + pair, NO_PIECE)
+            out = list(map(self.ids.get, symbols))
+            if None not in out:
+                return out
         else:
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             agenda = []
@@ -109,7 +116,7 @@ class MergeVocabulary:
                     r = rank.get(longer)
                     if r is not None:
                         heapq.heappush(agenda, (r, prev, left, longer))
-        out: list[int] = []
+        out = []
         for s in symbols:
             if s:
                 i = self.ids.get(s)
@@ -128,37 +135,44 @@ class MergeVocabulary:
         """Encode new chunks, check them against the library, return their ids as little-endian words."""
         # A dummy blank stands in front of whatever the library encodes: it replaces a chunk's own
         # first blank; other chunks are put behind a line end, whose two ids are cut off again.
-        own = [self.merge(c) for c in chunks]
-        plain = [c[0] == BLANK and len(c) > 1 for c in chunks]
-        theirs = self.library.encode([c[1:] if p else "\n" + c for c, p in zip(chunks, plain, strict=True)], num_threads=1)
+        # Plain chunks are those that begin with a blank and go on: they stand first here.
+        plain = [c for c in chunks if c[0] == BLANK and len(c) > 1]
+        other = [c for c in chunks if c[0] != BLANK or len(c) == 1]
+        chunks = plain + other
+        own = list(map(self.merge, chunks))
+        theirs = self.library.encode([c[1:] for c in plain] + ["\n" + c for c in other], num_threads=1)
         lead = [self.ids[BLANK], self.byte_ids[10]]
-        for c, p, a, b in zip(chunks, plain, own, theirs, strict=True):
-            if b != (a if p else lead + a):
-                raise ValueError(f"the agenda's ids differ from the library's for {c[:80]!r}")
-        for c, a, b in zip(chunks, own, self.library.decode(own), strict=True):
-            if self.decode(a) != b.encode():
-                raise ValueError(f"the decoded text differs from the library's for {c[:80]!r}")
-        return {c: struct.pack(f"<{len(a)}I", *a) if len(a) >= len(PACKS) else PACKS[len(a)](*a) for c, a in zip(chunks, own, strict=True)}
+        ours = own[:len(plain)] + [lead + a for a in own[len(plain):]]
+        if ours != theirs:
+            c = next(c for c, a, b in zip(chunks, ours, theirs, strict=True) if a != b)
+            raise ValueError(f"the agenda's ids differ from the library's for {c[:80]!r}")
+        decoded, back = list(map(self.decode, own)), list(map(str.encode, self.library.decode(own)))
+        if decoded != back:
+            c = next(c for c, a, b in zip(chunks, decoded, back, strict=True) if a != b)
+            raise ValueError(f"the decoded text differs from the library's for {c[:80]!r}")
+        ends = list(accumulate(map(len, own), initial=0))
+        words = np.fromiter(chain.from_iterable(own), "<u4", ends[-1]).tobytes()
+        return {c: words[4 * a:4 * b] for c, a, b in zip(chunks, ends, ends[1:])}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end ids, as little-endian 32-bit words."""
         cut = [self.chunks.findall((BLANK + t).replace(" ", BLANK)) if t else [] for t in texts]
-        cache = self.cache
-        new = list({c for cs in cut for c in cs} - cache.keys())
-        known = cache
-        if new:
-            if len(cache) + len(new) > CACHE_CHUNKS:
-                # Chunks of this block stay readable through ``known``.
-                known = {c: cache[c] for cs in cut for c in cs if c in cache}
-                cache.clear()
-            fresh = self.learn(new)
-            if known is not cache:
-                known |= fresh
-            cache.update((c, v) for c, v in fresh.items() if len(c) <= LONG_CHUNK)
-            if known is cache and any(len(c) > LONG_CHUNK for c in new):
-                known = {c: fresh[c] if c in fresh else cache[c] for cs in cut for c in cs}
+        need = {c for cs in cut for c in cs}
+        # a look-up per chunk: the difference of a set and a dictionary's keys would walk the whole dictionary
+        new = [c for c in need if c not in self.cache]
+        if len(self.cache) + len(new) > CACHE_CHUNKS:
+            self.before, self.cache = self.cache, {c: self.cache[c] for c in need if c in self.cache}
+        known, before = self.cache, self.before
+        fresh = [c for c in new if c not in before]
+        known.update((c, before[c]) for c in new if c in before)
+        if fresh:
+            known.update(self.learn(fresh))
         begin, end = (np.array([i], dtype="<u4").tobytes() for i in (self.begin, self.end))
-        return [begin + b"".join(map(known.__getitem__, cs)) + end for cs in cut]
+        out = [begin + b"".join(map(known.__getitem__, cs)) + end for cs in cut]
+        for c in fresh:
+            if len(c) > LONG_CHUNK:
+                del known[c]
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -469,3 +469,20 @@ def test_language_model_null_ids_repeated_rows_and_empty(spark, empty):
     got = sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in score_documents(frame(spark, rows), merge_model()).collect())
     assert got == [(0, True, 1, 1, 6), (0, True, 3, 2, 6), (3, False, 3, 3, 6), (3, False, 3, 3, 6)]
     assert score_documents(empty, merge_model()).collect() == []
+
+
+def test_chunks_that_come_again_are_not_encoded_anew(monkeypatch):
+    """A full cache keeps the chunks of the last blocks: a text met in each of them is learnt once, and the ids stay the same."""
+    from lendscope.llm import spm
+    monkeypatch.setattr(spm, "CACHE_CHUNKS", 50)
+    v = spm.MergeVocabulary(spm.merge_model())
+    learnt = []
+    learn = v.learn
+    monkeypatch.setattr(v, "learn", lambda chunks: learnt.extend(chunks) or learn(chunks))
+    for i in range(12):
+        texts = ["the same words again", " ".join(f"w{i}x{j}" for j in range(30)), "y" * 100]
+        got = v.encode(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == v.library.encode(texts, add_bos=True, add_eos=True)
+    assert learnt.count("▁same") == 1
+    assert learnt.count("▁" + "y" * 100) == 12  # long chunks are not kept
+    assert len(v.cache) + len(v.before) <= 2 * 50
