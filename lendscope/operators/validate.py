@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, NumericType
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,8 @@ PREDICTION_RULES = [Rule("customer_id"), Rule("probability", 0, 1), Rule("predic
                     Rule("confidence_level", allowed=("HIGH", "MEDIUM", "LOW"))]
 
 
-def _check(r: Rule) -> Column:
+def _breaches(r: Rule) -> list[tuple[Column, str]]:
+    """Conditions that breach the rule and their messages; the first that holds is reported."""
     c = F.col(r.field)
     num = c.cast("double") if r.lo is not None or r.hi is not None or r.integral else None
     missing = c.isNull() | (F.isnan(num) if num is not None else F.lit(False))
@@ -52,23 +54,57 @@ def _check(r: Rule) -> Column:
         bad.append(num < r.lo)
     if r.hi is not None:
         bad.append(num > r.hi)
-    out = F.when(missing, F.lit(f"{r.field}: required"))
+    out = [(missing, f"{r.field}: required")]
     if bad:
         cond = bad[0]
         for b in bad[1:]:
             cond = cond | b
-        out = out.when(cond, F.lit(f"{r.field}: outside [{r.lo}, {r.hi}]"))
+        out.append((cond, f"{r.field}: outside [{r.lo}, {r.hi}]"))
     if r.integral:
-        out = out.when(num != F.floor(num), F.lit(f"{r.field}: not an integer"))
+        out.append((num != F.floor(num), f"{r.field}: not an integer"))
     if r.allowed is not None:
-        out = out.when(~c.isin(*r.allowed), F.lit(f"{r.field}: not one of {list(r.allowed)}"))
+        out.append((~c.isin(*r.allowed), f"{r.field}: not one of {list(r.allowed)}"))
+    return out
+
+
+def _check(r: Rule) -> Column:
+    (cond, text), *more = _breaches(r)
+    out = F.when(cond, F.lit(text))
+    for cond, text in more:
+        out = out.when(cond, F.lit(text))
     return out
 
 
+def _holds(r: Rule, kind: DataType) -> Column:
+    """Whether no breach of the rule holds, in few expressions for a column of numbers."""
+    c = F.col(r.field)
+    if not isinstance(kind, NumericType) or r.allowed is not None:
+        out = F.lit(True)
+        for cond, _ in _breaches(r):
+            out = out & ~F.coalesce(cond, F.lit(False))
+        return out
+    out, num = c.isNotNull(), c.cast("double")
+    whole = isinstance(kind, IntegralType)
+    if r.lo is not None:
+        out = out & (num >= r.lo)
+    if r.hi is not None:
+        out = out & (num <= r.hi)  # NaN is above every number
+    elif not whole and (r.lo is not None or r.integral):
+        out = out & ~F.isnan(num)
+    return out & (num == F.floor(num)) if r.integral and not whole else out
+
+
 def validate(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Rows plus ``errors`` (array<string>) and ``is_valid``."""
+    """Rows plus ``errors`` (array<string>) and ``is_valid``.
+
+    ``is_valid`` tests the rules themselves, not ``errors``: a filter on it
+    builds no messages, and stops at the first breach.
+    """
     errs = F.filter(F.array(*[_check(r) for r in rules]), lambda e: e.isNotNull())
-    return df.withColumn("errors", errs).withColumn("is_valid", F.size("errors") == 0)
+    valid = F.lit(True)
+    for r in rules:
+        valid = valid & _holds(r, df.schema[r.field].dataType)
+    return df.select("*", errs.alias("errors"), valid.alias("is_valid"))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
