@@ -12,6 +12,11 @@ Blocks are passed on as 64-bit fingerprints.  A band is the number of blocks
 that the smaller document's size asks for; a document joins the bands of all
 smaller sizes it may be linked to, down to three quarters of its own.
 
+First, documents that can't be linked with any are set apart: a linked one has
+at least three quarters of its tokens in common with another document, so one
+with fewer tokens that occur elsewhere (told by 32 bits and the bucket of their
+hash: never too few) has no part in what follows.
+
 Documents that meet form buckets.  A bucket is not expanded into pairs: all
 members are compared with one hub, first by folded sketches of about as many
 bits as tokens (their distance is a lower bound too), then by their whole sets.  Links make
@@ -23,11 +28,15 @@ Documents of different components that share one so are compared as before.
 So no link between components is lost, and a passage that many documents share
 brings two of them together only where it is most of the smaller one.
 
-Scale: bucket entries are shuffled as packed arrays, 12 bytes an entry plus
-the documents' numbers.  Entries that meet within a task are joined there and
-one of them goes on, so a fingerprint with a third of all documents comes as
-one entry a task.  The order of blocks comes from counts over all documents in
-2^20 cells (1 MB); it decides what is passed on, not what is found.  Texts are
+Scale: of every document's tokens 4 bytes each, and a gap to the token's
+document, go to buckets of about BUCKET_BYTES of text; a chunk of documents gets
+back which of its tokens occur elsewhere.  Tokens that occur twice in a chunk
+are sent once.  The texts that are left are written.  Entries of blocks are
+shuffled as packed arrays, 12 bytes an entry plus the documents' numbers.
+Entries that meet within a task are joined there and one of them goes on, so a
+fingerprint with a third of all documents comes as one entry a task.  The order
+of blocks comes from counts over the documents that are left in 2^20 cells
+(1 MB); it decides what is passed on, not what is found.  Texts are written or
 shuffled only if their document may be in a pair: a bit map of MAP_BITS bits
 (2 MB) holds hashes of those documents and is looked up while scanning.
 """
@@ -41,6 +50,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +64,8 @@ CELL_PARTS = 64
 MIN_BITS = 512  # of the folded sketch that is compared first
 BLOCK_BYTES = 400_000  # of texts that are hashed together
 CHUNK_ENTRIES = 500_000
+TOKEN_CHUNK = 1_000_000  # tokens of documents that are asked about together
+BUCKET_BYTES = 32 << 20  # of text whose tokens come to one bucket
 MAP_BITS = 1 << 24
 MAP_PARTS = 64
 PAIRS_PER_SALT = 2000
@@ -160,20 +172,155 @@ def node_of(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), own)
 
 
+def _gaps(places: np.ndarray) -> bytes:
+    """Rising numbers as their differences, one byte each if they fit, behind the width."""
+    g = np.diff(places, prepend=0)
+    width = 1 if g.max(initial=0) < 256 else 4
+    return bytes([width]) + g.astype(f"<u{width}").tobytes()
+
+
+def _from_gaps(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, dtype=f"<u{packed[0]}", offset=1), dtype=np.int64)
+
+
+def _met(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of sorted numbers: is it the first of its equals, and does it have equals."""
+    first = np.ones(len(sorted_), dtype=bool)
+    first[1:] = sorted_[1:] != sorted_[:-1]
+    last = np.ones(len(sorted_), dtype=bool)
+    last[:-1] = first[1:]
+    return first, ~(first & last)
+
+
+def with_linkable(docs: DataFrame) -> DataFrame:
+    """(node, doc_id, n_shingles, linkable) of each row of ``docs`` (doc_id, text, node).
+
+    ``linkable``: three quarters of its tokens occur in other rows too, so it may be linked.
+    """
+    spark = docs.sparkSession
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
+    of_chunk = ["nodes", "ids", "sizes", "shared"]
+    of_chunk_types = "nodes array<long>, ids array<long>, sizes array<long>, shared array<long>"
+    lists = [pa.list_(pa.int64())] * 4
+    none = [None] * 4
+
+    def batch_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        tokens: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        nodes: list[pa.Array] = []
+        ids: list[pa.Array] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            n, t = np.concatenate(sizes), np.concatenate(tokens)
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.argsort(t)
+            first, more = _met(t[order])
+            shared = np.bincount(owner[order[more]], minlength=len(n))
+            once, seen = np.sort(order[~more]), order[first & more]
+            for x in (tokens, sizes):
+                x.clear()
+            bucket, bucket_seen = ((t[x] >> U(32)) % U(parts) for x in (once, seen))
+            by, by_seen = np.argsort(bucket, kind="stable"), np.argsort(bucket_seen, kind="stable")
+            cuts, cuts_seen = np.searchsorted(bucket[by], np.arange(parts + 1)), np.searchsorted(bucket_seen[by_seen], np.arange(parts + 1))
+            once, seen = once[by], seen[by_seen]
+            rows = [(int(chunk % parts), chunk, None, None, None, pa.concat_arrays(nodes).to_pylist(), pa.concat_arrays(ids).to_pylist(), n.tolist(), shared.tolist())]
+            for k in np.flatnonzero(np.diff(cuts) + np.diff(cuts_seen)).tolist():
+                asked = once[cuts[k]:cuts[k + 1]]
+                rows.append((k, chunk, t[asked].astype(np.uint32).tobytes(), _gaps(owner[asked]),
+                             t[seen[cuts_seen[k]:cuts_seen[k + 1]]].astype(np.uint32).tobytes(), *none))
+            for x in (nodes, ids):
+                x.clear()
+            for k in range(0, len(rows), 64):
+                yield batch_of(rows[k:k + 64], ["bucket", "chunk", "asked", "owner", "seen", *of_chunk],
+                               [pa.int32(), pa.int64(), *[pa.binary()] * 3, *lists])
+
+        held = 0
+        for batch in batches:
+            for part, t, bounds in text_blocks(batch, 2):
+                tokens.append(t)
+                sizes.append(np.diff(bounds))
+                nodes.append(part.column(0))
+                ids.append(part.column(1))
+                held += len(t) + 32 * len(part)
+                if held >= TOKEN_CHUNK:
+                    yield from flush()
+                    chunk, held = chunk + 1, 0
+        if sizes:
+            yield from flush()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["chunk", "owner", *of_chunk], [pa.int64(), pa.binary(), *lists]
+        buckets: dict[int, list[tuple]] = {}
+        for batch in batches:
+            own = batch.filter(pc.is_valid(batch.column(5)))
+            if len(own):
+                yield pa.RecordBatch.from_arrays([own.column(1), pa.nulls(len(own), pa.binary()), *own.columns[5:]], names)
+            batch = batch.filter(pc.is_null(batch.column(5)))
+            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                buckets.setdefault(k, []).append(row)
+        for k in list(buckets):
+            chunks, asked, owner, seen = zip(*buckets.pop(k), strict=True)
+            cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in asked])])
+            t = np.frombuffer(b"".join([*asked, *seen]), dtype=np.uint32)
+            order = np.argsort(t)
+            more = np.zeros(len(t), dtype=bool)
+            more[order] = _met(t[order])[1]
+            # A hash that another chunk has seen twice is among its equals here; one that is only seen has no owner.
+            rows = []
+            for c, o, a, b in zip(chunks, owner, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if more[a:b].any():
+                    rows.append((c, _gaps(_from_gaps(o)[more[a:b]]), *none))
+            for i in range(0, len(rows), 64):
+                yield batch_of(rows[i:i + 64], names, kinds)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        chunks: list[tuple] = []
+
+        def add(chunk: int, more: np.ndarray) -> None:
+            had = counts.get(chunk, more[:0])
+            if len(had) < len(more):
+                had, more = more, had
+            had[:len(more)] += more
+            counts[chunk] = had
+
+        for batch in batches:
+            for chunk, owner, nodes, ids, sizes, shared in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if owner is not None:
+                    add(chunk, np.bincount(_from_gaps(owner)))
+                else:
+                    add(chunk, np.array(shared, dtype=np.int64))
+                    chunks.append((chunk, nodes, ids, np.array(sizes, dtype=np.int64)))
+        for chunk, nodes, ids, n in chunks:
+            linkable = (n > 0) & (4 * counts.pop(chunk) >= 3 * n)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ids, pa.int64()), pa.array(n), pa.array(linkable)],
+                                             ["node", "doc_id", "n_shingles", "linkable"])
+
+    return (docs.select("node", "doc_id", "text")
+            .mapInArrow(scan, f"bucket int, chunk long, asked binary, owner binary, seen binary, {of_chunk_types}")
+            .repartition(parts, "bucket").mapInArrow(answer, f"chunk long, owner binary, {of_chunk_types}")
+            .repartition(parts, "chunk").mapInArrow(total, "node long, doc_id long, n_shingles long, linkable boolean"))
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """Rows (node, doc_id, n_shingles, sketch) of all documents and (part, cells) counts of each task.
+    """Rows (node, n_shingles, sketch) of all documents and (part, cells) counts of each task.
 
     Parts from CELL_PARTS on count tokens, those before blocks.
     """
     size = CELLS // CELL_PARTS
-    names = ["node", "doc_id", "n_shingles", "sketch", "part", "cells"]
+    names = ["node", "n_shingles", "sketch", "part", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * CELLS, dtype=np.int64)
         waiting: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for part, tokens, bounds in text_blocks(batch, 2):
+            for part, tokens, bounds in text_blocks(batch, 1):
                 waiting.append((blocks(tokens, bounds)[0] >> U(44)).astype(np.int64))
                 waiting.append((tokens >> U(44)).astype(np.int64) + CELLS)
                 held += len(waiting[-1]) + len(waiting[-2])
@@ -182,18 +329,17 @@ def measure(docs: DataFrame) -> DataFrame:
                     waiting, held = [], 0
                 n = len(part)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(1), pa.array(np.diff(bounds), pa.int64()),
+                    part.column(0), pa.array(np.diff(bounds), pa.int64()),
                     pa.array(sketches_of(tokens, bounds), pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if waiting:
             counts += np.bincount(np.concatenate(waiting), minlength=2 * CELLS)
         small = np.minimum(counts, 65535).astype(np.uint16)  # a task's count; the sum over tasks is not cut
         k = 2 * CELL_PARTS
         parts = [small[i * size:(i + 1) * size].tobytes() for i in range(k)]
-        none = [pa.nulls(k, pa.int64()) for _ in range(3)]
+        none = [pa.nulls(k, pa.int64()) for _ in range(2)]
         yield pa.RecordBatch.from_arrays([*none, pa.nulls(k, pa.list_(pa.int64())), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.select("node", "doc_id", "text").mapInArrow(
-        run, "node long, doc_id long, n_shingles long, sketch array<long>, part int, cells binary")
+    return docs.select("node", "text").mapInArrow(run, "node long, n_shingles long, sketch array<long>, part int, cells binary")
 
 
 def rarity_of(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -524,7 +670,9 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def linked_nodes(rows: DataFrame) -> DataFrame:
     """(node, doc_id, n_shingles, c) of each of ``rows`` (doc_id, text, node); c is the least node reachable."""
-    measured = materialize_in_small_batches(measure(rows), "jac-sizes")
+    sizes = materialize_in_small_batches(with_linkable(rows), "jac-sizes")
+    rows = materialize_in_small_batches(texts_of(rows, sizes.where("linkable")), "jac-texts")
+    measured = materialize_in_small_batches(measure(rows), "jac-sketches")
     of_blocks, of_tokens = rarity_of(measured)
     edges = materialize_in_small_batches(meetings(rows, of_blocks), "jac-edges")
     same = edges.where("same").select("a", "b")
@@ -549,7 +697,7 @@ def linked_nodes(rows: DataFrame) -> DataFrame:
     found = verify(fresh, sketches, rows)
     if not found.isEmpty():
         component = materialize(connected_components(links.unionByName(found)), "jac-components")
-    return labelled(measured.where(F.col("part").isNull()).select("node", "doc_id", "n_shingles"), "node", "c")
+    return labelled(sizes.select("node", "doc_id", "n_shingles"), "node", "c")
 
 
 def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:

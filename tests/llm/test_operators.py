@@ -118,6 +118,29 @@ def test_jaccard_one_large_group_and_a_shared_passage(spark):
     assert got == brute.jaccard_components(pairs(rows))
 
 
+def test_jaccard_sets_documents_apart_that_have_no_partner(spark, monkeypatch):
+    """A passage brings documents into a bucket; those with over a quarter of tokens of their own are not compared."""
+    from lendscope.llm import parity_join as J
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"u{i}x{k}" for k in range(15 + i)]) for i in range(40)]  # 41 to 45 of 56 and more tokens are shared
+    texts += [" ".join(passage[:50] + [f"v{i}x{k}" for k in range(4)]) for i in range(6)]
+    texts += ["one", "One", "two", None, "", " "]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    want = {i: n for i, (n, _) in brute.jaccard_components(pairs(rows)).items()}
+    sets = {i: set(J.shingles(t).tolist()) for i, t, _, _ in rows}
+    others = {i: set().union(*(s for k, s in sets.items() if k != i)) for i in sets}
+    linkable = {i for i, s in sets.items() if s and 4 * len(s & others[i]) >= 3 * len(s)}
+    got = J.with_linkable(frame(spark, rows).select("doc_id", "text", F.col("doc_id").alias("node"))).collect()
+    assert {r.doc_id: r.n_shingles for r in got} == want
+    assert {r.doc_id for r in got if r.linkable} == linkable and 0 < len(linkable) < 30
+
+    compared = []
+    measure = J.measure
+    monkeypatch.setattr(J, "measure", lambda docs: compared.extend(r.node for r in docs.select("node").collect()) or measure(docs))
+    assert by_id(J.jaccard_components(frame(spark, rows)), "n_shingles", "component_id") == brute.jaccard_components(pairs(rows))
+    assert set(compared) == linkable
+
+
 def test_blocks_meet_within_the_bound():
     """Sets at the threshold share one of the fingerprints that both pass on, whatever the order of blocks."""
     from lendscope.llm.hashing import mix
